@@ -1,8 +1,10 @@
 """Queries and SQL of this subpackage, by the names that __spark_entry__.py registers."""
 
-from quern.llm import exact_dedup
+from quern.llm import exact_dedup, mixing, packing
 
 QUERIES = {
+    "op2_mix_sources": mixing.query,
+    "op4_best_fit_packing": packing.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
