@@ -1,10 +1,11 @@
 """Queries and SQL of this subpackage, by the names that __spark_entry__.py registers."""
 
-from quern.llm import exact_dedup, mixing, packing
+from quern.llm import exact_dedup, mixing, packing, quality
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
     "op4_best_fit_packing": packing.query,
+    "op6_quality_classifier": quality.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 

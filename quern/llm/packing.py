@@ -36,7 +36,7 @@ from quern.llm.common import as_long, keep, small, text_column
 
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 256
+GROUPS = 1024
 PIECES_A_BUCKET = 500_000
 
 _ENCODERS: dict = {}
