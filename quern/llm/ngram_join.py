@@ -10,7 +10,7 @@ stand in hash order.
  1. Equal sets are one class, known by a 128-bit digest; only classes are compared.
  2. Document frequencies: packed token arrays, counted in hash buckets.
  3. Prefixes under the orders, packed likewise; each bucket emits the pairs of classes
-    that share a token, once; the orders' pairs are intersected.
+    that share a token, once; the orders' pairs are intersected, then thinned by bitmaps.
  4. A prefix token that too many classes hold emits no pairs: its classes are tied to
     a node that stands for the token. Each connected component of candidates becomes a
     cell; a cell of more than `cell` classes becomes blocks, and each pair of blocks a
@@ -64,18 +64,56 @@ def _ref(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little") >> 1
 
 
+def _parity(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least two bits a token in which each token flips one bit."""
+    bits = 64
+    while bits < 2 * len(tokens):
+        bits *= 2
+    flips = np.bincount((B.mix(tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(flips & 1).tobytes()
+
+
+def _may_link(a: bytes, b: bytes, both: int, percent: int) -> bool:
+    """Whether sets with these bitmaps, of so many tokens together, can be similar."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):  # bit i of a bitmap is bits i and i + half of one of twice its length
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    differ = int(_ONES[x ^ y].sum())
+    return (100 + percent) * differ <= (100 - percent) * both
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)])
+
+
+def _thinned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that the bitmaps leave; pairs with a token's node stay."""
+
+    def thin(batches):
+        for batch in batches:
+            a, b, m, n, x, y = (c.to_pylist() for c in batch.columns)
+            kept = [i for i in range(len(a)) if _may_link(x[i], y[i], m[i] + n[i], percent)]
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    def side(name: str, n: str, bits: str) -> DataFrame:
+        return classes.select(F.col("ref").alias(name), F.col("n").alias(n), F.col("parity").alias(bits))
+
+    real = pairs.where("a >= 0").join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    return real.mapInArrow(thin, "a long, b long").distinct().unionByName(pairs.where("a < 0"))
+
+
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, digest, ref of every row."""
+    """doc_id, n_shingles, digest, ref, parity of every row."""
 
     def sign(batches):
         for batch in batches:
-            n, digests = [], []
+            n, digests, parity = [], [], []
             for s in _sets(batch.column(1), size):
                 n.append(len(s))
                 digests.append(_digest(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([_ref(d) for d in digests], pa.int64())], names=["doc_id", "n_shingles", "digest", "ref"])
+                parity.append(_parity(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([_ref(d) for d in digests], pa.int64()), pa.array(parity, pa.binary())], names=["doc_id", "n_shingles", "digest", "ref", "parity"])
 
-    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, ref long")
+    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, ref long, parity binary")
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -113,13 +151,9 @@ def common_tokens(texts: DataFrame, size: int, buckets: int, least: int) -> tupl
     return token[order], n[order]
 
 
-def _prefix(tokens: np.ndarray, common: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    """Indexes of the tokens that a similar set must share one of, under one order."""
-    n = len(tokens)
-    length = n - -(-percent * n // 100) + 1
-    key = B.mix(tokens ^ np.uint64(seed)) >> np.uint64(1)
-    key[common] |= np.uint64(1 << 63)
-    return np.argpartition(key, length - 1)[:length] if length < n else np.arange(n)
+def _prefix_length(n: int, percent: int) -> int:
+    """How many first tokens of a set of n a similar set must share one of."""
+    return n - -(-percent * n // 100) + 1
 
 
 def candidates(texts: DataFrame, size: int, percent: int, buckets: int, common: np.ndarray, dense: np.ndarray, seeds=SEEDS) -> DataFrame:
@@ -131,32 +165,34 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, common:
         common, dense = shared.value
         for batch in batches:
             seen = {_digest(s): s for s in _sets(batch.column(0), size) if len(s)}
-            parts: list[tuple] = []
-            for digest, tokens in seen.items():
-                ids = _bucket(tokens, buckets) << 32 | (tokens & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                at = np.searchsorted(common, ids)
-                at[at == len(common)] = 0
-                is_common = common[at] == ids if len(common) else np.zeros(len(ids), bool)
-                is_dense = is_common & dense[at] if len(common) else is_common
-                for o, seed in enumerate(seeds):
-                    chosen = _prefix(tokens, is_common, seed, percent)
-                    parts.append((o, _ref(digest), len(tokens), ids[chosen], is_dense[chosen]))
-            for o in range(len(seeds)):
-                own = [p for p in parts if p[0] == o]
-                if not own:
-                    continue
-                ids = np.concatenate([p[3] for p in own])
-                heavy = np.concatenate([p[4] for p in own])
-                owner = np.repeat(np.arange(len(own)), [len(p[3]) for p in own])
-                refs, sizes = np.array([p[1] for p in own], "<i8"), np.array([p[2] for p in own], "<u4")
-                where = np.where(heavy, -1 - (ids >> 32), ids >> 32)
+            sets, digests = list(seen.values()), list(seen)
+            if not sets:
+                continue
+            tokens = np.concatenate(sets)
+            ids = _bucket(tokens, buckets) << 32 | (tokens & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            is_common = np.zeros(len(ids), bool)
+            is_dense = is_common.copy()
+            if len(common):
+                at = np.minimum(np.searchsorted(common, ids), len(common) - 1)
+                is_common = common[at] == ids
+                is_dense = is_common & dense[at]
+            refs_, sizes_ = np.array([_ref(d) for d in digests], "<i8"), np.array([len(s) for s in sets], "<u4")
+            first = np.r_[0, np.cumsum(sizes_, dtype=np.int64)]
+            lengths = [_prefix_length(len(s), percent) for s in sets]
+            for o, seed in enumerate(seeds):
+                key = B.mix(tokens ^ np.uint64(seed)) >> np.uint64(1)
+                key[is_common] |= np.uint64(1 << 63)
+                chosen = np.concatenate([first[i] + (np.argpartition(key[first[i] : first[i + 1]], p - 1)[:p] if p < len(s) else np.arange(len(s))) for i, (s, p) in enumerate(zip(sets, lengths, strict=True))])
+                owner = np.repeat(np.arange(len(sets)), lengths)
+                refs, sizes, chosen_ids, heavy = refs_, sizes_, ids[chosen], is_dense[chosen]
+                where = np.where(heavy, -1 - (chosen_ids >> 32), chosen_ids >> 32)
                 order = np.lexsort((owner, where))
                 cuts = _cuts(where[order])
                 rows = []
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     o_ = order[a:b]
                     mine, runs = np.unique(owner[o_], return_counts=True)
-                    rows.append((int(where[o_[0]]), o, (ids[o_] & 0xFFFFFFFF).astype("<u4").tobytes(), refs[mine].tobytes(), sizes[mine].tobytes(), runs.astype("<u4").tobytes()))
+                    rows.append((int(where[o_[0]]), o, (chosen_ids[o_] & 0xFFFFFFFF).astype("<u4").tobytes(), refs[mine].tobytes(), sizes[mine].tobytes(), runs.astype("<u4").tobytes()))
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "nth", "tokens", "refs", "sizes", "runs"])
 
@@ -281,13 +317,14 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_shingles, component_id (least id reachable by links), n_links (other rows it links with)."""
     texts = docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
     signed = keep(signatures(texts, size=size), "join-signatures")
-    classes = keep(signed.where("n_shingles > 0").groupBy("digest", "ref").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n")), "join-classes")
+    classes = keep(signed.where("n_shingles > 0").groupBy("digest", "ref").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "join-classes")
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(total // tokens_a_bucket) + 8
     tokens, counts = common_tokens(texts.select("text"), size, buckets, max(common, total // MOST_COMMON))
     pairs = keep(candidates(texts.select("text"), size, percent, buckets, tokens, counts > 4 * max(common, total // MOST_COMMON)), "join-pairs")
+    pairs = keep(_thinned(pairs, classes, percent), "join-pairs")
     group = components(pairs).where("node >= 0").select(F.col("node").alias("ref"), F.col("component").alias("comp"))
-    member = classes.where("node IS NOT NULL").join(group, "ref")
+    member = classes.drop("parity").where("node IS NOT NULL").join(group, "ref")
     counted = member.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks"))
     member = keep(member.join(counted, "comp").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")), "join-members")
 
