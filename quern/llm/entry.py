@@ -1,12 +1,14 @@
 """Queries and SQL of this subpackage, by the names that __spark_entry__.py registers."""
 
-from quern.llm import exact_dedup, mixing, ngram_join, packing, quality
+from quern.llm import exact_dedup, mixing, ngram_join, packing, pii, quality, secrets
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
     "op3_ngram_jaccard_join": ngram_join.query,
     "op4_best_fit_packing": packing.query,
+    "op5_personal_data": pii.query,
     "op6_quality_classifier": quality.query,
+    "op8_secret_scan": secrets.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
