@@ -16,7 +16,7 @@ MIX2 = np.uint64(0x94D049BB133111EB)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 #: Bytes of at most this many are hashed at once, which bounds a worker's memory.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,6 +79,13 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK):
         first = last
 
 
+def slices(column: pa.Array, limit: int):
+    """A text column as bytes and offsets of parts of about limit bytes each."""
+    data, offsets = text_bytes(column)
+    for i, j in blocks(offsets, limit):
+        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)

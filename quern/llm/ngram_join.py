@@ -49,10 +49,21 @@ CELL = 1000
 TOKENS_A_BUCKET = 4_000_000
 
 
+#: Bytes of text whose sets a worker holds at once.
+PART = 8 << 20
+
+
 def _sets(column: pa.Array, size: int):
-    data, offsets = B.text_bytes(column)
-    for i, j in B.blocks(offsets):
-        yield from B.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+    for data, offsets in B.slices(column, B.BLOCK):
+        yield from B.shingles(data, offsets, size)
+
+
+def _parts(batches, size: int):
+    """Lists of the distinct sets, by digest, of about PART bytes of text at a time."""
+    for batch in batches:
+        for data, offsets in B.slices(batch.column(0), PART):
+            sets = (s for i, j in B.blocks(offsets) for s in B.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size))
+            yield {_digest(s): s for s in sets if len(s)}
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -128,8 +139,7 @@ def common_tokens(texts: DataFrame, size: int, buckets: int, least: int) -> tupl
     """Sorted (bucket << 32 | token) of tokens that at least so many documents hold, and their counts."""
 
     def count(batches):
-        for batch in batches:
-            seen: dict[bytes, np.ndarray] = {_digest(s): s for s in _sets(batch.column(0), size)}
+        for seen in _parts(batches, size):
             tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *seen.values()]), return_counts=True)
             where = _bucket(tokens, buckets)
             order = np.argsort(where, kind="stable")
@@ -163,8 +173,7 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, common:
 
     def prefixes(batches):
         common, dense = shared.value
-        for batch in batches:
-            seen = {_digest(s): s for s in _sets(batch.column(0), size) if len(s)}
+        for seen in _parts(batches, size):
             sets, digests = list(seen.values()), list(seen)
             if not sets:
                 continue
