@@ -378,8 +378,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: (s["kind"] == k) & ~s["added"])).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: (s["kind"] == kind) & ~s["added"])).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 SQL = None

@@ -19,6 +19,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quern.llm.common import as_long, text_column
 
@@ -125,16 +126,16 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ran
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] != "opaque")
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *(count(k) for k in KINDS[:3]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 SQL = None
