@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by the names that __spark_entry__.py registers."""
 
-from quern.llm import exact_dedup, mixing, ngram_join, packing, pii, quality, secrets
+from quern.llm import exact_dedup, html_extract, mixing, ngram_join, order_minhash, packing, pii, quality, secrets
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
@@ -8,7 +8,9 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_personal_data": pii.query,
     "op6_quality_classifier": quality.query,
+    "op7_html_main_text": html_extract.query,
     "op8_secret_scan": secrets.query,
+    "op9_order_minhash": order_minhash.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
