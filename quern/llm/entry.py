@@ -1,8 +1,9 @@
 """Queries and SQL of this subpackage, by the names that __spark_entry__.py registers."""
 
-from quern.llm import exact_dedup, html_extract, mixing, ngram_join, order_minhash, packing, pii, quality, secrets
+from quern.llm import exact_dedup, html_extract, mixing, ngram_join, order_minhash, packing, pii, quality, secrets, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_mix_sources": mixing.query,
     "op3_ngram_jaccard_join": ngram_join.query,
     "op4_best_fit_packing": packing.query,
