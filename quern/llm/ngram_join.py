@@ -194,30 +194,34 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, common:
                 chosen = np.concatenate([first[i] + (np.argpartition(key[first[i] : first[i + 1]], p - 1)[:p] if p < len(s) else np.arange(len(s))) for i, (s, p) in enumerate(zip(sets, lengths, strict=True))])
                 owner = np.repeat(np.arange(len(sets)), lengths)
                 refs, sizes, chosen_ids, heavy = refs_, sizes_, ids[chosen], is_dense[chosen]
-                where = np.where(heavy, -1 - (chosen_ids >> 32), chosen_ids >> 32)
+                # tokens with a node of their own need no company: they go to any bucket, below zero
+                where = np.where(heavy, -1 - refs_[0] % buckets, chosen_ids >> 32)
                 order = np.lexsort((owner, where))
                 cuts = _cuts(where[order])
                 rows = []
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     o_ = order[a:b]
                     mine, runs = np.unique(owner[o_], return_counts=True)
-                    rows.append((int(where[o_[0]]), o, (chosen_ids[o_] & 0xFFFFFFFF).astype("<u4").tobytes(), refs[mine].tobytes(), sizes[mine].tobytes(), runs.astype("<u4").tobytes()))
+                    rows.append((int(where[o_[0]]), o, (chosen_ids[o_].astype("<i8") if where[o_[0]] < 0 else (chosen_ids[o_] & 0xFFFFFFFF).astype("<u4")).tobytes(), refs[mine].tobytes(), sizes[mine].tobytes(), runs.astype("<u4").tobytes()))
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "nth", "tokens", "refs", "sizes", "runs"])
 
-    def unpack(table: pa.Table):
-        tokens = np.concatenate([np.frombuffer(x, "<u4") for x in table["tokens"].to_pylist()])
+    def unpack(table: pa.Table, kind: str):
+        tokens = np.concatenate([np.frombuffer(x, kind) for x in table["tokens"].to_pylist()])
         runs = np.concatenate([np.frombuffer(x, "<u4") for x in table["runs"].to_pylist()])
         refs = np.repeat(np.concatenate([np.frombuffer(x, "<i8") for x in table["refs"].to_pylist()]), runs)
         sizes = np.repeat(np.concatenate([np.frombuffer(x, "<u4") for x in table["sizes"].to_pylist()]), runs).astype(np.int64)
         return tokens, refs, sizes
 
-    def nodes(bucket: int, tokens: np.ndarray) -> np.ndarray:
-        return -1 - (np.int64(bucket) << 32 | tokens.astype(np.int64))
+    def nodes(ids: np.ndarray) -> np.ndarray:
+        return -1 - ids
 
     def pairs_of(table: pa.Table) -> pa.Table:
         bucket, nth = table["bucket"][0].as_py(), table["nth"][0].as_py()
-        tokens, refs, sizes = unpack(table)
+        if bucket < 0:
+            ids, refs, _ = unpack(table, "<i8")
+            return pa.table({"a": nodes(ids), "b": refs, "mask": pa.array(np.full(len(refs), every, np.int32))})
+        tokens, refs, sizes = unpack(table, "<u4")
         order = np.lexsort((refs, tokens))
         tokens, refs, sizes = tokens[order], refs[order], sizes[order]
         new = np.r_[True, (tokens[1:] != tokens[:-1]) | (refs[1:] != refs[:-1])]
@@ -233,7 +237,7 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, common:
             a.append(refs[x[near]])
             b.append(refs[y[near]])
         for s, k in zip(first[length > MOST_PAIRED], length[length > MOST_PAIRED], strict=True):
-            tied.append((np.repeat(nodes(bucket, tokens[s : s + 1]), k), refs[s : s + k]))
+            tied.append((np.repeat(nodes(np.int64(bucket) << 32 | tokens[s : s + 1].astype(np.int64)), k), refs[s : s + k]))
         a, b = np.concatenate(a), np.concatenate(b)
         mask = np.full(len(a), 1 << nth, np.int32)
         if len(a):
@@ -245,18 +249,9 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, common:
             a, b, mask = np.r_[a, x], np.r_[b, y], np.r_[mask, np.full(len(x), every, np.int32)]
         return pa.table({"a": a, "b": b, "mask": pa.array(mask, pa.int32())})
 
-    def ties(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                table = pa.Table.from_batches([batch.slice(row, 1)])
-                tokens, refs, _ = unpack(table)
-                node = nodes(-1 - table["bucket"][0].as_py(), tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(refs), pa.array(np.full(len(refs), every, np.int32))], names=["a", "b", "mask"])
-
-    packed = keep(texts.mapInArrow(prefixes, "bucket long, nth int, tokens binary, refs binary, sizes binary, runs binary"), "join-prefixes")
-    found = packed.where("bucket >= 0").groupBy("bucket", "nth").applyInArrow(pairs_of, "a long, b long, mask int")
-    heavy = packed.where("bucket < 0").mapInArrow(ties, "a long, b long, mask int")
-    return found.unionByName(heavy).groupBy("a", "b").agg(F.bit_or("mask").alias("mask")).where(F.col("mask") == every).select("a", "b")
+    packed = texts.mapInArrow(prefixes, "bucket long, nth int, tokens binary, refs binary, sizes binary, runs binary")
+    found = packed.groupBy("bucket", "nth").applyInArrow(pairs_of, "a long, b long, mask int")
+    return found.groupBy("a", "b").agg(F.bit_or("mask").alias("mask")).where(F.col("mask") == every).select("a", "b")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
