@@ -12,21 +12,25 @@ from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, mixing, ngram_join, packing, quality
 from quern.llm.common import as_long, keep, small
+from quern.session import ship
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from labels of rows that are not held out."""
+    ship(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.scored(docs, model).where("quality_predicted = 1").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the largest doc_id, of each group of equal texts."""
+    ship(spark)
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of similar texts; texts without words are alike to none."""
+    ship(spark)
     groups = ngram_join.similar_groups(docs)
     gone = keep(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "pipeline-gone")
     return docs.join(small(gone), as_long(docs) == gone["__gone"], "left_anti")
@@ -34,12 +38,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document; the text is cut where it takes a part."""
+    ship(spark)
     mixed = mixing.mix(docs)
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens, each with its sequence and its place there."""
+    ship(spark)
     return packing.pack(docs)
 
 
