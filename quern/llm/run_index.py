@@ -18,17 +18,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     for i in range(8):
         key = key << np.uint64(8) | padded[i : n + i]
     depth = 8
-    # a suffix that ends inside the packed symbols is less than one that goes on with zeros
-    length = np.minimum(n - np.arange(n), 8)
-    order = np.lexsort((length, key))
+    order = np.argsort(key)
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.r_[0, (key[order][1:] != key[order][:-1]) | (length[order][1:] != length[order][:-1])])
-    while rank[order[-1]] < n - 1:
+    rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+    while rank[order[-1]] < n - 1 or depth == 8:
         second = np.zeros(n, np.int64)
+        if depth == 8:  # a suffix that ends inside the packed symbols is less than one that goes on with zeros
+            second[-8:] = np.arange(min(n, 8), 0, -1)
         if depth < n:
-            second[: n - depth] = rank[depth:] + 1
+            second[: n - depth] = rank[depth:] + 9
         both = rank.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         ordered = both[order]
         rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
         depth *= 2

@@ -42,13 +42,13 @@ LEAST = 100
 #: Windows of a text piece that share a choice of anchor: least - GAP + 1 is the k-mers' length.
 GAP = 64
 #: Bytes of text that a task holds occurrences of at once, and of a bucket of the first and second kind.
-PART, BUCKET, INDEXED = 8 << 20, 24 << 20, 2 << 20
+PART, BUCKET, INDEXED = 8 << 20, 12 << 20, 256 << 10
 #: Contexts of one anchor in one part that make it frequent there, and the share of parts where it is.
 CONTEXTS, SHARE = 16, 0.01
 #: Bytes of requests or marks that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 64 << 20
 #: A document is read in pieces of this many bytes, which overlap by a window.
-PIECE = 4 << 20
+PIECE = 1 << 20
 _NULL = np.iinfo(np.int64).min
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -115,10 +115,10 @@ def frequent_anchors(texts: DataFrame, least: int) -> np.ndarray:
             for found, _ in _occurrences(batch.column(0), least):
                 if found is None:
                     continue
-                order = np.lexsort((found[5], found[4]))
-                h, c = found[4][order], found[5][order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.empty(0, bool)
-                anchors, contexts = np.unique(h[new], return_counts=True)
+                anchors, rows = np.unique(found[4], return_counts=True)
+                often = np.isin(found[4], anchors[rows >= CONTEXTS])
+                pairs = np.unique(np.stack([found[4][often], found[5][often]], 1), axis=0)
+                anchors, contexts = np.unique(pairs[:, 0], return_counts=True)
                 many = anchors[contexts >= CONTEXTS].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[many, 0]), pa.array(np.r_[np.zeros(len(many), bool), True])], names=["hash", "part"])
 
@@ -130,21 +130,21 @@ def frequent_anchors(texts: DataFrame, least: int) -> np.ndarray:
     return np.sort(found["hash"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _ranges(owner: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """Owners in order, each with its ranges merged: owner, starts, ends."""
-    order = np.lexsort((start, owner))
-    owner, start, end = owner[order], start[order], end[order]
-    cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else np.zeros(1, int)
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        reach = np.maximum.accumulate(end[a:b])
-        new = np.r_[True, start[a + 1 : b] > reach[:-1]]
-        yield owner[a], start[a:b][new], reach[np.r_[np.flatnonzero(new)[1:] - 1, b - a - 1]]
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges in order of their starts, those that touch as one."""
+    if not len(start):
+        return start, end
+    reach = np.maximum.accumulate(end)
+    new = np.r_[True, start[1:] > reach[:-1]]
+    return start[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(start) - 1]]
 
 
 def _mark_rows(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Packed ranges for each document: (doc, hash, ranges)."""
-    keys, owner = np.unique(np.stack([doc, text_hash], 1), axis=0, return_inverse=True) if len(doc) else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
-    return [(int(keys[o][0]), int(keys[o][1]), np.stack([s, e], 1).astype("<i8").tobytes()) for o, s, e in _ranges(owner.ravel(), start, end)]
+    order = np.lexsort((start, text_hash, doc))
+    doc, text_hash, start, end = doc[order], text_hash[order], start[order], end[order]
+    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1]), True]) if len(doc) else np.zeros(1, int)
+    return [(int(doc[a]), int(text_hash[a]), np.stack(_merged(start[a:b], end[a:b]), 1).astype("<i8").tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 OUT = "bucket long, doc long, hash long, packed binary"
@@ -187,20 +187,29 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _by_bucket(entries: np.ndarray, buckets: int) -> list[tuple]:
-    where = (entries["h"] >> np.uint64(20)) % np.uint64(buckets)
-    order = np.lexsort((entries["s"], entries["text"], entries["doc"], where))
+    """Entries, in order of their documents, dealt by anchor."""
+    where = ((entries["h"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 65536 else np.int64)
+    order = np.argsort(where, kind="stable")
     entries, where = entries[order], where[order]
     cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True]) if len(where) else np.zeros(1, int)
     return [(int(where[a]), None, None, _pack(entries[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _firsts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences in order of anchor, context and place; which are the earliest of their context; which repeat an earlier one."""
-    e = e[np.lexsort((e["s"], e["doc"], e["c"], e["h"]))]
-    new = np.r_[True, (e["h"][1:] != e["h"][:-1]) | (e["c"][1:] != e["c"][:-1])] if len(e) else np.empty(0, bool)
-    head = np.maximum.accumulate(np.where(new, np.arange(len(e)), 0)) if len(e) else np.empty(0, int)
-    later = (e["doc"] > e["doc"][head]) | (e["s"] > e["s"][head]) & (e["doc"] == e["doc"][head])
-    return e, ~later, later
+    """An order by anchor, context and place; of it the earliest of each context, and what repeats an earlier one."""
+    if not len(e):
+        return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
+    order = np.argsort(e["h"])
+    h = e["h"][order]
+    alone = np.r_[True, h[1:] != h[:-1]] & np.r_[h[1:] != h[:-1], True]
+    several = order[~alone]
+    part = e[several]
+    order[~alone] = several[np.lexsort((part["s"], part["doc"], part["c"], part["h"]))]
+    c, doc, s = e["c"][order], e["doc"][order], e["s"][order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))
+    later = (doc > doc[head]) | (s > s[head]) & (doc == doc[head])
+    return order, ~later, later
 
 
 def repeat_marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -234,23 +243,18 @@ def repeat_marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                         row, s, last, p, h, c = (np.r_[x[~hot], y] for x, y in ((row, rows), (s, each), (last, each), (p, each), (h, B.mix(window + B.MIX2)), (c, window)))
                 e = np.empty(len(row), _ENTRY)
                 e["h"], e["c"], e["doc"], e["text"], e["s"], e["n"], e["a"] = h, c, doc[row], text_hash[row], s, last - s, p - s
-                e, first, later = _firsts(e)
-                again = e[later]
-                # of repeated rows of one document one place is enough
-                e = e[first]
+                order, first, later = _firsts(e)
+                again, e = e[order[later]], e[np.sort(order[first])]
                 rows = [(-1, *m) for m in _mark_rows(again["doc"], again["text"], again["s"], again["s"] + again["n"] + least)]
                 yield _batch(_by_bucket(e, buckets) + rows)
 
     def compare(table: pa.Table) -> pa.Table:
         e = np.concatenate([_unpack(b) for b in table["packed"].to_pylist()])
-        e, first, later = _firsts(e)
-        again = e[later]
+        order, first, later = _firsts(e)
+        again, e = e[order[later]], e[order[first]]
         rows = [(-1, *m) for m in _mark_rows(again["doc"], again["text"], again["s"], again["s"] + again["n"] + least)]
-        e = e[first]
-        new = np.r_[True, e["h"][1:] != e["h"][:-1]]
-        group = np.cumsum(new) - 1
-        differ = np.zeros(int(group[-1]) + 1, np.int64)
-        np.add.at(differ, group[1:], (e["h"][1:] == e["h"][:-1]) & (e["c"][1:] != e["c"][:-1]))
+        group = np.cumsum(np.r_[True, e["h"][1:] != e["h"][:-1]]) - 1
+        differ = np.bincount(group[1:], (e["h"][1:] == e["h"][:-1]) & (e["c"][1:] != e["c"][:-1]), minlength=int(group[-1]) + 1)
         variant = e[differ[group] > 0]
         variant = variant[np.lexsort((variant["s"], variant["text"], variant["doc"]))]
         cuts = np.flatnonzero(np.r_[True, (variant["doc"][1:] != variant["doc"][:-1]) | (variant["text"][1:] != variant["text"][:-1]), True]) if len(variant) else np.zeros(1, int)
@@ -309,7 +313,8 @@ def cut(docs: DataFrame, *, least: int = LEAST, **options) -> DataFrame:
             for text, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode()
                 ranges = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 2) for b in blobs]) if blobs else np.empty((0, 2), np.int64)
-                merged = [(int(a), int(b)) for _, s, e in _ranges(np.zeros(len(ranges), int), ranges[:, 0], ranges[:, 1]) for a, b in zip(s, e, strict=True)]
+                ranges = ranges[np.argsort(ranges[:, 0])]
+                merged = [(int(a), int(b)) for a, b in zip(*_merged(ranges[:, 0], ranges[:, 1]), strict=True)]
                 left, at = [], 0
                 for a, b in merged:
                     left.append(raw[at:a])
