@@ -142,7 +142,7 @@ def common_tokens(texts: DataFrame, size: int, buckets: int, least: int) -> tupl
         for seen in _parts(batches, size):
             tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *seen.values()]), return_counts=True)
             where = _bucket(tokens, buckets)
-            order = np.argsort(where, kind="stable")
+            order = np.argsort(where.astype(np.uint16) if buckets <= 65536 else where, kind="stable")
             cuts = _cuts(where[order])
             rows = [(where[o[0]], tokens[o].astype("<u4").tobytes(), np.minimum(counts[o], 65535).astype("<u2").tobytes()) for o in (order[a:b] for a, b in zip(cuts, cuts[1:], strict=False))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "counts"])
@@ -258,7 +258,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, by a product of incidence matrices."""
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens)
     tokens, owner = tokens[order], owner[order]
     first = np.r_[True, tokens[1:] != tokens[:-1]]
     column = np.cumsum(first) - 1
