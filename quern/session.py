@@ -10,9 +10,15 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Rows and bytes of an Arrow batch, where the session has not set its own: texts are long, and two batches a task are held.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "16777216")}
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application; they need no copy of their own."""
+    for name, (usual, ours) in ARROW.items():
+        if spark.conf.get(name, usual) in (usual, "64MB", "2147483647", "-1"):
+            spark.conf.set(name, ours)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
