@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import inspect
 import shutil
 import tempfile
 import uuid
@@ -60,3 +63,34 @@ def as_long(df: DataFrame, name: str = "doc_id") -> Column:
 def word_count(text: Column) -> Column:
     r"""Runs of characters other than blanks, `[^\x20\x09-\x0D]+`."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def release() -> None:
+    """Give a worker's freed memory back to the system; Spark keeps workers for later tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f):
+    """An Arrow function, of batches or of a group's table, after which memory is released."""
+
+    @functools.wraps(f)
+    def over_batches(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    @functools.wraps(f)
+    def over_group(table):
+        try:
+            return f(table)
+        finally:
+            release()
+
+    return over_batches if inspect.isgeneratorfunction(f) else over_group

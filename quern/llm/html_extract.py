@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_long, keep, small
+from quern.llm.common import as_long, keep, lean, small
 
 #: Winning paths that a host keeps.
 PATHS = 4
@@ -289,7 +289,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
             found = [(h, *v) for h, v in ((h, vote(p)) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if v]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["host", "path", "score"])
 
-    votes = slim.select("host", "html").mapInArrow(cast_votes, "host string, path string, score double").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score", 3).cast("decimal(30,3)")).alias("score"))
+    votes = slim.select("host", "html").mapInArrow(lean(cast_votes), "host string, path string, score double").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score", 3).cast("decimal(30,3)")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path"))
     winners = keep(votes.withColumn("rank", rank).where(F.col("rank") <= paths).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("ranked")).select("host", F.col("ranked.path").alias("winners")), "html-winners")
 
@@ -298,7 +298,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
             texts = [extract(p, w or []) for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return slim.join(small(winners, 200_000), "host", "left").select("page_id", "url", "html", "winners").mapInArrow(again, "page_id long, url string, text string")
+    return slim.join(small(winners, 200_000), "host", "left").select("page_id", "url", "html", "winners").mapInArrow(lean(again), "page_id long, url string, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bytesets as B
-from quern.llm.common import as_long, keep, small, text_column
+from quern.llm.common import as_long, keep, lean, small, text_column
 from quern.llm.graph import components
 
 SIZE, PERCENT = 5, 75
@@ -109,7 +109,7 @@ def _thinned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         return classes.select(F.col("ref").alias(name), F.col("n").alias(n), F.col("parity").alias(bits))
 
     real = pairs.where("a >= 0").join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
-    return real.mapInArrow(thin, "a long, b long").distinct().unionByName(pairs.where("a < 0"))
+    return real.mapInArrow(lean(thin), "a long, b long").distinct().unionByName(pairs.where("a < 0"))
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 parity.append(_parity(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([_ref(d) for d in digests], pa.int64()), pa.array(parity, pa.binary())], names=["doc_id", "n_shingles", "digest", "ref", "parity"])
 
-    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, ref long, parity binary")
+    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(lean(sign), "doc_id long, n_shingles long, digest binary, ref long, parity binary")
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def common_tokens(texts: DataFrame, size: int, buckets: int, least: int) -> tupl
         kept = sums >= least
         return pa.table({"token": (np.int64(table["bucket"][0].as_py()) << 32) | found[kept].astype(np.int64), "n": sums[kept]})
 
-    found = texts.mapInArrow(count, "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(total, "token long, n long").toArrow()
+    found = texts.mapInArrow(lean(count), "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(lean(total), "token long, n long").toArrow()
     token, n = found["token"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(token)
     return token[order], n[order]
@@ -249,8 +249,8 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, common:
             a, b, mask = np.r_[a, x], np.r_[b, y], np.r_[mask, np.full(len(x), every, np.int32)]
         return pa.table({"a": a, "b": b, "mask": pa.array(mask, pa.int32())})
 
-    packed = texts.mapInArrow(prefixes, "bucket long, nth int, tokens binary, refs binary, sizes binary, runs binary")
-    found = packed.groupBy("bucket", "nth").applyInArrow(pairs_of, "a long, b long, mask int")
+    packed = texts.mapInArrow(lean(prefixes), "bucket long, nth int, tokens binary, refs binary, sizes binary, runs binary")
+    found = packed.groupBy("bucket", "nth").applyInArrow(lean(pairs_of), "a long, b long, mask int")
     return found.groupBy("a", "b").agg(F.bit_or("mask").alias("mask")).where(F.col("mask") == every).select("a", "b")
 
 
@@ -314,7 +314,7 @@ def verify(cells: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in links(held)], names=["node", "root", "links"])
 
     columns = ["comp", "x", "y", "block", "node", "copies", "tokens"]
-    return cells.select(columns).repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(run, "node long, root long, links long")
+    return cells.select(columns).repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(lean(run), "node long, root long, links long")
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, cell: int = CELL, tokens_a_bucket: int = TOKENS_A_BUCKET, common: int = COMMON) -> DataFrame:
@@ -340,7 +340,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             picked = batch.take(pa.array([i for i, _ in kept], pa.int64()))
             yield pa.RecordBatch.from_arrays([*picked.columns[2:], pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["comp", "blocks", "block", "node", "copies", "tokens"])
 
-    sets = texts.join(small(member.withColumnRenamed("node", "doc_id")), "doc_id").select("text", "digest", "comp", "blocks", "block", F.col("doc_id").alias("node"), "copies").mapInArrow(ship, schema)
+    sets = texts.join(small(member.withColumnRenamed("node", "doc_id")), "doc_id").select("text", "digest", "comp", "blocks", "block", F.col("doc_id").alias("node"), "copies").mapInArrow(lean(ship), schema)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = sets.select("*", other).select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     found = keep(verify(cells, percent), "join-links")

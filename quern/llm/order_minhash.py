@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bytesets as B
-from quern.llm.common import as_long, text_column
+from quern.llm.common import as_long, lean, text_column
 
 K, SLOTS, TAKEN = 8, 128, 2
 ROWS_A_RANGE, MOST_RANGES = 4096, 20_000
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             found = [as_text(sketch(t, k, slots, taken)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(lean(run), "doc_id long, fingerprint string")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -149,8 +149,8 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 held = None if ahead else (where, key, text, own)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    rows = slim.mapInArrow(deal, "range long, ahead boolean, doc_id long, text string").repartition(ranges, "range")
-    return rows.sortWithinPartitions("range", "ahead", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(compare, schema)
+    rows = slim.mapInArrow(lean(deal), "range long, ahead boolean, doc_id long, text string").repartition(ranges, "range")
+    return rows.sortWithinPartitions("range", "ahead", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(lean(compare), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_long, keep, small, text_column
+from quern.llm.common import as_long, keep, lean, small, text_column
 
 CAPACITY = 1024
 END_ID = 2
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
             n = 5 + with_ids
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows[:n], kinds[:n], strict=True)], names=names[:n])
 
-    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(lean(cut), schema)
 
 
 @dataclass

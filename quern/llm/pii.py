@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_long, text_column
+from quern.llm.common import as_long, lean, text_column
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of an entity at most.
@@ -368,7 +368,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mar
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
 
     schema = "doc_id long, spans array<struct<start:long,end:long,kind:string,added:boolean>>"
-    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(find, schema)
+    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(lean(find), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

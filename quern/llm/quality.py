@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bytesets as B
-from quern.llm.common import as_long, text_column
+from quern.llm.common import as_long, lean, text_column
 
 #: Labelled rows that the model is fitted on, at most.
 ROWS = 20_000
@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             x = text_features(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in x.T)], names=["id", "y", *FEATURES])
 
-    found = texts.join(F.broadcast(known), "__id").select("__id", "__y", "__text").mapInArrow(measure, schema).toArrow()  # at most `rows` ids
+    found = texts.join(F.broadcast(known), "__id").select("__id", "__y", "__text").mapInArrow(lean(measure), schema).toArrow()  # at most `rows` ids
     table = np.array([found.column(c).to_numpy() for c in ("id", "y", *FEATURES)]).T.astype(float)
     table = table[np.lexsort(table.T[::-1])]
     return fit(table[:, 2:], table[:, 1])
@@ -241,7 +241,7 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", threshold:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(text_features(batch.column(0).field(text_col))))], names=["row", "score"])
 
-    out = inner.mapInArrow(score, schema)
+    out = inner.mapInArrow(lean(score), schema)
     kept = [c for c in docs.columns if c not in ("quality_score", "quality_predicted")]
     return out.select(*(F.col(f"row.`{c}`") for c in kept), F.col("score").alias("quality_score"), (F.col("score") >= threshold).cast("int").alias("quality_predicted"))
 
@@ -256,7 +256,7 @@ def query(spark, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(text_features(batch.column(1))))], names=["doc_id", "score"])
 
-    return slim.mapInArrow(score, schema).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return slim.mapInArrow(lean(score), schema).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 SQL = None

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_long, text_column
+from quern.llm.common import as_long, lean, text_column
 
 KINDS = ("assign", "access", "hex", "opaque")
 #: Characters a token below which a string counts as random.
@@ -122,7 +122,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ran
                 out.append([{"start": a, "end": b, "kind": k} for a, b, k in sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
 
-    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(find, "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
+    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(lean(find), "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bytesets as B
-from quern.llm.common import as_long, keep, text_column
+from quern.llm.common import as_long, keep, lean, text_column
 from quern.llm.run_index import RunIndex
 
 LEAST = 100
@@ -122,7 +122,7 @@ def frequent_anchors(texts: DataFrame, least: int) -> np.ndarray:
                 many = anchors[contexts >= CONTEXTS].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[many, 0]), pa.array(np.r_[np.zeros(len(many), bool), True])], names=["hash", "part"])
 
-    counted = texts.mapInArrow(count, "hash long, part boolean").groupBy("hash", "part").count()
+    counted = texts.mapInArrow(lean(count), "hash long, part boolean").groupBy("hash", "part").count()
     counted = keep(counted, "repeat-frequent")
     parts = counted.where("part").agg(F.sum("count")).first()[0] or 0
     # a part of PART bytes has few of them, so their number is bounded by that over SHARE
@@ -261,8 +261,8 @@ def repeat_marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         rows += [(-2, int(v["doc"][0]), int(v["text"][0]), _pack(v)) for v in (variant[a:b] for a, b in zip(cuts, cuts[1:], strict=False))]
         return pa.Table.from_batches([_batch(rows)]) if rows else pa.Table.from_batches([_batch([])])
 
-    local = keep(slim.select("doc", "hash", "text").mapInArrow(find, OUT), "repeat-occurrences")
-    judged = keep(local.where("bucket >= 0").groupBy("bucket").applyInArrow(compare, OUT), "repeat-judged")
+    local = keep(slim.select("doc", "hash", "text").mapInArrow(lean(find), OUT), "repeat-occurrences")
+    judged = keep(local.where("bucket >= 0").groupBy("bucket").applyInArrow(lean(compare), OUT), "repeat-judged")
     wanted = judged.where("bucket = -2").groupBy("doc", "hash").agg(F.collect_list("packed").alias("packed"))
     wanted, size = _sized(wanted, "repeat-requests")
     second = int(size * 8 // INDEXED) + 8  # a request of about 20 bytes fetches about 160
@@ -289,7 +289,7 @@ def repeat_marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         return pa.Table.from_batches([_batch([(-1, *m) for m in marks])])
 
     requests = slim.select("doc", "hash", "text").join(wanted, ["doc", "hash"]).select("doc", "hash", "text", "packed")
-    indexed = keep(requests.mapInArrow(fetch, "bucket long, doc long, hash long, start long, windows long, bytes binary").groupBy("bucket").applyInArrow(index, OUT), "repeat-indexed")
+    indexed = keep(requests.mapInArrow(lean(fetch), "bucket long, doc long, hash long, start long, windows long, bytes binary").groupBy("bucket").applyInArrow(lean(index), OUT), "repeat-indexed")
     marks = local.where("bucket = -1").unionByName(judged.where("bucket = -1")).unionByName(indexed)
     return slim, marks.groupBy("doc", "hash").agg(F.collect_list("packed").alias("packed"))
 
@@ -325,7 +325,7 @@ def cut(docs: DataFrame, *, least: int = LEAST, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     joined = slim.join(marks, ["doc", "hash"], "left").select("doc_id", "text", "packed")
-    return joined.mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(lean(apply), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def digest_of(found: DataFrame) -> DataFrame:
