@@ -17,7 +17,7 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2500"), "spa
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application; they need no copy of their own."""
     for name, (usual, ours) in ARROW.items():
-        if spark.conf.get(name, usual) in (usual, "64MB", "2147483647", "-1"):
+        if spark.conf.get(name, usual) in (usual, f"{usual}b"):
             spark.conf.set(name, ours)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
