@@ -16,7 +16,7 @@ MIX2 = np.uint64(0x94D049BB133111EB)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 #: Bytes of at most this many are hashed at once, which bounds a worker's memory.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -48,7 +48,7 @@ CONTEXTS, SHARE = 16, 0.01
 #: Bytes of requests or marks that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 64 << 20
 #: A document is read in pieces of this many bytes, which overlap by a window.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _NULL = np.iinfo(np.int64).min
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -245,10 +245,13 @@ def repeat_marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 e["h"], e["c"], e["doc"], e["text"], e["s"], e["n"], e["a"] = h, c, doc[row], text_hash[row], s, last - s, p - s
                 order, first, later = _firsts(e)
                 again, e = e[order[later]], e[np.sort(order[first])]
-                rows = [(-1, *m) for m in _mark_rows(again["doc"], again["text"], again["s"], again["s"] + again["n"] + least)]
+                # marks pass through any bucket, below zero
+                rows = [(-1 - int(m[0]) % buckets, *m) for m in _mark_rows(again["doc"], again["text"], again["s"], again["s"] + again["n"] + least)]
                 yield _batch(_by_bucket(e, buckets) + rows)
 
     def compare(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return table.set_column(0, "bucket", pa.array(np.full(table.num_rows, -1, np.int64)))
         e = np.concatenate([_unpack(b) for b in table["packed"].to_pylist()])
         order, first, later = _firsts(e)
         again, e = e[order[later]], e[order[first]]
@@ -261,8 +264,8 @@ def repeat_marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         rows += [(-2, int(v["doc"][0]), int(v["text"][0]), _pack(v)) for v in (variant[a:b] for a, b in zip(cuts, cuts[1:], strict=False))]
         return pa.Table.from_batches([_batch(rows)]) if rows else pa.Table.from_batches([_batch([])])
 
-    local = keep(slim.select("doc", "hash", "text").mapInArrow(lean(find), OUT), "repeat-occurrences")
-    judged = keep(local.where("bucket >= 0").groupBy("bucket").applyInArrow(lean(compare), OUT), "repeat-judged")
+    found = slim.select("doc", "hash", "text").mapInArrow(lean(find), OUT)
+    judged = keep(found.groupBy("bucket").applyInArrow(lean(compare), OUT), "repeat-judged")
     wanted = judged.where("bucket = -2").groupBy("doc", "hash").agg(F.collect_list("packed").alias("packed"))
     wanted, size = _sized(wanted, "repeat-requests")
     second = int(size * 8 // INDEXED) + 8  # a request of about 20 bytes fetches about 160
@@ -290,7 +293,7 @@ def repeat_marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     requests = slim.select("doc", "hash", "text").join(wanted, ["doc", "hash"]).select("doc", "hash", "text", "packed")
     indexed = keep(requests.mapInArrow(lean(fetch), "bucket long, doc long, hash long, start long, windows long, bytes binary").groupBy("bucket").applyInArrow(lean(index), OUT), "repeat-indexed")
-    marks = local.where("bucket = -1").unionByName(judged.where("bucket = -1")).unionByName(indexed)
+    marks = judged.where("bucket = -1").unionByName(indexed)
     return slim, marks.groupBy("doc", "hash").agg(F.collect_list("packed").alias("packed"))
 
 
