@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions.fixed import MODE_WEIGHTS
+from quern.functions.fixed import FIRST_FACETS, MODE_WEIGHTS
 
 LEGS = ("bm25", "semantic", "term")
 RRF_K = 60
@@ -97,6 +97,19 @@ def facets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "collection").agg(F.count(F.lit(1)).alias("n"))
 
 
+def facet_order(collections: DataFrame) -> DataFrame:
+    """Collections (slug, english_title) with their position in filters: the canonical ones first, the others by title."""
+    first = F.array_position(F.array(*(F.lit(s) for s in FIRST_FACETS)), F.col("slug"))
+    position = F.row_number().over(Window.orderBy(F.when(first > 0, first).otherwise(len(FIRST_FACETS) + 1), "english_title", "slug"))  # a row a collection
+    return collections.withColumn("position", position)
+
+
+def merged_order(rows: DataFrame) -> DataFrame:
+    """Rows of several searches by score, or by similarity where the score is null or 0."""
+    key = F.coalesce(F.nullif(F.col("score"), F.lit(0.0)), F.nullif(F.col("similarity"), F.lit(0.0)), F.lit(0.0))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "bucket").orderBy(F.desc(key), "corpus_idx")))
+
+
 def filtered(rows: DataFrame, collections: list[str] | None = None, words: list[str] | None = None) -> DataFrame:
     """Rows of the collections that hold any of the words; an empty choice lets everything pass."""
     if collections:

@@ -194,6 +194,8 @@ QUERIES = {
     "chip_words": lambda s, d: fusion.chip_words(_split(s, d)),
     "chip_words_weak": lambda s, d: fusion.chip_words(_split(s, d, threshold=2.0)),
     "facets": lambda s, d: fusion.facets(_split(s, d).join(bound(s, d).select("corpus_idx", "collection"), "corpus_idx")),
+    "facet_order": lambda s, d: fusion.facet_order(corpus.list_collections(bound(s, d), dimension(s, d)).select("slug", "english_title")),
+    "merged_order": lambda s, d: fusion.merged_order(_split(s, d).withColumns({"score": F.when(F.col("corpus_idx") % 3 == 0, 0.0).otherwise(F.col("score")), "similarity": F.round("semantic", 6)}).drop("rank")).select("query_id", "bucket", "corpus_idx", "rank"),
     "facet_filter": lambda s, d: fusion.filtered(_split(s, d).join(bound(s, d).select("corpus_idx", "collection"), "corpus_idx"), PICKED, None).select("query_id", "corpus_idx", "collection"),
     "page_2": lambda s, d: fusion.page(_split(s, d), 2, 10, weak=True).select("query_id", "at", "corpus_idx"),
     "rrf_merge": lambda s, d: _variants(s, d).select("corpus_idx", "rrf", F.round("bm25", 6).alias("bm25"), F.round("term", 6).alias("term"), _joined("sources")),
@@ -399,6 +401,8 @@ FROM split s JOIN corpus c USING (corpus_idx) JOIN kq USING (query_id)) LEFT JOI
     "chip_words": f"WITH {_split_sql()} {_CHIPS}",
     "chip_words_weak": f"WITH {_split_sql(2.0)} {_CHIPS}",
     "facets": f"WITH {_split_sql()}, {CORPUS_SQL} SELECT query_id, collection, count(*) AS n FROM split JOIN corpus USING (corpus_idx) GROUP BY ALL",
+    "facet_order": f"WITH {_DIM}, c AS (SELECT DISTINCT source AS slug, coalesce(english_title, source) AS english_title FROM documents LEFT JOIN dim ON source = slug) SELECT slug, english_title, CAST(row_number() OVER (ORDER BY english_title, slug) AS INTEGER) AS position FROM c",
+    "merged_order": f"WITH {_split_sql()} SELECT query_id, bucket, corpus_idx, CAST(row_number() OVER (PARTITION BY query_id, bucket ORDER BY coalesce(nullif(CASE WHEN corpus_idx % 3 = 0 THEN 0.0::DOUBLE ELSE score END, 0), nullif(round(semantic, 6), 0), 0) DESC, corpus_idx) AS INTEGER) AS rank FROM split",
     "facet_filter": f"WITH {_split_sql()}, {CORPUS_SQL} SELECT query_id, corpus_idx, collection FROM split JOIN corpus USING (corpus_idx) WHERE collection IN {_IN}",
     "page_2": f"WITH {_split_sql()} SELECT query_id, place AS at, corpus_idx FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bucket, rank) AS INTEGER) AS place, corpus_idx FROM split) WHERE place > 10 AND place <= 20",
     "rrf_merge": f"""WITH {_POOL}, two AS (SELECT query_id, corpus_idx, max(score) FILTER (leg = 0) AS b, max(score) FILTER (leg = 2) AS t, array_to_string(list_sort(list(DISTINCT CASE leg WHEN 0 THEN 'bm25' ELSE 'term' END)), '|') AS sources, min(leg * 1000000 + rank) AS first FROM legs WHERE leg <> 1 AND query_id < 3 GROUP BY ALL),

@@ -233,6 +233,12 @@ def test_chips_and_filters(spark, engine):
     assert fusion.filtered(strong, None, ["قنوت"]).count() == 2 and fusion.filtered(strong, [], []).count() == strong.count()
 
 
+def test_facet_order(spark):
+    slugs = [("zed", "Alpha"), ("muslim", "Sahih Muslim"), ("adab", "Beta"), ("bukhari", "Sahih al-Bukhari"), ("ibnmajah", "Sunan")]
+    got = fusion.facet_order(spark.createDataFrame(slugs, "slug string, english_title string")).orderBy("position").collect()
+    assert [r["slug"] for r in got] == ["bukhari", "muslim", "ibnmajah", "zed", "adab"]
+
+
 def test_render(spark, texts, engine):
     rows, _ = engine.search("prayer", "keyword")
     assert any(r["line"].startswith("- Sahih Muslim #375 a — Hasan") for r in render.hit_lines(rows).collect())
