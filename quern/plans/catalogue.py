@@ -151,7 +151,7 @@ def _reranked(spark, d):
 def _natural(spark, d):
     c = bound(spark, d)
     engine = search.Engine(c, _bm_index(spark, d), _term_index(spark, d))
-    rows, _ = engine.natural("what is licensed", lambda q: ("reference", ["licensed under", " ", "public license"]), limit=5)
+    rows, _ = engine.natural("what is licensed", lambda q: ("reference", [VARIANTS[0], " ", VARIANTS[1]]), limit=5)
     return rows.select("bucket", "rank", "corpus_idx", "score")
 
 
@@ -263,7 +263,8 @@ def _runs(x: str) -> str:
     return f"array_to_string(list_filter(string_split({x}, ''), lambda c, i: i = 1 or c <> string_split({x}, '')[i - 1]), '')"
 
 
-_TERM = f"""
+def _term_sql(queries: str) -> str:
+    return f"""
 held AS (SELECT DISTINCT doc_id AS corpus_idx, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents),
 df AS (SELECT word, count(*) AS df FROM held GROUP BY word),
 fold0 AS (SELECT word, unnest([{_skeleton("lower(word)")}, {_skeleton("lower(replace(replace(word, 'D', 'z'), 'dh', 'z'))")}]) AS s FROM df),
@@ -271,7 +272,7 @@ fold AS (SELECT DISTINCT word, {_runs("s")} AS skeleton FROM fold0 WHERE s <> ''
 tq AS (SELECT query_id, unnest(range(len(w))) AS token, unnest(w) AS t FROM (
   SELECT query_id, CASE WHEN len(ws) > 0 THEN ws ELSE [lower(text)] END AS w FROM (
     SELECT query_id, text, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x NOT IN ('', 'e', 'ul', 'al', 'ush', 'ash', 'an', 'ar', 'as', 'at', 'az', 'ad')) AS ws
-    FROM (VALUES {_sql_values(TERMS)}) v(query_id, text)))),
+    FROM ({queries})))),
 ts0 AS (SELECT query_id, token, {_skeleton("t")} AS s FROM tq),
 ts AS (SELECT query_id, token, {_runs("s")} AS skeleton FROM ts0 WHERE s <> ''),
 hits AS (SELECT DISTINCT query_id, token, corpus_idx, word FROM ts JOIN fold USING (skeleton) JOIN held USING (word)),
@@ -280,6 +281,9 @@ per_query AS (SELECT query_id, count(DISTINCT token) AS tokens, (SELECT max(n) F
 matched AS (SELECT DISTINCT h.query_id, h.corpus_idx, h.word FROM hits h JOIN per_row USING (query_id, corpus_idx) JOIN per_query USING (query_id) WHERE n = tokens OR most < tokens),
 tm AS (SELECT query_id, corpus_idx, round(sum(1.0::DOUBLE / ln(df + 2)), 6) AS score, array_to_string(list_sort(list(DISTINCT word)), '|') AS matched_words FROM matched JOIN df USING (word) GROUP BY ALL)"""
 
+
+_TERM = _term_sql(f"SELECT * FROM (VALUES {_sql_values(TERMS)}) v(query_id, text)")
+
 _POOL = f"""{_BM}, {_DENSE}, {_TERM},
 l0 AS ({_top("bm", 50, ", '' AS matched_words")}), l1 AS ({_top("near", 50, ", '' AS matched_words")}), l2 AS ({_top("tm", 50, ", matched_words")}),
 legs AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm
@@ -326,6 +330,25 @@ counts AS (SELECT threshold, query_id, count(*) FILTER (score >= threshold AND r
 pr AS (SELECT threshold, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS r FROM counts),
 curve AS (SELECT threshold, round(avg(p), 4) AS macro_precision, round(avg(r), 4) AS macro_recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 4) AS macro_f1 FROM pr GROUP BY threshold)"""
 
+VARIANTS = ["licensed under", "public license"]
+_VARIANTS = f"SELECT * FROM (VALUES {_sql_values(list(enumerate(VARIANTS)))}) v(query_id, text)"
+_NATURAL = f"""WITH {_bm_sql(_VARIANTS)}, {_term_sql(_VARIANTS)},
+l0 AS ({_top("bm", 100)}), l2 AS ({_top("tm", 100)}),
+legs AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm
+  FROM (SELECT 0 AS leg, * FROM l0 UNION ALL SELECT 2, * FROM l2) WINDOW w AS (PARTITION BY leg, query_id)),
+pools AS (SELECT query_id, corpus_idx, max(norm) FILTER (leg = 0) AS b, max(norm) FILTER (leg = 2) AS t, min(leg * 1000000 + rank) AS first FROM legs GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, corpus_idx) AS place FROM pools),
+merged AS (SELECT corpus_idx, round(sum(1.0::DOUBLE / (60 + place)), 9) AS rrf, max(coalesce(b, 0.0::DOUBLE)) AS b, max(coalesce(t, 0.0::DOUBLE)) AS t, min(query_id * 1000000 + place) AS first FROM placed GROUP BY corpus_idx),
+scored AS (SELECT corpus_idx, round(b * 0.2::DOUBLE + 0 * 1.0::DOUBLE + t * 0.4::DOUBLE, 6) AS score, row_number() OVER (ORDER BY rrf DESC, first) AS place FROM merged),
+ranked AS (SELECT corpus_idx, score, CAST(row_number() OVER (ORDER BY score DESC, place) AS INTEGER) AS rank FROM scored)
+SELECT CASE WHEN rank <= 5 THEN 'strong' ELSE 'weak' END AS bucket, rank, corpus_idx, score FROM ranked"""
+_WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda x: x <> ''))"
+_RERANKED = f"""WITH {_BM}, l0 AS ({_top("bm", 50)}),
+sc AS (SELECT l0.query_id, l0.corpus_idx, l0.rank AS place, round(len(list_intersect({_WORDS.format("kq.text")}, {_WORDS.format("d.source || ' ' || d.text")})) / CAST(1 + len(string_split(kq.text, ' ')) AS DOUBLE), 6) AS score
+  FROM l0 JOIN kq USING (query_id) JOIN documents d ON d.doc_id = l0.corpus_idx),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS INTEGER) AS rank FROM sc)
+SELECT query_id, corpus_idx, rank, score, CASE WHEN score >= 0.4::DOUBLE AND rank <= 10 THEN 'strong' ELSE 'weak' END AS bucket FROM ranked"""
+
 _DIM = "dim AS (SELECT DISTINCT source AS slug, 'Sahih ' || upper(source) AS english_title FROM documents WHERE TRY_CAST(substr(source, 4) AS INTEGER) % 2 = 0)"
 _CITE = "regexp_replace(string_split(number, ',')[1], '\\s+', '', 'g')"
 
@@ -354,6 +377,8 @@ SELECT raw, cls, CAST(CASE cls WHEN 'sahih' THEN 0 WHEN 'hasan_sahih' THEN 1 WHE
 
 ORACLE_SQL = {
     "grade_classes": _GRADES,
+    "natural_search": _NATURAL,
+    "reranked": _RERANKED,
     "bm25_topk": f"WITH {_BM} {_top('bm', 10)}",
     "bm25_collections": f"WITH {_BM}, {CORPUS_SQL} {_top('bm', 10, '', _PICK)}",
     "bm25_term_statistics": f"WITH {_BM} SELECT * FROM terms",
