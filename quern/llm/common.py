@@ -51,6 +51,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows from which a key is hot, unless a millionth of all rows is more: so at most a million keys are.
+HOT_ROWS = 1000
+
+
+def join_hot(many: DataFrame, one: DataFrame, keys: list[str], size: str, rows: int) -> DataFrame:
+    """many joined with one, which has a row a key and in `size` how many rows of many it meets.
+
+    The rows of hot keys stay where they are and meet a broadcast of those keys, of which
+    there are at most a million; all others are joined by a shuffle that has no hot key.
+    many is read twice and should be kept or cheap.
+    """
+    least = max(HOT_ROWS, rows // BROADCAST_ROWS)
+    hot = F.broadcast(one.where(F.col(size) >= least))
+    rest = many.join(hot.select(*keys), keys, "left_anti").join(one.where(F.col(size) < least), keys)
+    return many.join(hot, keys).unionByName(rest)
+
+
 def text_column(df: DataFrame, name: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(df[name].cast("string"), F.lit(""))

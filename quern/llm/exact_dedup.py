@@ -9,7 +9,8 @@ each block only carries its name back to the documents; if two distinct blocks e
 share one, the blocks themselves are the join key instead.
 
 Only distinct block contents are shuffled, after a map-side combine, so a block that
-a third of all documents hold costs one row a task.
+a third of all documents hold costs one row a task. Rows of a hot group meet their
+group by a broadcast of the hot groups, never in one task.
 
 Nulls: a null text is empty; a null doc_id sorts below every other. Repeated rows are
 copies like any other, and exactly one row of a group stays, whatever its doc_id.
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_long, keep, small, text_column
+from quern.llm.common import as_long, join_hot, keep, small, text_column
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Letters outside A-Z that lower() would change.
@@ -95,7 +96,8 @@ def exact_groups(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     found = keep(identities(docs, **options), "exact-identities")
     groups = found.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size"))
-    return found.join(groups, ["level", "name"]).select(
+    groups = keep(groups, "exact-groups")
+    return join_hot(found, groups, ["level", "name"], "group_size", found.count()).select(
         "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "text_sha256"
     )
 

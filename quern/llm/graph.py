@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import keep
+from quern.llm.common import join_hot, keep
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Point the larger (or the smaller and equal) neighbours of each node at its least one.
 
     Least neighbours come from an aggregate and go back by a join, so no neighbour list
-    is ever gathered; the join of a hub is one that adaptive execution can split.
+    is ever gathered; hubs go back by a broadcast.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        out = join_hot(both.where("b > a"), least, ["a"], "n", 2 * rows).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(least, "a").select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        out = join_hot(down, least, ["a"], "n", rows).select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()
 
 
@@ -34,6 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         if before == mark or not mark[0]:
             break
         before = mark
-        state = keep(_star(keep(_star(state, True), "graph"), False), "graph")
+        state = keep(_star(keep(_star(state, True, mark[0]), "graph"), False, mark[0]), "graph")
     own = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     return own.join(state, own["node"] == state["a"], "left").select("node", F.coalesce("b", "node").alias("component"))

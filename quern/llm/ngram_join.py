@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bytesets as B
-from quern.llm.common import as_long, keep, lean, small, text_column
+from quern.llm.common import as_long, join_hot, keep, lean, small, text_column
 from quern.llm.graph import components
 
 SIZE, PERCENT = 5, 75
@@ -347,11 +347,11 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     by_class = classes.join(joined, "node", "left").join(degree, "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
-    )
-    return signed.join(by_class, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
+        "digest", "copies", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
+    filled = join_hot(signed.where("n_shingles > 0").select("doc_id", "n_shingles", "digest"), keep(by_class, "join-classes"), ["digest"], "copies", signed.count())
+    blank = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return filled.select(*blank.columns).unionByName(blank)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

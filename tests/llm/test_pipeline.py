@@ -86,3 +86,18 @@ def test_pipeline(spark, tmp_path):
         room[p["sequence_id"]] = room.get(p["sequence_id"], 0) + p["length"]
     assert max(room.values()) <= 1024
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect())) == sorted((p["doc_id"], p["piece"], p["ids_crc32"]) for p in got[4])
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Results are the same when nearly every key counts as hot."""
+    from quern.llm import common, ngram_join
+
+    rows = corpus(21, 120) + [(5000 + i, "one text that very many rows have in common") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def both():
+        return sorted(map(tuple, exact_dedup.exact_groups(docs).collect())), sorted(map(tuple, ngram_join.similar_groups(docs).collect()))
+
+    usual = both()
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert both() == usual
