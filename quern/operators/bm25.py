@@ -11,9 +11,17 @@ from quern.functions import text as T
 from quern.functions.fixed import EPSILON, K1, B
 
 
+#: Query terms that are looked up as literals, so that postings are pruned by them; more are joined.
+MOST_LITERALS = 2000
+
+
 @dataclass
 class Index:
-    """postings(term, corpus_idx, tf), terms(term, df), lengths(corpus_idx, dl), stats(n, avgdl, mean_idf): one row."""
+    """postings(term, corpus_idx, tf, impact), terms(term, df, idf), lengths(corpus_idx, dl), stats(n, avgdl, mean_idf): one row.
+
+    impact is what a posting adds to a score but for its term's idf; both are settled when
+    the index is built, so a query reads the postings of its terms and nothing else.
+    """
 
     postings: DataFrame
     terms: DataFrame
@@ -22,10 +30,12 @@ class Index:
 
     def write(self, path: str) -> None:
         """Postings are laid out by term, so a query's terms prune row groups."""
+        self.postings.persist()  # terms are counted from them
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "corpus_idx").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.postings.unpersist()
 
     @staticmethod
     def read(spark, path: str) -> Index:
@@ -33,16 +43,22 @@ class Index:
 
 
 def build(corpus: DataFrame) -> Index:
-    """Statistics over narrator and text of all rows; rows without a token count among n, with length 0."""
+    """Statistics over narrator and text of all rows; rows without a token count among n, with length 0.
+
+    A negative idf is a share of the mean over all terms.
+    """
     text = F.concat(F.coalesce("narrator", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))) if "narrator" in corpus.columns else F.coalesce("text", F.lit(""))
     words = corpus.select("corpus_idx", T.tokens(text).alias("tokens"))
     lengths = words.select("corpus_idx", F.size("tokens").alias("dl"))
-    postings = words.select("corpus_idx", F.explode("tokens").alias("term")).groupBy("term", "corpus_idx").agg(F.count(F.lit(1)).alias("tf"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    counted = words.select("corpus_idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("corpus_idx", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    postings = counted.crossJoin(F.broadcast(size.select("avgdl"))).select("term", "corpus_idx", "tf", impact.alias("impact"))  # one row
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    mean = terms.crossJoin(F.broadcast(size)).agg(F.avg(raw).alias("mean_idf"))  # one row
-    return Index(postings, terms, lengths, size.crossJoin(mean))
+    seen = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size)).withColumn("raw", raw)
+    stats = size.crossJoin(seen.agg(F.avg("raw").alias("mean_idf")))
+    terms = seen.select("term", "df", "raw").crossJoin(F.broadcast(stats.select("mean_idf"))).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return Index(postings, terms, lengths, stats)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -53,16 +69,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, corpus_idx, score (rounded to six places) where it is above 0.
 
-    A negative idf is a share of the mean over all terms. The statistics are of the
-    whole corpus whatever a caller filters afterwards.
+    The statistics are of the whole corpus whatever a caller filters afterwards.
     """
-    asked = F.broadcast(query_terms(queries))
-    stats = F.broadcast(index.stats)
-    raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    weight = index.terms.join(asked, "term").crossJoin(stats).select("query_id", "term", "avgdl", (F.col("times") * F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw)).alias("weight"))
-    hits = index.postings.join(F.broadcast(weight), "term").join(index.lengths, "corpus_idx")
-    part = F.col("weight") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "corpus_idx").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    asked, postings, terms = query_terms(queries), index.postings, index.terms
+    few = asked.limit(MOST_LITERALS + 1).collect()
+    if len(few) <= MOST_LITERALS:
+        literals = sorted({r["term"] for r in few})
+        asked = asked.sparkSession.createDataFrame(few, asked.schema)
+        postings, terms = postings.where(F.col("term").isin(literals)), terms.where(F.col("term").isin(literals))
+    weight = terms.join(F.broadcast(asked), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    found = postings.join(F.broadcast(weight), "term")
+    return found.groupBy("query_id", "corpus_idx").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score")).where("score > 0")
 
 
 def top(scored: DataFrame, k: int, corpus: DataFrame | None = None, collections: list[str] | None = None, by: str = "score") -> DataFrame:

@@ -55,8 +55,7 @@ class Engine:
         """The three legs' best k rows of each query; blank queries have none."""
         asked = queries.where(F.trim("text") != "")
         words = bm25.top(bm25.scores(self.keyword, asked), k, self.corpus, collections)
-        matched = term.matches(term.hits(self.terms, asked))
-        skeleton = bm25.top(term.scores(matched, self.terms.words), k, self.corpus, collections)
+        skeleton = bm25.top(term.scores(term.hits(self.terms, asked)), k, self.corpus, collections)
         vectors, near = self.vectors(asked), None
         if vectors is not None:
             table = dense.with_content(self.embeddings, self.corpus)
@@ -87,7 +86,7 @@ class Engine:
         queries = self.queries(text)
         found = term.hits(self.terms, queries)
         said = term.logic(found, queries, self.corpus, collections)
-        return term.by_row(term.matches(found), self.terms.words, self.corpus, self.checked(limit, collections), collections).join(F.broadcast(said), "query_id")
+        return term.by_row(found, self.corpus, self.checked(limit, collections), collections).join(F.broadcast(said), "query_id")
 
     def semantic_search(self, text: str, collections: list[str] | None = None, limit: int = 10) -> DataFrame:
         limit = self.checked(limit, collections)

@@ -13,38 +13,63 @@ from quern.functions import text as T
 
 @dataclass
 class Index:
-    """postings(skeleton, corpus_idx, word) and words(word, df)."""
+    """postings(skeleton, corpus_idx, word, df) and words(word, df)."""
 
     postings: DataFrame
     words: DataFrame
 
+    def write(self, path: str) -> None:
+        """Postings are laid out by skeleton, so a query's skeletons prune row groups."""
+        self.postings.repartitionByRange("skeleton").sortWithinPartitions("skeleton", "corpus_idx").write.mode("overwrite").parquet(f"{path}/postings")
+        self.words.write.mode("overwrite").parquet(f"{path}/words")
+
+    @staticmethod
+    def read(spark, path: str) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "words")))
+
+
+#: Query skeletons that are looked up as literals; more are joined.
+MOST_LITERALS = 2000
+
 
 def build(corpus: DataFrame, words: Callable[[Column], Column] = T.arabic_words, column: str = "arabic") -> Index:
     """Postings of each row's distinct words, markup attributes included; skeletons are made once a distinct word."""
     held = corpus.select("corpus_idx", F.explode(F.array_distinct(words(F.col(column)))).alias("word"))
     counted = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    folded = counted.select("word", F.explode(T.index_skeletons(F.col("word"))).alias("skeleton"))
-    return Index(held.join(folded, "word").select("skeleton", "corpus_idx", "word"), counted)
+    folded = counted.select("word", "df", F.explode(T.index_skeletons(F.col("word"))).alias("skeleton"))
+    return Index(held.join(folded, "word").select("skeleton", "corpus_idx", "word", "df"), counted)
 
 
 def hits(index: Index, queries: DataFrame) -> DataFrame:
-    """query_id, token (its place in the query), corpus_idx, word; tokens that find nothing drop out."""
+    """query_id, token (its place in the query), corpus_idx, word, df; tokens that find nothing drop out.
+
+    A word that two of a token's skeletons find stands twice; what counts hits counts distinct ones.
+    """
     asked = queries.select("query_id", F.posexplode(T.query_words(F.col("text"))).alias("token", "w")).select("query_id", "token", F.explode(T.query_skeletons(F.col("w"))).alias("skeleton"))
-    return index.postings.join(F.broadcast(asked), "skeleton").select("query_id", "token", "corpus_idx", "word").distinct()
+    postings = index.postings
+    few = asked.limit(MOST_LITERALS + 1).collect()
+    if len(few) <= MOST_LITERALS:
+        asked = asked.sparkSession.createDataFrame(few, asked.schema)
+        postings = postings.where(F.col("skeleton").isin(sorted({r["skeleton"] for r in few})))
+    return postings.join(F.broadcast(asked), "skeleton").select("query_id", "token", "corpus_idx", "word", "df")
+
+
+def rows(found: DataFrame) -> DataFrame:
+    """query_id, corpus_idx, words (word, df) of the rows that match: all surviving tokens of a query, or any where no row has all."""
+    per_row = found.groupBy("query_id", "corpus_idx").agg(F.collect_set("token").alias("tokens"), F.collect_set(F.struct("word", "df")).alias("words"))
+    per_query = per_row.groupBy("query_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("all"), F.max(F.size("tokens")).alias("most"))
+    return per_row.join(F.broadcast(per_query), "query_id").where((F.size("tokens") == F.col("all")) | (F.col("most") < F.col("all"))).select("query_id", "corpus_idx", "words")
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """Hits of the rows that match: all surviving tokens of a query, or any where no row has all."""
-    per_row = found.groupBy("query_id", "corpus_idx").agg(F.countDistinct("token").alias("n"))
-    per_query = found.groupBy("query_id").agg(F.countDistinct("token").alias("tokens")).join(per_row.groupBy("query_id").agg(F.max("n").alias("most")), "query_id")
-    kept = per_row.join(F.broadcast(per_query), "query_id").where("n = tokens OR most < tokens").select("query_id", "corpus_idx")
-    return found.join(kept, ["query_id", "corpus_idx"], "left_semi").select("query_id", "corpus_idx", "word").distinct()
+    """query_id, corpus_idx, word, df: the matching rows' words, one a row."""
+    return rows(found).select("query_id", "corpus_idx", F.explode("words").alias("w")).select("query_id", "corpus_idx", "w.word", "w.df")
 
 
-def scores(matched: DataFrame, words: DataFrame) -> DataFrame:
-    """query_id, corpus_idx, score, matched_words (sorted): rarer words count more."""
-    rarity = 1.0 / F.ln(F.coalesce("df", F.lit(1)) + 2)
-    return matched.join(words, "word", "left").groupBy("query_id", "corpus_idx").agg(F.round(F.sum(rarity), 6).alias("score"), F.array_sort(F.collect_set("word")).alias("matched_words"))
+def scores(found: DataFrame) -> DataFrame:
+    """query_id, corpus_idx, score, matched_words (sorted) of hits: rarer words count more."""
+    score = F.aggregate("words", F.lit(0.0), lambda s, w: s + 1.0 / F.ln(w["df"] + 2))
+    return rows(found).select("query_id", "corpus_idx", F.round(score, 6).alias("score"), F.array_sort(F.transform("words", lambda w: w["word"])).alias("matched_words"))
 
 
 def word_counts(matched: DataFrame) -> DataFrame:
@@ -66,9 +91,9 @@ def logic(found: DataFrame, queries: DataFrame, corpus: DataFrame | None = None,
     return queries.select("query_id").join(per_row.join(tokens, "query_id").select("query_id", said.alias("match_logic")), "query_id", "left")
 
 
-def by_row(matched: DataFrame, words: DataFrame, corpus: DataFrame, limit: int, collections: list[str] | None = None) -> DataFrame:
+def by_row(found: DataFrame, corpus: DataFrame, limit: int, collections: list[str] | None = None) -> DataFrame:
     """All matches by tier, grade and ordinal, with their total."""
-    rows = scores(matched, words).join(corpus.select("corpus_idx", "collection", "tier", "grade_tier", "id_in_book"), "corpus_idx")
+    rows = scores(found).join(corpus.select("corpus_idx", "collection", "tier", "grade_tier", "id_in_book"), "corpus_idx")
     if collections:
         rows = rows.where(F.col("collection").isin(collections))
     total = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))

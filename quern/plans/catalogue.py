@@ -66,8 +66,7 @@ def _hits(spark, d):
 
 
 def _term_scores(spark, d):
-    index = _term_index(spark, d)
-    return term.scores(term.matches(term.hits(index, _terms(spark))), index.words)
+    return term.scores(_hits(spark, d))
 
 
 def _dense(spark, d, k=100):
@@ -158,7 +157,7 @@ def _natural(spark, d):
 QUERIES = {
     "bm25_topk": lambda s, d: bm25.top(_bm(s, d), 10).select("query_id", "rank", "corpus_idx", "score"),
     "bm25_collections": lambda s, d: bm25.top(_bm(s, d), 10, bound(s, d), PICKED).select("query_id", "rank", "corpus_idx", "score"),
-    "bm25_term_statistics": lambda s, d: _bm_index(s, d).terms,
+    "bm25_term_statistics": lambda s, d: _bm_index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")),
     "bm25_lengths": lambda s, d: _bm_index(s, d).lengths,
     "tiered_keyword": lambda s, d: bm25.tiered(_bm(s, d), bound(s, d), 20).select("query_id", "rank", "corpus_idx", "score", "total"),
     "list_collections": lambda s, d: corpus.list_collections(bound(s, d), dimension(s, d)),
@@ -186,7 +185,7 @@ QUERIES = {
     "term_word_counts": lambda s, d: term.word_counts(term.matches(_hits(s, d))),
     "match_logic": lambda s, d: term.logic(_hits(s, d), _terms(s)),
     "match_logic_collections": lambda s, d: term.logic(_hits(s, d), _terms(s), bound(s, d), PICKED),
-    "term_tiered": lambda s, d: term.by_row(term.matches(_hits(s, d)), _term_index(s, d).words, bound(s, d), 20).select("query_id", "rank", "corpus_idx", "total"),
+    "term_tiered": lambda s, d: term.by_row(_hits(s, d), bound(s, d), 20).select("query_id", "rank", "corpus_idx", "total"),
     "union_pool": lambda s, d: _flat(_pool(s, d)),
     **{f"weighted_{m}": (lambda m: lambda s, d: fusion.weighted(_pool(s, d), m).select("query_id", "corpus_idx", "place", "score"))(m) for m in ("concept", "keyword", "term")},
     "strong_weak_split": lambda s, d: _split(s, d).select("query_id", "rank", "corpus_idx", "score", "bucket"),
@@ -381,7 +380,7 @@ ORACLE_SQL = {
     "reranked": _RERANKED,
     "bm25_topk": f"WITH {_BM} {_top('bm', 10)}",
     "bm25_collections": f"WITH {_BM}, {CORPUS_SQL} {_top('bm', 10, '', _PICK)}",
-    "bm25_term_statistics": f"WITH {_BM} SELECT * FROM terms",
+    "bm25_term_statistics": f"WITH {_BM} SELECT term, df, round(CASE WHEN i < 0 THEN 0.25::DOUBLE * mean_idf ELSE i END, 6) AS idf FROM (SELECT term, df, mean_idf, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS i FROM terms, stats)",
     "bm25_lengths": f"WITH {_BM} SELECT * FROM lengths",
     "tiered_keyword": f"""WITH {_BM}, {CORPUS_SQL} SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, grade_tier, score DESC, corpus_idx) AS INTEGER) AS rank, corpus_idx, score, count(*) OVER (PARTITION BY query_id) AS total FROM bm JOIN corpus USING (corpus_idx)) WHERE rank <= 20""",
     "list_collections": f"WITH {_DIM} SELECT source AS slug, coalesce(english_title, source) AS english_title, count(*) AS n FROM documents LEFT JOIN dim ON source = slug GROUP BY ALL",
