@@ -2,10 +2,11 @@
 
 Words, identifiers and paths are what a vocabulary was made for; a random string costs
 a token every two characters or so. Runs of at least 20 characters of a key's alphabet
-are candidates; digests of known length, UUIDs and identifiers (words joined by case,
-underscores, hyphens or slashes, with numbers apart) are excluded; the rest are secrets
-if they hold few characters a token under a byte-level BPE vocabulary. The fixed
-patterns' spans always stay; spans that the test adds never overlap them.
+are candidates; they are secrets if they hold few characters a token under a byte-level
+BPE vocabulary. Digests of known length, UUIDs, numbers and identifiers are excluded; an
+identifier's letters, apart from its digits and joints, hold several characters a token,
+so shape alone excludes nothing. The fixed patterns' spans always stay; spans that the
+test adds never overlap them.
 
 Texts are read whole and once, each in the task that reads it; nothing is shuffled.
 
@@ -26,6 +27,10 @@ from quern.llm.common import as_long, lean, text_column
 KINDS = ("assign", "access", "hex", "opaque")
 #: Characters a token below which a string counts as random.
 LEAST_A_TOKEN = 2.1
+#: Characters a token from which the letters of a string count as words.
+LEAST_A_WORD_TOKEN = 2.5
+#: Parts of an identifier from this length on must be words by themselves.
+LONG_PART = 8
 LEAST_LENGTH = 20
 #: Lengths of hexadecimal digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = (32, 40, 56, 64, 96, 128)
@@ -36,6 +41,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_LENGTH)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+JOINT = re.compile("[-_/+=]+")
 WORDS = ("passw", "secret", "token", "api")
 
 _IS_HEX = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
@@ -77,19 +83,20 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def known_form(s: str) -> bool:
-    """Whether s is a digest, a UUID or an identifier rather than a key."""
+def words(s: str, count) -> bool:
+    """Whether the letters of s, if any, hold several characters a token."""
+    letters = [p for p in PART.findall(s) if not p.isdigit()]
+    # words are words in capitals too, and the vocabulary knows most of them after a space
+    return not letters or sum(map(len, letters)) >= LEAST_A_WORD_TOKEN * sum(min(count(p), count(p.lower()), count(" " + p.lower())) for p in letters)
+
+
+def known_form(s: str, count) -> bool:
+    """Whether s is a digest, a UUID, a number or an identifier made of words rather than a key."""
     s = s.strip("=-_/+")
     if UUID.fullmatch(s) or len(s) in DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
         return True
-    if s.isdigit() or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-        return True
-    if all(p.isalpha() or p.isdigit() and len(p) <= 8 for p in re.split("[-_/+=]+", s) if p):
-        return True
-    parts = PART.findall(s)
-    letters = [p for p in parts if not p.isdigit()]
-    # words apart from numbers: long parts, and digits that stand together
-    return sum(map(len, letters)) / max(1, len(letters)) >= 4 and sum(p.isdigit() for p in parts) <= 2
+    # words do not hide a long part that is none
+    return words(s, count) and all(words(p, count) for p in JOINT.split(s) if len(p) >= LONG_PART)
 
 
 def opaque_spans(text: str, raw: bytes, taken: list[tuple[int, int, str]], count, least: float = LEAST_A_TOKEN) -> list[tuple[int, int, str]]:
@@ -98,14 +105,13 @@ def opaque_spans(text: str, raw: bytes, taken: list[tuple[int, int, str]], count
     out = []
     for m in OPAQUE.finditer(text):
         a, b, s = m.start(), m.end(), m[0]
-        if any(a < y and x < b for x, y, _ in taken) or known_form(s):
+        if any(a < y and x < b for x, y, _ in taken):
             continue
-        if len(s) / count(s) < least:
+        if len(s) / count(s) < least and not known_form(s, count):
             out.append((a, b, "opaque"))
     return out
 
 
-
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, least: float = LEAST_A_TOKEN) -> DataFrame:
     """doc_id and an array of spans (start, end, kind) of every row, base and added, in order."""
     path = ranks or default_ranks()

@@ -275,6 +275,21 @@ def test_opaque_strings():
         assert found(f"see {plain} here") == []
 
 
+def opaque_found(text):
+    raw = text.encode()
+    return [text[a:b] for a, b, _ in secrets.opaque_spans(text, raw, secrets.base_spans(text, raw), secrets.token_counter(secrets.default_ranks()))]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_opaque_strings_of_any_shape(alphabet):
+    """A random string is found whatever its shape: what the ratio finds, no shape hides."""
+    rng = random.Random(14)
+    keys = ["".join(rng.choice(alphabet) for _ in range(length)) for length in (20, 24, 32, 64) for _ in range(200)]
+    assert sum(opaque_found(f"see {key} here") != [key] for key in keys) <= 0.02 * len(keys)
+    for plain in ("CERTIFICATE_VERIFY_FAILED", "HAVE_NON_UNICODE_WCHAR_T_REPRESENTATION", "getUserNameFromDatabase", "max_connections_per_host"):
+        assert opaque_found(f"see {plain} here") == []
+
+
 def test_order_minhash(spark):
     rows = corpus(10, 80)
     found = {r["doc_id"]: r for r in order_minhash.neighbours(frame(spark, rows)).collect()}
