@@ -5,8 +5,10 @@ a token every two characters or so. Runs of at least 20 characters of a key's al
 are candidates; they are secrets if they hold few characters a token under a byte-level
 BPE vocabulary. Digests of known length, UUIDs, numbers and identifiers are excluded; an
 identifier's letters, apart from its digits and joints, hold several characters a token,
-so shape alone excludes nothing. The fixed patterns' spans always stay; spans that the
-test adds never overlap them.
+so shape alone excludes nothing. A run that is not random as a whole may hold a random
+string beside words: its parts between joints are tested too, and what a fixed pattern
+leaves of it. The fixed patterns' spans always stay; spans that the test adds never
+overlap them.
 
 Texts are read whole and once, each in the task that reads it; nothing is shuffled.
 
@@ -41,6 +43,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_LENGTH)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+LOOSE = re.compile("[^-_/=]+=*$|[^-_/=]+")
 JOINT = re.compile("[-_/+=]+")
 WORDS = ("passw", "secret", "token", "api")
 
@@ -90,10 +93,14 @@ def words(s: str, count) -> bool:
     return not letters or sum(map(len, letters)) >= LEAST_A_WORD_TOKEN * sum(min(count(p), count(p.lower()), count(" " + p.lower())) for p in letters)
 
 
+def is_digest(s: str) -> bool:
+    return len(s) in DIGESTS and bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", s))
+
+
 def known_form(s: str, count) -> bool:
     """Whether s is a digest, a UUID, a number or an identifier made of words rather than a key."""
     s = s.strip("=-_/+")
-    if UUID.fullmatch(s) or len(s) in DIGESTS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
+    if UUID.fullmatch(s) or is_digest(s):
         return True
     # words do not hide a long part that is none
     return words(s, count) and all(words(p, count) for p in JOINT.split(s) if len(p) >= LONG_PART)
@@ -104,14 +111,74 @@ def opaque_spans(text: str, raw: bytes, taken: list[tuple[int, int, str]], count
         return []
     out = []
     for m in OPAQUE.finditer(text):
-        a, b, s = m.start(), m.end(), m[0]
-        if any(a < y and x < b for x, y, _ in taken):
-            continue
-        if len(s) / count(s) < least and not known_form(s, count):
-            out.append((a, b, "opaque"))
+        at = m.start()
+        # what a fixed pattern takes is cut out of the run, the rest is tested
+        for x, y in [*((x, y) for x, y, _ in taken if x < m.end() and m.start() < y), (m.end(), m.end())]:
+            out += ((at + a, at + b, "opaque") for a, b in random_parts(text[at:x], count, least, at == m.start() and x == m.end()))
+            at = max(at, y)
+    return out
+
+
+def random_parts(s: str, count, least: float, whole: bool) -> list[tuple[int, int]]:
+    """Where s is random: all of it, or stretches of its parts between joints, each by its own ratio. whole: s is a run of its own."""
+
+    def is_random(a: int, b: int) -> bool:
+        return b - a >= LEAST_LENGTH and (b - a) / count(s[a:b]) < least and not known_form(s[a:b], count)
+
+    if len(s) < LEAST_LENGTH:
+        return []
+    # the joints beside a fixed pattern belong to neither
+    a, b = (0, len(s)) if whole else (len(s) - len(s.lstrip("-_/=")), len(s.rstrip("-_/")))
+    if is_random(a, b):
+        return [(a, b)]
+    parts = [(p.start(), p.end()) for p in LOOSE.finditer(s, a, b)]
+    uuids = [m.span() for m in UUID.finditer(s, a, b)]
+    weights, before, k = [], a, 0
+    for x, y in parts:
+        while k < len(uuids) and uuids[k][1] <= x:
+            k += 1
+        plain = k < len(uuids) and uuids[k][0] <= x and y <= uuids[k][1] or s[x:y].isdigit() or is_digest(s[x:y])
+        weights.append((y - before, 0 if plain else count(s[before:y])))
+        before = y
+    out = []
+    for first, last in stretches(weights, least):
+        if is_random(parts[first][0], parts[last][1]):
+            out.append((parts[first][0], parts[last][1]))
+        else:
+            out += (p for p in parts[first : last + 1] if is_random(*p))
     return out
 
 
+def stretches(parts: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
+    """First and last of the stretches of (characters, tokens) whose tokens outweigh their characters most.
+
+    All maximal scoring subsequences (Ruzzo and Tompa); every part of few characters a token
+    is in one of them. A part without tokens counts for nothing. Linear in the parts.
+    """
+    held: list[tuple[int, int, float, float]] = []  # first, last, the sum before and that up to the last
+    left: list[int] = []  # for each, the nearest earlier one of a lesser sum before
+    total = 0.0
+    for i, (n, tokens) in enumerate(parts):
+        worth = tokens * least - n if tokens else 0.0
+        before, total = total, total + worth
+        if worth <= 0:
+            continue
+        new = (i, i, before, total)
+        k = len(held) - 1
+        while k >= 0:
+            if held[k][2] >= new[2]:
+                k = left[k]
+            elif held[k][3] >= new[3]:
+                break
+            else:
+                new = (held[k][0], i, held[k][2], total)
+                del held[k:], left[k:]
+                k = len(held) - 1
+        held.append(new)
+        left.append(k)
+    return [x[:2] for x in held]
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, least: float = LEAST_A_TOKEN) -> DataFrame:
     """doc_id and an array of spans (start, end, kind) of every row, base and added, in order."""
     path = ranks or default_ranks()
