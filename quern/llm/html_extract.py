@@ -8,7 +8,8 @@ path, the host's winning paths go back to its pages, and each page is extracted
 from the best winning path that it has; a page that has none uses its own best.
 
 Inside the container, navigation, headers, footers, asides, forms, hidden elements,
-notices, adverts and reader comments are left out. Blocks are what block-level tags
+notices, adverts and reader comments are left out, and outside articles also unnamed
+lists and divs of nothing but links before or after the prose. Blocks are what block-level tags
 separate; `br` is white space.
 
 Votes are pre-aggregated before the shuffle, at most `PATHS` paths of a host go back,
@@ -235,9 +236,47 @@ def best_container(nodes: list[Node], blocks: list[Block]) -> Node | None:
     return best
 
 
+def _is_links(b: Block) -> bool:
+    return b.linked >= 0.9 * len(b.text) and len(b.text) < 80
+
+
+def _menus(kept: list[Block], top: Node) -> set[int]:
+    """Places in kept of the blocks of menus without a name: whole lists or divs of links before or after the prose.
+
+    An article, a table cell, a list amid the prose or under a heading after it, and anything with a class or id holds its links as content.
+    """
+    if top.tag in ("article", "main") or top.hint and GOOD.search(top.hint):
+        return set()
+    prose = [i for i, b in enumerate(kept) if not _is_links(b) and (b.node.tag in ("p", "pre", "blockquote") or len(b.text) >= 80) and b.linked < 0.5 * len(b.text)]
+    first, last = (prose[0], prose[-1]) if prose else (len(kept), -1)
+    said: set[int] = set()  # elements that hold more than links
+    for b in kept:
+        x = None if _is_links(b) else b.node
+        while x is not None and x is not top and x.order not in said:
+            said.add(x.order)
+            x = x.up
+    out: set[int] = set()
+    under = {}  # whether a menu's first block follows a heading after the prose began
+    for i, b in enumerate(kept):
+        if first < i < last or b.node.tag not in ("li", "div", "ul", "ol") or not _is_links(b):
+            continue
+        group, x = b.node, b.node
+        while x is not None and x is not top and x.tag not in ("td", "th", "article", "main"):
+            if x.tag in ("ul", "ol"):
+                group = x
+            x = x.up
+        if x is not None and x is not top:
+            continue
+        if group.order not in under:
+            under[group.order] = i > first and i > 0 and kept[i - 1].node.tag in HEADINGS
+        if group is not top and not group.hint and group.order not in said and not under[group.order]:
+            out.add(i)
+    return out
+
+
 def text_of(blocks: list[Block], top: Node) -> str:
     memo: dict[int, bool] = {}
-    out = []
+    kept = []
     for b in blocks:
         x, inside, header = b.node, False, False
         while x is not None:
@@ -246,13 +285,10 @@ def text_of(blocks: list[Block], top: Node) -> str:
                 break
             header |= x.tag == "header"
             x = x.up
-        if not inside:
-            continue
-        if header and b.node.tag in HEADINGS and not (b.node.hint and BAD.search(b.node.hint)):
-            out.append(b.text)
-        elif not _left_out(b.node, top, memo) and not (b.node.tag in ("li", "td", "div", "ul") and b.linked >= 0.9 * len(b.text) and len(b.text) < 80):
-            out.append(b.text)
-    return "\n".join(out)
+        if inside and (header and b.node.tag in HEADINGS and not (b.node.hint and BAD.search(b.node.hint)) or not _left_out(b.node, top, memo)):
+            kept.append(b)
+    menus = _menus(kept, top)
+    return "\n".join(b.text for i, b in enumerate(kept) if i not in menus)
 
 
 def vote(page: str) -> tuple[str, float] | None:

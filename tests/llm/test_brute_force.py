@@ -408,6 +408,20 @@ def test_html_follows_the_host(spark):
     assert found[9] == "A brief story, told."
 
 
+def test_html_keeps_links_that_are_content():
+    """Linked cells, sources and names of an article stay; a menu without a name beside prose goes."""
+    prose = "<p>The towns of the country, as they are listed here, are of many kinds, large and small.</p>"
+    links = '<table><tr><td><a href="/p">Paris</a></td><td>2 million</td></tr></table><ul><li><a href="/a">Ann Ames</a></li><li><a href="/b">Bob Bell</a></li></ul><div><a href="/s">A source</a></div>'
+    want = "Paris\n2 million\nAnn Ames\nBob Bell\nA source"
+    said = "The towns of the country, as they are listed here, are of many kinds, large and small."
+    menu = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul>'
+    for tag in ("article", "main", 'div class="post-content"'):
+        page = f"<body><{tag}>{prose * 3}{links}</{tag.split()[0]}></body>"
+        assert html_extract.extract(page, []) == "\n".join([said] * 3 + [want])
+    assert html_extract.extract(f"<body>{menu}{prose}{links}{prose}<h2>Sources</h2>{menu}</body>", []) == "\n".join([said, want, said, "Sources", "Home", "News"])
+    assert html_extract.extract(f"<body>{menu}{prose}{prose}{menu}</body>", []) == "\n".join([said, said])
+
+
 def test_quality(spark):
     rng = random.Random(11)
     rows, labels = [], []
