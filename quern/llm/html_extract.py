@@ -4,19 +4,25 @@ Each page's containers are scored by the prose they hold (length and commas of b
 less what is link text, and hints in tag and class names); the page votes for the path
 of its best container. A path is the tags from the body down with their classes,
 digits generalised, so pages of one template vote alike. Votes are summed per host and
-path, the host's winning paths go back to its pages, and each page is extracted again
-from the best winning path that it has; a page that has none uses its own best.
+path, beside the pages that have prose under the path. A path is trusted if at least
+half of the pages that have it vote for it. A page whose own path is trusted and has
+`ENOUGH` votes is extracted from it, whatever its rank among the host's; another from
+the trusted path with most votes that it has, of those with a `SHARE` of the host's
+votes; a page that has none uses its own best. So a template of few pages is not read
+from what it shares with the host's larger ones.
 
 Inside the container, navigation, headers, footers, asides, forms, hidden elements,
 notices, adverts and reader comments are left out, and outside articles also unnamed
 lists and divs of nothing but links before or after the prose. Blocks are what block-level tags
 separate; `br` is white space.
 
-Votes are pre-aggregated before the shuffle, at most `PATHS` paths of a host go back,
-and the table of winners is broadcast only if a count shows it small, so a host that
-holds a third of all pages is no hot task.
+Votes are pre-aggregated before the shuffle, the paths of a host that go back are as
+many as shares fit into its votes, and the tables of winners and trusted paths are
+broadcast only if a count shows them small, so a host that holds a third of all pages
+is no hot task.
 
-Nulls: null html is an empty page with empty text; pages without a host vote together.
+Nulls: null html is an empty page with empty text; pages without a host do not vote and use
+their own best.
 Repeated rows are extracted each. A page of markup without prose gives empty text.
 """
 
@@ -32,8 +38,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import as_long, keep, lean, small
 
-#: Winning paths that a host keeps.
-PATHS = 4
+#: Votes from which a page's own path is not a chance.
+ENOUGH = 3
+#: Share of a host's votes from which a path stands in for pages whose own path is not trusted.
+SHARE = 0.01
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
@@ -291,19 +299,20 @@ def text_of(blocks: list[Block], top: Node) -> str:
     return "\n".join(b.text for i, b in enumerate(kept) if i not in menus)
 
 
-def vote(page: str) -> tuple[str, float] | None:
+def vote(page: str) -> tuple[str, float, set[str]] | None:
+    """The path of the best container, its score, and all paths that have prose on the page."""
     nodes, blocks = parse(page)
     best = best_container(nodes, blocks)
-    return (path_of(best), best.score) if best is not None else None
+    return (path_of(best), best.score, {path_of(x) for x in nodes if x.score > 0}) if best is not None else None
 
 
-def extract(page: str, winners: list[str]) -> str:
-    """The text under the page's elements of the best path that it has."""
+def extract(page: str, winners: list[str], own: bool = False) -> str:
+    """The text under the page's elements of its best container's path if own, else of the first path of winners that it has."""
     nodes, blocks = parse(page)
     best = best_container(nodes, blocks)
     if best is None:
         return ""
-    for path in winners:
+    for path in [path_of(best)] if own else winners:
         tops = [x for x in nodes if x.tag in CONTAINER and path_of(x) == path]
         found = [t for t in (text_of(blocks, x) for x in tops) if t]
         if found:
@@ -316,25 +325,45 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^[a-zA-Z][-+.a-zA-Z0-9]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", paths: int = PATHS) -> DataFrame:
+def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE) -> DataFrame:
     """page_id, url, text of every row."""
     slim = pages.select(as_long(pages, id_col).alias("page_id"), pages[url_col].cast("string").alias("url"), host_of(pages[url_col]).alias("host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
+    kinds = {"host": pa.string(), "path": pa.string(), "votes": pa.int64(), "pages": pa.int64(), "score": pa.float64()}
 
     def cast_votes(batches):
         for batch in batches:
-            found = [(h, *v) for h, v in ((h, vote(p)) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if v]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["host", "path", "score"])
-
-    votes = slim.select("host", "html").mapInArrow(lean(cast_votes), "host string, path string, score double").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.round("score", 3).cast("decimal(30,3)")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path"))
-    winners = keep(votes.withColumn("rank", rank).where(F.col("rank") <= paths).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("ranked")).select("host", F.col("ranked.path").alias("winners")), "html-winners")
+            found: dict[tuple[str, str], list] = {}
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path, score, paths = vote(page) or ("", 0.0, ())
+                for p in paths:
+                    entry = found.setdefault((host, p), [0, 0, 0.0])
+                    entry[0] += p == path
+                    entry[1] += 1
+                    entry[2] += round(score, 3) if p == path else 0.0
+            rows = [(*k, *v) for k, v in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+    cast = slim.where("host <> ''").select("host", "html").mapInArrow(lean(cast_votes), "host string, path string, votes long, pages long, score double")
+    votes = keep(cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"), F.sum(F.round("score", 3).cast("decimal(30,3)")).alias("score")).where("votes > 0"), "html-votes")
+    trusted = votes.where("2 * votes >= pages")
+    # at most 1 / share paths a host
+    most = votes.groupBy("host").agg((F.sum("votes") * share).alias("least"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("votes"), (-F.col("score")).alias("score"), "path")))
+    winners = keep(trusted.join(most, "host").where("votes >= least").groupBy("host").agg(ranked.alias("ranked")).select("host", F.col("ranked.path").alias("winners")), "html-winners")
+    known = keep(trusted.where(F.col("votes") >= ENOUGH).select("host", "path", F.lit(True).alias("own")), "html-trusted")
+
+    def paths_of(batches):
+        for batch in batches:
+            found = [(vote(p) or (None,))[0] if h else None for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["page_id", "url", "host", "html", "path"])
 
     def again(batches):
         for batch in batches:
-            texts = [extract(p, w or []) for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(p, w or [], bool(o)) for p, w, o in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return slim.join(small(winners, 200_000), "host", "left").select("page_id", "url", "html", "winners").mapInArrow(lean(again), "page_id long, url string, text string")
+    told = slim.mapInArrow(lean(paths_of), "page_id long, url string, host string, html string, path string").join(small(known, 200_000), ["host", "path"], "left")
+    return told.join(small(winners, 200_000), "host", "left").select("page_id", "url", "html", "winners", "own").mapInArrow(lean(again), "page_id long, url string, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -422,6 +422,22 @@ def test_html_keeps_links_that_are_content():
     assert html_extract.extract(f"<body>{menu}{prose}{prose}{menu}</body>", []) == "\n".join([said, said])
 
 
+def test_html_of_many_templates(spark):
+    """Pages of a rare template give their article, not the block that they share with larger ones, and so do pages without a host."""
+    long, rows = "The story, as it is told, goes on, and on, and ends well, as it should. ", []
+    for kind in range(7):  # larger templates first; each page of the last also has the first's container, as a teaser
+        for i in range(12 - kind):
+            teaser = '<div class="t0"><p>Read on, a teaser.</p></div>' if kind == 6 else ""
+            page = f'<body>{teaser}<div class="t{"x" * kind if kind else 0}"><p>{long * 4}{kind}.</p></div></body>'
+            rows += [(100 * kind + i, "http://h/x", page), (10_000 + 100 * kind + i, None, page)]
+    rows += [(20_000 + i, "http://h/bare", f"<body><p>{long * 3}</p><p>{long * 3}</p></body>") for i in range(20)]
+    found = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found) == len(rows)
+    for i, _, page in rows:
+        if i < 20_000:
+            assert found[i] == f"{long * 4}{i % 10_000 // 100}."
+
+
 def test_quality(spark):
     rng = random.Random(11)
     rows, labels = [], []
