@@ -5,7 +5,8 @@ source that holds a third of all rows is many blocks. A source's target is met b
 whole passes over its permuted blocks plus a first part of one more pass; the last
 block of that part is cut at a row, and that row at a word. The block quotas of all
 sources are exact. A binary tree splits them among the output shards: at each node a
-multivariate-hypergeometric draw says how many blocks of each source go left. A leaf
+multivariate-hypergeometric draw says how many blocks of each source go left (one draw
+for each group of sources where all have a billion blocks or more). A leaf
 draws its quota as the next blocks in the source's permuted order, which makes the
 shards disjoint, and a hash orders the rows inside a shard.
 
@@ -36,6 +37,8 @@ BLOCKS = 1024
 SHARDS = 16
 #: More sources than this are refused (never dropped): the driver plans them together.
 MOST_SOURCES = 1_000_000
+#: Blocks from which numpy's multivariate draw fails.
+MOST_DRAWN = 1_000_000_000
 BLANK, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
@@ -61,10 +64,27 @@ def splitting_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) ->
     if shards == 1:
         return quotas[None, :]
     left = shards // 2
-    take = rng.multivariate_hypergeometric(quotas, int(quotas.sum()) * left // shards, method="marginals")
+    take = np.zeros_like(quotas)
+    for a, b in _drawable(quotas):
+        group = quotas[a:b]
+        n = int(group.sum()) * left // shards
+        take[a:b] = n if b - a == 1 else rng.multivariate_hypergeometric(group, n, method="marginals")
     return np.vstack([splitting_tree(take, left, rng), splitting_tree(quotas - take, shards - left, rng)])
 
 
+def _drawable(quotas: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of sources, each of one source or of fewer than MOST_DRAWN blocks: all of them if that is so."""
+    if int(quotas.sum()) < MOST_DRAWN:
+        return [(0, len(quotas))]
+    starts, held = [0], 0
+    for i, n in enumerate(quotas.tolist()):
+        held += n
+        if held >= MOST_DRAWN and i > starts[-1]:
+            starts.append(i)
+            held = n
+    return list(zip(starts, [*starts[1:], len(quotas)], strict=True))
+
+
 def _source_key(df: DataFrame, source_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), df[source_col].cast("string")), F.lit("n"))
 

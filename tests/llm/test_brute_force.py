@@ -136,6 +136,16 @@ def test_splitting_tree():
     assert max(leaves.sum(1)) - min(leaves.sum(1)) <= 4
 
 
+def test_splitting_tree_of_billions():
+    quotas = np.array([6 * 10**8, 5, 6 * 10**8, 0, 3 * 10**9, 7])
+    leaves = mixing.splitting_tree(quotas, 7, np.random.default_rng(0))
+    assert (leaves.sum(0) == quotas).all() and (leaves >= 0).all()
+    assert max(leaves.sum(1)) - min(leaves.sum(1)) <= 12
+    small = np.array([100, 3, 0, 57])
+    plain = np.random.default_rng(1).multivariate_hypergeometric(small, int(small.sum()) // 2, method="marginals")
+    assert (mixing.splitting_tree(small, 2, np.random.default_rng(1))[0] == plain).all()
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 60))), rng.choice(["a", "b", "b", "b", "c", None])) for i in range(300)]
