@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
-#: Query vectors that one plan takes; they go to every task.
+#: Query vectors of a block; they go to every task.
 MOST_QUERIES = 10_000
 
 
@@ -24,11 +26,20 @@ def scores(embeddings: DataFrame, queries: DataFrame) -> DataFrame:
 def top(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k most similar rows of each query: a matrix product a batch, a top-k a task, then one over tasks.
 
-    queries(query_id, query) is gathered after a check that there are few.
+    queries(query_id, query) come to the driver in blocks of MOST_QUERIES; each block goes over all rows, with tasks of its own.
     """
+    vectors = embeddings.where(F.col("embedding").isNotNull()).select("corpus_idx", "embedding")
+    queries = queries.select("query_id", "query")
     rows = queries.limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors; run them in blocks")
+    more = iter(rows) if len(rows) <= MOST_QUERIES else queries.toLocalIterator()
+    parts = [_part(vectors, block, k) for block in iter(lambda: list(islice(more, MOST_QUERIES)), [])]
+    part = reduce(DataFrame.unionByName, parts or [_part(vectors, [], k)])
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_idx"))
+    return part.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _part(vectors: DataFrame, rows: list, k: int) -> DataFrame:
+    """query_id, corpus_idx, score of each task's k most similar rows of every query of a block."""
     ids = np.array([r["query_id"] for r in rows], np.int64)
     matrix = np.array([r["query"] for r in rows], np.float64)
 
@@ -42,9 +53,7 @@ def top(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             held = pd.concat([held, new]).sort_values(["query_id", "score", "corpus_idx"], ascending=[True, False, True]).groupby("query_id").head(k)
         yield held.astype({"query_id": "int64", "corpus_idx": "int64", "score": "float64"})
 
-    part = embeddings.where(F.col("embedding").isNotNull()).select("corpus_idx", "embedding").mapInPandas(best, "query_id long, corpus_idx long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_idx"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k)
+    return vectors.mapInPandas(best, "query_id long, corpus_idx long, score double")
 
 
 def with_content(embeddings: DataFrame, corpus: DataFrame) -> DataFrame:

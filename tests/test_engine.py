@@ -155,6 +155,18 @@ def test_split_and_pages(spark):
     assert fusion.split(pool, 50).where("bucket = 'strong'").count() == 20
 
 
+@pytest.mark.parametrize("most", [1, 7, 25, 26])
+def test_dense_in_blocks(spark, monkeypatch, most):
+    """More query vectors than a block takes give what one block gives."""
+    rows = [(i, [math.cos(i * 0.37), math.sin(i * 0.37)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "corpus_idx long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, v) for i, v in rows[:25]], "query_id long, query array<double>")
+    plain = sorted(map(tuple, dense.top(table, asked, 4).collect()))
+    monkeypatch.setattr(dense, "MOST_QUERIES", most)
+    assert len(plain) == 100 and sorted(map(tuple, dense.top(table, asked, 4).collect())) == plain
+    assert dense.top(table, asked.limit(0), 4).count() == 0
+
+
 def test_modes():
     assert fusion.mode_weights("term") == (0.2, 0.4, 1.0)
     with pytest.raises(ValueError):
