@@ -2,12 +2,15 @@
 
 Lengths are whole numbers up to the capacity, so the instance is a histogram of at
 most `capacity` counts, whatever the number of documents. The driver packs that
-histogram: large lengths (over an eighth of the capacity) are sorted and cut into
-groups of equal cardinality, each rounded up to its largest length; configurations of
-those few sizes are made best-fill first and applied as often as their groups allow;
-the actual lengths take the places of the rounded ones; and small lengths go, longest
-first, into the fullest sequence that still has room. Equal sequences are handled as
-one run with a count, so the plan has a few thousand rows at any scale.
+histogram. Pieces of the whole capacity stand alone. Other large lengths (over a third of
+the capacity) are sorted and cut into `groups` groups of equal cardinality, each rounded
+up to its largest length. A linear programme over the configurations of those few
+sizes, its columns made by a knapsack as the duals ask for them, says how often each
+configuration is used in the fewest sequences. Actual lengths are substituted for the
+rounded ones: each place takes the largest that fits, and what is left of the fractions
+is filled by its actual lengths. Small lengths then go, longest first, into the fullest
+sequence that still has room. Equal sequences are handled as one run with a count, so
+the plan has a few thousand rows at any scale.
 
 Each document then finds its place by its rank among pieces of equal length. Ranks are
 counted inside hash buckets and shifted by the buckets before, so a length that a
@@ -17,14 +20,18 @@ Texts are tokenised once; a document is its ids followed by the end id. Document
 longer than the capacity are cut into full pieces, the remainder first.
 
 Nulls: a null text is empty and is packed as its end id alone. Repeated rows and null
-ids are packed like any other row, one place each.
+ids are packed like any other row, one place each. Long runs of blanks are tokenised
+whole. An empty table gives no rows. Columns other than id and text are not carried.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 import zlib
-from bisect import insort
+from bisect import bisect_right, insort
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,9 +43,14 @@ from quern.llm.common import as_long, keep, lean, small, text_column
 
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 1024
+GROUPS = 64
+#: Lengths of more than capacity / SMALL are large.
+SMALL = 3
 PIECES_A_BUCKET = 500_000
 
+#: A run of blanks that is long: tiktoken's pattern walks one recursively, and overflows its stack somewhere beyond 50,000.
+LONG_BLANK = re.compile(r"(?<!\s)\s{5000}")
+
 _ENCODERS: dict = {}
 
 
@@ -46,8 +58,9 @@ def encoder(vocabulary: str):
     """A function from texts to lists of ids: those of `tokenizers` for a byte-level BPE file.
 
     The ids are computed by tiktoken over the same merges, several times as fast; texts
-    that hold a special token's string go through `tokenizers` itself. A vocabulary whose
-    ids are not in the order of its merges goes through `tokenizers` throughout.
+    that hold a special token's string or a long run of blanks go through `tokenizers`
+    itself. A vocabulary whose ids are not in the order of its merges, or whose splitting is
+    not the usual byte-level one, goes through `tokenizers` throughout.
     """
     if vocabulary not in _ENCODERS:
         from tokenizers import Tokenizer
@@ -68,14 +81,17 @@ def encoder(vocabulary: str):
             import tiktoken
 
             fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _ENCODERS[vocabulary] = lambda texts: [slow([t])[0] if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
+            _ENCODERS[vocabulary] = lambda texts: [slow([t])[0] if any(s in t for s in special) or LONG_BLANK.search(t) else fast.encode_ordinary(t) for t in texts]
     return _ENCODERS[vocabulary]
 
 
 def _ranks(spec: dict) -> dict[bytes, int] | None:
     """Bytes to ids, if the file is a byte-level BPE whose ids follow the order of its merges."""
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or model.get("ignore_merges"):
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or pre.get("use_regex") is False:
+        return None
+    changes = (spec.get("normalizer"), spec.get("truncation"), spec.get("padding"))
+    if any(changes) or any(model.get(x) for x in ("ignore_merges", "byte_fallback", "dropout", "continuing_subword_prefix", "end_of_word_suffix")):
         return None
     # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -177,46 +193,114 @@ def best_fill(rest: int, sizes: list[int], counts: list[int]) -> list[int]:
     return used
 
 
+def best_pattern(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[float, np.ndarray]:
+    """The multiset of sizes within the capacity whose values sum highest: that sum, and how often each size is in it."""
+    of = np.array(sizes)
+    left = np.arange(capacity + 1)[:, None] - of
+    best, layers = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(of.min())):  # one more piece a layer
+        worth = np.where(left >= 0, best[left] + values, -1.0)
+        k = worth.argmax(1)
+        more = worth[np.arange(capacity + 1), k]
+        layers.append(np.where(more > best, k, -1))
+        best = np.maximum(best, more)
+    counts, room = np.zeros(len(sizes), np.int64), capacity
+    for layer in reversed(layers):
+        if layer[room] >= 0:
+            counts[layer[room]] += 1
+            room -= of[layer[room]]
+    return float(best[capacity]), counts
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[np.ndarray, float]]:
+    """Patterns of sizes and how often each is used, fractions allowed, that hold the counts in the fewest sequences.
+
+    The linear programme has a column for every pattern; those that lower the cost are
+    made as the duals ask for them, by a knapsack. Each step is one pivot, and any step
+    leaves a solution, so a bound on the steps costs at most a few sequences.
+    """
+    m = len(sizes)
+    patterns = [np.eye(m, dtype=np.int64)[g] * (capacity // sizes[g]) for g in range(m)]
+    inverse = np.diag([1 / (capacity // x) for x in sizes])
+    amount = np.array(counts, float) / [capacity // x for x in sizes]
+    for _ in range(40 * m + 40):
+        worth, pattern = best_pattern(inverse.sum(0), sizes, capacity)
+        if worth <= 1 + 1e-9:
+            break
+        change = inverse @ pattern
+        ratio = np.full(m, np.inf)
+        np.divide(amount, change, out=ratio, where=change > 1e-9)
+        out = int(ratio.argmin())
+        amount = np.maximum(amount - ratio[out] * change, 0)
+        amount[out] = ratio[out]
+        row = inverse[out] / change[out]
+        inverse -= np.outer(change, row)
+        inverse[out] = row
+        patterns[out] = pattern
+    return list(zip(patterns, amount.tolist(), strict=True))
+
+
+class _Pieces:
+    """The pieces that have no place yet: how many of each length, and the next one's rank."""
+
+    def __init__(self, histogram: dict[int, int]):
+        self.left = {k: n for k, n in histogram.items() if n}
+        self.rank = dict.fromkeys(self.left, 0)
+        self.lengths = sorted(self.left)
+
+    def fitting(self, room: int, chosen: list[int]) -> int | None:
+        """The largest length within the room of which more are left than are chosen."""
+        k = bisect_right(self.lengths, room) - 1
+        while k >= 0 and self.left[self.lengths[k]] <= chosen.count(self.lengths[k]):
+            k -= 1
+        return self.lengths[k] if k >= 0 else None
+
+    def take(self, chosen: list[int], times: int, capacity: int) -> Run:
+        """As many equal sequences of the chosen lengths as there are pieces for, at most times."""
+        n = min(times, *(self.left[x] // chosen.count(x) for x in chosen))
+        run = Run(n, capacity - sum(chosen))
+        for x in chosen:
+            run.items.append((x, self.rank[x]))
+            self.rank[x] += n
+            self.left[x] -= n
+        for x in set(chosen):
+            if not self.left[x]:
+                self.lengths.remove(x)
+        return run
+
+
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[Run]:
     """Runs of sequences that hold every piece once."""
-    limit = capacity // 8
+    limit = capacity // SMALL
     runs: list[Run] = []
-    parts = grouped({k: n for k, n in histogram.items() if k > limit and n}, groups)
-    sizes, counts = [p[0][0] for p in parts], [sum(x[2] for x in p) for p in parts]
-    first = 0
-    while first < len(parts):
-        if not counts[first]:
-            first += 1
-            continue
-        counts[first] -= 1
-        live = [g for g in range(first, len(parts)) if counts[g] and sizes[g] <= capacity - sizes[first]]
-        used = [first, *(live[i] for i in best_fill(capacity - sizes[first], [sizes[g] for g in live], [counts[g] for g in live]))]
-        counts[first] += 1
-        times = min(counts[g] // used.count(g) for g in set(used))
-        # substitute the actual pieces: each place of the configuration takes the next `times` pieces of its group
-        places = []
-        for g in used:
-            counts[g] -= times
-            need, taken = times, []
-            while need:
-                length, rank, n = parts[g][0]
-                k = min(n, need)
-                taken.append((length, rank, k))
-                need -= k
-                parts[g][0] = [length, rank + k, n - k]
-                if n == k:
-                    parts[g].pop(0)
-            places.append(taken)
-        edges = sorted({sum(x[2] for x in p[:i]) for p in places for i in range(len(p) + 1)})
-        for a, b in zip(edges, edges[1:], strict=False):
-            items = []
-            for p in places:
-                at = 0
-                for length, rank, k in p:
-                    if at <= a < at + k:
-                        items.append((length, rank + a - at))
-                    at += k
-            runs.append(Run(b - a, capacity - sum(x[0] for x in items), items))
+    if histogram.get(capacity):
+        runs.append(Run(histogram[capacity], 0, [(capacity, 0)]))
+    large = {k: n for k, n in histogram.items() if limit < k < capacity}
+    pieces, rounded = _Pieces(large), Counter()
+    for part in grouped(large, groups):
+        rounded[part[0][0]] += sum(n for _, _, n in part)
+    sizes = list(rounded)
+    found = configurations(sizes, list(rounded.values()), capacity) if sizes else []
+    planned = sorted(([x for x, k in zip(sizes, pattern, strict=True) for _ in range(k)], math.floor(amount + 1e-6)) for pattern, amount in found)
+    # A place takes the largest actual piece that fits, the last of a sequence all the room that is left. The pieces
+    # left over still fit the places left over, largest to largest, since no place took a smaller one than it could.
+    for places, times in reversed(planned):
+        while times:
+            chosen: list[int] = []
+            for i, size in enumerate(places):
+                room = capacity - sum(chosen) if i == len(places) - 1 else size
+                chosen.append(pieces.fitting(room, chosen))
+            if None in chosen:  # a rounding error planned one too many
+                break
+            runs.append(pieces.take(chosen, times, capacity))
+            times -= runs[-1].count
+    # what the fractions leave, less than a configuration a group, fills sequences by its actual lengths
+    while pieces.lengths:
+        first = pieces.lengths[-1]
+        live = [x for x in reversed(pieces.lengths) if x <= capacity - first]
+        used = best_fill(capacity - first, live, [pieces.left[x] - (x == first) for x in live])
+        chosen = [first, *(live[i] for i in used)]
+        runs.append(pieces.take(chosen, pieces.left[first], capacity))
     by_room: dict[int, list[Run]] = {}
     rooms: list[int] = []
 
