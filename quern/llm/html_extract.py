@@ -11,10 +11,13 @@ the trusted path with most votes that it has, of those with a `SHARE` of the hos
 votes; a page that has none uses its own best. So a template of few pages is not read
 from what it shares with the host's larger ones.
 
-Inside the container, navigation, headers, footers, asides, forms, hidden elements,
-notices, adverts and reader comments are left out, and outside articles also unnamed
-lists and divs of nothing but links before or after the prose. Blocks are what block-level tags
-separate; `br` is white space.
+Inside the container, navigation, headers, footers, asides, forms, hidden elements, adverts,
+notices by name and reader comments are left out. Names that an article's own sections may
+have too (legal, discussion, related, tags) take an element out only if no paragraph in it is
+prose. Outside articles also unnamed lists and divs of nothing but links before or after the
+prose go. Blocks are what block-level tags separate; `br` is white space. A head ends at the
+first element or text that does not belong there, and a tag without its `>` runs to the end,
+as in a browser. Paths are kept as digests, so deep pages take linear time and space.
 
 Votes are pre-aggregated before the shuffle, the paths of a host that go back are as
 many as shares fit into its votes, and the tables of winners and trusted paths are
@@ -22,15 +25,17 @@ broadcast only if a count shows them small, so a host that holds a third of all
 is no hot task.
 
 Nulls: null html is an empty page with empty text; pages without a host do not vote and use
-their own best.
-Repeated rows are extracted each. A page of markup without prose gives empty text.
+their own best. A null id or url stays null. Repeated rows are extracted each. A page of markup
+without prose gives empty text, and an empty table no rows. Ties go to the element that comes
+first, and among paths to the least digest. Columns other than the three are not carried.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -43,11 +48,9 @@ ENOUGH = 3
 #: Share of a host's votes from which a path stands in for pages whose own path is not trusted.
 SHARE = 0.01
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<(?P<loose>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>",
-    re.DOTALL,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Attributes in which every quote is closed before the next tag; others end at the next `>`.
+ATTRS = re.compile(r"(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>")
 ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -57,6 +60,8 @@ BLOCK = frozenset(
 CONTAINER = frozenset("article body blockquote center div main section table td".split())
 SKIP = frozenset("script style noscript template nav footer aside form button select option input textarea iframe object svg canvas audio video dialog menu head title label fieldset map".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
 ENDS_P = BLOCK - {"body", "html", "caption", "dd", "dt", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -67,6 +72,14 @@ BAD = re.compile(
     r"|comments?\w*|disqus|respond|repl(?:y|ies)|discussion|reactions?|pagination|pager|tags|tag-?cloud|copyright|legal|disclaimer|skip-?link|search\w*|hidden|sr-only|visually-hidden|outbrain|taboola|byline-?bio|author-?bio)(?:$|[-_ ])",
     re.IGNORECASE,
 )
+#: Names of what is no part of an article whatever it holds; by the others above an element inside one goes only if it holds no prose.
+NEVER = re.compile(
+    r"(?:^|[-_ ])(?:ads?|adbox|advert|adverts|advertisement|advertising|adsense|sponsored|cookies?|consent|gdpr|newsletter|subscribe|signup|paywall|navbar|navigation|breadcrumbs?|side-?bar"
+    r"|comments?|comment-?(?:list|form|section|thread)|disqus|respond|outbrain|taboola|skip-?link|sr-only|visually-hidden)(?:$|[-_ ])",
+    re.IGNORECASE,
+)
+#: Characters outside links from which a paragraph counts as prose.
+PROSE = 140
 GOOD = re.compile(r"(?:^|[-_ ])(?:article\w*|content\w*|post\w*|entry\w*|story\w*|main\w*|body\w*|text\w*|page-?content|prose|blog\w*|h?news)(?:$|[-_ ])", re.IGNORECASE)
 DIGITS = re.compile(r"[0-9]+")
 SPACES = re.compile(r"\s+")
@@ -81,8 +94,8 @@ class Node:
     up: Node | None
     order: int
     path: str = ""
-    blocks: list = field(default_factory=list)
     score: float = 0.0
+    prose: bool = False
 
 
 @dataclass
@@ -96,12 +109,54 @@ def _attributes(s: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTR.findall(s)}
 
 
+def _tokens(page: str):
+    """(kind, value, attributes) of a page in order: text, open, close; comments and declarations are left out.
+
+    As in a browser, what follows a `<` that starts a tag and meets no `>` is part of that tag.
+    A raw element's content is skipped, its tag is given. Linear in the page.
+    """
+    at = start = 0
+    n = len(page)
+    while (lt := page.find("<", at)) >= 0:
+        after = page[lt + 1 : lt + 2]
+        closing = after == "/"
+        name = NAME.match(page, lt + 1 + closing)
+        if not name and after not in ("!", "?"):
+            at = lt + 1  # a mark in the text
+            continue
+        if lt > start:
+            yield "text", page[start:lt], ""
+        if name:
+            exact = None if closing else ATTRS.match(page, name.end())
+            end = exact.end() if exact else page.find(">", name.end()) + 1
+            tag = name[0].lower()
+            if end:
+                yield "close" if closing else "open", tag, page[name.end() : end - 1]
+            if end and tag in RAW and not closing:
+                close = RAW_END[tag].search(page, end)
+                end = page.find(">", close.end()) + 1 if close else 0
+        elif page.startswith("<!--", lt):
+            end = page.find("-->", lt + 2) + 3
+            end = 0 if end == 2 else end
+        elif page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt) + 3
+            end = 0 if end == 2 else end
+        else:
+            end = page.find(">", lt) + 1
+        start = at = end or n
+        if not end:
+            return
+    if start < n:
+        yield "text", page[start:], ""
+
+
 def parse(page: str) -> tuple[list[Node], list[Block]]:
-    """Elements in page order and the text blocks, each under its innermost element."""
+    """Elements in page order, parents before their children, and the text blocks, each under its innermost element."""
     root = Node("html", "", "", False, None, 0)
     nodes, blocks, stack = [root], [], [root]
+    count: dict[str, int] = {}  # open elements by tag
     buffer: list[str] = []
-    owner, linked, at, n = root, 0, 0, len(page)
+    owner, linked = root, 0
 
     def flush() -> None:
         nonlocal linked
@@ -112,6 +167,11 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
                 blocks.append(Block(owner, text, min(linked, len(text))))
         linked = 0
 
+    def cut(size: int) -> None:
+        for x in stack[size:]:
+            count[x.tag] -= 1
+        del stack[size:]
+
     def add(text: str) -> None:
         nonlocal owner, linked
         if not buffer:
@@ -123,62 +183,55 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if any(x.tag == "a" for x in stack[-4:]):
             linked += len(text.strip())
 
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m["open"] or m["loose"] or "").lower()
-        if tag:
+    for kind, tag, rest in _tokens(page):
+        if stack[-1].tag == "head" and (kind == "text" and tag.strip() or kind == "open" and tag not in IN_HEAD):
+            flush()
+            cut(len(stack) - 1)  # a head ends with the first thing that is none of its own
+        if kind == "text":
+            add(tag)
+        elif kind == "open":
             if tag == "br":
                 buffer.append(" ") if buffer else None
                 continue
             if tag in BLOCK:
                 flush()
-            if tag in ("html", "body") and any(x.tag == tag for x in stack[1:]):
+            if tag in ("html", "body") and count.get(tag):
                 continue
-            if tag in ENDS_P:
+            if tag in ENDS_P and count.get("p"):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i].tag in BLOCK:
                         break
-            if tag in SAME:
+            if tag in SAME and any(count.get(x) for x in SAME[tag]):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in FENCE[tag]:
                         break
                     if stack[i].tag in SAME[tag]:
-                        del stack[i:]
+                        cut(i)
             elif tag in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
-            attrs = _attributes(m["attrs"] if m["open"] else m["rest"])
+                cut(len(stack) - 1)
+            if tag in VOID or rest.rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
+                continue
+            attrs = _attributes(rest) if rest else {}
             classes = " ".join(sorted(attrs.get("class", "").split()))
             hint = f"{classes} {attrs.get('id', '')} {attrs.get('role', '')}".strip()
             style = attrs.get("style", "").replace(" ", "").lower()
             hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-            closed = (m["attrs"] or m["rest"] or "").rstrip().endswith("/")
-            if tag in VOID or closed and tag not in BLOCK and tag not in RAW:
-                continue
             node = Node(tag, classes, hint, hidden, stack[-1], len(nodes))
             nodes.append(node)
-            stack.append(node)
-            if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
-                stack.pop()
-        elif m["close"]:
-            tag = m["close"].lower()
-            if tag in BLOCK or tag == "p":
+            if tag not in RAW:
+                stack.append(node)
+                count[tag] = count.get(tag, 0) + 1
+        else:
+            if tag in BLOCK:
                 flush()
-            if tag in ("html", "body"):
+            if tag in ("html", "body") or not count.get(tag):
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].tag in CONTAINER and tag not in BLOCK:
                     break
@@ -193,43 +246,54 @@ def _step(node: Node) -> str:
 
 
 def path_of(node: Node) -> str:
-    if not node.path:
-        node.path = (path_of(node.up) + ">" if node.up is not None else "") + _step(node)
+    """A digest of the steps from the root down: equal for equal paths, and short however deep a page is."""
+    line, x = [], node
+    while x is not None and not x.path:
+        line.append(x)
+        x = x.up
+    for x in reversed(line):
+        before = x.up.path if x.up is not None else ""
+        x.path = hashlib.blake2b(f"{before}>{_step(x)}".encode(), digest_size=16).hexdigest()
     return node.path
 
 
+def _holds(node: Node) -> bool:
+    """Whether an element may hold a page's main text; the root does where nothing else is there."""
+    return node.tag in CONTAINER or node.up is None
+
+
 def _boilerplate(node: Node, inside: bool) -> bool:
     """Whether an element and all under it is left out; inside: it lies in the container that was chosen."""
-    if node.tag in SKIP or node.hidden or node.hint and BAD.search(node.hint) and not (node.tag in ("body", "html", "article", "main") or GOOD.search(node.hint) and not inside):
+    if node.tag in SKIP or node.hidden or node.tag == "header":
         return True
-    return node.tag == "header"
-
-
-def _left_out(node: Node | None, top: Node | None, memo: dict) -> bool:
-    if node is None or node is top:
+    if not node.hint or node.tag in ("body", "html", "article", "main") or not BAD.search(node.hint):
         return False
-    if node.order not in memo:
-        memo[node.order] = _boilerplate(node, top is not None) or _left_out(node.up, top, memo)
-    return memo[node.order]
+    return not GOOD.search(node.hint) if not inside else not node.prose or bool(NEVER.search(node.hint))
 
 
 def best_container(nodes: list[Node], blocks: list[Block]) -> Node | None:
-    """The container whose prose scores most."""
-    memo: dict[int, bool] = {}
+    """The container whose prose scores most; a parent gets a share of what its children get."""
+    left: list[bool] = []
+    for x in nodes:
+        left.append((x.up is not None and left[x.up.order]) or _boilerplate(x, False))
+    worths = [0.0] * len(nodes)
     for b in blocks:
-        if _left_out(b.node, None, memo):
+        x = b.node
+        if len(b.text) - b.linked >= PROSE:
+            while x is not None and not x.prose:
+                x.prose, x = True, x.up
+        if left[b.node.order]:
             continue
-        prose = len(b.text) - b.linked
-        worth = prose / 100 + b.text.count(",") * 0.5 + (1 if b.node.tag in ("p", "pre", "blockquote") else 0)
-        worth *= 1 - b.linked / len(b.text)
-        if len(b.text) < 25 and b.node.tag not in ("p", "pre", "blockquote"):
-            worth *= 0.3
-        up, share = b.node, 1.0
-        while up is not None:
-            if up.tag in CONTAINER:
-                up.score += worth * share
-                share *= 0.6 if up.tag not in ("article", "main") else 0.3
-            up = up.up
+        paragraph = b.node.tag in ("p", "pre", "blockquote")
+        worth = ((len(b.text) - b.linked) / 100 + b.text.count(",") * 0.5 + paragraph) * (1 - b.linked / len(b.text))
+        worths[b.node.order] += worth if len(b.text) >= 25 or paragraph else 0.3 * worth
+    for x in reversed(nodes):
+        worth = worths[x.order]
+        if worth and _holds(x):
+            x.score = worth
+            worth *= 0.6 if x.tag not in ("article", "main") else 0.3
+        if x.up is not None:
+            worths[x.up.order] += worth
     scored = [x for x in nodes if x.score > 0]
     if not scored:
         return None
@@ -248,7 +312,7 @@ def _is_links(b: Block) -> bool:
     return b.linked >= 0.9 * len(b.text) and len(b.text) < 80
 
 
-def _menus(kept: list[Block], top: Node) -> set[int]:
+def _menus(kept: list[Block], top: Node, fenced: dict[int, bool], lists: dict[int, Node]) -> set[int]:
     """Places in kept of the blocks of menus without a name: whole lists or divs of links before or after the prose.
 
     An article, a table cell, a list amid the prose or under a heading after it, and anything with a class or id holds its links as content.
@@ -266,15 +330,9 @@ def _menus(kept: list[Block], top: Node) -> set[int]:
     out: set[int] = set()
     under = {}  # whether a menu's first block follows a heading after the prose began
     for i, b in enumerate(kept):
-        if first < i < last or b.node.tag not in ("li", "div", "ul", "ol") or not _is_links(b):
-            continue
-        group, x = b.node, b.node
-        while x is not None and x is not top and x.tag not in ("td", "th", "article", "main"):
-            if x.tag in ("ul", "ol"):
-                group = x
-            x = x.up
-        if x is not None and x is not top:
+        if first < i < last or b.node.tag not in ("li", "div", "ul", "ol") or not _is_links(b) or fenced.get(b.node.order):
             continue
+        group = lists.get(b.node.order, b.node)
         if group.order not in under:
             under[group.order] = i > first and i > 0 and kept[i - 1].node.tag in HEADINGS
         if group is not top and not group.hint and group.order not in said and not under[group.order]:
@@ -282,21 +340,31 @@ def _menus(kept: list[Block], top: Node) -> set[int]:
     return out
 
 
-def text_of(blocks: list[Block], top: Node) -> str:
-    memo: dict[int, bool] = {}
-    kept = []
+def text_of(nodes: list[Node], blocks: list[Block], tops: list[Node]) -> str:
+    """The text under some elements, none of them inside another, in page order."""
+    owner: dict[int, Node] = {x.order: x for x in tops}
+    left, header, fenced = (dict.fromkeys(owner, False) for _ in range(3))
+    lists: dict[int, Node] = {}  # the outermost list that each element is in
+    for x in nodes:
+        if x.order in owner or x.up is None or x.up.order not in owner:
+            continue
+        up = x.up.order
+        owner[x.order] = owner[up]
+        left[x.order] = left[up] or _boilerplate(x, True)
+        header[x.order] = header[up] or x.tag == "header"
+        fenced[x.order] = fenced[up] or x.tag in ("td", "th", "article", "main")
+        if up in lists or x.tag in ("ul", "ol"):
+            lists[x.order] = lists.get(up, x)
+    kept: dict[int, list[Block]] = {x.order: [] for x in tops}
     for b in blocks:
-        x, inside, header = b.node, False, False
-        while x is not None:
-            if x is top:
-                inside = True
-                break
-            header |= x.tag == "header"
-            x = x.up
-        if inside and (header and b.node.tag in HEADINGS and not (b.node.hint and BAD.search(b.node.hint)) or not _left_out(b.node, top, memo)):
-            kept.append(b)
-    menus = _menus(kept, top)
-    return "\n".join(b.text for i, b in enumerate(kept) if i not in menus)
+        k = b.node.order
+        if k in owner and (not left[k] or header[k] and b.node.tag in HEADINGS and not (b.node.hint and BAD.search(b.node.hint))):
+            kept[owner[k].order].append(b)
+    out = []
+    for x in tops:
+        menus = _menus(kept[x.order], x, fenced, lists)
+        out += [b.text for i, b in enumerate(kept[x.order]) if i not in menus]
+    return "\n".join(out)
 
 
 def vote(page: str) -> tuple[str, float, set[str]] | None:
@@ -313,12 +381,10 @@ def extract(page: str, winners: list[str], own: bool = False) -> str:
     if best is None:
         return ""
     for path in [path_of(best)] if own else winners:
-        tops = [x for x in nodes if x.tag in CONTAINER and path_of(x) == path]
-        found = [t for t in (text_of(blocks, x) for x in tops) if t]
-        if found:
-            # a path of several elements, as one of list entries, is the page's main text only all together
-            return "\n".join(found)
-    return text_of(blocks, best)
+        # a path of several elements, as one of list entries, is the page's main text only all together
+        if found := text_of(nodes, blocks, [x for x in nodes if _holds(x) and path_of(x) == path]):
+            return found
+    return text_of(nodes, blocks, [best])
 
 
 def host_of(url):
