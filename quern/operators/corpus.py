@@ -91,23 +91,19 @@ def record(corpus: DataFrame, dimension: DataFrame, site: str = "") -> DataFrame
 
 
 def citation_aliases(dimension: DataFrame) -> DataFrame:
-    """alias and slug: slugs and titles, also without their leading prefixes one after the other, and nicknames."""
-    rows = dimension.select("slug", "english_title").collect()  # a row a collection
-    found: dict[str, str] = {}
-    key = lambda s: "".join(c for c in (s or "").lower() if c not in "‘’'._-" and not c.isspace())
-    for slug, title in rows:
-        for name in (slug, title):
-            n = key(name)
-            if n:
-                found[n] = slug
-            cut = bool(n)
-            while cut:
-                cut = False
-                for p in TITLE_PREFIXES:
-                    if n.startswith(p) and len(n) > len(p):
-                        n, cut = n[len(p) :], True
-                        found[n] = slug
-    return dimension.sparkSession.createDataFrame(sorted((found | NICKNAMES).items()), "alias string, slug string")
+    """alias and slug: the names that citations may use for a collection.
+
+    A name is a slug or a title, whole or less any number of its leading prefixes. No
+    prefix begins another, so a name's run of them falls apart in one way. A name that
+    several collections have means the last of them by slug, a nickname its own always.
+    """
+    prefix = "|".join(TITLE_PREFIXES)
+    names = dimension.select("slug", F.explode(F.array("slug", "english_title")).alias("name")).select("slug", T.title_key(F.col("name")).alias("name"))
+    run = names.withColumn("run", F.regexp_extract_all(F.regexp_extract("name", f"^(?:{prefix})+", 0), F.lit(prefix), F.lit(0)))
+    shorter = F.transform(F.sequence(F.lit(0), F.size("run")), lambda i: F.substring(F.col("name"), F.length(F.array_join(F.slice("run", F.lit(1), i), "")) + 1, F.length("name")))
+    known = dimension.sparkSession.createDataFrame(sorted(NICKNAMES.items()), "alias string, nicknamed string")
+    aliases = run.select("slug", F.explode(shorter).alias("alias")).where("alias <> ''").groupBy("alias").agg(F.max("slug").alias("slug"))
+    return aliases.join(known, "alias", "full").select("alias", F.coalesce("nicknamed", "slug").alias("slug"))
 
 
 def parse_references(references: DataFrame, aliases: DataFrame) -> DataFrame:
