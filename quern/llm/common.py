@@ -9,19 +9,23 @@ import inspect
 import shutil
 import tempfile
 import uuid
+import weakref
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that a broadcast side has at most; beyond them the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes that a broadcast side has at most; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset on a local master one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="quern-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         where = f"file://{where}"
@@ -29,26 +33,59 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Tables that keep() has written and nothing has deleted yet, with what opens their file system.
+_KEPT: dict[str, object] = {}
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends here, and lost executors cost nothing."""
+    """Write df as a table in the shared folder and read it again: lineage ends here, and lost executors cost nothing.
+
+    The table goes when drop() or drop_kept() is called for it, or with the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
+    if not _KEPT:
+        atexit.unregister(_delete_all)
+        atexit.register(_delete_all)
+    _KEPT[path] = spark.sparkContext
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _delete(path: str) -> None:
+    context = _KEPT.pop(path)
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration() if context._jsc is None else context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete_all() -> None:
+    """At the driver's end; its JVM outlives the session."""
+    for path in list(_KEPT):
+        try:
+            _delete(path)
+        except (Py4JError, OSError, AttributeError):  # the JVM has gone, or the file system has
+            return
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that keep() gave and that no plan reads any more."""
+    for table in tables:
+        _delete(_PATHS.pop(table))
 
 
 def drop_kept(spark: SparkSession) -> None:
-    """Delete every table that keep() has written; results that still read them become unusable."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern-*")
-    fs = path.getFileSystem(conf)
-    for found in fs.globStatus(path) or []:
-        fs.delete(found.getPath(), True)
+    """Delete every table that keep() has written in this application; results that still read them become unusable."""
+    for path in [p for p, context in _KEPT.items() if context is spark.sparkContext]:
+        _delete(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most so many rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes (as JSON), else as it is."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if found[0] <= rows and (found[1] or 0) <= size else df
 
 
 #: Rows from which a key is hot, unless a millionth of all rows is more: so at most a million keys are.
@@ -60,9 +97,11 @@ def join_hot(many: DataFrame, one: DataFrame, keys: list[str], size: str, rows:
 
     The rows of hot keys stay where they are and meet a broadcast of those keys, of which
     there are at most a million; all others are joined by a shuffle that has no hot key.
-    many is read twice and should be kept or cheap.
+    many is read twice and should be kept or cheap, and one is kept.
     """
     least = max(HOT_ROWS, rows // BROADCAST_ROWS)
+    if not one.where(F.col(size) >= least).limit(1).count():
+        return many.join(one, keys)
     hot = F.broadcast(one.where(F.col(size) >= least))
     rest = many.join(hot.select(*keys), keys, "left_anti").join(one.where(F.col(size) < least), keys)
     return many.join(hot, keys).unionByName(rest)

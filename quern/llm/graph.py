@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import join_hot, keep
+from quern.llm.common import drop, join_hot, keep
 
 
 def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
@@ -33,7 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == mark or not mark[0]:
             break
-        before = mark
-        state = keep(_star(keep(_star(state, True, mark[0]), "graph"), False, mark[0]), "graph")
+        before, old = mark, state
+        half = keep(_star(old, True, mark[0]), "graph")
+        state = keep(_star(half, False, mark[0]), "graph")
+        drop(old, half)
     own = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     return own.join(state, own["node"] == state["a"], "left").select("node", F.coalesce("b", "node").alias("component"))
