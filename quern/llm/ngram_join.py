@@ -3,25 +3,31 @@
 A document's set is its distinct shingles. Two sets whose Jaccard similarity reaches t
 share a token among the first n - ceil(t * n) + 1 of each, whatever total order the
 tokens are put in. Three independent orders give three such filters, and a pair is a
-candidate only if it passes all of them. In each order tokens that many documents hold
-come last (document frequencies are exact counts over the whole corpus), the others
-stand in hash order.
+candidate only if it passes all of them. In each order tokens that many sets hold
+come last (counted over the whole corpus, a set once for each part of PART bytes that has
+it; any count serves that is the same for all), the others stand in hash order.
 
  1. Equal sets are one class, known by a 128-bit digest; only classes are compared.
- 2. Document frequencies: packed token arrays, counted in hash buckets.
+ 2. Token frequencies: packed token arrays, counted in hash buckets.
  3. Prefixes under the orders, packed likewise; each bucket emits the pairs of classes
     that share a token, once; the orders' pairs are intersected, then thinned by bitmaps.
- 4. A prefix token that too many classes hold emits no pairs: its classes are tied to
-    a node that stands for the token. Each connected component of candidates becomes a
-    cell; a cell of more than `cell` classes becomes blocks, and each pair of blocks a
-    cell of its own. So a group of near copies costs a matrix product, and no task
-    ever holds more than two blocks.
- 5. A cell gets each of its sets once and verifies all its pairs exactly.
- 6. Links give components and counts; both go back to the documents by class.
+ 4. A prefix token that too many classes hold emits no pairs: its classes are tied to a node
+    that stands for the token. Classes that nodes connect are a dense group.
+ 5. Cells. A dense group becomes one cell, or if it is large blocks of bounded number and
+    size, and each pair of blocks a cell. The other pairs' components are cells too; of a
+    large one only those pairs of blocks that hold a pair, with the classes of these pairs.
+    So a chain of candidates costs what its pairs do, and no task holds more than two blocks.
+ 6. A cell gets each of its sets once. It intersects the orders' filters among its own sets
+    (for the tokens of nodes this happens only here), and verifies what passes, exactly.
+ 7. Links give components and counts; both go back to the documents by class.
+
+A dense group of N similar sets takes (N / 1000)^2 / 2 cells: counting links among them is
+quadratic, though no cell is larger than two blocks.
 
 Nulls: a null text has an empty set. Empty sets link with nothing and are their own
-component. A row with a null id gets the component of its class where another row of
-the class has an id, else null. Rows that repeat an id are one document.
+component. Rows are compared by their texts, so rows that repeat an id may be in several
+components; a row with a null id is compared like any other, and the id of a component is the
+least that is not null, or null if all are.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bytesets as B
-from quern.llm.common import as_long, join_hot, keep, lean, small, text_column
+from quern.llm.common import as_long, drop, join_hot, keep, lean, small, text_column
 from quern.llm.graph import components
 
 SIZE, PERCENT = 5, 75
@@ -45,8 +51,10 @@ COMMON = 32
 MOST_COMMON = 4_000_000
 #: Classes that share a token beyond which it is a node of its own instead of pairs.
 MOST_PAIRED = 64
-CELL = 1000
+#: Classes and tokens of a block at most, but for a class that is larger by itself.
+CELL, TOKENS_A_CELL = 1000, 1_000_000
 TOKENS_A_BUCKET = 4_000_000
+_NO_ID = np.iinfo(np.int64).max
 
 
 #: Bytes of text whose sets a worker holds at once.
@@ -113,18 +121,19 @@ def _thinned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, digest, ref, parity of every row."""
+    """doc_id, hash (of the text), n_shingles, digest, ref, parity of every row."""
 
     def sign(batches):
         for batch in batches:
             n, digests, parity = [], [], []
-            for s in _sets(batch.column(1), size):
+            for s in _sets(batch.column(2), size):
                 n.append(len(s))
                 digests.append(_digest(s))
                 parity.append(_parity(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([_ref(d) for d in digests], pa.int64()), pa.array(parity, pa.binary())], names=["doc_id", "n_shingles", "digest", "ref", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([_ref(d) for d in digests], pa.int64()), pa.array(parity, pa.binary())], names=["doc_id", "hash", "n_shingles", "digest", "ref", "parity"])
 
-    return docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text")).mapInArrow(lean(sign), "doc_id long, n_shingles long, digest binary, ref long, parity binary")
+    texts = docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
+    return texts.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(lean(sign), "doc_id long, hash long, n_shingles long, digest binary, ref long, parity binary")
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -136,7 +145,7 @@ def _cuts(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def common_tokens(texts: DataFrame, size: int, buckets: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (bucket << 32 | token) of tokens that at least so many documents hold, and their counts."""
+    """Sorted (bucket << 32 | token) of tokens that at least so many sets hold, and their counts; a set counts once a part."""
 
     def count(batches):
         for seen in _parts(batches, size):
@@ -144,12 +153,12 @@ def common_tokens(texts: DataFrame, size: int, buckets: int, least: int) -> tupl
             where = _bucket(tokens, buckets)
             order = np.argsort(where.astype(np.uint16) if buckets <= 65536 else where, kind="stable")
             cuts = _cuts(where[order])
-            rows = [(where[o[0]], tokens[o].astype("<u4").tobytes(), np.minimum(counts[o], 65535).astype("<u2").tobytes()) for o in (order[a:b] for a, b in zip(cuts, cuts[1:], strict=False))]
+            rows = [(where[o[0]], tokens[o].astype("<u4").tobytes(), counts[o].astype("<u4").tobytes()) for o in (order[a:b] for a, b in zip(cuts, cuts[1:], strict=False))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
         tokens = np.concatenate([np.frombuffer(x, "<u4") for x in table["tokens"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<u2") for x in table["counts"].to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
         found, at = np.unique(tokens, return_inverse=True)
         sums = np.bincount(at, counts).astype(np.int64)
         kept = sums >= least
@@ -166,9 +175,31 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def candidates(texts: DataFrame, size: int, percent: int, buckets: int, common: np.ndarray, dense: np.ndarray, seeds=SEEDS) -> DataFrame:
-    """Pairs (a, b) of class numbers, or of one and a token's node, that every order lets pass."""
-    shared = texts.sparkSession.sparkContext.broadcast((common, dense))
+def _ids(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    return _bucket(tokens, buckets) << 32 | (tokens & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _found(ids: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which ids are common tokens, and their places among these."""
+    at = np.minimum(np.searchsorted(common, ids), max(0, len(common) - 1))
+    return (common[at] == ids if len(common) else np.zeros(len(ids), bool)), at
+
+
+def _prefixes(tokens: np.ndarray, is_common: np.ndarray, sizes: np.ndarray, percent: int, seeds):
+    """For each order the places in tokens of the sets' prefixes, set by set, and the prefixes' lengths."""
+    first = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    lengths = [_prefix_length(int(n), percent) for n in sizes]
+    for seed in seeds:
+        key = B.mix(tokens ^ np.uint64(seed)) >> np.uint64(1)
+        key[is_common] |= np.uint64(1 << 63)
+        yield np.concatenate([first[i] + (np.argpartition(key[first[i] : first[i + 1]], p - 1)[:p] if p < n else np.arange(n)) for i, (n, p) in enumerate(zip(sizes, lengths, strict=True))]), lengths
+
+
+def candidates(texts: DataFrame, size: int, percent: int, buckets: int, shared, seeds=SEEDS) -> DataFrame:
+    """Pairs (a, b) of class numbers that every order lets pass, and of classes with the nodes of tokens in any order.
+
+    shared: a broadcast of the sorted ids of common tokens, and which of them always are nodes.
+    """
     every = (1 << len(seeds)) - 1
 
     def prefixes(batches):
@@ -178,20 +209,11 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, common:
             if not sets:
                 continue
             tokens = np.concatenate(sets)
-            ids = _bucket(tokens, buckets) << 32 | (tokens & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            is_common = np.zeros(len(ids), bool)
-            is_dense = is_common.copy()
-            if len(common):
-                at = np.minimum(np.searchsorted(common, ids), len(common) - 1)
-                is_common = common[at] == ids
-                is_dense = is_common & dense[at]
+            ids = _ids(tokens, buckets)
+            is_common, at = _found(ids, common)
+            is_dense = is_common & dense[at] if len(common) else is_common
             refs_, sizes_ = np.array([_ref(d) for d in digests], "<i8"), np.array([len(s) for s in sets], "<u4")
-            first = np.r_[0, np.cumsum(sizes_, dtype=np.int64)]
-            lengths = [_prefix_length(len(s), percent) for s in sets]
-            for o, seed in enumerate(seeds):
-                key = B.mix(tokens ^ np.uint64(seed)) >> np.uint64(1)
-                key[is_common] |= np.uint64(1 << 63)
-                chosen = np.concatenate([first[i] + (np.argpartition(key[first[i] : first[i + 1]], p - 1)[:p] if p < len(s) else np.arange(len(s))) for i, (s, p) in enumerate(zip(sets, lengths, strict=True))])
+            for o, (chosen, lengths) in enumerate(_prefixes(tokens, is_common, sizes_, percent, seeds)):
                 owner = np.repeat(np.arange(len(sets)), lengths)
                 refs, sizes, chosen_ids, heavy = refs_, sizes_, ids[chosen], is_dense[chosen]
                 # tokens with a node of their own need no company: they go to any bucket, below zero
@@ -275,29 +297,60 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def verify(cells: DataFrame, percent: int) -> DataFrame:
-    """Links of cells (comp, x, y, block, node, copies, tokens): node, root (least node linked in the cell), links."""
+def _candidate_pairs(sets: list[np.ndarray], sizes: np.ndarray, percent: int, buckets: int, common: np.ndarray, seeds) -> np.ndarray:
+    """Which pairs of sets pass the filters of all orders and that of sizes."""
+    tokens = np.concatenate(sets)
+    is_common, _ = _found(_ids(tokens, buckets), common)
+    out = 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
+    np.fill_diagonal(out, False)
+    for chosen, lengths in _prefixes(tokens, is_common, sizes, percent, seeds):
+        if not out.any():
+            break
+        out &= _overlaps(np.split(tokens[chosen], np.cumsum(lengths)[:-1])) > 0
+    return out
+
+
+def _shared(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of these pairs, 0 for all others."""
+    i, j = np.nonzero(np.triu(pairs))
+    if len(i) > 4 * len(sets):
+        used = np.flatnonzero(pairs.any(1))
+        out = np.zeros(pairs.shape, np.int64)
+        out[np.ix_(used, used)] = _overlaps([sets[k] for k in used])
+        return np.where(pairs, out, 0)
+    out = np.zeros(pairs.shape, np.int64)
+    for a, b in zip(i, j, strict=True):
+        out[a, b] = out[b, a] = len(sets[a]) + len(sets[b]) - len(np.union1d(sets[a], sets[b]))
+    return out
+
+
+def verify(cells: DataFrame, percent: int, buckets: int, shared, seeds=SEEDS) -> DataFrame:
+    """Links of cells (comp, x, y, block, dense, num, copies, tokens): num, root (least num linked in the cell), links.
+
+    Of two blocks only pairs across count, and outside dense groups only pairs that are in none together.
+    """
 
     def links(rows):
         x, y = rows[0][1], rows[0][2]
-        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        sets = [np.frombuffer(r[7], np.uint64) for r in rows]
         sizes = np.array([len(s) for s in sets], np.int64)
-        block = np.array([r[3] for r in rows])
-        copies = np.array([r[5] for r in rows], np.int64)
-        both = _overlaps(sets)
-        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-        np.fill_diagonal(linked, False)
-        if x != y:
-            linked &= block[:, None] != block[None, :]
-        node = np.array([r[4] for r in rows], np.int64)
-        root = node.copy()
+        block, dense, num, copies = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+        apart = block[:, None] != block if x != y else np.ones((len(rows),) * 2, bool)
+        if rows[0][0] >= 0:
+            apart &= (dense[:, None] != dense) | (dense >= 0)
+        linked = np.zeros_like(apart)
+        pairs = _candidate_pairs(sets, sizes, percent, buckets, shared.value[0], seeds) & apart
+        if pairs.any():
+            both = _shared(sets, pairs)
+            linked = pairs & (100 * both >= percent * (sizes[:, None] + sizes - both))
+        root = num.copy()
         while True:
             least = np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1)
             new = np.minimum(root, least)
             if (new == root).all():
                 break
             root = new
-        return node, root, linked.astype(np.int64) @ copies
+        return num, root, linked.astype(np.int64) @ copies
 
     def run(batches):
         held: list[tuple] = []
@@ -307,51 +360,98 @@ def verify(cells: DataFrame, percent: int) -> DataFrame:
                 if held and held[-1][:3] != row[:3]:
                     done.append(links(held))
                     held = []
-                held.append(row)
+                if not held or held[-1][5] != row[5]:  # rows of one id and text ship their set alike
+                    held.append(row)
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[k] for d in done])) for k in range(3)], names=["node", "root", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([d[k] for d in done])) for k in range(3)], names=["num", "root", "links"])
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in links(held)], names=["node", "root", "links"])
-
-    columns = ["comp", "x", "y", "block", "node", "copies", "tokens"]
-    return cells.select(columns).repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y").mapInArrow(lean(run), "node long, root long, links long")
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in links(held)], names=["num", "root", "links"])
+
+    columns = ["comp", "x", "y", "block", "dense", "num", "copies", "tokens"]
+    return cells.select(columns).repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y", "num").mapInArrow(lean(run), "num long, root long, links long")
+
+
+def _blocks(members: DataFrame, cell: int, tokens: int) -> DataFrame:
+    """members (ref, comp, n, ...) with the number of blocks of their group and their own."""
+    counted = members.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cell), F.ceil(F.sum("n") / tokens)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
+    counted = keep(counted, "join-blocks")
+    joined = join_hot(members, counted, ["comp"], "size", members.count())
+    return joined.withColumn("block", F.pmod(F.xxhash64("ref", F.lit(1)), F.col("blocks")).cast("int")).drop("size")
+
+
+def _places(pairs: DataFrame, classes: DataFrame, cell: int, tokens: int) -> DataFrame:
+    """ref, dense (its dense group, or 0), and places: an array of (comp, x, y, block), a cell each, for every class that a cell needs."""
+    place = lambda x, y: F.struct("comp", F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), "block")
+    sizes = classes.groupBy("ref").agg(F.max("n").alias("n"))
+    dense = keep(components(pairs.where("a < 0")).where("node >= 0").select(F.col("node").alias("ref"), F.col("component").alias("comp")), "join-dense")
+    tied = keep(_blocks(dense.join(sizes, "ref"), cell, tokens), "join-tied")
+    every = tied.select("ref", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("ref", place(F.col("block"), F.col("other")).alias("place"))
+    in_group = lambda name: dense.select(F.col("ref").alias(name), F.col("comp").alias(f"{name}_group"))
+    rest = pairs.where("a >= 0").join(in_group("a"), "a", "left").join(in_group("b"), "b", "left").where("a_group IS NULL OR b_group IS NULL OR a_group <> b_group").select("a", "b")
+    rest = keep(rest, "join-rest")
+    loose = components(rest).select(F.col("node").alias("ref"), F.col("component").alias("comp"))
+    loose = keep(_blocks(loose.join(sizes, "ref"), cell, tokens), "join-loose")
+    whole = loose.where("blocks = 1").select("ref", place(F.col("block"), F.col("block")).alias("place"))
+    large = loose.where("blocks > 1").select("ref", "comp", "block")
+    both = rest.join(large.withColumnRenamed("ref", "a"), "a").join(large.select(F.col("ref").alias("b"), F.col("block").alias("other")), "b")
+    ends = both.select(F.col("a").alias("ref"), "comp", "block", "other").unionByName(both.select(F.col("b").alias("ref"), "comp", F.col("other").alias("block"), F.col("block").alias("other")))
+    parts = ends.select("ref", place(F.col("block"), F.col("other")).alias("place")).distinct()
+    gathered = every.unionByName(whole).unionByName(parts).groupBy("ref").agg(F.collect_list("place").alias("places"))  # at most a place a block
+    return gathered.join(dense.select("ref", F.col("comp").alias("dense")), "ref", "left").select("ref", F.coalesce("dense", F.lit(0)).alias("dense"), "places")
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, cell: int = CELL, tokens_a_bucket: int = TOKENS_A_BUCKET, common: int = COMMON) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links), n_links (other rows it links with)."""
+    return row_groups(docs, id_col=id_col, text_col=text_col, size=size, percent=percent, cell=cell, tokens_a_bucket=tokens_a_bucket, common=common).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def row_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, cell: int = CELL, tokens_a_bucket: int = TOKENS_A_BUCKET, common: int = COMMON) -> DataFrame:
+    """similar_groups() with hash (xxhash64 of the row's text), and first: whether the row stands for its component.
+
+    That is the row of the least id there, a null id last, of equal ids the least hash; of rows
+    equal in both all are marked. A row of an empty set stands for itself.
+    """
     texts = docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
     signed = keep(signatures(texts, size=size), "join-signatures")
-    classes = keep(signed.where("n_shingles > 0").groupBy("digest", "ref").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity")), "join-classes")
+    own = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "hash")
+    found = signed.where("n_shingles > 0").groupBy("digest", "ref").agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"))
+    classes = keep(found.withColumn("num", F.monotonically_increasing_id()), "join-classes")
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(total // tokens_a_bucket) + 8
-    tokens, counts = common_tokens(texts.select("text"), size, buckets, max(common, total // MOST_COMMON))
-    pairs = keep(candidates(texts.select("text"), size, percent, buckets, tokens, counts > 4 * max(common, total // MOST_COMMON)), "join-pairs")
-    pairs = keep(_thinned(pairs, classes, percent), "join-pairs")
-    group = components(pairs).where("node >= 0").select(F.col("node").alias("ref"), F.col("component").alias("comp"))
-    member = classes.drop("parity").where("node IS NOT NULL").join(group, "ref")
-    counted = member.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("blocks"))
-    member = keep(member.join(counted, "comp").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")), "join-members")
-
-    schema = "comp long, blocks int, block int, node long, copies long, tokens binary"
+    least = max(common, total // MOST_COMMON)
+    tokens, counts = common_tokens(texts.select("text"), size, buckets, least)
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, counts > 4 * least))
+    raw = keep(candidates(texts.select("text"), size, percent, buckets, shared), "join-pairs")
+    pairs = keep(_thinned(raw, classes, percent), "join-pairs")
+    drop(raw)
+    member = classes.drop("parity", "n").join(_places(pairs, classes, cell, TOKENS_A_CELL), "ref").select(F.col("own.id").alias("id"), F.col("own.hash").alias("hash"), "digest", "num", "copies", "dense", "places")
+    member = keep(member, "join-members")
 
     def ship(batches):
         for batch in batches:
             kept = [(i, s) for i, (s, d) in enumerate(zip(_sets(batch.column(0), size), batch.column(1).to_pylist(), strict=True)) if _digest(s) == d]
             picked = batch.take(pa.array([i for i, _ in kept], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*picked.columns[2:], pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["comp", "blocks", "block", "node", "copies", "tokens"])
-
-    sets = texts.join(small(member.withColumnRenamed("node", "doc_id")), "doc_id").select("text", "digest", "comp", "blocks", "block", F.col("doc_id").alias("node"), "copies").mapInArrow(lean(ship), schema)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = sets.select("*", other).select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    found = keep(verify(cells, percent), "join-links")
-    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b"))
-    degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    by_class = classes.join(joined, "node", "left").join(degree, "node", "left").select(
-        "digest", "copies", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    filled = join_hot(signed.where("n_shingles > 0").select("doc_id", "n_shingles", "digest"), keep(by_class, "join-classes"), ["digest"], "copies", signed.count())
-    blank = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return filled.select(*blank.columns).unionByName(blank)
+            yield pa.RecordBatch.from_arrays([*picked.columns[2:], pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["num", "copies", "dense", "places", "tokens"])
+
+    named = texts.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("hash"), "text")
+    schema = "num long, copies long, dense long, places array<struct<comp:long,x:int,y:int,block:int>>, tokens binary"
+    sets = named.join(small(member), ["id", "hash"]).select("text", "digest", "num", "copies", "dense", "places").mapInArrow(lean(ship), schema)
+    cells = sets.select("num", "copies", "dense", "tokens", F.explode("places").alias("place")).select("place.*", "num", "copies", "dense", "tokens")
+    links = keep(verify(cells, percent, buckets, shared), "join-links")
+    joined = components(links.select(F.col("num").alias("a"), F.col("root").alias("b")).where("a <> b"))
+    degree = links.groupBy("num").agg(F.sum("links").alias("links"))
+    grouped = classes.select("num", "digest", "copies", "own").join(joined.withColumnRenamed("node", "num"), "num", "left").join(degree, "num", "left")
+    grouped = keep(grouped.select("digest", "copies", "own", F.coalesce("component", "num").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "join-grouped")
+    heads = keep(grouped.groupBy("component").agg(F.min("own").alias("head"), F.count(F.lit(1)).alias("size")), "join-heads")
+    by_class = join_hot(grouped.drop("own"), heads, ["component"], "size", grouped.count())
+    rows = signed.where("n_shingles > 0").select("doc_id", "hash", "n_shingles", "digest")
+    filled = join_hot(rows, keep(by_class.select("digest", "copies", "n_links", "head"), "join-classes"), ["digest"], "copies", signed.count())
+    filled = filled.select(
+        "doc_id", "hash", "n_shingles", F.nullif(F.col("head.id"), F.lit(_NO_ID)).alias("component_id"), "n_links",
+        ((F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("head.id")) & (F.col("hash") == F.col("head.hash"))).alias("first"),
+    )
+    blank = signed.where("n_shingles = 0").select("doc_id", "hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return filled.unionByName(blank)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
