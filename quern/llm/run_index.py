@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from quern.llm import bytesets as B
-
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes in order, by prefix doubling from eight symbols up. text: uint8."""
@@ -35,86 +33,90 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
+#: Pairs of suffixes that are compared at once.
+PAIRS = 1 << 14
+
+
+def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes the suffixes at a and at b share, compared byte by byte."""
+    if len(a) > PAIRS:
+        return np.concatenate([common_prefixes(text, a[i : i + PAIRS], b[i : i + PAIRS]) for i in range(0, len(a), PAIRS)])
+    out = np.zeros(len(a), np.int64)
+    live, step = np.flatnonzero(np.maximum(a, b) < len(text)), 32
+    while len(live):
+        x, y = a[live] + out[live], b[live] + out[live]
+        room = np.minimum(step, len(text) - np.maximum(x, y))
+        span = np.minimum(np.arange(step), room[:, None] - 1)
+        differ = (text[x[:, None] + span] != text[y[:, None] + span]) | (np.arange(step) >= room[:, None])
+        n = np.where(differ.any(1), differ.argmax(1), step)
+        out[live] += n
+        live = live[(n == step) & (np.maximum(x, y) + step < len(text))]
+        step = min(256, 2 * step)
+    return out
+
+
 class RunIndex:
-    """Texts joined by zero bytes, as runs of their transform.
+    """Texts joined by zero bytes, as runs of their Burrows-Wheeler transform with sampled run ends.
 
-    Kept: the symbol, first row and first target row of each run; the text positions at
-    the first and last row of each run; the row of each text's end; and, for every set
-    of positions whose next `least` symbols agree, its rows and the earliest position.
+    Kept are, for each run, its symbol and first row, the text positions at its first and last
+    row, and one length. That is all that matching statistics need. If the rows of two
+    neighbouring suffixes lie in one run, the suffixes that are one symbol longer are
+    neighbours too and share one symbol more. So the neighbour above a position, and what it
+    shares with it, follow from those of the next position to the right that stands before the
+    first row of a run; and the neighbour above that one stands before the last row of the run
+    before it, in the order of runs by symbol.
     """
 
     def __init__(self, texts: list[bytes], least: int, usable: list[int]):
         """usable: how many first positions of each text may start a match."""
         joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         lengths = np.array([len(t) for t in texts], np.int64)
-        self.ends = np.cumsum(lengths + 1) - 1
-        self.starts = self.ends - lengths
-        self.least = least
+        self.starts = np.cumsum(lengths + 1) - 1 - lengths
+        self.size, self.least, self.usable = len(joined), least, np.array(usable, np.int64)
         rows = suffix_array(joined)
-        before = joined[rows - 1]
+        before = np.where(rows == 0, 256, joined[rows - 1].astype(np.int64))  # nothing stands before the first position
         self.first = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
         self.symbol = before[self.first]
-        sizes = np.diff(np.r_[self.first, len(before)])
-        self.sample_first, self.sample_last = rows[self.first], rows[self.first + sizes - 1]
-        by_symbol = np.argsort(self.symbol, kind="stable")
-        self.target = np.empty(len(sizes), np.int64)
-        self.target[by_symbol] = np.cumsum(sizes[by_symbol]) - sizes[by_symbol]
-        inverse = np.empty(len(rows), np.int64)
-        inverse[rows] = np.arange(len(rows))
-        self.end_rows = inverse[self.ends]
-        # rows whose suffixes share their next `least` symbols with the row before
-        allowed = np.zeros(len(joined), bool)
-        for s, k in zip(self.starts, usable, strict=True):
-            allowed[s : s + k] = True
-        sums = B.prefix_sums(joined)
-        hashes = np.zeros(len(joined), np.uint64)
-        at = np.flatnonzero(allowed)
-        hashes[at] = B.span_hash(sums, at, at + least)
-        ok = np.flatnonzero(allowed[rows])
-        a, b = rows[ok[:-1]], rows[ok[1:]]
-        same = hashes[a] == hashes[b]
-        for part in range(0, int(same.sum()), 1 << 16):  # equal hashes are compared byte by byte
-            which = np.flatnonzero(same)[part : part + (1 << 16)]
-            span = np.arange(least)
-            same[which] &= (joined[a[which][:, None] + span] == joined[b[which][:, None] + span]).all(1)
-        group = np.cumsum(np.r_[0, ~same]) if len(ok) else np.empty(0, np.int64)
-        earliest = np.full(int(group[-1]) + 1 if len(ok) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(earliest, group, rows[ok])
-        several = np.bincount(group) > 1 if len(ok) else np.empty(0, bool)
-        kept = several[group] if len(ok) else np.empty(0, bool)
-        self.long_rows, self.long_earliest = ok[kept], earliest[group[kept]]
-
-    def step(self, row: np.ndarray) -> np.ndarray:
-        """The rows of the positions one to the left."""
-        run = np.searchsorted(self.first, row, "right") - 1
-        return self.target[run] + row - self.first[run]
+        last = np.r_[self.first[1:], len(before)] - 1
+        self.sample_first, self.sample_last = rows[self.first], rows[last]
+        at, above = self._ends()
+        self.shared = common_prefixes(joined, at, above)
+
+    def _ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each run by symbol the position before its first row, and the neighbour above that.
+
+        Above all stands the last zero byte alone.
+        """
+        order = np.argsort(self.symbol, kind="stable")
+        order = order[self.symbol[order] < 256]
+        return self.sample_first[order] - 1, np.r_[self.size - 1, self.sample_last[order[:-1]] - 1][: len(order)]
+
+    def matching_statistics(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For positions of the joined texts their neighbours above, and how many symbols each shares with its own.
+
+        A position is streamed from the sampled one at or after it; from right to left a match grows by a symbol.
+        """
+        ends, above = self._ends()
+        order = np.argsort(ends)
+        ends, above, shared = (np.r_[x[order], tail] for x, tail in ((ends, self.size), (above, self.size), (self.shared, 0)))
+        k = np.searchsorted(ends, at)  # the last zero byte alone has none
+        back, found = ends[k] - at, ends[k] < self.size
+        return np.where(found, above[k] - back, -1), np.where(found, shared[k] + back, 0)
 
     def repeated(self) -> list[np.ndarray]:
         """For each text its positions whose next `least` symbols also start earlier.
 
-        All texts are streamed from their ends to their starts at once. A row inside a
-        long interval has a matching statistic of at least `least`, with the earliest
-        position there as witness.
+        Positions whose matches are that long hang together, neighbour by neighbour; of each such
+        interval the earliest usable position is the witness.
         """
-        out: list[list[int]] = [[] for _ in self.ends]
-        live = np.arange(len(self.ends))
-        row, at = self.end_rows.copy(), self.ends.copy()
-        if not len(self.long_rows):
-            return [np.empty(0, np.int64) for _ in out]
-        found_text, found_at = [], []
-        while True:
-            going = at > self.starts[live]
-            live, row, at = live[going], row[going], at[going]
-            if not len(live):
-                break
-            row = self.step(row)
-            at = at - 1
-            k = np.minimum(np.searchsorted(self.long_rows, row), len(self.long_rows) - 1)
-            hit = (self.long_rows[k] == row) & (self.long_earliest[k] < at)
-            found_text.append(live[hit])
-            found_at.append(at[hit])
-        text, position = np.concatenate(found_text), np.concatenate(found_at)
-        order = np.lexsort((position, text))
-        text, position = text[order], position[order]
-        cuts = np.searchsorted(text, np.arange(len(self.ends) + 1))
-        return [position[cuts[i] : cuts[i + 1]] - self.starts[i] for i in range(len(self.ends))]
+        every = np.arange(self.size)
+        above, shared = self.matching_statistics(every)
+        top = np.where(shared >= self.least, above, every)
+        for _ in range(self.size.bit_length()):  # each round doubles how far up a position looks
+            top = top[top]
+        at = np.concatenate([np.empty(0, np.int64), *(s + np.arange(k) for s, k in zip(self.starts, self.usable, strict=True))])
+        earliest = np.full(self.size, self.size)
+        np.minimum.at(earliest, top[at], at)
+        again = at[earliest[top[at]] < at]
+        cuts = np.searchsorted(again, np.r_[self.starts, self.size])
+        return [again[a:b] - s for a, b, s in zip(cuts, cuts[1:], self.starts, strict=False)]

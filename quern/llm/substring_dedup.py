@@ -10,16 +10,20 @@ corpus, by document id and then by position. All comparisons are of the input.
     one of its own (same anchor, same context) and passes on only first ones, packed in
     arrays and dealt by the anchor's hash.
  2. Buckets. Occurrences with an equal context are copies: all but the earliest are
-    marked whole. An anchor that several contexts share makes these variants.
+    marked whole. They are known by 128 bits, the hashes of anchor and context. An anchor
+    that several contexts share makes these variants.
  3. Index. The variants' bytes are fetched, dealt by anchor again, and each bucket builds
     the run-length compressed Burrows-Wheeler transform of its variants with sampled run
-    ends (run_index.py). The variants are streamed through it; positions whose matching
-    statistic against an earlier text reaches `least` are marked.
+    ends (run_index.py). The variants' positions are streamed through it; those whose
+    matching statistics hang together with an earlier one at `least` bytes are marked.
+    These matches are compared byte by byte.
  4. Marks go back to their documents, and are cut out.
 
 An anchor that many different contexts share (a frequent line shorter than `least`) would
 gather in one bucket; such anchors are found by a pass over all documents, and each of
-their windows is an occurrence by itself, dealt by the hash of its own bytes.
+their windows is an occurrence by itself, dealt by the hash of its own bytes and known by 128
+bits. Which way an anchor goes changes no result, only where the work is done; so contexts are
+counted by those of one hash in SAMPLED. There are at most MOST_FREQUENT such anchors.
 
 Texts are shuffled only where the requests or the marks are too large to broadcast.
 
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import bytesets as B
-from quern.llm.common import as_long, keep, lean, text_column
+from quern.llm.common import as_long, drop, keep, lean, text_column
 from quern.llm.run_index import RunIndex
 
 LEAST = 100
@@ -43,8 +47,10 @@ LEAST = 100
 GAP = 64
 #: Bytes of text that a task holds occurrences of at once, and of a bucket of the first and second kind.
 PART, BUCKET, INDEXED = 8 << 20, 12 << 20, 256 << 10
-#: Contexts of one anchor in one part that make it frequent there, and the share of parts where it is.
-CONTEXTS, SHARE = 16, 0.01
+#: Contexts that make an anchor frequent, if the corpus has not so many that more than MOST_FREQUENT anchors could have them.
+CONTEXTS, MOST_FREQUENT = 2000, 4_000_000
+#: One in so many contexts is counted.
+SAMPLED = 64
 #: Bytes of requests or marks that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 64 << 20
 #: A document is read in pieces of this many bytes, which overlap by a window.
@@ -108,25 +114,22 @@ def _occurrences(column: pa.Array, least: int):
 
 
 def frequent_anchors(texts: DataFrame, least: int) -> np.ndarray:
-    """Sorted hashes of anchors that have many contexts in many parts of the corpus."""
+    """Sorted hashes of anchors that have many contexts in the corpus."""
 
     def count(batches):
         for batch in batches:
             for found, _ in _occurrences(batch.column(0), least):
                 if found is None:
                     continue
-                anchors, rows = np.unique(found[4], return_counts=True)
-                often = np.isin(found[4], anchors[rows >= CONTEXTS])
-                pairs = np.unique(np.stack([found[4][often], found[5][often]], 1), axis=0)
-                anchors, contexts = np.unique(pairs[:, 0], return_counts=True)
-                many = anchors[contexts >= CONTEXTS].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[many, 0]), pa.array(np.r_[np.zeros(len(many), bool), True])], names=["hash", "part"])
-
-    counted = texts.mapInArrow(lean(count), "hash long, part boolean").groupBy("hash", "part").count()
-    counted = keep(counted, "repeat-frequent")
-    parts = counted.where("part").agg(F.sum("count")).first()[0] or 0
-    # a part of PART bytes has few of them, so their number is bounded by that over SHARE
-    found = counted.where(~F.col("part") & (F.col("count") >= F.lit(max(1.0, SHARE * parts)))).select("hash").toArrow()
+                picked = found[5] >> np.uint64(32) < np.uint64(max(1, (1 << 32) // SAMPLED))
+                pairs = np.unique(np.stack([found[4][picked], found[5][picked]], 1), axis=0).astype(np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hash", "context"])
+
+    contexts = keep(texts.mapInArrow(lean(count), "hash long, context long").groupBy("hash", "context").count(), "repeat-contexts")
+    by_anchor = contexts.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    least_sampled = max(CONTEXTS // SAMPLED, 2, contexts.count() // MOST_FREQUENT)
+    found = by_anchor.where(F.col("n") >= least_sampled).select("hash").toArrow()  # at most MOST_FREQUENT
+    drop(contexts)
     return np.sort(found["hash"].to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -236,11 +239,13 @@ def repeat_marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                         n = (last - s + 1)[hot]
                         each = np.repeat(s[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                         rows = np.repeat(row[hot], n)
-                        window = np.empty(len(each), np.uint64)
-                        for r in np.unique(rows):
-                            own = rows == r
-                            window[own] = B.span_hash(B.prefix_sums(data[offsets[r] : offsets[r + 1]]), each[own], each[own] + least)
-                        row, s, last, p, h, c = (np.r_[x[~hot], y] for x, y in ((row, rows), (s, each), (last, each), (p, each), (h, B.mix(window + B.MIX2)), (c, window)))
+                        window, halves = np.empty(len(each), np.uint64), np.empty(len(each), np.uint64)
+                        cuts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1], True])  # occurrences stand in order of their rows
+                        for a, b in zip(cuts, cuts[1:], strict=False):
+                            sums, at = B.prefix_sums(data[offsets[rows[a]] : offsets[rows[a] + 1]]), each[a:b]
+                            window[a:b] = B.span_hash(sums, at, at + least)
+                            halves[a:b] = B.mix(B.span_hash(sums, at, at + least // 2) * B.BASE + B.span_hash(sums, at + least // 2, at + least))
+                        row, s, last, p, h, c = (np.r_[x[~hot], y] for x, y in ((row, rows), (s, each), (last, each), (p, each), (h, halves), (c, window)))
                 e = np.empty(len(row), _ENTRY)
                 e["h"], e["c"], e["doc"], e["text"], e["s"], e["n"], e["a"] = h, c, doc[row], text_hash[row], s, last - s, p - s
                 order, first, later = _firsts(e)
