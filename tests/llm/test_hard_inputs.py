@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from quern.llm import html_extract, packing, pii
+from quern.llm import html_extract, packing, pii, run_index, substring_dedup
 
 PROSE = "<p>The story, as it is told, goes on, and on, and ends well, as it should, for all of them who hear it.</p>"
 SAID = PROSE[3:-4]
@@ -231,3 +231,65 @@ def test_stretches_change_nothing(monkeypatch):
 
     monkeypatch.setattr(pii, "_stretches", whole)
     assert parts == [pii.decode(t, weights) for t in texts]
+
+
+def test_run_index_is_run_sized_and_needs_every_sample():
+    """Runs stay few where texts repeat, and without a sampled run end repeats are missed or invented."""
+    rng = random.Random(6)
+    base = bytes(rng.choice(b"abcdefghij ") for _ in range(400))
+    texts = []
+    for _ in range(200):
+        text = bytearray(base)
+        text[rng.randrange(400)] = ord("x")
+        texts.append(bytes(text))
+    index = run_index.RunIndex(texts, 100, [301] * 200)
+    assert len(index.symbol) == len(index.sample_first) == len(index.sample_last) == len(index.first) < index.size / 20
+    whole = [f.tolist() for f in index.repeated()]
+    seen, want = set(), []
+    for text in texts:
+        want.append([p for p in range(301) if text[p : p + 100] in seen])
+        seen |= {text[p : p + 100] for p in range(301)}
+    assert whole == want
+    changed = 0
+    for name in ("sample_first", "sample_last"):
+        for k in rng.sample(range(len(index.symbol)), 40):
+            sample = getattr(index, name)
+            old, sample[k] = sample[k], 1
+            changed += [f.tolist() for f in index.repeated()] != whole
+            sample[k] = old
+    assert changed >= 40 and [f.tolist() for f in index.repeated()] == whole
+
+
+def test_matching_statistics_against_the_suffix_array():
+    rng = random.Random(7)
+    for _ in range(60):
+        parts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(1, 20))) for _ in range(3)]
+        texts = [b"".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 5))]
+        joined = b"\0".join(texts) + b"\0"
+        above, shared = run_index.RunIndex(texts, 8, [0] * len(texts)).matching_statistics(np.arange(len(joined)))
+        order = sorted(range(len(joined)), key=lambda i: joined[i:])
+        for i, j in zip(order[1:], order, strict=False):
+            same = 0
+            while max(i, j) + same < len(joined) and joined[i + same] == joined[j + same]:
+                same += 1
+            assert shared[i] == same and (above[i] == j or not same)
+
+
+@pytest.mark.parametrize("sampled", [1, 2])
+def test_substring_dedup_window_by_window(spark, monkeypatch, sampled):
+    """Frequent anchors go window by window, with the same result."""
+    line = "a line of about eighty bytes that very many of the documents here have in common"
+    rng = random.Random(8)
+    noise = lambda: "".join(rng.choice("xyz") for _ in range(150))
+    rows = [(i, noise() + line + noise()) for i in range(60)]
+    rows += [(i + 100, t + line + t) for i, t in rows[:10]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def found():
+        return sorted(map(tuple, substring_dedup.digest_of(substring_dedup.cut(docs)).collect()))
+
+    plain = found()
+    monkeypatch.setattr(substring_dedup, "CONTEXTS", 4)
+    monkeypatch.setattr(substring_dedup, "SAMPLED", sampled)
+    assert len(substring_dedup.frequent_anchors(docs.select("text"), 100))
+    assert found() == plain
