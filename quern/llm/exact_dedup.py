@@ -9,8 +9,9 @@ each block only carries its name back to the documents; if two distinct blocks e
 share one, the blocks themselves are the join key instead.
 
 Only distinct block contents are shuffled, after a map-side combine, so a block that
-a third of all documents hold costs one row a task. Rows of a hot group meet their
-group by a broadcast of the hot groups, never in one task.
+a third of all documents hold costs one row a task. Names come with the number of rows
+that they go back to: hot blocks, hot pairs and hot groups are broadcast to where their
+rows are, and only the others' rows are shuffled, never many of them to one task.
 
 Nulls: a null text is empty; a null doc_id sorts below every other. Repeated rows are
 copies like any other, and exactly one row of a group stays, whatever its doc_id.
@@ -23,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import as_long, join_hot, keep, small, text_column
+from quern.llm.common import as_long, drop, join_hot, keep, small, text_column
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Letters outside A-Z that lower() would change.
@@ -45,9 +46,9 @@ def _blocks(of: Column, size: int, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: use(F.substring(of, i * size + 1, F.lit(size))))
 
 
-def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct rows in sorted order with an integer name each, kept so that names never change."""
-    return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
+def _named(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct rows in sorted order with an integer name and their number each; to be kept, so that names never change."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("held")).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
 def identities(
@@ -59,18 +60,18 @@ def identities(
         lower.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("body", 256).alias("text_sha256"), _blocks(F.col("body"), block_bytes, digest).alias("digests")),
         "exact-rows",
     )
-    blocks = lower.select(F.explode(_blocks(F.col("body"), block_bytes, lambda b: b)).alias("block")).distinct()
-    names = keep(_named(blocks, ["block"]).select(digest(F.col("block")).alias("digest"), "name"), "exact-names")
+    blocks = lower.select(F.explode(_blocks(F.col("body"), block_bytes, lambda b: b)).alias("block"))
+    names = keep(_named(blocks, ["block"]).select(digest(F.col("block")).alias("digest"), "name", "held"), "exact-names")
+    total = names.agg(F.sum("held")).first()[0] or 0
     if names.groupBy("digest").count().where("count > 1").limit(1).count():
         content = keep(_named(blocks, ["block"]), "exact-contents")
         again = keep(lower.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.sha2("body", 256).alias("text_sha256"), "body"), "exact-rows")
         rows = again.select("row", "doc_id", "text_sha256", _blocks(F.col("body"), block_bytes, digest).alias("digests"))
-        level = again.select("row", F.posexplode(_blocks(F.col("body"), block_bytes, lambda b: b)).alias("at", "block")).join(content, "block").select("row", "at", "name")
-        sizes = rows.select("row", F.size("digests").alias("left"))
-        level = keep(level.join(sizes, "row"), "exact-level")
+        level = again.withColumn("parts", _blocks(F.col("body"), block_bytes, lambda b: b)).select("row", F.size("parts").alias("left"), F.posexplode("parts").alias("at", "block"))
+        level = keep(join_hot(level, content, ["block"], "held", total).select("row", "left", "at", "name"), "exact-level")
     else:
         level = rows.select("row", F.size("digests").alias("left"), F.posexplode("digests").alias("at", "digest"))
-        level = keep(level.join(names, "digest").select("row", "left", "at", "name"), "exact-level")
+        level = keep(join_hot(level, names, ["digest"], "held", total).select("row", "left", "at", "name"), "exact-level")
     done, depth = [], 0
     most = rows.agg(F.max(F.size("digests"))).first()[0] or 0
     while True:
@@ -83,8 +84,9 @@ def identities(
             F.first("left").alias("left"), F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("b")
         )
         pairs = keep(pairs, "exact-pairs")
-        named = keep(_named(pairs.select("a", "b").distinct(), ["a", "b"]), "exact-names")
-        level = keep(pairs.join(named, ["a", "b"]).select("row", F.ceil(F.col("left") / 2).cast("int").alias("left"), "at", "name"), "exact-level")
+        named = keep(_named(pairs, ["a", "b"]), "exact-names")
+        level = keep(join_hot(pairs, named, ["a", "b"], "held", pairs.count()).select("row", F.ceil(F.col("left") / 2).cast("int").alias("left"), "at", "name"), "exact-level")
+        drop(pairs, named)
         most, depth = -(-most // 2), depth + 1
     found = done[0]
     for more in done[1:]:
