@@ -10,7 +10,7 @@ those that either of them fills.
 
 Neighbours by id are found without a global window: ids alone are sorted into ranges,
 each text goes to its range once, and the first texts of a range also go to the range
-before it.
+before it. Each range is one task. Ranges are cut by ids, so rows that share an id are in one.
 
 Nulls: a null text is empty, and an empty text has an empty fingerprint, fully like
 another empty one. Rows with a null id stand before all others; rows that share an id
@@ -30,7 +30,8 @@ from quern.llm import bytesets as B
 from quern.llm.common import as_long, lean, text_column
 
 K, SLOTS, TAKEN = 8, 128, 2
-ROWS_A_RANGE, MOST_RANGES = 4096, 20_000
+#: Rows of a range, and ranges at most: the driver holds a number for each, and each is a task.
+ROWS_A_RANGE, MOST_RANGES = 4096, 200_000
 _NTH = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -149,7 +150,7 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 held = None if ahead else (where, key, text, own)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    rows = slim.mapInArrow(lean(deal), "range long, ahead boolean, doc_id long, text string").repartition(ranges, "range")
+    rows = slim.mapInArrow(lean(deal), "range long, ahead boolean, doc_id long, text string").repartitionById(ranges, F.col("range").cast("int"))
     return rows.sortWithinPartitions("range", "ahead", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(lean(compare), schema)
 
 
