@@ -126,7 +126,7 @@ def draws(
     rows = sizes.join(small(edge), ["__mix_key", "__mix_block"]).groupBy("__mix_key", "__mix_block", "room", "__mix_order", "id").agg(F.sum("mix_size").alias("words"), F.count(F.lit(1)).alias("n"))
     before = F.sum("words").over(Window.partitionBy("__mix_key", "__mix_block").orderBy("__mix_order", F.col("id").asc_nulls_first())) - F.col("words")
     edge = rows.withColumn("left", F.col("room") - before).where("left > 0 AND left <= words").select(
-        "__mix_key", "__mix_block", F.col("__mix_order").alias("cut_order"), F.col("id").alias("cut_id"), F.floor(F.col("left") / F.col("n")).alias("cut_words")
+        "__mix_key", "__mix_block", F.col("__mix_order").alias("__mix_cut_order"), F.col("id").alias("__mix_cut_id"), F.floor(F.col("left") / F.col("n")).alias("__mix_cut_words")
     )
 
     quotas = cut.groupBy("__mix_key").agg(F.max(F.col("passes") * F.col("n") + F.lit(0)).alias("full"), F.sum(F.when(F.col("more") != "none", 1).otherwise(0)).alias("extra")).collect()
@@ -146,9 +146,9 @@ def draws(
     )
     taken = keep(taken, "mix-plan")
     out = tagged.join(small(taken), ["__mix_key", "__mix_block"], "left").join(small(plan.select("__mix_key", F.col("total").alias("mix_source_size"), F.col("target").alias("mix_target"))), "__mix_key", "left")
-    at_cut = (F.col("__mix_order") == F.col("cut_order")) & as_long(docs, id_col).eqNullSafe(F.col("cut_id"))
-    earlier = F.struct(F.col("__mix_order"), as_long(docs, id_col)) < F.struct(F.col("cut_order"), F.col("cut_id"))
-    last = F.when(F.col("__mix_more") != "part", F.col("mix_size")).when(at_cut, F.col("cut_words")).when(earlier, F.col("mix_size")).otherwise(F.lit(0)).cast("long")
+    at_cut = (F.col("__mix_order") == F.col("__mix_cut_order")) & as_long(docs, id_col).eqNullSafe(F.col("__mix_cut_id"))
+    earlier = F.struct(F.col("__mix_order"), as_long(docs, id_col)) < F.struct(F.col("__mix_cut_order"), F.col("__mix_cut_id"))
+    last = F.when(F.col("__mix_more") != "part", F.col("mix_size")).when(at_cut, F.col("__mix_cut_words")).when(earlier, F.col("mix_size")).otherwise(F.lit(0)).cast("long")
     every = F.transform("__mix_draws", lambda d: F.struct(d["shard"].alias("shard"), F.when(d["pass"] < F.col("__mix_passes"), F.col("mix_size")).otherwise(last).alias("words")))
     return out.withColumn("mix_draws", F.coalesce(F.filter(every, lambda d: d["words"] > 0), F.array().cast("array<struct<shard:int,words:bigint>>"))).select(
         *(docs[c] for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_draws")), "mix_size", "mix_source_size", "mix_target", "mix_draws"
@@ -166,10 +166,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed
     A shard in order of mix_order is locally shuffled; write_shards() lays it out so.
     """
     drawn = draws(docs, id_col=id_col, text_col=text_col, seed=seed, **options)
-    out = drawn.select("*", F.posexplode("mix_draws").alias("mix_copy", "__mix_draw"))
+    out = drawn.select("*", F.posexplode("mix_draws").alias("__mix_copy", "__mix_draw"))
     text = F.when(F.col("__mix_draw.words") < F.col("mix_size"), first_words(F.col(text_col), F.col("__mix_draw.words"))).otherwise(F.col(text_col))
-    added = {text_col: text, "mix_shard": F.col("__mix_draw.shard"), "mix_words": F.col("__mix_draw.words"), "mix_order": F.xxhash64(F.col(id_col), "mix_copy", F.lit(seed + 3))}
-    return out.withColumns(added).drop("mix_draws", "__mix_draw", "mix_size", "mix_source_size", "mix_target")
+    added = {text_col: text, "mix_shard": F.col("__mix_draw.shard"), "mix_words": F.col("__mix_draw.words"), "mix_order": F.xxhash64(F.col(id_col), "__mix_copy", F.lit(seed + 3))}
+    return out.withColumns(added).drop("mix_draws", "__mix_draw", "__mix_copy", "mix_size", "mix_source_size", "mix_target")
 
 
 def write_shards(mixed: DataFrame, path: str, parts: int = 1) -> None:
