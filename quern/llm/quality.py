@@ -226,7 +226,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             x = text_features(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in x.T)], names=["id", "y", *FEATURES])
 
-    found = texts.join(F.broadcast(known), "__id").select("__id", "__y", "__text").mapInArrow(lean(measure), schema).toArrow()  # at most `rows` ids
+    # of an id that several rows have the row of the least features counts, so the driver gets at most `rows` rows
+    measured = texts.join(F.broadcast(known), "__id").select("__id", "__y", "__text").mapInArrow(lean(measure), schema)
+    found = measured.groupBy("id").agg(F.min(F.struct("y", *FEATURES)).alias("x")).select("id", "x.*").toArrow()
     table = np.array([found.column(c).to_numpy() for c in ("id", "y", *FEATURES)]).T.astype(float)
     table = table[np.lexsort(table.T[::-1])]
     return fit(table[:, 2:], table[:, 1])
