@@ -38,7 +38,16 @@ NICKNAMES = {"nawawi": "forty", "nawawi40": "forty", "riyadussaliheen": "riyadus
 # BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
-# Latin letters of Arabic ones; those of several letters, and those of one.
-ROMAN_PAIRS = [("ث", "th"), ("خ", "kh"), ("ذ", "dh"), ("ش", "sh")]
-ROMAN_FROM = "بةتجحدرزسصضطظغفقكلمنهاأإآوؤيئىءع"
-ROMAN_TO = "b@tjHdrzsSDTZGfqklmnhaaaawwyyy"
+# Latin letters of Arabic, Persian and Urdu ones; those of several letters, and those of one.
+ROMAN_PAIRS = [("ث", "th"), ("خ", "kh"), ("ذ", "dh"), ("ش", "sh"), ("چ", "ch"), ("ٹ", "tt"), ("ڈ", "dd"), ("ڑ", "rr")]
+ROMAN_FROM = "بةتجحدرزسصضطظغفقكلمنهاأإآوؤيئىپژکگیںہھےءع"
+ROMAN_TO = "b@tjHdrzsSDTZGfqklmnhaaaawwyyypjkgyNhhy"
+
+# Pairs of Latin letters that a skeleton has as one.
+SKELETON_PAIRS = (("kh", "k"), ("gh", "g"), ("dh", "d"), ("th", "t"), ("sh", "s"))
+
+# The markup of Arabic texts, and the ranges of Arabic marks and letters.
+NARRATOR = r'(?s)\[narrator\s+id="(\d+)"\s+role="([^"]*)"\s+tooltip="([^"]*)"\](.*?)\[/narrator\]'
+MARKER = r"\[(?!narrator\b|/narrator\b)[^\]]*\]"
+MARKS = r"[\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"
+ARABIC = r"[\x{0621}-\x{063A}\x{0641}-\x{064A}\x{0671}-\x{06D3}]+"

@@ -8,6 +8,39 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 
 
+def error_line(error: Exception) -> str:
+    """What is shown in place of a result."""
+    return str(error)
+
+
+# How many words a summary names, and the lines before rows; {0} stands for a query.
+NAMED_WORDS = 8
+FOUND, NONE = {"keyword": "matching {0}", "term": "matching the term {0}"}, {"keyword": "No matches for {0}", "term": "Nothing found containing a word matching {0}", "semantic": "No semantic matches for {0}"}
+
+
+def summary_lines(summary: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+    """query_id and the line above a response's rows: how many there are, how many are shown, and the commonest words. kind: keyword, term or semantic."""
+    counted = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("shown"))
+    said = summary.join(counted, "query_id", "left").withColumn("shown", F.coalesce("shown", F.lit(0)))
+    query = F.concat(F.lit("'"), "query", F.lit("'"))
+    scope = F.when(F.size("collections") > 0, F.concat(F.lit(" in "), F.array_join("collections", ", "))).otherwise("")
+
+    def line(pattern: str):
+        before, after = pattern.split("{0}")
+        return F.concat(F.lit(before), query, F.lit(after))
+
+    some = F.concat(F.lit("Top "), F.col("shown"), F.lit(" by similarity for "), query, scope, F.lit(":"))
+    if kind != "semantic":
+        more = F.when(F.col("total") > F.col("shown"), F.concat(F.lit("\nShowing first "), F.col("shown"), F.lit(":"))).otherwise("")
+        words = F.lit("")
+        if kind == "term":
+            named = F.array_join(F.transform(F.slice("matched_words", 1, NAMED_WORDS), lambda w: F.concat(w["word"], F.lit(" ("), w["count"], F.lit(")"))), ", ")
+            rest = F.when(F.size("matched_words") > NAMED_WORDS, F.concat(F.lit("\n  …and "), F.size("matched_words") - NAMED_WORDS, F.lit(" more distinct words."))).otherwise("")
+            words = F.when(F.size("matched_words") > 0, F.concat(F.lit("\nMatched words: "), named, rest)).otherwise("")
+        some = F.concat(F.lit("Found "), F.col("total"), F.lit(" text(s)"), scope, F.lit(" "), line(FOUND[kind]), F.lit("."), words, more)
+    return said.select("query_id", F.when(F.col("shown") > 0, some).otherwise(F.concat(line(NONE[kind]), scope, F.lit("."))).alias("line"))
+
+
 def cite():
     return F.when(F.coalesce("number", F.lit("")) != "", F.col("number")).otherwise(F.col("id_in_book").cast("string"))
 

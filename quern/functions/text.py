@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.fixed import CONNECTIVES, GRADE_TIERS, LAST_TIER, ROMAN_FROM, ROMAN_PAIRS, ROMAN_TO
-
-NARRATOR = r'(?s)\[narrator\s+id="(\d+)"\s+role="([^"]*)"\s+tooltip="([^"]*)"\](.*?)\[/narrator\]'
-MARKER = r"\[(?!narrator\b|/narrator\b)[^\]]*\]"
-MARKS = r"[\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"
-ARABIC = r"[\x{0621}-\x{063A}\x{0641}-\x{064A}\x{0671}-\x{06D3}]+"
+from quern.functions.fixed import ARABIC, CONNECTIVES, GRADE_TIERS, LAST_TIER, MARKER, MARKS, NARRATOR, ROMAN_FROM, ROMAN_PAIRS, ROMAN_TO, SKELETON_PAIRS
 
 
 def stripped(c: Column) -> Column:
@@ -142,7 +137,7 @@ def romanised(c: Column) -> Column:
 def skeletons(roman: Column) -> Column:
     """The distinct consonant skeletons of romanised text; the letter @ is read as h, as t and as nothing."""
     s = F.lower(roman)
-    for a, b in (("kh", "k"), ("gh", "g"), ("dh", "d"), ("th", "t"), ("sh", "s")):
+    for a, b in SKELETON_PAIRS:
         s = F.replace(s, F.lit(a), F.lit(b))
     read = (F.regexp_replace(F.regexp_replace(F.replace(s, F.lit("@"), F.lit(x)), "[aeiouwyv]|[^a-z]", ""), r"(.)\1+", "$1") for x in ("h", "t", ""))
     return F.filter(F.array_distinct(F.array(*read)), lambda x: x != "")

@@ -73,12 +73,14 @@ def scores(index: Index, queries: DataFrame) -> DataFrame:
     """
     asked, postings, terms = query_terms(queries), index.postings, index.terms
     few = asked.limit(MOST_LITERALS + 1).collect()
-    if len(few) <= MOST_LITERALS:
+    bounded = len(few) <= MOST_LITERALS
+    if bounded:
         literals = sorted({r["term"] for r in few})
         asked = asked.sparkSession.createDataFrame(few, asked.schema)
         postings, terms = postings.where(F.col("term").isin(literals)), terms.where(F.col("term").isin(literals))
-    weight = terms.join(F.broadcast(asked), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
-    found = postings.join(F.broadcast(weight), "term")
+    near = F.broadcast if bounded else (lambda df: df)
+    weight = terms.join(near(asked), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+    found = postings.join(near(weight), "term")
     return found.groupBy("query_id", "corpus_idx").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score")).where("score > 0")
 
 
@@ -98,4 +100,4 @@ def tiered(scored: DataFrame, corpus: DataFrame, limit: int, by: str = "-score",
     last = F.col("id_in_book") if by == "id_in_book" else F.desc("score")
     total = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "grade_tier", last, "corpus_idx"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= limit).join(F.broadcast(total), "query_id")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= limit).join(total, "query_id")

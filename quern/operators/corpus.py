@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.fixed import COLLECTIONS, NICKNAMES, TITLE_PREFIXES
+from quern.operators.sizes import settled
+
+
+class SearchError(Exception):
+    """An answer that is an error: kind is unknown_collection, not_found or unavailable."""
+
+    def __init__(self, kind: str, message: str):
+        super().__init__(message)
+        self.kind = kind
 
 
 def collection_dimension(spark) -> DataFrame:
@@ -19,6 +28,20 @@ def leading_int(c):
     return F.coalesce(F.expr("try_cast(regexp_extract(%s, '^\\\\s*([+-]?[0-9]+)', 1) AS bigint)" % c), F.lit(0))
 
 
+def ordinals(keys: DataFrame) -> DataFrame:
+    """Rows (collection, bookNumber, babID, arabicURN) with id_in_book: their place in the collection.
+
+    Places are counted inside each book and shifted by the books before, so no task has a
+    whole collection, and only keys are shuffled.
+    """
+    place = F.row_number().over(Window.partitionBy("collection", "bookNumber").orderBy("babID", "arabicURN"))
+    books = keys.groupBy("collection", "bookNumber").count()
+    before = F.sum("count").over(Window.partitionBy("collection").orderBy(leading_int("bookNumber"), "bookNumber").rowsBetween(Window.unboundedPreceding, -1))
+    shift = books.select(F.col("collection").alias("of"), F.col("bookNumber").alias("book"), F.coalesce(before, F.lit(0)).alias("before"))
+    found = keys.withColumn("place", place).join(shift, (F.col("collection") == F.col("of")) & F.col("bookNumber").eqNullSafe(F.col("book")))
+    return found.select(*keys.columns, (F.col("place") + F.col("before")).cast("int").alias("id_in_book"))
+
+
 def build(source: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     """The corpus of a source table: ordinals within collections, corpus_idx over all, narrator split off, grades ranked.
 
@@ -30,10 +53,10 @@ def build(source: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
     sizes = source.groupBy(F.col("collection").alias("slug")).count().join(F.broadcast(dim), "slug")
     before = F.sum("count").over(Window.orderBy("load_order").rowsBetween(Window.unboundedPreceding, -1))  # a row a collection
     offsets = sizes.select("slug", "tier", F.coalesce(before, F.lit(0)).alias("offset"))
-    ordinal = F.row_number().over(Window.partitionBy("collection").orderBy(leading_int("bookNumber"), "bookNumber", "babID", "arabicURN"))
+    numbered = ordinals(source.select("collection", "bookNumber", "babID", "arabicURN"))
     split = T.split_narrator(F.coalesce("englishText", F.lit("")))
     grades = source.select("englishgrade1").distinct().select(F.col("englishgrade1").alias("raw"), T.grade_tier(T.grade_class(F.col("englishgrade1"))).alias("grade_tier"))
-    ranked = source.withColumns({"id_in_book": ordinal, "parts": split})
+    ranked = source.withColumn("parts", split).join(numbered.select("arabicURN", "id_in_book"), "arabicURN")
     joined = ranked.join(F.broadcast(offsets), ranked["collection"] == offsets["slug"]).join(grades, F.col("englishgrade1").eqNullSafe(F.col("raw")), "left")
     return joined.select(
         (F.col("offset") + F.col("id_in_book") - 1).alias("corpus_idx"), "collection", "id_in_book", F.col("arabicURN").alias("global_id"), F.floor("babID").cast("int").alias("chapter_id"),
@@ -54,15 +77,36 @@ def list_collections(corpus: DataFrame, dimension: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(dimension), "slug", "left").select("slug", F.coalesce("english_title", "slug").alias("english_title"), "n").orderBy("slug")
 
 
+def books(chapters: DataFrame, collection: str) -> DataFrame:
+    """A collection's chapters by number, from chapters(); SearchError of kind unknown_collection if it has none."""
+    found = chapters.where(F.col("collection") == collection)
+    if not found.limit(1).count():
+        raise SearchError("unknown_collection", f"unknown collection {collection!r}")
+    return found.select("collection", F.floor("babID").cast("int").alias("id"), "bookNumber", "babID", "english_title", "arabic_title").orderBy(leading_int("bookNumber"), "bookNumber", "babID")
+
+
+def get(corpus: DataFrame, dimension: DataFrame, collection: str, number: str, site: str = "") -> DataFrame:
+    """The one record that a number names; SearchError of kind unknown_collection, or not_found with the numbers there are."""
+    key = corpus.sparkSession.createDataFrame([(0, collection, str(number))], "key_id long, collection string, key string")
+    found = lookup(corpus, key).drop("key_id", "rule")
+    if not found.limit(1).count():
+        n = corpus.where(F.col("collection") == collection).agg(F.max("id_in_book")).first()[0]
+        if n is None:
+            raise SearchError("unknown_collection", f"unknown collection {collection!r}")
+        raise SearchError("not_found", f"no {number} in {collection}; its ordinals are 1 to {n}")
+    return record(found, dimension, site)
+
+
 def lookup(corpus: DataFrame, keys: DataFrame) -> DataFrame:
     """The row that each (key_id, collection, key) names, by the first rule that finds one.
 
     Rules: the whole number; a part of a number with commas; digits followed by letters,
-    alphabetically first; the ordinal. Each rule is an equality, so it is one hash join.
+    alphabetically first; the ordinal. Each rule is an equality, so it is one hash join. Texts are
+    fetched only for the rows that are found.
     """
     key = keys.select("key_id", "collection", T.stripped(F.col("key")).alias("key")).where("key <> ''").withColumn("k", T.squashed(F.col("key")))
     number = T.squashed(F.col("number"))
-    forms = corpus.withColumn("n", number).select(
+    forms = corpus.select("corpus_idx", "collection", "id_in_book", "number").withColumn("n", number).select(
         "*", F.flatten(F.array(
             F.array(F.struct(F.lit(1).alias("rule"), F.col("n").alias("k"), F.lit("").alias("tie"))),
             F.when(F.col("number").contains(","), F.transform(F.split("number", ","), lambda p: F.struct(F.lit(2).alias("rule"), T.squashed(p).alias("k"), F.lit("").alias("tie")))).otherwise(F.array()),
@@ -72,9 +116,10 @@ def lookup(corpus: DataFrame, keys: DataFrame) -> DataFrame:
     ).select("*", F.explode("some").alias("form"))
     as_number = F.expr("CAST(try_cast(key AS bigint) AS string)")
     asked = key.select("key_id", "collection", F.explode(F.array(F.struct(F.lit(False).alias("ordinal"), F.col("k")), F.struct(F.lit(True).alias("ordinal"), as_number.alias("k")))).alias("a")).select("key_id", "collection", "a.ordinal", F.col("a.k").alias("k"))
-    found = forms.select(*corpus.columns, "form.rule", F.col("form.k").alias("k"), "form.tie").join(F.broadcast(asked), ["collection", "k"]).where((F.col("rule") == 4) == F.col("ordinal"))
+    found = forms.select("corpus_idx", "collection", "id_in_book", "form.rule", F.col("form.k").alias("k"), "form.tie").join(settled(asked), ["collection", "k"]).where((F.col("rule") == 4) == F.col("ordinal"))
     best = F.row_number().over(Window.partitionBy("key_id").orderBy("rule", "tie", "id_in_book"))
-    return found.withColumn("best", best).where("best = 1").select("key_id", "rule", *corpus.columns)
+    named = found.withColumn("best", best).where("best = 1").select("key_id", "rule", "corpus_idx")
+    return corpus.join(settled(named), "corpus_idx").select("key_id", "rule", *corpus.columns)
 
 
 def random_row(corpus: DataFrame, collection: str | None = None, seed: int | None = None) -> DataFrame:

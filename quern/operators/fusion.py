@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.fixed import FIRST_FACETS, MODE_WEIGHTS
+from quern.operators.sizes import settled
 
 LEGS = ("bm25", "semantic", "term")
 RRF_K = 60
@@ -75,7 +76,7 @@ def split(scored: DataFrame, limit: int, threshold: float | None = None) -> Data
 def hydrate(rows: DataFrame, corpus: DataFrame, queries: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Ranked rows as they are shown; similarity and matched_words are null where their leg found nothing."""
     text = corpus.select("corpus_idx", "collection", "id_in_book", "number", "grade", "text")
-    out = text.join(F.broadcast(rows), "corpus_idx").join(F.broadcast(queries.select("query_id", F.col("text").alias("query"))), "query_id")
+    out = text.join(settled(rows), "corpus_idx").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     title = F.col("collection")
     if titles is not None:
         out = out.join(F.broadcast(titles.select(F.col("slug").alias("collection"), "english_title")), "collection", "left")
@@ -89,7 +90,7 @@ def hydrate(rows: DataFrame, corpus: DataFrame, queries: DataFrame, titles: Data
 def chip_words(rows: DataFrame) -> DataFrame:
     """query_id, word, n over the strong rows of a query, or over its weak rows if none is strong."""
     strong = rows.groupBy("query_id").agg(F.max((F.col("bucket") == "strong").cast("int")).alias("any"))
-    used = rows.join(F.broadcast(strong), "query_id").where((F.col("bucket") == "strong") | (F.col("any") == 0))
+    used = rows.join(strong, "query_id").where((F.col("bucket") == "strong") | (F.col("any") == 0))
     return used.select("query_id", F.explode("matched_words").alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import fusion
+from quern.operators.sizes import settled
 
 Scorer = Callable[[str, list[str]], list[float]]
 FALLS_BACK = ("RuntimeError", "OSError", "ValueError", "AttributeError")
@@ -48,6 +49,23 @@ def configured() -> Reranker | None:
     return Reranker(name, own.factory, float(os.environ.get("RERANKER_THRESHOLD", own.threshold)), int(os.environ.get("RERANKER_BATCH_SIZE", own.batch)))
 
 
+def pointwise(score: Callable[[str, str], float]) -> Scorer:
+    """A scorer of a function that scores one pair at a time."""
+    return lambda query, docs: [float(score(query, d)) for d in docs]
+
+
+def listwise(order: Callable[[str, list[str]], list[tuple[int, float]]]) -> Scorer:
+    """A scorer of a function that gives (place in docs, score) in any order; every text must be among them."""
+
+    def scores(query: str, docs: list[str]) -> list[float]:
+        found = dict(order(query, docs))
+        if set(found) != set(range(len(docs))):
+            raise ValueError(f"{len(found)} scores for {len(docs)} texts")
+        return [float(found[i]) for i in range(len(docs))]
+
+    return scores
+
+
 def document_text(corpus: DataFrame):
     """Title, narrator, text and unmarked Arabic, a line each."""
     arabic = T.without_markup(F.col("arabic")) if "arabic" in corpus.columns else F.lit("")
@@ -57,8 +75,8 @@ def document_text(corpus: DataFrame):
 
 
 def model_scores(pool: DataFrame, corpus: DataFrame, queries: DataFrame, reranker: Reranker) -> DataFrame:
-    """The pool with the model's score; texts of like length share a batch. The pool is bounded, so it is broadcast to the texts."""
-    pairs = corpus.select("corpus_idx", document_text(corpus).alias("doc")).join(F.broadcast(pool.select("query_id", "corpus_idx")), "corpus_idx").join(F.broadcast(queries.select("query_id", F.col("text").alias("query"))), "query_id")
+    """The pool with the model's score; texts of like length share a batch."""
+    pairs = corpus.select("corpus_idx", document_text(corpus).alias("doc")).join(settled(pool.select("query_id", "corpus_idx")), "corpus_idx").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     factory, size = reranker.factory, reranker.batch
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,7 +91,7 @@ def model_scores(pool: DataFrame, corpus: DataFrame, queries: DataFrame, reranke
             yield pd.DataFrame({"query_id": rows["query_id"], "corpus_idx": rows["corpus_idx"], "score": out.astype(float)})
 
     scored = pairs.select("query_id", "corpus_idx", "query", "doc").mapInPandas(score, "query_id long, corpus_idx long, score double")
-    return pool.join(F.broadcast(scored), ["query_id", "corpus_idx"])
+    return pool.join(scored, ["query_id", "corpus_idx"])
 
 
 def scored_pool(pool: DataFrame, corpus: DataFrame, queries: DataFrame, mode: str, reranker: Reranker | None) -> tuple[DataFrame, str, str, float | None]:

@@ -8,18 +8,65 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import bm25, dense, fusion, rerank, term
+from quern.operators.corpus import SearchError
+from quern.operators.sizes import settled
 
 LEAST_LIMIT, MOST_LIMIT = 1, 50_000
 MODES_OF_ROUTER = ("concept", "keyword", "term")
 
 
-class SearchError(Exception):
-    """An answer that is an error: kind is unknown_collection, not_found or unavailable."""
+@dataclass
+class Response:
+    """rows with their place, and a summary of one row a query, also for queries that find nothing."""
+
+    rows: DataFrame
+    summary: DataFrame
+
+
+def word_list(counted: DataFrame) -> DataFrame:
+    """query_id and matched_words: (word, count), the most frequent first, of rows (query_id, word, n)."""
+    by = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "word")))
+    return counted.groupBy("query_id").agg(F.transform(by, lambda w: F.struct(w["word"].alias("word"), (-w["less"]).alias("count"))).alias("matched_words"))
+
+
+def summary(queries: DataFrame, rows: DataFrame, words: DataFrame | None, limit: int, collections: list[str] | None = None, logic: DataFrame | None = None, total: str | None = None) -> DataFrame:
+    """What a response says beside its rows: query, collections, total, limit, matched_words and match_logic where they apply.
+
+    total names a column of rows that has the number of all matches; without it rows are all of them.
+    """
+    sizes = rows.groupBy("query_id").agg((F.max(total) if total else F.count(F.lit(1))).alias("total"))
+    scope = F.array(*(F.lit(c) for c in collections)) if collections else F.lit(None).cast("array<string>")
+    out = queries.select("query_id", F.col("text").alias("query"), scope.alias("collections"), F.lit(limit).cast("long").alias("limit")).join(sizes, "query_id", "left")
+    out = out.withColumn("total", F.coalesce("total", F.lit(0).cast("long")))
+    if words is not None:
+        none = F.array().cast("array<struct<word:string,count:bigint>>")
+        out = out.join(word_list(words), "query_id", "left").withColumn("matched_words", F.coalesce("matched_words", none))
+    return out if logic is None else out.join(logic, "query_id", "left")
+
+
+def ranked_summary(queries: DataFrame, rows: DataFrame, mode: str, limit: int, how: dict, collections: list[str] | None = None, logic: DataFrame | None = None) -> DataFrame:
+    """The summary of ranked rows: the pool's size bounds the limit, and an empty pool has been ranked by nothing."""
+    out = summary(queries, rows, fusion.chip_words(rows), limit, collections, logic).withColumn("mode_hint", F.lit(mode))
+    some = F.col("total") > 0
+    status = F.when(some, F.lit(how["reranker_status"])).otherwise("disabled" if how["reranker_status"] == "disabled" else "ok")
+    added = {
+        "pool_size": F.col("total"), "limit": F.when(some, F.least("limit", "total")).otherwise(F.col("limit")), "reranker": F.when(some, F.lit(how["reranker"])).otherwise("none"),
+        "reranker_active": some & F.lit(how["reranker_active"]), "reranker_status": status, "threshold": F.when(some, F.lit(how["threshold"]).cast("double")),
+    }
+    return out.withColumns(added)
 
-    def __init__(self, kind: str, message: str):
-        super().__init__(message)
-        self.kind = kind
+
+def shown(rows: DataFrame, corpus: DataFrame, queries: DataFrame, titles: DataFrame | None, snippet: Callable, *more: str) -> DataFrame:
+    """Rows (query_id, rank, corpus_idx, ...) as they are shown: title, numbers, grade and snippet(text, query)."""
+    text = corpus.select("corpus_idx", "collection", "id_in_book", "number", "grade", "text")
+    out = text.join(settled(rows.select("query_id", "rank", "corpus_idx", *more)), "corpus_idx").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    title = F.col("collection")
+    if titles is not None:
+        out = out.join(settled(titles.select(F.col("slug").alias("collection"), "english_title")), "collection", "left")
+        title = F.coalesce("english_title", "collection")
+    return out.select("query_id", "rank", "corpus_idx", "collection", title.alias("title"), "id_in_book", "number", "grade", *more, snippet(F.col("text"), F.col("query")).alias("snippet"))
 
 
 @dataclass
@@ -34,19 +81,23 @@ class Engine:
     titles: DataFrame | None = None
 
     def checked(self, limit: int, collections: list[str] | None) -> int:
-        for slug in collections or ():
-            if not self.corpus.where(F.col("collection") == slug).limit(1).count():
-                raise SearchError("unknown_collection", f"unknown collection {slug!r}")
+        if collections:
+            known = {r[0] for r in self.corpus.where(F.col("collection").isin(collections)).select("collection").distinct().collect()}
+            for slug in collections:
+                if slug not in known:
+                    raise SearchError("unknown_collection", f"unknown collection {slug!r}")
         return min(max(limit, LEAST_LIMIT), MOST_LIMIT)
 
     def queries(self, *texts: str) -> DataFrame:
         return self.corpus.sparkSession.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id long, text string")
 
     def vectors(self, queries: DataFrame) -> DataFrame | None:
-        """Query vectors, computed on the driver; None without embeddings or an encoder."""
+        """Query vectors, computed on the driver, so for dense.MOST_QUERIES at most; None without embeddings or an encoder."""
         if self.embeddings is None or self.encoder is None:
             return None
-        rows = queries.collect()
+        rows = queries.limit(dense.MOST_QUERIES + 1).collect()
+        if len(rows) > dense.MOST_QUERIES:
+            raise ValueError(f"more than {dense.MOST_QUERIES} texts to encode: encode them on executors and use dense.top")
         found = self.encoder([r["text"] for r in rows])
         unit = [[x / (sum(v * v for v in vec) ** 0.5 or 1.0) for x in vec] for vec in found]
         return self.corpus.sparkSession.createDataFrame([(r["query_id"], [float(x) for x in v]) for r, v in zip(rows, unit, strict=True)], "query_id long, query array<double>")
@@ -79,6 +130,53 @@ class Engine:
         queries = self.queries(text)
         return self.ranked(queries, self.pool(queries, k, collections), mode, limit, reranker)
 
+    def respond(self, queries: DataFrame, mode: str = "concept", collections: list[str] | None = None, limit: int = 10, k: int = 100, reranker: rerank.Reranker | None = None) -> Response:
+        """Ranked rows and their summary for many queries; without a reranker the one that the environment names."""
+        fusion.mode_weights(mode)
+        limit = self.checked(limit, collections)
+        scored, name, status, threshold = rerank.scored_pool(self.pool(queries, k, collections), self.corpus, queries, mode, reranker or rerank.configured())
+        rows = fusion.split(scored, limit, threshold)
+        how = {"reranker": name, "reranker_status": status, "reranker_active": status == "ok", "threshold": threshold}
+        said = term.logic(term.hits(self.terms, queries), queries, self.corpus, collections) if mode == "term" else None
+        return Response(fusion.hydrate(rows, self.corpus, queries, self.titles), ranked_summary(queries, rows, mode, limit, how, collections, said))
+
+    def respond_keyword(self, queries: DataFrame, collections: list[str] | None = None, limit: int = 10, rerank_rows: bool = True) -> Response:
+        """Keyword search: ranked as any search, or by tier, grade and score."""
+        if rerank_rows:
+            return self.respond(queries, "keyword", collections, limit)
+        limit = self.checked(limit, collections)
+        rows = bm25.tiered(bm25.scores(self.keyword, queries), self.corpus, limit, collections=collections)
+        return Response(shown(rows, self.corpus, queries, self.titles, T.snippet), summary(queries, rows, None, limit, collections, total="total"))
+
+    def respond_term(self, queries: DataFrame, collections: list[str] | None = None, limit: int = 20, rerank_rows: bool = True) -> Response:
+        """Term search: ranked as any search, or by tier, grade and ordinal, with the words of all matches."""
+        if rerank_rows:
+            return self.respond(queries, "term", collections, limit)
+        limit = self.checked(limit, collections)
+        found = term.hits(self.terms, queries)
+        matched = term.matches(found)
+        if collections:
+            matched = matched.join(self.corpus.where(F.col("collection").isin(collections)).select("corpus_idx"), "corpus_idx", "left_semi")
+        rows = term.by_row(found, self.corpus, limit, collections)
+        said = term.logic(found, queries, self.corpus, collections)
+        return Response(shown(rows, self.corpus, queries, self.titles, lambda text, _: T.head(text, 140), "matched_words"), summary(queries, rows, term.word_counts(matched), limit, collections, said, "total"))
+
+    def respond_semantic(self, queries: DataFrame, collections: list[str] | None = None, limit: int = 10, rerank_rows: bool = True) -> Response:
+        """Dense search: ranked as any search, or by tier, grade and similarity; SearchError of kind unavailable without vectors."""
+        if self.embeddings is None or self.encoder is None:
+            raise SearchError("unavailable", "no embeddings or no encoder")
+        if rerank_rows:
+            return self.respond(queries, "concept", collections, limit)
+        limit = self.checked(limit, collections)
+        rows = self._near(queries, collections, limit).withColumnRenamed("score", "similarity")
+        return Response(shown(rows, self.corpus, queries, self.titles, lambda text, _: T.head(text, 200), "similarity"), summary(queries, rows, None, limit, collections))
+
+    def _near(self, queries: DataFrame, collections: list[str] | None, limit: int) -> DataFrame:
+        table = dense.with_content(self.embeddings, self.corpus)
+        if collections:
+            table = table.join(self.corpus.where(F.col("collection").isin(collections)).select("corpus_idx"), "corpus_idx", "left_semi")
+        return dense.oversampled(dense.top(table, self.vectors(queries), dense.pool_size(limit)), self.corpus, limit)
+
     def keyword_search(self, text: str, collections: list[str] | None = None, limit: int = 10) -> DataFrame:
         return bm25.tiered(bm25.scores(self.keyword, self.queries(text)), self.corpus, self.checked(limit, collections), collections=collections)
 
@@ -86,17 +184,13 @@ class Engine:
         queries = self.queries(text)
         found = term.hits(self.terms, queries)
         said = term.logic(found, queries, self.corpus, collections)
-        return term.by_row(found, self.corpus, self.checked(limit, collections), collections).join(F.broadcast(said), "query_id")
+        return term.by_row(found, self.corpus, self.checked(limit, collections), collections).join(said, "query_id")
 
     def semantic_search(self, text: str, collections: list[str] | None = None, limit: int = 10) -> DataFrame:
         limit = self.checked(limit, collections)
-        vectors = self.vectors(self.queries(text))
-        if vectors is None:
+        if self.embeddings is None or self.encoder is None:
             raise SearchError("unavailable", "no embeddings or no encoder")
-        table = dense.with_content(self.embeddings, self.corpus)
-        if collections:
-            table = table.join(self.corpus.where(F.col("collection").isin(collections)).select("corpus_idx"), "corpus_idx", "left_semi")
-        return dense.oversampled(dense.top(table, vectors, dense.pool_size(limit)), self.corpus, limit)
+        return self._near(self.queries(text), collections, limit)
 
     def natural(self, text: str, router: Callable[[str], tuple[str, list[str]] | None] | None, collections: list[str] | None = None, limit: int = 10, k: int = 100, reranker: rerank.Reranker | None = None) -> tuple[DataFrame, dict]:
         """A question through a router's variants, merged by reciprocal rank in one plan; without an answer from it a plain search.

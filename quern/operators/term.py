@@ -49,16 +49,16 @@ def hits(index: Index, queries: DataFrame) -> DataFrame:
     postings = index.postings
     few = asked.limit(MOST_LITERALS + 1).collect()
     if len(few) <= MOST_LITERALS:
-        asked = asked.sparkSession.createDataFrame(few, asked.schema)
+        asked = F.broadcast(asked.sparkSession.createDataFrame(few, asked.schema))
         postings = postings.where(F.col("skeleton").isin(sorted({r["skeleton"] for r in few})))
-    return postings.join(F.broadcast(asked), "skeleton").select("query_id", "token", "corpus_idx", "word", "df")
+    return postings.join(asked, "skeleton").select("query_id", "token", "corpus_idx", "word", "df")
 
 
 def rows(found: DataFrame) -> DataFrame:
     """query_id, corpus_idx, words (word, df) of the rows that match: all surviving tokens of a query, or any where no row has all."""
     per_row = found.groupBy("query_id", "corpus_idx").agg(F.collect_set("token").alias("tokens"), F.collect_set(F.struct("word", "df")).alias("words"))
     per_query = per_row.groupBy("query_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("tokens")))).alias("all"), F.max(F.size("tokens")).alias("most"))
-    return per_row.join(F.broadcast(per_query), "query_id").where((F.size("tokens") == F.col("all")) | (F.col("most") < F.col("all"))).select("query_id", "corpus_idx", "words")
+    return per_row.join(per_query, "query_id").where((F.size("tokens") == F.col("all")) | (F.col("most") < F.col("all"))).select("query_id", "corpus_idx", "words")
 
 
 def matches(found: DataFrame) -> DataFrame:
@@ -98,4 +98,4 @@ def by_row(found: DataFrame, corpus: DataFrame, limit: int, collections: list[st
         rows = rows.where(F.col("collection").isin(collections))
     total = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "grade_tier", "id_in_book", "corpus_idx"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= limit).join(F.broadcast(total), "query_id")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= limit).join(total, "query_id")

@@ -39,6 +39,54 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("corpus_idx"), "embedding")
 
 
+ARABIC = ["صَلَاة", "قُنُوت", "رمضان", "دعاء", "أذان", "نية", "ذكر"]
+
+
+def source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of a source table, with books, chapters, narrator lines and marked-up Arabic made from the id."""
+    i, arabic = F.col("doc_id"), F.array(*(F.lit(w) for w in ARABIC))
+    word = lambda n: F.element_at(arabic, (n % len(ARABIC) + 1).cast("int"))
+    n = i % 400
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("collection"), (i % 12).cast("string").alias("bookNumber"), F.when(i % 7 != 0, (i % 3) + 0.5).alias("babID"),
+        F.when(i % 5 == 0, " ").otherwise(F.concat(F.lit("On "), F.col("lang"), F.lit(" "), (i % 3).cast("string"))).alias("englishBabName"), F.when(i % 2 == 0, "باب").alias("arabicBabName"),
+        F.when(i % 11 == 0, "").otherwise(F.concat(n.cast("string"), F.when(i % 3 == 1, " a").otherwise(""))).alias("hadithNumber"), i.alias("arabicURN"), (i + 1_000_000).alias("englishURN"),
+        F.concat(F.lit("[prematn]"), word(i), F.lit(' [narrator id="'), (i % 50).cast("string"), F.lit('" role="first" tooltip=""] '), word(i + 2), F.lit(" [/narrator][/prematn] "), word(F.floor(i / 3))).alias("arabicText"),
+        F.concat(F.when(i % 4 == 0, F.concat(F.lit("Narrated "), F.col("lang"), F.lit(":\n"))).otherwise(""), F.col("text")).alias("englishText"),
+        F.element_at(F.array(*(F.lit(g) for g in GRADED)), (i % 4 + 1).cast("int")).alias("englishgrade1"), F.lit("").alias("arabicgrade1"),
+    )
+
+
+GRADED = ["Sahih", "Hasan", "", "Da'if"]
+
+
+def source_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as known collections: slug, load_order and tier (the number in the name), english_title."""
+    number = F.expr("try_cast(substr(slug, 4) AS int)")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("slug")).distinct().where(number.isNotNull()).select("slug", number.alias("load_order"), number.alias("tier"), F.concat(F.lit("Sahih "), F.upper("slug")).alias("english_title"))
+
+
+def arabic_word(n: str) -> str:
+    """SQL of the word that source() takes for a number."""
+    return f"([{', '.join(repr(w) for w in ARABIC)}])[({n}) % {len(ARABIC)} + 1]"
+
+
+SOURCE_SQL = f"""
+src AS (
+  SELECT source AS collection, CAST(doc_id % 12 AS VARCHAR) AS book, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 3 + 0.5::DOUBLE END AS bab,
+    CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'On ' || lang || ' ' || (doc_id % 3) END AS title, CASE WHEN doc_id % 2 = 0 THEN 'باب' END AS arabic_title,
+    CASE WHEN doc_id % 11 = 0 THEN '' ELSE (doc_id % 400) || (CASE WHEN doc_id % 3 = 1 THEN ' a' ELSE '' END) END AS number, doc_id, doc_id + 1000000 AS urn,
+    '[prematn]' || {arabic_word("doc_id")} || ' [narrator id="' || (doc_id % 50) || '" role="first" tooltip=""] ' || {arabic_word("doc_id + 2")} || ' [/narrator][/prematn] ' || {arabic_word("doc_id // 3")} AS arabic,
+    (CASE WHEN doc_id % 4 = 0 THEN 'Narrated ' || lang || ':' || chr(10) ELSE '' END) || text AS t, lang,
+    (['Sahih', 'Hasan', '', 'Da''if'])[doc_id % 4 + 1] AS grade, ([0, 2, 4, 3])[doc_id % 4 + 1] AS grade_tier, TRY_CAST(substr(source, 4) AS INTEGER) AS tier
+  FROM documents
+),
+built AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY collection ORDER BY CAST(book AS INTEGER), book, bab NULLS FIRST, doc_id) AS INTEGER) AS id_in_book,
+    row_number() OVER (ORDER BY tier, CAST(book AS INTEGER), book, bab NULLS FIRST, doc_id) - 1 AS corpus_idx
+  FROM src WHERE tier IS NOT NULL
+)"""
+
 CORPUS_SQL = """
 lab AS (SELECT doc_id, max(quality) quality, max(toxic) toxic FROM labels GROUP BY doc_id),
 corpus AS (

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import bm25, corpus, dense, evaluate, fusion, rerank, search, term
-from quern.plans.binding import CORPUS_SQL, dimension, embeddings, table
+from quern.plans.binding import CORPUS_SQL, SOURCE_SQL, arabic_word, dimension, embeddings, source, source_dimension, table
 from quern.plans.binding import corpus as bound
+from quern.sources import tables
 
 KEYWORD = [(0, "licensed under the public license"), (1, "was with that the the"), (2, "password token secret")]
 TERMS = [(0, "thesat shedon"), (1, "al thonin"), (2, "ereder onsh thin"), (3, "zzzqqq"), (4, "e")]
@@ -106,10 +107,10 @@ def _evaluated(spark, d):
     return evaluate.per_query(ranked, relevant, ["corpus_idx"]), ranked, relevant
 
 
-def _sweep(spark, d):
+def _sweep(spark, d, places=4):
     _, ranked, relevant = _evaluated(spark, d)
     norm = fusion.union(ranked, None, None).select("query_id", "corpus_idx", F.round("bm25_norm", 6).alias("score"))
-    return evaluate.sweep(evaluate.flagged(norm, relevant, ["corpus_idx"]), 0.05)
+    return evaluate.sweep(evaluate.flagged(norm, relevant, ["corpus_idx"]), 0.05, places)
 
 
 def _turns(spark, d):
@@ -154,7 +155,62 @@ def _natural(spark, d):
     return rows.select("bucket", "rank", "corpus_idx", "score")
 
 
+def _built(spark, d):
+    return corpus.build(source(spark, d), source_dimension(spark, d))
+
+
+def _arabic_index(spark, d):
+    return _once(spark, d, "arabic", lambda: term.build(_built(spark, d)))
+
+
+ARABIC_TERMS = [(0, "salat"), (1, "qunut ramazan"), (2, "azan"), (3, "zzz")]
+
+
+def _arabic_hits(spark, d):
+    return term.hits(_arabic_index(spark, d), _values(spark, ARABIC_TERMS, "query_id long, text string"))
+
+
+def _engine(spark, d):
+    """The three legs over the bound corpus; every text is encoded as the first axis."""
+    return search.Engine(bound(spark, d), _bm_index(spark, d), _term_index(spark, d), embeddings(spark, d), lambda texts: [[1.0] + [0.0] * 63 for _ in texts], dimension(spark, d))
+
+
+def _counted(summary):
+    """A summary with its words as text, and without the fields that say nothing here."""
+    words = F.array_join(F.transform("matched_words", lambda w: F.concat_ws(":", w["word"], w["count"])), "|")
+    return summary.withColumn("matched_words", words) if "matched_words" in summary.columns else summary
+
+
+def _summary(spark, d):
+    """The summary of the pooled rows, for five queries of which one finds nothing."""
+    queries = _values(spark, [*TERMS, (5, "nothing at all")], "query_id long, text string")
+    how = {"reranker": "overlap", "reranker_status": "ok", "reranker_active": True, "threshold": 0.5}
+    said = term.logic(_hits(spark, d), queries)
+    return _counted(search.ranked_summary(queries, _split(spark, d, limit=10), "term", 10, how, None, said)).drop("collections")
+
+
+def _plain_rows(response):
+    return response.rows.select(*(F.array_join(c, "|").alias(c) if c == "matched_words" else F.round(c, 6).alias(c) if c == "similarity" else c for c in response.rows.columns if c != "collection"))
+
+
 QUERIES = {
+    "corpus_build": lambda s, d: _built(s, d).select("corpus_idx", "collection", "id_in_book", "global_id", "chapter_id", "narrator", F.sha2("text", 256).alias("text_sha256"), "number", "book", "urn", "grade", "grade_tier", "tier"),
+    "chapters": lambda s, d: corpus.chapters(source(s, d)),
+    "chapters_of_collection": lambda s, d: corpus.books(corpus.chapters(source(s, d)), "src2"),
+    "seed_relevance": lambda s, d: corpus.seed_relevance(source(s, d), _values(s, [("a", "%EN 1%"), ("a", "%باب%"), ("b", "%de%")], "query string, pattern string")),
+    "table_report": lambda s, d: tables.load_report(bound(s, d)),
+    "record_with_chain": lambda s, d: corpus.record(_built(s, d), source_dimension(s, d), "site").select("corpus_idx", "english_title", "narrator", F.size("chain").alias("n_chain"), F.col("chain")[0]["inline_name"].alias("first_name"), T.without_markup(F.col("arabic")).alias("arabic"), "reference"),
+    "get_record": lambda s, d: corpus.get(_built(s, d), source_dimension(s, d), "src1", "1").select("corpus_idx", "english_title", "number", "reference"),
+    "arabic_word_frequency": lambda s, d: _arabic_index(s, d).words,
+    "arabic_term_search": lambda s, d: bm25.top(term.scores(_arabic_hits(s, d)), 50).select("query_id", "rank", "corpus_idx", "score"),
+    "response_summary": _summary,
+    "plain_keyword_rows": lambda s, d: _plain_rows(_engine(s, d).respond_keyword(_keyword(s), None, 10, False)),
+    "plain_keyword_summary": lambda s, d: _engine(s, d).respond_keyword(_keyword(s), PICKED, 10, False).summary.select("query_id", "query", "total", "limit", F.array_join("collections", ",").alias("collections")),
+    "plain_term_rows": lambda s, d: _plain_rows(_engine(s, d).respond_term(_terms(s), None, 20, False)),
+    "plain_term_summary": lambda s, d: _counted(_engine(s, d).respond_term(_terms(s), None, 20, False).summary).select("query_id", "total", "matched_words", "match_logic"),
+    "plain_semantic_rows": lambda s, d: _plain_rows(_engine(s, d).respond_semantic(_values(s, [(0, "any")], "query_id long, text string"), None, 10, False)),
+    "ranked_response": lambda s, d: _engine(s, d).respond(_values(s, [KEYWORD[0]], "query_id long, text string"), "keyword", None, 10, 50).rows.select("query_id", "bucket", "rank", "corpus_idx", "score", "title", "snippet"),
+    "best_threshold_unrounded": lambda s, d: evaluate.reported(evaluate.best_threshold(_sweep(s, d, None))),
     "bm25_topk": lambda s, d: bm25.top(_bm(s, d), 10).select("query_id", "rank", "corpus_idx", "score"),
     "bm25_collections": lambda s, d: bm25.top(_bm(s, d), 10, bound(s, d), PICKED).select("query_id", "rank", "corpus_idx", "score"),
     "bm25_term_statistics": lambda s, d: _bm_index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")),
@@ -374,7 +430,57 @@ c AS (SELECT raw, CASE WHEN f LIKE '%maudu%' OR f LIKE '%fabricated%' THEN 'maud
   WHEN f LIKE '%hasan%' THEN 'hasan' WHEN f LIKE '%daif%' OR f LIKE '%weak%' THEN 'daif' ELSE 'ungraded' END AS cls FROM g)
 SELECT raw, cls, CAST(CASE cls WHEN 'sahih' THEN 0 WHEN 'hasan_sahih' THEN 1 WHEN 'hasan' THEN 2 WHEN 'daif' THEN 3 WHEN 'maudu' THEN 5 ELSE 4 END AS INTEGER) AS tier FROM c"""
 
+_WORK = "regexp_replace(regexp_replace(t, '^\\s+', ''), '^(<p>\\s*)+', '')"
+_FIRST = f"{_strip(f'substr({_WORK}, 1, instr({_WORK}, chr(10)) - 1)')}"
+_NARRATED = f"instr({_WORK}, chr(10)) > 0 AND {_FIRST} LIKE '%:' AND length({_FIRST}) <= 200"
+_BUILT_TEXT = f"CASE WHEN {_NARRATED} THEN {_FIRST} ELSE '' END AS narrator, {_clean_sql(f'CASE WHEN {_NARRATED} THEN substr({_WORK}, instr({_WORK}, chr(10)) + 1) ELSE t END')} AS body"
+_BARE = "regexp_replace({0}, '[\u064b-\u065f\u0670]', '', 'g')"
+_ARABIC_HELD = f"aw AS (SELECT DISTINCT corpus_idx, unnest(regexp_extract_all({_BARE.format('arabic')}, '[\u0621-\u063a\u0641-\u064a]+')) AS word FROM built), adf AS (SELECT word, count(*) AS df FROM aw GROUP BY word)"
+#: Which words a query's tokens find, by hand: the skeletons s-l-t, q-n-t, r-m-z-n and z-n.
+_ARABIC_FOUND = "(VALUES (0, 0, 'صلاة'), (1, 0, 'قنوت'), (1, 1, 'رمضان'), (2, 0, 'أذان')) v(query_id, token, word)"
+_ONE_BM = _bm_sql(f"SELECT * FROM (VALUES {_sql_values([KEYWORD[0]])}) v(query_id, text)")
+_ONE_TERM = _term_sql(f"SELECT * FROM (VALUES {_sql_values([KEYWORD[0]])}) v(query_id, text)")
+_AXIS = "axis AS (SELECT 0::BIGINT AS query_id, vec_id AS corpus_idx, round(CAST(embedding[1] AS DOUBLE), 6) AS score FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id WHERE trim(coalesce(d.text, '')) <> '')"
+_HEAD = "CASE WHEN length(text) > {0} THEN substring(text, 1, {0}) || '…' ELSE text END"
+
 ORACLE_SQL = {
+    "corpus_build": f"WITH {SOURCE_SQL} SELECT corpus_idx, collection, id_in_book, doc_id AS global_id, CAST(floor(bab) AS INTEGER) AS chapter_id, narrator, sha256(body) AS text_sha256, number, book, urn, grade, CAST(grade_tier AS INTEGER) AS grade_tier, tier FROM (SELECT *, {_BUILT_TEXT} FROM built)",
+    "chapters": f"WITH {SOURCE_SQL} SELECT collection, book AS \"bookNumber\", bab AS \"babID\", coalesce(max(CASE WHEN trim(title) <> '' THEN title END), '') AS english_title, coalesce(max(arabic_title), '') AS arabic_title FROM src GROUP BY ALL",
+    "chapters_of_collection": f"WITH {SOURCE_SQL} SELECT collection, CAST(floor(bab) AS INTEGER) AS id, book AS \"bookNumber\", bab AS \"babID\", coalesce(max(CASE WHEN trim(title) <> '' THEN title END), '') AS english_title, coalesce(max(arabic_title), '') AS arabic_title FROM src WHERE collection = 'src2' GROUP BY ALL",
+    "seed_relevance": f"""WITH {SOURCE_SQL}, ch AS (SELECT collection, book, bab, coalesce(max(CASE WHEN trim(title) <> '' THEN title END), '') AS e, coalesce(max(arabic_title), '') AS a FROM src WHERE bab IS NOT NULL GROUP BY ALL),
+hit AS (SELECT DISTINCT query, collection, book, bab FROM ch JOIN (VALUES ('a', '%EN 1%'), ('a', '%باب%'), ('b', '%de%')) v(query, pattern) ON e ILIKE pattern OR a LIKE pattern)
+SELECT DISTINCT query, collection, number FROM src JOIN hit USING (collection, book, bab) WHERE number <> ''""",
+    "table_report": "SELECT source AS collection, count(*) AS n FROM documents GROUP BY source",
+    "record_with_chain": f"""WITH {SOURCE_SQL} SELECT corpus_idx, 'Sahih ' || upper(collection) AS english_title, narrator, CAST(1 AS INTEGER) AS n_chain, {arabic_word("doc_id + 2")} AS first_name,
+{arabic_word("doc_id")} || '  ' || {arabic_word("doc_id + 2")} || '  ' || {arabic_word("doc_id // 3")} AS arabic,
+'site/' || collection || ':' || (CASE WHEN number <> '' THEN {_CITE} ELSE CAST(id_in_book AS VARCHAR) END) AS reference FROM (SELECT *, {_BUILT_TEXT} FROM built)""",
+    "get_record": f"""WITH {SOURCE_SQL}, mine AS (SELECT *, lower(replace(number, ' ', '')) AS n FROM built WHERE collection = 'src1'), found AS (
+  SELECT 1 AS rule, '' AS tie, * FROM mine WHERE n = '1' UNION ALL SELECT 3, n, * FROM mine WHERE n = '1a' UNION ALL SELECT 4, '', * FROM mine WHERE id_in_book = 1)
+SELECT corpus_idx, 'Sahih SRC1' AS english_title, number, 'src1:' || (CASE WHEN number <> '' THEN {_CITE} ELSE CAST(id_in_book AS VARCHAR) END) AS reference FROM found ORDER BY rule, tie, id_in_book LIMIT 1""",
+    "arabic_word_frequency": f"WITH {SOURCE_SQL}, {_ARABIC_HELD} SELECT * FROM adf",
+    "arabic_term_search": f"""WITH {SOURCE_SQL}, {_ARABIC_HELD}, hit AS (SELECT query_id, token, corpus_idx, word, df FROM {_ARABIC_FOUND} JOIN aw USING (word) JOIN adf USING (word)),
+per AS (SELECT query_id, corpus_idx, count(DISTINCT token) AS n FROM hit GROUP BY ALL), al AS (SELECT h.query_id, count(DISTINCT token) AS tokens, (SELECT max(n) FROM per p WHERE p.query_id = h.query_id) AS most FROM hit h GROUP BY h.query_id),
+am AS (SELECT query_id, corpus_idx, round(sum(1.0::DOUBLE / ln(df + 2)), 6) AS score FROM (SELECT DISTINCT query_id, corpus_idx, word, df FROM hit) JOIN per USING (query_id, corpus_idx) JOIN al USING (query_id) WHERE n = tokens OR most < tokens GROUP BY ALL) {_top("am", 50)}""",
+    "response_summary": f"""WITH {_split_sql()}, chips AS ({_CHIPS}), said AS (SELECT query_id, string_agg(word || ':' || n, '|' ORDER BY n DESC, word) AS words FROM chips GROUP BY query_id), totals AS (SELECT query_id, count(*) AS total FROM split GROUP BY query_id)
+SELECT v.query_id, v.text AS query, CASE WHEN total > 0 THEN least(10, total) ELSE 10 END AS "limit", coalesce(total, 0) AS total, coalesce(words, '') AS matched_words, CASE WHEN p.query_id IS NULL THEN NULL WHEN most = tokens THEN 'and' ELSE 'and_fallback_to_or' END AS match_logic,
+  'term' AS mode_hint, coalesce(total, 0) AS pool_size, CASE WHEN total > 0 THEN 'overlap' ELSE 'none' END AS reranker, coalesce(total, 0) > 0 AS reranker_active, 'ok' AS reranker_status, CASE WHEN total > 0 THEN 0.5::DOUBLE END AS threshold
+FROM (VALUES {_sql_values([*TERMS, (5, "nothing at all")])}) v(query_id, text) LEFT JOIN totals h USING (query_id) LEFT JOIN said s USING (query_id) LEFT JOIN per_query p USING (query_id)""",
+    "plain_keyword_rows": f"""WITH {_BM}, {CORPUS_SQL}, {_DIM}, best AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, grade_tier, score DESC, corpus_idx) AS INTEGER) AS rank, corpus_idx, collection, id_in_book, number, grade, corpus.text FROM bm JOIN corpus USING (corpus_idx))
+SELECT query_id, rank, corpus_idx, coalesce(english_title, collection) AS title, id_in_book, number, grade, {_snip("q")} AS snippet FROM (SELECT best.*, kq.text AS q FROM best JOIN kq USING (query_id) WHERE rank <= 10) LEFT JOIN dim ON slug = collection""",
+    "plain_keyword_summary": f"""WITH {_BM}, {CORPUS_SQL} SELECT kq.query_id, kq.text AS query, (SELECT count(*) FROM bm JOIN corpus USING (corpus_idx) WHERE collection IN {_IN} AND bm.query_id = kq.query_id) AS total, 10::BIGINT AS "limit", 'src1,src2,src3' AS collections FROM kq""",
+    "plain_term_rows": f"""WITH {_TERM}, {CORPUS_SQL}, {_DIM} SELECT query_id, rank, corpus_idx, coalesce(english_title, collection) AS title, id_in_book, number, grade, matched_words, {_HEAD.format(140)} AS snippet
+FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, grade_tier, id_in_book, corpus_idx) AS INTEGER) AS rank, corpus_idx, collection, id_in_book, number, grade, matched_words, corpus.text FROM tm JOIN corpus USING (corpus_idx)) LEFT JOIN dim ON slug = collection WHERE rank <= 20""",
+    "plain_term_summary": f"""WITH {_TERM}, counted AS (SELECT query_id, word, count(*) AS n FROM matched GROUP BY ALL), said AS (SELECT query_id, string_agg(word || ':' || n, '|' ORDER BY n DESC, word) AS words FROM counted GROUP BY query_id), sizes AS (SELECT query_id, count(*) AS total FROM tm GROUP BY query_id)
+SELECT v.query_id, coalesce(total, 0) AS total, coalesce(words, '') AS matched_words, CASE WHEN p.query_id IS NULL THEN NULL WHEN most = tokens THEN 'and' ELSE 'and_fallback_to_or' END AS match_logic FROM (VALUES {_sql_values(TERMS)}) v(query_id, text) LEFT JOIN sizes z USING (query_id) LEFT JOIN said s USING (query_id) LEFT JOIN per_query p USING (query_id)""",
+    "plain_semantic_rows": f"""WITH {_AXIS}, {CORPUS_SQL}, {_DIM}, pooled AS ({_top("axis", 200)}), best AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, grade_tier, score DESC, corpus_idx) AS INTEGER) AS rank, corpus_idx, collection, id_in_book, number, grade, score AS similarity, text FROM pooled JOIN corpus USING (corpus_idx))
+SELECT query_id, rank, corpus_idx, coalesce(english_title, collection) AS title, id_in_book, number, grade, similarity, {_HEAD.format(200)} AS snippet FROM best LEFT JOIN dim ON slug = collection WHERE rank <= 10""",
+    "ranked_response": f"""WITH {_ONE_BM}, {_ONE_TERM}, {_AXIS}, {CORPUS_SQL}, {_DIM}, l0 AS ({_top("bm", 50)}), l1 AS ({_top("axis", 50)}), l2 AS ({_top("tm", 50)}),
+legs AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM (SELECT 0 AS leg, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2) WINDOW w AS (PARTITION BY leg)),
+pool AS (SELECT corpus_idx, {", ".join(f"coalesce(max(norm) FILTER (leg = {i}), 0.0::DOUBLE) AS {n}_norm" for i, n in enumerate(fusion.LEGS))}, min(leg * 1000000 + rank) AS first FROM legs GROUP BY corpus_idx),
+ranked AS (SELECT corpus_idx, {_weighted("keyword")} AS score, CAST(row_number() OVER (ORDER BY {_weighted("keyword")} DESC, first, corpus_idx) AS INTEGER) AS rank FROM pool)
+SELECT 0::BIGINT AS query_id, CASE WHEN rank <= 10 THEN 'strong' ELSE 'weak' END AS bucket, rank, corpus_idx, score, coalesce(english_title, collection) AS title, {_snip("q")} AS snippet FROM (SELECT ranked.*, collection, text, '{KEYWORD[0][1]}' AS q FROM ranked JOIN corpus USING (corpus_idx)) LEFT JOIN dim ON slug = collection""",
+    "best_threshold_unrounded": "WITH " + _SWEEP.replace("round(avg(p), 4)", "avg(p)").replace("round(avg(r), 4)", "avg(r)").replace("round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 4)", "avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END)")
+    + " SELECT threshold, round(macro_precision, 4) AS macro_precision, round(macro_recall, 4) AS macro_recall, round(macro_f1, 4) AS macro_f1 FROM curve ORDER BY round(macro_f1, 12) DESC, threshold LIMIT 1",
     "grade_classes": _GRADES,
     "natural_search": _NATURAL,
     "reranked": _RERANKED,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The corpus table: column order is that of the dump.
+# The columns of the dump, in its order, and its escapes.
 SOURCE = T.StructType(
     [T.StructField(n, t) for n, t in (
         ("collection", T.StringType()), ("bookNumber", T.StringType()), ("babID", T.DoubleType()), ("englishBabNumber", T.StringType()), ("arabicBabNumber", T.StringType()), ("hadithNumber", T.StringType()),

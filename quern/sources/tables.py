@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.search import SearchError
+from quern.operators.corpus import SearchError
 
 
 def write_table(rows: DataFrame, path: str, key: str, partition: str = "collection") -> int:
