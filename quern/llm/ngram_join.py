@@ -54,6 +54,8 @@ MOST_PAIRED = 64
 #: Classes and tokens of a block at most, but for a class that is larger by itself.
 CELL, TOKENS_A_CELL = 1000, 1_000_000
 TOKENS_A_BUCKET = 4_000_000
+#: Entries of a cell's matrix that are worked on at once.
+STRIPE = 1 << 18
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -277,7 +279,7 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, shared,
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by a product of incidence matrices."""
+    """Sizes of all intersections (float32), by a product of incidence matrices."""
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(tokens)
@@ -294,14 +296,22 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
         m = np.zeros((len(sets), width), np.float32)
         m[owner[a:b], column[a:b] - start] = 1
         total += m @ m.T
-    return total.astype(np.int64)
+    return total
+
+
+def _stripes(n: int):
+    """Slices of the rows of a matrix of n columns, so that what is computed of them stays small."""
+    step = max(1, STRIPE // max(1, n))
+    return (slice(i, i + step) for i in range(0, n, step))
 
 
 def _candidate_pairs(sets: list[np.ndarray], sizes: np.ndarray, percent: int, buckets: int, common: np.ndarray, seeds) -> np.ndarray:
     """Which pairs of sets pass the filters of all orders and that of sizes."""
     tokens = np.concatenate(sets)
     is_common, _ = _found(_ids(tokens, buckets), common)
-    out = 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
+    out = np.empty((len(sets),) * 2, bool)
+    for k in _stripes(len(sets)):
+        out[k] = 100 * np.minimum(sizes[k, None], sizes) >= percent * np.maximum(sizes[k, None], sizes)
     np.fill_diagonal(out, False)
     for chosen, lengths in _prefixes(tokens, is_common, sizes, percent, seeds):
         if not out.any():
@@ -311,14 +321,16 @@ def _candidate_pairs(sets: list[np.ndarray], sizes: np.ndarray, percent: int, bu
 
 
 def _shared(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of these pairs, 0 for all others."""
+    """Sizes of the intersections of these pairs; what stands for others says nothing."""
     i, j = np.nonzero(np.triu(pairs))
     if len(i) > 4 * len(sets):
         used = np.flatnonzero(pairs.any(1))
-        out = np.zeros(pairs.shape, np.int64)
+        if len(used) == len(sets):
+            return _overlaps(sets)
+        out = np.zeros(pairs.shape, np.float32)
         out[np.ix_(used, used)] = _overlaps([sets[k] for k in used])
-        return np.where(pairs, out, 0)
-    out = np.zeros(pairs.shape, np.int64)
+        return out
+    out = np.zeros(pairs.shape, np.float32)
     for a, b in zip(i, j, strict=True):
         out[a, b] = out[b, a] = len(sets[a]) + len(sets[b]) - len(np.union1d(sets[a], sets[b]))
     return out
@@ -342,15 +354,18 @@ def verify(cells: DataFrame, percent: int, buckets: int, shared, seeds=SEEDS) ->
         pairs = _candidate_pairs(sets, sizes, percent, buckets, shared.value[0], seeds) & apart
         if pairs.any():
             both = _shared(sets, pairs)
-            linked = pairs & (100 * both >= percent * (sizes[:, None] + sizes - both))
+            for k in _stripes(len(rows)):
+                same = both[k].astype(np.int64)
+                linked[k] = pairs[k] & (100 * same >= percent * (sizes[k, None] + sizes - same))
+            del both
         root = num.copy()
         while True:
-            least = np.where(linked, root[None, :], np.iinfo(np.int64).max).min(1)
-            new = np.minimum(root, least)
+            least = [np.where(linked[k], root[None, :], np.iinfo(np.int64).max).min(1) for k in _stripes(len(rows))]
+            new = np.minimum(root, np.concatenate(least))
             if (new == root).all():
                 break
             root = new
-        return num, root, linked.astype(np.int64) @ copies
+        return num, root, np.concatenate([linked[k].astype(np.int64) @ copies for k in _stripes(len(rows))])
 
     def run(batches):
         held: list[tuple] = []
