@@ -19,7 +19,7 @@ prose go. Blocks are what block-level tags separate; `br` is white space. A head
 first element or text that does not belong there, and a tag without its `>` runs to the end,
 as in a browser. Paths are kept as digests, so deep pages take linear time and space.
 
-Votes are pre-aggregated before the shuffle, the paths of a host that go back are as
+Votes are summed before the shuffle, the paths of a host that go back are as
 many as shares fit into its votes, and the tables of winners and trusted paths are
 broadcast only if a count shows them small, so a host that holds a third of all pages
 is no hot task.
@@ -253,7 +253,7 @@ def path_of(node: Node) -> str:
         x = x.up
     for x in reversed(line):
         before = x.up.path if x.up is not None else ""
-        x.path = hashlib.blake2b(f"{before}>{_step(x)}".encode(), digest_size=16).hexdigest()
+        x.path = hashlib.blake2b(f"{before}>{_step(x)}".encode(), digest_size=8).hexdigest()
     return node.path
 
 
@@ -367,24 +367,46 @@ def text_of(nodes: list[Node], blocks: list[Block], tops: list[Node]) -> str:
     return "\n".join(out)
 
 
+@dataclass
+class Page:
+    """A page's elements and blocks, and its best container if it has prose."""
+
+    nodes: list[Node]
+    blocks: list[Block]
+    best: Node | None
+
+    @staticmethod
+    def read(page: str) -> Page:
+        nodes, blocks = parse(page)
+        return Page(nodes, blocks, best_container(nodes, blocks))
+
+    def under(self, path: str) -> str:
+        """The text under all elements of a path: one of several elements, as of list entries, is the main text only all together."""
+        return text_of(self.nodes, self.blocks, [x for x in self.nodes if _holds(x) and path_of(x) == path])
+
+    def alone(self) -> str:
+        return text_of(self.nodes, self.blocks, [self.best]) if self.best is not None else ""
+
+    def own(self) -> str:
+        return self.best and self.under(path_of(self.best)) or self.alone()
+
+    def of(self, winners: list[str]) -> str:
+        """The text under the first path that has any, else of the best container."""
+        return next((t for t in map(self.under, winners if self.best is not None else ()) if t), "") or self.alone()
+
+
 def vote(page: str) -> tuple[str, float, set[str]] | None:
     """The path of the best container, its score, and all paths that have prose on the page."""
-    nodes, blocks = parse(page)
-    best = best_container(nodes, blocks)
-    return (path_of(best), best.score, {path_of(x) for x in nodes if x.score > 0}) if best is not None else None
+    return _vote(Page.read(page))
+
+
+def _vote(page: Page) -> tuple[str, float, set[str]] | None:
+    return (path_of(page.best), page.best.score, {path_of(x) for x in page.nodes if x.score > 0}) if page.best is not None else None
 
 
 def extract(page: str, winners: list[str], own: bool = False) -> str:
     """The text under the page's elements of its best container's path if own, else of the first path of winners that it has."""
-    nodes, blocks = parse(page)
-    best = best_container(nodes, blocks)
-    if best is None:
-        return ""
-    for path in [path_of(best)] if own else winners:
-        # a path of several elements, as one of list entries, is the page's main text only all together
-        if found := text_of(nodes, blocks, [x for x in nodes if _holds(x) and path_of(x) == path]):
-            return found
-    return text_of(nodes, blocks, [best])
+    return Page.read(page).own() if own else Page.read(page).of(winners)
 
 
 def host_of(url):
@@ -392,25 +414,30 @@ def host_of(url):
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE) -> DataFrame:
-    """page_id, url, text of every row."""
+    """page_id, url, text of every row.
+
+    A page is read once, and votes with the text that it has under its own path. Only pages whose own path
+    turns out not to be trusted are read again.
+    """
     slim = pages.select(as_long(pages, id_col).alias("page_id"), pages[url_col].cast("string").alias("url"), host_of(pages[url_col]).alias("host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"))
-    kinds = {"host": pa.string(), "path": pa.string(), "votes": pa.int64(), "pages": pa.int64(), "score": pa.float64()}
+    slim = slim.withColumn("hash", F.xxhash64("url", "html"))
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "hash": pa.int64(), "host": pa.string(), "text": pa.string(), "path": pa.string(), "score": pa.float64(), "paths": pa.list_(pa.string())}
 
     def cast_votes(batches):
         for batch in batches:
-            found: dict[tuple[str, str], list] = {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path, score, paths = vote(page) or ("", 0.0, ())
-                for p in paths:
-                    entry = found.setdefault((host, p), [0, 0, 0.0])
-                    entry[0] += p == path
-                    entry[1] += 1
-                    entry[2] += round(score, 3) if p == path else 0.0
-            rows = [(*k, *v) for k, v in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
-
-    cast = slim.where("host <> ''").select("host", "html").mapInArrow(lean(cast_votes), "host string, path string, votes long, pages long, score double")
-    votes = keep(cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"), F.sum(F.round("score", 3).cast("decimal(30,3)")).alias("score")).where("votes > 0"), "html-votes")
+            rows = []
+            for host, markup in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                page = Page.read(markup)
+                path, score, paths = host and _vote(page) or (None, None, [])
+                rows.append((page.own() if path else page.alone(), path, score and round(score, 3), list(paths)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([r[i] for r in rows], t) for i, t in enumerate(list(kinds.values())[4:]))], names=list(kinds))
+
+    schema = "page_id long, url string, hash long, host string, text string, path string, score double, paths array<string>"
+    read = keep(slim.select("page_id", "url", "hash", "host", "html").mapInArrow(lean(cast_votes), schema), "html-read")
+    on_page = read.where("path IS NOT NULL").select("host", "score", "path", F.explode("paths").alias("on"))
+    mine = F.col("path") == F.col("on")
+    cast = on_page.groupBy("host", F.col("on").alias("path")).agg(F.sum(mine.cast("long")).alias("votes"), F.count(F.lit(1)).alias("pages"), F.sum(F.when(mine, F.col("score").cast("decimal(30,3)"))).alias("score"))
+    votes = keep(cast.where("votes > 0"), "html-votes")
     trusted = votes.where("2 * votes >= pages")
     # at most 1 / share paths a host
     most = votes.groupBy("host").agg((F.sum("votes") * share).alias("least"))
@@ -418,18 +445,17 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     winners = keep(trusted.join(most, "host").where("votes >= least").groupBy("host").agg(ranked.alias("ranked")).select("host", F.col("ranked.path").alias("winners")), "html-winners")
     known = keep(trusted.where(F.col("votes") >= ENOUGH).select("host", "path", F.lit(True).alias("own")), "html-trusted")
 
-    def paths_of(batches):
-        for batch in batches:
-            found = [(vote(p) or (None,))[0] if h else None for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["page_id", "url", "host", "html", "path"])
-
     def again(batches):
         for batch in batches:
-            texts = [extract(p, w or [], bool(o)) for p, w, o in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            texts = [Page.read(p).of(w or []) for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    told = slim.mapInArrow(lean(paths_of), "page_id long, url string, host string, html string, path string").join(small(known, 200_000), ["host", "path"], "left")
-    return told.join(small(winners, 200_000), "host", "left").select("page_id", "url", "html", "winners", "own").mapInArrow(lean(again), "page_id long, url string, text string")
+    told = read.drop("paths").join(small(known), ["host", "path"], "left")
+    done = told.where("path IS NULL OR own").select("page_id", "url", "text")
+    doubtful = keep(told.where("path IS NOT NULL AND own IS NULL").select(F.col("page_id").alias("id"), F.col("hash").alias("of")).distinct(), "html-doubtful")
+    side = small(doubtful)
+    rest = slim.join(side, slim["page_id"].eqNullSafe(side["id"]) & (slim["hash"] == side["of"]), "left_semi").join(small(winners), "host", "left")
+    return done.unionByName(rest.select("page_id", "url", "html", "winners").mapInArrow(lean(again), "page_id long, url string, text string"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
