@@ -189,6 +189,20 @@ def _unpack(blob: bytes) -> np.ndarray:
     return out
 
 
+def _pack_requests(entries: np.ndarray) -> bytes:
+    """Of a document's variants what it takes to fetch their bytes and deal them: a part of the anchor's hash, start, windows less one."""
+    wide = np.array([entries["s"].max() >= 1 << 32], "<i8")
+    key = (entries["h"] >> np.uint64(20) & np.uint64(0xFFFFFFFF)).astype("<u4")
+    return b"".join(x.tobytes() for x in (wide, key, entries["s"].astype("<i8" if wide[0] else "<u4"), entries["n"].astype("<u1")))
+
+
+def _unpack_requests(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    wide = blob[0]
+    n = (len(blob) - 8) // (13 if wide else 9)
+    at = 8 + 4 * n
+    return np.frombuffer(blob, "<u4", n, 8), np.frombuffer(blob, "<i8" if wide else "<u4", n, at).astype(np.int64), np.frombuffer(blob, "<u1", n, len(blob) - n).astype(np.int64)
+
+
 def _by_bucket(entries: np.ndarray, buckets: int) -> list[tuple]:
     """Entries, in order of their documents, dealt by anchor."""
     where = ((entries["h"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 65536 else np.int64)
@@ -266,22 +280,23 @@ def repeat_marks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         variant = e[differ[group] > 0]
         variant = variant[np.lexsort((variant["s"], variant["text"], variant["doc"]))]
         cuts = np.flatnonzero(np.r_[True, (variant["doc"][1:] != variant["doc"][:-1]) | (variant["text"][1:] != variant["text"][:-1]), True]) if len(variant) else np.zeros(1, int)
-        rows += [(-2, int(v["doc"][0]), int(v["text"][0]), _pack(v)) for v in (variant[a:b] for a, b in zip(cuts, cuts[1:], strict=False))]
+        rows += [(-2, int(v["doc"][0]), int(v["text"][0]), _pack_requests(v)) for v in (variant[a:b] for a, b in zip(cuts, cuts[1:], strict=False))]
         return pa.Table.from_batches([_batch(rows)]) if rows else pa.Table.from_batches([_batch([])])
 
     found = slim.select("doc", "hash", "text").mapInArrow(lean(find), OUT)
     judged = keep(found.groupBy("bucket").applyInArrow(lean(compare), OUT), "repeat-judged")
     wanted = judged.where("bucket = -2").groupBy("doc", "hash").agg(F.collect_list("packed").alias("packed"))
     wanted, size = _sized(wanted, "repeat-requests")
-    second = int(size * 8 // INDEXED) + 8  # a request of about 20 bytes fetches about 160
+    second = int(size * 16 // INDEXED) + 8  # a request of about 10 bytes fetches about 160
 
     def fetch(batches):
         for batch in batches:
             out: dict[int, list] = {}
             for doc, text_hash, text, blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
-                for e in np.concatenate([_unpack(b) for b in blobs]):
-                    out.setdefault(int(e["h"] >> np.uint64(20)) % second, []).append((doc, text_hash, int(e["s"]), int(e["n"]) + 1, raw[e["s"] : int(e["s"]) + int(e["n"]) + least]))
+                for b in blobs:
+                    for key, start, more in zip(*(x.tolist() for x in _unpack_requests(b)), strict=True):
+                        out.setdefault(key % second, []).append((doc, text_hash, start, more + 1, raw[start : start + more + least]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, v in out.items() for _ in v], pa.int64()), *(pa.array([x[i] for v in out.values() for x in v], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())))],
                 names=["bucket", "doc", "hash", "start", "windows", "bytes"],
