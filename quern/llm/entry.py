@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by the names that __spark_entry__.py registers."""
 
-from quern.llm import exact_dedup, html_extract, mixing, ngram_join, order_minhash, packing, pii, quality, secrets, substring_dedup
+from quern.llm import exact_dedup, html_extract, mixing, ngram_join, order_minhash, packing, pii, quality, secrets, source_divergence, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -13,8 +13,10 @@ QUERIES = {
     "op8_secret_scan": secrets.query,
     "op9_order_minhash": order_minhash.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_source_divergence": source_divergence.query,
 }
 
 ORACLE_SQL = {
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_source_divergence": source_divergence.SQL,
 }
