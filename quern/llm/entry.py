@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by the names that __spark_entry__.py registers."""
 
-from quern.llm import exact_dedup, html_extract, lattice_hash, mixing, ngram_join, order_minhash, packing, pii, quality, secrets, source_divergence, substring_dedup
+from quern.llm import exact_dedup, html_extract, lattice_hash, mixing, ngram_join, order_minhash, packing, pii, prefix_trie, quality, secrets, source_divergence, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.query,
     "op11_source_divergence": source_divergence.query,
     "op12_lattice_hash": lattice_hash.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 
 ORACLE_SQL = {
     "op10_exact_dedup": exact_dedup.SQL,
     "op11_source_divergence": source_divergence.SQL,
     "op12_lattice_hash": lattice_hash.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
