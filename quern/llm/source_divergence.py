@@ -2,9 +2,9 @@
 
 Documents are counted in map tasks, one run a flush of a bounded table, so a word, source
 or language that a third of all rows hold is shuffled as one row a flush and not one a
-document. Runs are repartitioned and sorted by (lang, term, source), the documents of a run
-being already merged, and a run-length scan adds them up. A second sort by (lang, term,
-source) streams whole terms: the scan adds up document frequencies, keeps the terms that
+document. Runs are repartitioned and sorted by the key of lang, term and source, the documents of a run
+being already merged, and a run-length scan adds them up. A second sort by term, lang and
+source streams whole terms (the term leads, so that a comparison ends at its first bytes): the scan adds up document frequencies, keeps the terms that
 enough documents have, and then emits, a run at a time, partial sums for pairs of sources.
 
 A pair's sum over all V kept terms never visits the terms that neither source has. With
@@ -14,7 +14,7 @@ z the share of a term that a source lacks,
                     + (V - n_a - n_b) f(z_a, z_b) + sum over shared terms of the rest,
 
 where the first two go by the histogram of a source's shares, and only the last needs runs:
-a term of k sources adds k * k / 2 numbers to a matrix that its task holds, not to any row.
+a term of k sources adds k * k / 2 numbers to a matrix that its task holds, not to rows.
 
 Nulls in text, lang and source are empty strings. Every row is a document, repeated rows and
 rows of one id too. A text without terms still makes its group. Ties rank by the UTF-8 bytes
@@ -36,15 +36,21 @@ from quern.llm.common import drop, join_hot, keep, lean, small
 LEAST_DOCUMENTS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
-#: Terms of all groups that a map task holds before it hands them on.
-HELD = 200_000
-#: Bytes of a long text that are split into words at a time.
-PIECE = 1 << 20
-#: Sources whose pairs a task sums in one matrix.
-SIDE = 1024
+#: Runs that a map task holds before it merges them; a half of them left, it hands them on.
+HELD = 2_000_000
+#: Bytes of texts that are counted at a time, and of a long text that are split into words at a time.
+CHUNK, PIECE = 8 << 20, 1 << 20
+#: Sources whose pairs a task sums in one matrix, and pairs that it adds at a time.
+SIDE, PAIRS = 1024, 500_000
 #: What a byte of UTF-8 counts as: letters in lower case, all of a non-ASCII character, or a blank.
 AS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-RUN = "lang binary, term binary, source binary, df long, n long"
+#: A run's key is its term, a zero byte (no term has one) and its group: the length of lang, lang, source.
+RUN = "key binary, df long, n long"
+COUNTED = "lang binary, term binary, source binary, df long, n long"
+
+
+def group(lang: bytes, source: bytes) -> bytes:
+    return len(lang).to_bytes(4, "big") + lang + source
 
 
 def words(text: bytes):
@@ -58,34 +64,56 @@ def words(text: bytes):
         at = end
 
 
-def _emit(held: dict[tuple[bytes, bytes], tuple[Counter, Counter]]):
-    """A run for each term of each group held, and one of no term for the group."""
-    for (lang, source), (counts, docs) in held.items():
-        terms = [b"", *docs]
-        columns = [[lang] * len(terms), terms, [source] * len(terms)]
-        numbers = [[0, *docs.values()], [0, *(counts[t] for t in docs)]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns] + [pa.array(c, pa.int64()) for c in numbers], names=["lang", "term", "source", "df", "n"])
-    held.clear()
+def _counted(texts: list[bytes], own: list[bytes]) -> pa.Table:
+    """Runs of the documents of a chunk, given as their terms between blanks, with their groups."""
+    words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+    terms = words.flatten().dictionary_encode()
+    code = terms.indices.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+    some = code != pc.index(terms.dictionary, "").as_py()
+    held, times = np.unique(code[some] * len(texts) + doc[some], return_counts=True)  # a term of a document
+    groups, place = np.unique(np.array(own, object), return_inverse=True)
+    run, of = np.unique(held // len(texts) * len(groups) + place[held % len(texts)], return_inverse=True)
+    term = terms.dictionary.take(pa.array(run // len(groups))).view(pa.binary())
+    end = pa.array([b"\0" + g for g in groups], pa.binary()).take(pa.array(run % len(groups)))
+    df, n = np.bincount(of, minlength=len(run)), np.bincount(of, times, len(run)).astype(np.int64)  # below 2^53 in a chunk
+    return pa.table({"key": pc.binary_join_element_wise(term, end, b""), "df": df, "n": n})
 
 
 def count_terms(batches):
-    """Counts of the documents' terms by lang and source, handed on whenever HELD are held."""
-    held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
-    size = 0
+    """Runs of the documents' terms by lang and source, merged whenever many are held and handed on when they stay many."""
+    held: list[pa.Table] = []
+    texts, own, size = [], [], 0
+
+    def merge():
+        sums = pa.concat_tables(held).group_by("key", use_threads=False).aggregate([("df", "sum"), ("n", "sum")])
+        held[:] = [sums.select(["key", "df_sum", "n_sum"]).rename_columns(["key", "df", "n"])]
+
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            seen: set[bytes] = set()
-            for found in words(text):
-                counts.update(found)
-                seen.update(found)
-            before = len(docs)
-            docs.update(seen)
-            size += len(docs) - before
-            if size >= HELD:
-                yield from _emit(held)
-                size = 0
-    yield from _emit(held)
+            if len(text) > PIECE:  # counted by itself, a piece at a time
+                counts: Counter = Counter()
+                for found in words(text):
+                    counts.update(found)
+                end = b"\0" + group(lang, source)
+                held.append(pa.table({"key": pa.array([t + end for t in counts], pa.binary()), "df": pa.array([1] * len(counts), pa.int64()), "n": pa.array(counts.values(), pa.int64())}))
+                continue
+            texts.append(text.translate(AS))
+            own.append(group(lang, source))
+            size += len(text)
+            if size >= CHUNK:
+                held.append(_counted(texts, own))
+                texts, own, size = [], [], 0
+        if sum(t.num_rows for t in held) >= HELD:
+            merge()
+            if held[0].num_rows >= HELD // 2:
+                yield from held[0].to_batches(max_chunksize=20_000)
+                held = []
+    if texts:
+        held.append(_counted(texts, own))
+    if held:
+        merge()
+        yield from held[0].to_batches(max_chunksize=20_000)
 
 
 def _starts(batch, keys: list[str]) -> np.ndarray:
@@ -98,31 +126,34 @@ def _starts(batch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def add_runs(batches):
-    """One row a run of sorted (lang, term, source), with the sums of df and n."""
-    keys = ["lang", "term", "source"]
-    held = None  # the run that may go on in the next batch
+def _unpacked(keys: pa.Array, df: np.ndarray, n: np.ndarray):
+    """Rows of COUNTED: a run's key taken apart, its group once for each group there is."""
+    parts = pc.split_pattern(keys, pattern=b"\0", max_splits=1).flatten()
+    terms = parts.take(pa.array(np.arange(0, len(parts), 2)))
+    groups = parts.take(pa.array(np.arange(1, len(parts), 2))).dictionary_encode()
+    own = [(g[4 : 4 + int.from_bytes(g[:4], "big")], g[4 + int.from_bytes(g[:4], "big") :]) for g in groups.dictionary.to_pylist()]
+    lang, source = (pa.array([g[k] for g in own], pa.binary()).take(groups.indices) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([lang, terms, source, pa.array(df), pa.array(n)], names=["lang", "term", "source", "df", "n"])
 
-    def row(key, df, n):
-        return pa.RecordBatch.from_arrays([*(pa.array([k], pa.binary()) for k in key), pa.array([df], pa.int64()), pa.array([n], pa.int64())], names=[*keys, "df", "n"])
 
+def add_runs(batches):
+    """One row a run of sorted keys, with the sums of df and n."""
+    held = None  # the run that may go on in the next batch: key, df, n
     for batch in batches:
         if not batch.num_rows:
             continue
-        at = _starts(batch, keys)
+        keys, at = batch.column("key"), _starts(batch, ["key"])
         sums = [np.add.reduceat(batch.column(c).to_numpy(), at) for c in ("df", "n")]
-        first = tuple(batch.column(k)[0].as_py() for k in keys)
-        if held and held[0] == first:
+        if held and held[0] == keys[0].as_py():
             for total, more in zip(sums, held[1:], strict=True):
                 total[0] += more
         elif held:
-            yield row(*held)
+            yield _unpacked(pa.array([held[0]], pa.binary()), *(np.array([x]) for x in held[1:]))
         if len(at) > 1:
-            done = batch.select(keys).take(pa.array(at[:-1]))
-            yield pa.RecordBatch.from_arrays([*done.columns, *(pa.array(s[:-1]) for s in sums)], names=[*keys, "df", "n"])
-        held = (tuple(batch.column(k)[int(at[-1])].as_py() for k in keys), int(sums[0][-1]), int(sums[1][-1]))
+            yield _unpacked(keys.take(pa.array(at[:-1])), sums[0][:-1], sums[1][:-1])
+        held = (keys[int(at[-1])].as_py(), int(sums[0][-1]), int(sums[1][-1]))
     if held:
-        yield row(*held)
+        yield _unpacked(pa.array([held[0]], pa.binary()), *(np.array([x]) for x in held[1:]))
 
 
 def whole_terms(batches):
@@ -171,55 +202,55 @@ def distance(p, q):
 
 
 def shared_pairs(batches):
-    """Partial sums, for pairs of sources that share terms, of what the terms add to the sum of single sources.
+    """Partial sums, for pairs of sources that share terms, of what the terms add to the sum of single sources; both ways.
 
-    One matrix a language is held, for SIDE sources at most; it is handed on when more come.
+    One matrix of SIDE groups at most is held, and handed on when more come.
     """
-    lang, index, names, sums = None, {}, [], None
+    index: dict[tuple[bytes, bytes], int] = {}
+    sums = np.zeros((SIDE, SIDE), np.int64)
 
     def flush():
-        i, j = np.nonzero(np.triu(sums[: len(names), : len(names)], 1)) if names else ((), ())
-        value = sums[i, j] if names else np.zeros(0, np.int64)
-        yield _pairs(lang, [names[x] for x in i], [names[x] for x in j], value)
+        names = list(index)
+        i, j = np.nonzero(sums)
+        yield _pairs(names, i, j, sums[i, j])
         index.clear()
-        names.clear()
-        if sums is not None:
-            sums[:] = 0
+        sums[:] = 0
 
     for table, at in whole_terms(batches):
-        langs, sources = table.column("lang"), table.column("source").to_pylist()
+        lang, source = (table.column(c).dictionary_encode() for c in ("lang", "source"))
+        codes, row = np.unique(lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(), return_inverse=True)
+        names = [(lang.dictionary[c // len(source.dictionary)].as_py(), source.dictionary[c % len(source.dictionary)].as_py()) for c in codes.tolist()]
+        if len({*index, *names}) > SIDE:
+            yield from flush()
+        if few := len(names) <= SIDE:
+            where = np.array([index.setdefault(name, len(index)) for name in names])[row]
         share, absent = (table.column(c).to_numpy() for c in ("p", "z"))
-        for a, b in zip(at.tolist(), np.r_[at[1:], table.num_rows].tolist(), strict=True):
-            if b - a < 2:
-                continue
-            own = langs[a].as_py()
-            if own != lang or len(names) + b - a > SIDE:
-                if lang is not None:
-                    yield from flush()
-                lang = own
-            for x in range(a, b, SIDE):
-                for y in range(x, b, SIDE):
-                    x2, y2 = min(b, x + SIDE), min(b, y + SIDE)
-                    p, z, q, w = share[x:x2, None], absent[x:x2, None], share[None, y:y2], absent[None, y:y2]
-                    value = distance(p, q) - distance(p, w) - distance(z, q) + distance(z, w)
-                    if b - a > SIDE:
-                        i, j = np.nonzero(np.triu(value, 1) if x == y else value)
-                        yield _pairs(lang, [sources[x + k] for k in i], [sources[y + k] for k in j], value[i, j])
-                        continue
-                    if sums is None:
-                        sums = np.zeros((SIDE, SIDE), np.int64)
-                    for s in sources[a:b]:
-                        if s not in index:
-                            index[s] = len(names)
-                            names.append(s)
-                    where = np.array([index[s] for s in sources[a:b]])
-                    sums[np.ix_(where, where)] += value
-    if lang is not None:
-        yield from flush()
-
-
-def _pairs(lang, a, b, value):
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.binary()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(value, pa.int64())], names=["lang", "source", "item", "value"])
+        rows = np.arange(table.num_rows)
+        after = np.repeat(np.r_[at[1:], table.num_rows], np.diff(np.r_[at, table.num_rows])) - 1 - rows  # partners of a row: the rest of its run
+        before = np.r_[0, np.cumsum(after)]
+        a = 0
+        while a < len(rows):  # rows with so many pairs together
+            b = max(a + 1, int(np.searchsorted(before, before[a] + PAIRS, "right")) - 1)
+            x = np.repeat(rows[a:b], after[a:b])
+            y = x + 1 + np.arange(len(x)) - np.repeat(before[a:b] - before[a], after[a:b])
+            p, q, z, w = share[x], share[y], absent[x], absent[y]
+            value = distance(p, q) - distance(p, w) - distance(z, q) + distance(z, w)
+            if few:
+                np.add.at(sums, (where[x], where[y]), value)
+            else:
+                pair, of = np.unique(row[x] * len(names) + row[y], return_inverse=True)
+                total = np.zeros(len(pair), np.int64)
+                np.add.at(total, of, value)
+                yield _pairs(names, pair // len(names), pair % len(names), total)
+            a = b
+    yield from flush()
+
+
+def _pairs(names, i, j, value):
+    """Sums of pairs as rows of either source."""
+    a, b = np.r_[i, j], np.r_[j, i]
+    columns = [[names[k][0] for k in a], [names[k][1] for k in a], [names[k][1] for k in b]]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), pa.array(np.r_[value, value])], names=["lang", "source", "item", "value"])
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -234,38 +265,37 @@ def _share(n: Column, total: Column, terms: Column) -> Column:
 
 def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
     """Sources ranked by divergence from each other source of their language, and each source's most telling terms."""
-    keys = ["lang", "term", "source"]
+    keys, order = ["lang", "term", "source"], ["term", "lang", "source"]
     slim = docs.select(*(F.coalesce(docs[c].cast("string"), F.lit("")).cast("binary").alias(n) for n, c in (("lang", lang_col), ("source", source_col), ("text", text_col))))
-    counted = keep(slim.mapInArrow(lean(count_terms), RUN).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(add_runs), RUN), "divergence-runs")
-    none = F.col("term") == F.lit(b"")
+    counted = slim.mapInArrow(lean(count_terms), RUN).repartition("key").sortWithinPartitions("key").mapInArrow(lean(add_runs), COUNTED)
     kept = keep(
-        counted.where(~none).repartition("lang", "term").sortWithinPartitions(*keys).mapInArrow(lean(keep_terms(least)), "lang binary, term binary, source binary, n long, total long, head long"),
+        counted.repartition("lang", "term").sortWithinPartitions(*order).mapInArrow(lean(keep_terms(least)), "lang binary, term binary, source binary, n long, total long, head long"),
         "divergence-terms",
     )
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum("head").alias("terms"))
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("group_total"), F.count(F.lit(1)).alias("own"))
-    every = counted.where(none).select("lang", "source").join(sizes, ["lang", "source"], "left").join(small(langs), ["lang"], "left").na.fill(0)
+    every = slim.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(small(langs), ["lang"], "left").na.fill(0)
     groups = keep(every.withColumn("z", _share(F.lit(0), F.col("group_total"), F.col("terms"))), "divergence-groups")
 
     rows = kept.count()
     shares = join_hot(kept, groups, ["lang", "source"], "own", rows)
     shares = keep(shares.select(*keys, _share(F.col("n"), F.col("group_total"), F.col("terms")).alias("p"), _share(F.col("total"), F.col("lang_total"), F.col("terms")).alias("q"), "z"), "divergence-shares")
-    drop(counted, kept)
+    drop(kept)
 
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     telling = shares.where("p > q").select("lang", "source", F.col("term").alias("item"), _distance(F.col("p"), F.col("q")).alias("value"))
-    telling = telling.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    telling = telling.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
     other = groups.select("lang", F.col("source").alias("item"), F.col("own").alias("item_own"), F.col("z").alias("item_z"))
     between = (F.col("terms") - F.col("own") - F.col("item_own")) * _distance(F.col("z"), F.col("item_z"))
     neither = groups.join(small(other), "lang").where("source <> item").select("lang", "source", "item", F.coalesce(between, F.lit(0)).alias("value"))
     histogram = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("c"))
     single = histogram.join(small(other), "lang").where("source <> item").select("lang", "source", "item", (F.col("c") * _distance(F.col("p"), F.col("item_z"))).alias("value"))
-    both = shares.repartition("lang", "term").sortWithinPartitions(*keys).mapInArrow(lean(shared_pairs), "lang binary, source binary, item binary, value long")
-    half = single.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).unionByName(both)
-    back = half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
-    pairs = neither.unionByName(half).unionByName(back).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    pairs = pairs.withColumn("rank", F.row_number().over(order))
+    both = shares.repartition("lang", "term").sortWithinPartitions(*order).mapInArrow(lean(shared_pairs), "lang binary, source binary, item binary, value long")
+    sides = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
+    single = single.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).select("lang", sides.alias("pair"), "value").select("lang", "pair.source", "pair.item", "value")
+    pairs = neither.unionByName(single).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    pairs = pairs.withColumn("rank", F.row_number().over(ranked))
 
     out = pairs.withColumn("part", F.lit("pair")).unionByName(telling.withColumn("part", F.lit("term")))
     return out.select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source", "part", "item")), "value", F.col("rank").cast("int").alias("rank"))

@@ -85,38 +85,49 @@ def test_flushes_and_runs_add_up(monkeypatch):
     rng = random.Random(1)
     rows = [(rng.choice([b"a", b"b"]), rng.choice([b"s", b"t"]), b" ".join(rng.choices([b"u", b"v", b"w", b"x"], k=5))) for _ in range(200)]
     monkeypatch.setattr(source_divergence, "HELD", 5)
-    runs = [r for b in source_divergence.count_terms(iter([divergence_batch(rows)])) for r in b.to_pylist()]
+    monkeypatch.setattr(source_divergence, "CHUNK", 20)
+    monkeypatch.setattr(source_divergence, "PIECE", 8)
+    batches = [divergence_batch(rows[i : i + 10]) for i in range(0, len(rows), 10)]
+    runs = [r for b in source_divergence.count_terms(iter(batches)) for r in b.to_pylist()]
     assert len(runs) > 100
-    order = sorted(runs, key=lambda r: (r["lang"], r["term"], r["source"]))
-    schema = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("source", pa.binary()), ("df", pa.int64()), ("n", pa.int64())])
+    runs.sort(key=lambda r: r["key"])
+    schema = pa.schema([("key", pa.binary()), ("df", pa.int64()), ("n", pa.int64())])
+    whole = pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("source", pa.binary()), ("df", pa.int64()), ("n", pa.int64())])
     for size in (1, 3, 1000):
-        batches = [pa.RecordBatch.from_pylist(order[i : i + size], schema) for i in range(0, len(order), size)]
+        batches = [pa.RecordBatch.from_pylist(runs[i : i + size], schema) for i in range(0, len(runs), size)]
         added = [r for b in source_divergence.add_runs(iter(batches)) for r in b.to_pylist()]
-        want = Counter()
-        for r in runs:
-            want[r["lang"], r["term"], r["source"]] += r["n"]
-        assert {(r["lang"], r["term"], r["source"]): r["n"] for r in added} == dict(want) and len(added) == len(want)
+        want, docs = Counter(), Counter()
+        for lang, source, text in rows:
+            for t in text.split():
+                want[lang, t, source] += 1
+            for t in {*text.split()}:
+                docs[lang, t, source] += 1
+        found = {(r["lang"], r["term"], r["source"]): (r["n"], r["df"]) for r in added if r["term"]}
+        assert found == {k: (want[k], docs[k]) for k in want} and len(added) == len(want)
+        order = sorted(added, key=lambda r: (r["term"], r["lang"], r["source"]))
+        batches = [pa.RecordBatch.from_pylist(order[i : i + size], whole) for i in range(0, len(order), size)]
         terms = [(t.to_pylist(), at.tolist()) for t, at in source_divergence.whole_terms(iter(batches))]
         assert [r for t, _ in terms for r in t] == order
         starts = [(t[i]["lang"], t[i]["term"]) for t, at in terms for i in at]
         assert len(starts) == len(set(starts)) == len({(r["lang"], r["term"]) for r in order})
 
 
-@pytest.mark.parametrize("side", [2, 3, 100])
-def test_matrices_of_few_sources_sum_alike(monkeypatch, side):
+@pytest.mark.parametrize("side, pairs", [(2, 1), (3, 2), (5, 100), (100, 3)])
+def test_matrices_of_few_sources_sum_alike(monkeypatch, side, pairs):
     rng = random.Random(2)
     rows = sorted({(lang, term, source): (rng.randrange(1, 10**9), rng.randrange(1, 10**9)) for lang in (b"a", b"b") for term in (b"t", b"u", b"v") for source in (b"p", b"q", b"r", b"s") if rng.random() < 0.8}.items())
     flat = [{"lang": k[0], "term": k[1], "source": k[2], "p": v[0], "z": v[1]} for k, v in rows]
     monkeypatch.setattr(source_divergence, "SIDE", side)
+    monkeypatch.setattr(source_divergence, "PAIRS", pairs)
     found = Counter()
     batches = [pa.RecordBatch.from_pylist(flat[i : i + 2], pa.schema([("lang", pa.binary()), ("term", pa.binary()), ("source", pa.binary()), ("p", pa.int64()), ("z", pa.int64())])) for i in range(0, len(flat), 2)]
     for batch in source_divergence.shared_pairs(iter(batches)):
         for r in batch.to_pylist():
-            found[r["lang"], *sorted((r["source"], r["item"]))] += r["value"]
+            found[r["lang"], r["source"], r["item"]] += r["value"]
     want, f = Counter(), lambda x, y: (x - y) ** 2 // (x + y)
     for (lang, term, a), (p, z) in rows:
         for (lang2, term2, b), (q, w) in rows:
-            if (lang, term) == (lang2, term2) and a < b:
+            if (lang, term) == (lang2, term2) and a != b:
                 want[lang, a, b] += f(p, q) - f(p, w) - f(z, q) + f(z, w)
     assert {k: v for k, v in found.items() if v} == {k: v for k, v in want.items() if v}
 
