@@ -29,13 +29,16 @@ class Index:
     stats: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings are laid out by term, so a query's terms prune row groups."""
-        self.postings.persist()  # terms are counted from them
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "corpus_idx").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        """Postings are laid out by term and row, so a query's terms prune row groups and a frequent term is many files.
+
+        Terms and statistics are counted from the postings that were written.
+        """
+        read = self.postings.sparkSession.read
+        self.postings.repartitionByRange("term", "corpus_idx").sortWithinPartitions("term", "corpus_idx").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        self.postings.unpersist()
+        kept = statistics(read.parquet(f"{path}/postings"), read.parquet(f"{path}/lengths"))
+        kept.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        kept.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
     def read(spark, path: str) -> Index:
@@ -43,10 +46,7 @@ class Index:
 
 
 def build(corpus: DataFrame) -> Index:
-    """Statistics over narrator and text of all rows; rows without a token count among n, with length 0.
-
-    A negative idf is a share of the mean over all terms.
-    """
+    """Statistics over narrator and text of all rows; rows without a token count among n, with length 0."""
     text = F.concat(F.coalesce("narrator", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))) if "narrator" in corpus.columns else F.coalesce("text", F.lit(""))
     words = corpus.select("corpus_idx", T.tokens(text).alias("tokens"))
     lengths = words.select("corpus_idx", F.size("tokens").alias("dl"))
@@ -54,6 +54,15 @@ def build(corpus: DataFrame) -> Index:
     counted = words.select("corpus_idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("corpus_idx", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     postings = counted.crossJoin(F.broadcast(size.select("avgdl"))).select("term", "corpus_idx", "tf", impact.alias("impact"))  # one row
+    return statistics(postings, lengths)
+
+
+def statistics(postings: DataFrame, lengths: DataFrame) -> Index:
+    """The index of postings and lengths: document frequencies, idfs and what the whole corpus says.
+
+    A negative idf is a share of the mean over all terms.
+    """
+    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     seen = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size)).withColumn("raw", raw)
     stats = size.crossJoin(seen.agg(F.avg("raw").alias("mean_idf")))

@@ -8,13 +8,17 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.nearest import k_best
 
 #: Query vectors of a block; they go to every task.
 MOST_QUERIES = 10_000
+#: Scores that a task computes at a time.
+PRODUCTS = 4_000_000
 
 
 def scores(embeddings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -26,7 +30,9 @@ def scores(embeddings: DataFrame, queries: DataFrame) -> DataFrame:
 def top(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k most similar rows of each query: a matrix product a batch, a top-k a task, then one over tasks.
 
-    queries(query_id, query) come to the driver in blocks of MOST_QUERIES; each block goes over all rows, with tasks of its own.
+    queries(query_id, query) come to the driver in blocks of MOST_QUERIES; each block goes over all rows, with tasks of
+    its own. For large sets of queries, or rows that are asked again and again, nearest.build and nearest.top do the
+    same without the driver, and skip what cannot matter.
     """
     vectors = embeddings.where(F.col("embedding").isNotNull()).select("corpus_idx", "embedding")
     queries = queries.select("query_id", "query")
@@ -43,17 +49,24 @@ def _part(vectors: DataFrame, rows: list, k: int) -> DataFrame:
     ids = np.array([r["query_id"] for r in rows], np.int64)
     matrix = np.array([r["query"] for r in rows], np.float64)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame({"query_id": [], "corpus_idx": [], "score": []})
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
         for batch in batches:
-            if not len(batch) or not len(ids):
+            if not batch.num_rows or not len(ids):
                 continue
-            found = np.round(matrix @ np.array(batch["embedding"].tolist(), np.float64).T, 6)
-            new = pd.DataFrame({"query_id": np.repeat(ids, len(batch)), "corpus_idx": np.tile(batch["corpus_idx"].to_numpy(), len(ids)), "score": found.ravel()})
-            held = pd.concat([held, new]).sort_values(["query_id", "score", "corpus_idx"], ascending=[True, False, True]).groupby("query_id").head(k)
-        yield held.astype({"query_id": "int64", "corpus_idx": "int64", "score": "float64"})
-
-    return vectors.mapInPandas(best, "query_id long, corpus_idx long, score double")
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            numbers, n = batch.column("corpus_idx").to_numpy(), min(k, batch.num_rows)
+            step = max(1, PRODUCTS // batch.num_rows)
+            for a in range(0, len(ids), step):  # so many queries that their scores fit
+                scores = np.round(matrix[a : a + step] @ x.T, 6)
+                kth = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+                row, col = np.nonzero(scores >= kth[:, None])
+                held = tuple(np.concatenate([h, f]) for h, f in zip(held, (ids[a : a + step][row], numbers[col], scores[row, col]), strict=True))
+            some = k_best(*held, k)
+            held = tuple(h[some] for h in held)
+        yield pa.RecordBatch.from_arrays([pa.array(h) for h in held], names=["query_id", "corpus_idx", "score"])
+
+    return vectors.select(F.col("corpus_idx").cast("long").alias("corpus_idx"), "embedding").mapInArrow(best, "query_id long, corpus_idx long, score double")
 
 
 def with_content(embeddings: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import bm25, corpus, dense, evaluate, fusion, rerank, search, term
+from quern.operators import blockmax, bm25, corpus, dense, evaluate, fusion, nearest, rerank, search, term
+from quern.operators.sizes import settled
 from quern.plans.binding import CORPUS_SQL, SOURCE_SQL, arabic_word, dimension, embeddings, source, source_dimension, table
 from quern.plans.binding import corpus as bound
 from quern.sources import tables
+from quern.sources.kept import scratch
 
 KEYWORD = [(0, "licensed under the public license"), (1, "was with that the the"), (2, "password token secret")]
 TERMS = [(0, "thesat shedon"), (1, "al thonin"), (2, "ereder onsh thin"), (3, "zzzqqq"), (4, "e")]
-EXAMPLES = [(0, 7), (1, 123), (2, 499)]
+#: Every vector of an id that this divides is a query by example, of the id divided by it.
+EXAMPLE_STEP = 20
 KEYS = [(1, "src0", "12"), (2, "src1", "7 A"), (3, "src2", "33"), (4, "src3", "2"), (5, "src0", "999999"), (6, "nowhere", "1"), (7, "src5", " 101b "), (8, "src4", "5")]
 CITATIONS = ["SRC2 #12a", "Sahih Src4 33, 34", "src-6 #7", "nothing #1", "src8"]
 PICKED = ["src1", "src2", "src3"]
@@ -32,21 +35,20 @@ def _terms(spark):
 
 
 def _vectors(spark, d):
-    asked = _values(spark, EXAMPLES, "query_id long, corpus_idx long")
-    return embeddings(spark, d).join(F.broadcast(asked), "corpus_idx").select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("query"))
+    own = F.floor(F.col("corpus_idx") / EXAMPLE_STEP).alias("query_id")
+    return embeddings(spark, d).where(F.col("corpus_idx") % EXAMPLE_STEP == 0).select(own, F.transform("embedding", lambda x: x.cast("double")).alias("query"))
 
 
 _BUILT: dict[tuple, object] = {}
 
 
 def _once(spark, d, name, build):
-    """An index is built once a session and table set; its tables stay in memory and on disk."""
+    """An index is built once a session and table set, written to the shared folder and read from there."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _BUILT:
-        index = build()
-        for held in vars(index).values():
-            held.persist()
-        _BUILT[key] = index
+        index, path = build(), scratch(spark, name)
+        index.write(path)
+        _BUILT[key] = type(index).read(spark, path)
     return _BUILT[key]
 
 
@@ -54,6 +56,19 @@ def _bm_index(spark, d):
     return _once(spark, d, "bm25", lambda: bm25.build(bound(spark, d)))
 
 
+def _passages(spark, d):
+    """Every benchmark passage, whole, as a query."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _blocks(spark, d):
+    return _once(spark, d, "blocks", lambda: blockmax.build(_bm_index(spark, d)))
+
+
+def _nearest(spark, d):
+    return _once(spark, d, "nearest", lambda: nearest.build(embeddings(spark, d)))
+
+
 def _bm(spark, d, queries=None):
     return bm25.scores(_bm_index(spark, d), queries if queries is not None else _keyword(spark))
 
@@ -92,13 +107,25 @@ def _split(spark, d, mode="concept", limit=10, threshold=0.5):
 
 
 def _eval_queries(spark, d):
-    """Six words of each benchmark passage, and the documents that hold its first five in a row."""
-    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("w"))
-    queries = words.select("query_id", F.array_join(F.slice("w", 1, 6), " ").alias("text"))
-    grams = words.where(F.size("w") >= 5).select("query_id", F.array_join(F.slice("w", 1, 5), " ").alias("gram"))
-    toks = table(spark, d, "documents").select(F.col("doc_id").alias("corpus_idx"), T.tokens(F.col("text")).alias("t")).where(F.size("t") >= 5)
-    held = toks.select("corpus_idx", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 4), lambda i: F.array_join(F.slice("t", i, F.lit(5)), " "))).alias("gram"))
-    return queries, held.join(F.broadcast(grams), "gram").select("query_id", "corpus_idx").distinct()
+    """Each benchmark passage, whole, and the documents that hold any five of its words in a row."""
+    words = _passages(spark, d).select("query_id", T.tokens(F.col("text")).alias("w"))
+    grams = words.select("query_id", F.explode(_runs_of_five("w")).alias("gram")).distinct()
+    toks = table(spark, d, "documents").select(F.col("doc_id").alias("corpus_idx"), T.tokens(F.col("text")).alias("t"))
+    # a document's runs meet the passages' by hash, without their texts; equal hashes are then compared word by word
+    held = toks.select("corpus_idx", "t", F.posexplode(F.transform(_runs_of_five("t"), lambda r: F.xxhash64(r))).alias("at", "hash"))
+    hashed = grams.withColumn("hash", F.xxhash64("gram"))
+    found = held.join(settled(hashed, MOST_RUNS), "hash").where(F.slice("t", F.col("at") + 1, F.lit(5)) == F.col("gram"))
+    return _passages(spark, d), found.select("query_id", "corpus_idx").distinct()
+
+
+#: Runs of words that are broadcast at most; more are joined by a shuffle.
+MOST_RUNS = 200_000
+
+
+def _runs_of_five(column: str):
+    """All runs of five words of an array of them."""
+    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.size(column) - 4, F.lit(1))), lambda i: F.slice(column, i, F.lit(5)))
+    return F.filter(whole, lambda r: F.size(r) == 5)
 
 
 def _evaluated(spark, d):
@@ -212,6 +239,8 @@ QUERIES = {
     "ranked_response": lambda s, d: _engine(s, d).respond(_values(s, [KEYWORD[0]], "query_id long, text string"), "keyword", None, 10, 50).rows.select("query_id", "bucket", "rank", "corpus_idx", "score", "title", "snippet"),
     "best_threshold_unrounded": lambda s, d: evaluate.reported(evaluate.best_threshold(_sweep(s, d, None))),
     "bm25_topk": lambda s, d: bm25.top(_bm(s, d), 10).select("query_id", "rank", "corpus_idx", "score"),
+    "blockmax_topk": lambda s, d: blockmax.top(_blocks(s, d), _passages(s, d), 10).select("query_id", "rank", "corpus_idx", "score"),
+    "dense_exact_topk": lambda s, d: nearest.top(_nearest(s, d), _vectors(s, d), 20).select("query_id", "rank", "corpus_idx", "score"),
     "bm25_collections": lambda s, d: bm25.top(_bm(s, d), 10, bound(s, d), PICKED).select("query_id", "rank", "corpus_idx", "score"),
     "bm25_term_statistics": lambda s, d: _bm_index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")),
     "bm25_lengths": lambda s, d: _bm_index(s, d).lengths,
@@ -303,7 +332,7 @@ _IN = "(" + ", ".join(f"'{c}'" for c in PICKED) + ")"
 _PICK = f"SEMI JOIN (SELECT corpus_idx FROM corpus WHERE collection IN {_IN}) USING (corpus_idx)"
 
 _DENSE = f"""
-vq AS (SELECT v.query_id, CAST(e.embedding AS DOUBLE[]) AS q FROM (VALUES {_sql_values(EXAMPLES)}) v(query_id, vec_id) JOIN embeddings e USING (vec_id)),
+vq AS (SELECT v.query_id, CAST(e.embedding AS DOUBLE[]) AS q FROM (SELECT vec_id // {EXAMPLE_STEP} AS query_id, vec_id FROM embeddings WHERE vec_id % {EXAMPLE_STEP} = 0) v JOIN embeddings e USING (vec_id)),
 near_all AS (SELECT query_id, vec_id AS corpus_idx, round(list_dot_product(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings, vq),
 near AS (SELECT n.* FROM near_all n JOIN documents d ON n.corpus_idx = d.doc_id WHERE trim(coalesce(d.text, '')) <> '')"""
 
@@ -365,8 +394,8 @@ WHERE bucket = 'strong' OR NOT EXISTS (SELECT 1 FROM split x WHERE x.query_id =
 
 _EVAL = f"""
 bw AS (SELECT item_id AS query_id, {TOKENS.format("text")} AS w FROM benchmark),
-{_bm_sql("SELECT query_id, array_to_string(w[1:6], ' ') AS text FROM bw").strip()},
-grams AS (SELECT query_id, array_to_string(w[1:5], ' ') AS gram FROM bw WHERE len(w) >= 5),
+{_bm_sql("SELECT item_id AS query_id, text FROM benchmark").strip()},
+grams AS (SELECT DISTINCT query_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram FROM bw WHERE len(w) >= 5),
 heldg AS (SELECT corpus_idx, unnest(list_transform(range(1, len(toks) - 3), lambda i: array_to_string(toks[i:i + 4], ' '))) AS gram FROM words WHERE len(toks) >= 5),
 relevant AS (SELECT DISTINCT query_id, corpus_idx FROM heldg JOIN grams USING (gram)),
 top100 AS ({_top("bm", 100)}),
@@ -485,6 +514,8 @@ SELECT 0::BIGINT AS query_id, CASE WHEN rank <= 10 THEN 'strong' ELSE 'weak' END
     "natural_search": _NATURAL,
     "reranked": _RERANKED,
     "bm25_topk": f"WITH {_BM} {_top('bm', 10)}",
+    "blockmax_topk": f"WITH {_bm_sql('SELECT item_id AS query_id, text FROM benchmark')} {_top('bm', 10)}",
+    "dense_exact_topk": f"WITH {_DENSE} {_top('near_all', 20)}",
     "bm25_collections": f"WITH {_BM}, {CORPUS_SQL} {_top('bm', 10, '', _PICK)}",
     "bm25_term_statistics": f"WITH {_BM} SELECT term, df, round(CASE WHEN i < 0 THEN 0.25::DOUBLE * mean_idf ELSE i END, 6) AS idf FROM (SELECT term, df, mean_idf, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS i FROM terms, stats)",
     "bm25_lengths": f"WITH {_BM} SELECT * FROM lengths",
