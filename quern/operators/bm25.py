@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -45,28 +45,44 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "lengths", "stats")))
 
 
-def build(corpus: DataFrame) -> Index:
-    """Statistics over narrator and text of all rows; rows without a token count among n, with length 0."""
+@dataclass
+class Counted:
+    """postings(term, corpus_idx, tf, dl) and lengths(corpus_idx, dl) of some rows, without what the whole corpus says."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def counted(corpus: DataFrame) -> Counted:
+    """Terms of narrator and text of all rows; a row without a token has length 0."""
     text = F.concat(F.coalesce("narrator", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))) if "narrator" in corpus.columns else F.coalesce("text", F.lit(""))
     words = corpus.select("corpus_idx", T.tokens(text).alias("tokens"))
     lengths = words.select("corpus_idx", F.size("tokens").alias("dl"))
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    counted = words.select("corpus_idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("corpus_idx", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    postings = words.select("corpus_idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("corpus_idx", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return Counted(postings.select("term", "corpus_idx", "tf", "dl"), lengths)
+
+
+def build(corpus: DataFrame) -> Index:
+    """Statistics over narrator and text of all rows; rows without a token count among n, with length 0."""
+    found = counted(corpus)
+    size = found.lengths.agg(F.avg("dl").alias("avgdl"))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    postings = counted.crossJoin(F.broadcast(size.select("avgdl"))).select("term", "corpus_idx", "tf", impact.alias("impact"))  # one row
-    return statistics(postings, lengths)
+    postings = found.postings.crossJoin(F.broadcast(size)).select("term", "corpus_idx", "tf", impact.alias("impact"))  # one row
+    return statistics(postings, found.lengths)
 
 
-def statistics(postings: DataFrame, lengths: DataFrame) -> Index:
-    """The index of postings and lengths: document frequencies, idfs and what the whole corpus says.
+def idf(raw: Column, mean: Column) -> Column:
+    """A term's idf; a negative one is a share of the mean over all terms."""
+    return F.when(raw < 0, EPSILON * mean).otherwise(raw)
 
-    A negative idf is a share of the mean over all terms.
-    """
+
+def statistics(postings: DataFrame, lengths: DataFrame) -> Index:
+    """The index of postings and lengths: document frequencies, idfs and what the whole corpus says."""
     size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     seen = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size)).withColumn("raw", raw)
     stats = size.crossJoin(seen.agg(F.avg("raw").alias("mean_idf")))
-    terms = seen.select("term", "df", "raw").crossJoin(F.broadcast(stats.select("mean_idf"))).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    terms = seen.select("term", "df", "raw").crossJoin(F.broadcast(stats.select("mean_idf"))).select("term", "df", idf(F.col("raw"), F.col("mean_idf")).alias("idf"))
     return Index(postings, terms, lengths, stats)
 
 

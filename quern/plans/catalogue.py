@@ -12,6 +12,8 @@ from quern.plans.binding import CORPUS_SQL, SOURCE_SQL, arabic_word, dimension,
 from quern.plans.binding import corpus as bound
 from quern.sources import tables
 from quern.sources.kept import scratch
+from quern.streaming.refresh import chained
+from quern.streaming.segments import Store
 
 KEYWORD = [(0, "licensed under the public license"), (1, "was with that the the"), (2, "password token secret")]
 TERMS = [(0, "thesat shedon"), (1, "al thonin"), (2, "ereder onsh thin"), (3, "zzzqqq"), (4, "e")]
@@ -69,6 +71,18 @@ def _nearest(spark, d):
     return _once(spark, d, "nearest", lambda: nearest.build(embeddings(spark, d)))
 
 
+def _refreshed(spark, d):
+    """A store that took documents in two drops of files, the first with old texts and without a third of the rows, and one of them twice."""
+    drops, store = scratch(spark, "drops"), Store(spark, scratch(spark, "store"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("corpus_idx"), "text", "source")
+    old = docs.where("corpus_idx % 3 <> 0").withColumn("text", F.when(F.col("corpus_idx") % 5 == 0, F.concat(F.lit("old words "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    said = []
+    for rows in (old, docs, docs):
+        rows.write.mode("append").parquet(drops)
+        said += chained(spark, drops, docs.schema, f"{store.path}/checkpoint", store)
+    return store, said
+
+
 def _bm(spark, d, queries=None):
     return bm25.scores(_bm_index(spark, d), queries if queries is not None else _keyword(spark))
 
@@ -241,6 +255,8 @@ QUERIES = {
     "bm25_topk": lambda s, d: bm25.top(_bm(s, d), 10).select("query_id", "rank", "corpus_idx", "score"),
     "blockmax_topk": lambda s, d: blockmax.top(_blocks(s, d), _passages(s, d), 10).select("query_id", "rank", "corpus_idx", "score"),
     "dense_exact_topk": lambda s, d: nearest.top(_nearest(s, d), _vectors(s, d), 20).select("query_id", "rank", "corpus_idx", "score"),
+    "refreshed_topk": lambda s, d: bm25.top(bm25.scores(_refreshed(s, d)[0].index(), _keyword(s)), 10).select("query_id", "rank", "corpus_idx", "score"),
+    "refresh_report": lambda s, d: _values(s, [(i, r["added"], r["replaced"], r["removed"], r["unchanged"]) for i, r in enumerate(_refreshed(s, d)[1])], "batch long, added long, replaced long, removed long, unchanged long"),
     "bm25_collections": lambda s, d: bm25.top(_bm(s, d), 10, bound(s, d), PICKED).select("query_id", "rank", "corpus_idx", "score"),
     "bm25_term_statistics": lambda s, d: _bm_index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")),
     "bm25_lengths": lambda s, d: _bm_index(s, d).lengths,
@@ -516,6 +532,10 @@ SELECT 0::BIGINT AS query_id, CASE WHEN rank <= 10 THEN 'strong' ELSE 'weak' END
     "bm25_topk": f"WITH {_BM} {_top('bm', 10)}",
     "blockmax_topk": f"WITH {_bm_sql('SELECT item_id AS query_id, text FROM benchmark')} {_top('bm', 10)}",
     "dense_exact_topk": f"WITH {_DENSE} {_top('near_all', 20)}",
+    "refreshed_topk": f"WITH {_BM} {_top('bm', 10)}",
+    "refresh_report": """WITH d AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 3 <> 0) AS early, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 5 = 0) AS changed FROM documents)
+      SELECT 0::BIGINT AS batch, early AS added, 0::BIGINT AS replaced, 0::BIGINT AS removed, 0::BIGINT AS unchanged FROM d
+      UNION ALL SELECT 1, n - early, changed, 0, early - changed FROM d UNION ALL SELECT 2, 0, 0, 0, n FROM d""",
     "bm25_collections": f"WITH {_BM}, {CORPUS_SQL} {_top('bm', 10, '', _PICK)}",
     "bm25_term_statistics": f"WITH {_BM} SELECT term, df, round(CASE WHEN i < 0 THEN 0.25::DOUBLE * mean_idf ELSE i END, 6) AS idf FROM (SELECT term, df, mean_idf, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS i FROM terms, stats)",
     "bm25_lengths": f"WITH {_BM} SELECT * FROM lengths",
