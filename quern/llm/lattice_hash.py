@@ -47,6 +47,9 @@ PROBES = 2
 WIDTH = 3.6
 #: Vectors of one part of a cell.
 CELL = 1000
+#: What a piece of a cell is known by; vectors of pieces that are compared together, rows and pairs at a time.
+PIECE = ["table", "dims", "cell", "a", "b"]
+SMALL, ROWS, PAIRS = 64, 8192, 50_000
 
 
 @functools.cache
@@ -183,11 +186,11 @@ def first_meeting(units: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, c
 
 
 def _compare(cosine: float):
-    """Link counts and forest edges of each piece: rows sorted by piece, one piece held at a time."""
+    """Link counts and forest edges of each piece, of rows sorted by piece; a piece has two parts at most."""
 
     def piece(key, rows):
         nodes, sizes, home, part, vectors = rows
-        table, cell, _, a, b = key
+        table, _, cell, a, b = key
         if len(nodes) < 2 or not home.any():
             return
         units = unit(vectors)
@@ -210,28 +213,61 @@ def _compare(cosine: float):
         yield nodes[some], counts, np.array(forest(links), np.int64).reshape(-1, 2)
 
     def run(batches):
-        key, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("table", "cell", "dims", "a", "b")], 1)
-            at = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]).tolist()
-            for x, y in zip(at, [*at[1:], len(keys)], strict=True):
-                if key is not None and key != tuple(keys[x].tolist()):
-                    yield from _rows(piece(key, _joined(held)))
-                    held = []
-                key = tuple(keys[x].tolist())
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield from _rows(piece(key, _joined(held)))
+        for table, at in whole_pieces(batches):
+            nodes, sizes, home, part = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "home", "part"))
+            ends = np.r_[at[1:], table.num_rows]
+            for k in near_pieces(table, at, ends, home, cosine).tolist():
+                x, y = int(at[k]), int(ends[k])
+                key = tuple(table.column(c)[x].as_py() for c in PIECE)
+                yield from _rows(piece(key, (nodes[x:y], sizes[x:y], home[x:y], part[x:y], _matrix(table.column("value").slice(x, y - x)))))
 
     return run
 
 
-def _joined(held: list):
-    table = pa.Table.from_batches(held).combine_chunks()
-    flat = {c: table.column(c).combine_chunks() for c in ("node", "n", "home", "part", "value")}
-    return (*(flat[c].to_numpy(zero_copy_only=False) for c in ("node", "n", "home", "part")), _matrix(flat["value"]))
+def whole_pieces(batches):
+    """Tables of sorted rows that begin and end with a piece, and where their pieces start."""
+    left: list = []
+
+    def given(table, end):
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in PIECE], 1)
+        at = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+        stop = table.num_rows if end else int(at[-1])
+        if stop:
+            yield table.slice(0, stop), at if end else at[:-1]
+        left[:] = [] if end else [table.slice(stop)]
+
+    for batch in batches:
+        if batch.num_rows:
+            left.append(batch)
+            if sum(b.num_rows for b in left) >= ROWS:
+                yield from given(pa.Table.from_batches(left).combine_chunks().to_batches()[0], False)
+    if left:
+        yield from given(pa.Table.from_batches(left).combine_chunks().to_batches()[0], True)
+
+
+def near_pieces(table, at: np.ndarray, ends: np.ndarray, home: np.ndarray, cosine: float) -> np.ndarray:
+    """Pieces that may have a link: the large ones, and of the small ones those with a pair that is near enough, all compared together."""
+    sizes = ends - at
+    large = sizes > SMALL
+    lengths = pc.list_value_length(table.column("value")).to_numpy()
+    if (lengths != lengths[0]).any():
+        return np.flatnonzero(sizes > 1)
+    units = unit(_matrix(table.column("value")))
+    of = np.repeat(np.arange(len(at)), sizes)
+    rows = np.arange(table.num_rows)
+    after = np.where(large[of], 0, ends[of] - 1 - rows)  # partners of a row: the rest of its piece
+    before = np.r_[0, np.cumsum(after)]
+    near = large.copy()
+    a = 0
+    while a < len(rows):  # rows with so many pairs together
+        b = max(a + 1, int(np.searchsorted(before, before[a] + PAIRS, "right")) - 1)
+        x = np.repeat(rows[a:b], after[a:b])
+        y = x + 1 + np.arange(len(x)) - np.repeat(before[a:b] - before[a], after[a:b])
+        some = home[x] | home[y]
+        x, y = x[some], y[some]
+        near[of[x[np.einsum("ij,ij->i", units[x], units[y]) >= cosine - 1e-9]]] = True
+        a = b
+    return np.flatnonzero(near)
 
 
 def _rows(found):
@@ -260,8 +296,7 @@ def near_groups(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     placed = placed.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("node", *cell, "home", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    piece = [*cell, "a", "b"]
-    met = placed.join(classes.select("node", "n", "value"), "node").repartition(*piece).sortWithinPartitions(*piece)
+    met = placed.join(classes.select("node", "n", "value"), "node").repartition(*PIECE).sortWithinPartitions(*PIECE)
     found = keep(met.mapInArrow(lean(_compare(cosine)), "node long, links long, a long, b long"), "lattice-links")
     drop(named, counted)
 
