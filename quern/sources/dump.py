@@ -47,7 +47,7 @@ def parse_tuple(line: str) -> list:
     return out
 
 
-def _opens(line: str, table: str) -> bool | None:
+def opens(line: str, table: str) -> bool | None:
     """Whether a line starts the table's values; None if it is a row or says nothing."""
     s = line.lstrip()
     if s.startswith(f"INSERT INTO `{table}` VALUES"):
@@ -64,7 +64,7 @@ def read_dump(spark: SparkSession, path: str, table: str, schema: T.StructType =
         found: dict[tuple, bool | None] = {}
         for rows in batches:
             for line, file, block in rows.itertuples(index=False):
-                said = _opens(line, table)
+                said = opens(line, table)
                 found[file, block] = said if said is not None else found.get((file, block))
         yield pd.DataFrame([(f, b, s) for (f, b), s in found.items()], columns=["file", "block", "inside"])
 
@@ -81,7 +81,7 @@ def read_dump(spark: SparkSession, path: str, table: str, schema: T.StructType =
         for rows in batches:
             out = []
             for line, file, block in rows.itertuples(index=False):
-                said = _opens(line, table)
+                said = opens(line, table)
                 if said is not None:
                     now[file, block] = said
                 elif now.get((file, block), states[file, block]):

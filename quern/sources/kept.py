@@ -23,6 +23,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
 
 
+def local_scratch(spark: SparkSession, name: str) -> str:
+    """scratch() as file systems other than Spark's know it."""
+    return scratch(spark, name).removeprefix("file://")
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written and read again: its lineage ends there."""
     path = scratch(df.sparkSession, name)

@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.corpus import SearchError
 
 
 def write_table(rows: DataFrame, path: str, key: str, partition: str = "collection") -> int:
-    """Replace the table at path, by collection; the key must be unique and all rows must arrive."""
-    again = rows.groupBy(key).count().where("count > 1 OR %s IS NULL" % key).limit(1).collect()
-    if again:
-        raise ValueError(f"{key} {again[0][0]!r} is not unique or is null")
-    rows.write.mode("overwrite").partitionBy(partition).parquet(path)
-    written, sent = rows.sparkSession.read.parquet(path).count(), rows.count()
-    if written != sent:
-        raise RuntimeError(f"{sent} rows went out, {written} arrived")
+    """Replace the table at path, by collection; the key must be unique and all rows must arrive.
+
+    The rows are computed once: they are counted as they go out, and what has been written beside the table is
+    counted and its keys compared before it takes the table's place. A table that fails leaves the old one.
+    """
+    spark, aside = rows.sparkSession, f"{path.rstrip('/')}-aside-{uuid.uuid4().hex}"
+    sent = Observation()
+    rows.observe(sent, F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")).write.partitionBy(partition).parquet(aside)
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+    files = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        found = spark.read.parquet(aside) if sent.get["n"] else rows.limit(0)
+        again = found.groupBy(key).count().where("count > 1").select(key).limit(1).collect() if not sent.get["nulls"] else [[None]]
+        if again:
+            raise ValueError(f"{key} {again[0][0]!r} is not unique or is null")
+        written = found.count()
+        if written != sent.get["n"]:
+            raise RuntimeError(f"{sent.get['n']} rows went out, {written} arrived")
+        files.delete(old, True)
+        if not files.rename(new, old):
+            raise RuntimeError(f"the table is at {aside}: it could not be moved to {path}")
+    except ValueError:
+        files.delete(new, True)
+        raise
     return written
 
 
