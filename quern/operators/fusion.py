@@ -66,6 +66,13 @@ def weighted(pool: DataFrame, mode: str) -> DataFrame:
     return pool.withColumn("score", F.round(F.col("bm25_norm") * a + F.col("semantic_norm") * b + F.col("term_norm") * c, 6))
 
 
+def weighted_by_mode(pool: DataFrame, modes: DataFrame) -> DataFrame:
+    """The pool with score: the weighted sum of norms by each query's own mode, of modes (query_id, mode)."""
+    of = modes.select("query_id", *(F.coalesce(*(F.when(F.col("mode") == m, F.lit(w[i])) for m, w in MODE_WEIGHTS.items())).alias(f"w{i}") for i in range(3)))
+    score = F.round(F.col("bm25_norm") * F.col("w0") + F.col("semantic_norm") * F.col("w1") + F.col("term_norm") * F.col("w2"), 6)
+    return pool.join(of, "query_id").withColumn("score", score).drop("w0", "w1", "w2")
+
+
 def split(scored: DataFrame, limit: int, threshold: float | None = None) -> DataFrame:
     """The pool with rank and bucket: the first `limit` rows at or over the threshold are strong, all others weak."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "place"))

@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import bm25, dense, fusion, rerank, term
+from quern.operators import bm25, dense, fusion, rerank, route, term
 from quern.operators.corpus import SearchError
 from quern.operators.sizes import settled
 
 LEAST_LIMIT, MOST_LIMIT = 1, 50_000
-MODES_OF_ROUTER = ("concept", "keyword", "term")
 
 
 @dataclass
@@ -119,12 +118,15 @@ class Engine:
         return fusion.union(*self.legs(queries, k, collections))
 
     def ranked(self, queries: DataFrame, pool: DataFrame, mode: str, limit: int, reranker: rerank.Reranker | None = None) -> tuple[DataFrame, dict]:
-        scored, name, status, threshold = rerank.scored_pool(pool, self.corpus, queries, mode, reranker)
+        scored, name, status, threshold = rerank.scored_pool(pool, self.corpus, queries, mode, reranker or rerank.configured())
         rows = fusion.split(scored, limit, threshold)
         return fusion.hydrate(rows, self.corpus, queries, self.titles), {"mode": mode, "reranker": name, "reranker_status": status, "reranker_active": status == "ok", "threshold": threshold}
 
     def search(self, text: str, mode: str = "concept", collections: list[str] | None = None, limit: int = 10, k: int = 100, reranker: rerank.Reranker | None = None) -> tuple[DataFrame, dict]:
-        """Rows, strong and weak, and what ranked them. The pool has at most k rows a leg, whatever the limit."""
+        """Rows, strong and weak, and what ranked them: the reranker given, or the one that the environment names, or weights.
+
+        The pool has at most k rows a leg, whatever the limit.
+        """
         fusion.mode_weights(mode)
         limit = self.checked(limit, collections)
         queries = self.queries(text)
@@ -192,23 +194,39 @@ class Engine:
             raise SearchError("unavailable", "no embeddings or no encoder")
         return self._near(self.queries(text), collections, limit)
 
-    def natural(self, text: str, router: Callable[[str], tuple[str, list[str]] | None] | None, collections: list[str] | None = None, limit: int = 10, k: int = 100, reranker: rerank.Reranker | None = None) -> tuple[DataFrame, dict]:
-        """A question through a router's variants, merged by reciprocal rank in one plan; without an answer from it a plain search.
+    def natural(self, text: str, router: route.Router | None, collections: list[str] | None = None, limit: int = 10, k: int = 100, reranker: rerank.Reranker | None = None, deadline: float = route.DEADLINE) -> tuple[DataFrame, dict]:
+        """A question through a router's variants, merged by reciprocal rank in one plan; without an answer in time a plain search.
 
         The router is called on the driver and gives (mode, variants); of these the first
         three that are not blank count. A mode that searches do not know becomes concept.
         """
         limit = self.checked(limit, collections)
-        try:
-            said = router(text) if router is not None else None
-        except Exception:
-            said = None
-        mode, variants = said if said is not None else (None, [])
-        variants = [v for v in variants if v and v.strip()][:3]
-        if not variants:
+        said = route.ask(router, [text], deadline)[0] if router is not None else None
+        if said is None:
             rows, how = self.search(text, "concept", collections, limit, k, reranker)
             return rows, how | {"variants": [], "fallback": "llm_unavailable" if router is None else "router_failed"}
+        mode, variants = said
         pools = self.pool(self.queries(*variants), k, collections).withColumnRenamed("query_id", "variant_id").withColumn("query_id", F.lit(0).cast("long"))
-        mode = mode if mode in MODES_OF_ROUTER else "concept"
         rows, how = self.ranked(self.queries(text), fusion.reciprocal_rank(pools), mode, limit, reranker)
         return rows, how | {"variants": variants, "fallback": None}
+
+    def respond_natural(self, questions: DataFrame, router: Callable[[], route.Router] | None, collections: list[str] | None = None, limit: int = 10, k: int = 100, reranker: rerank.Reranker | None = None, deadline: float = route.DEADLINE, at_once: int = route.AT_ONCE) -> Response:
+        """Many questions through a router in one plan: rows of all, and a summary that has mode, variants and fallback of each.
+
+        router() gives the function, once a task, which is asked on executors. A question without an answer in time is
+        searched as it is, in concept mode.
+        """
+        limit = self.checked(limit, collections)
+        said = route.answers(questions, router, deadline, at_once)
+        each = said.select("query_id", F.posexplode("variants").alias("n", "text")).withColumn("variant_id", F.col("query_id") * (route.MOST_VARIANTS + 1) + F.col("n"))
+        pools = self.pool(each.select(F.col("variant_id").alias("query_id"), "text"), k, collections).withColumnRenamed("query_id", "variant_id")
+        pools = pools.withColumn("query_id", F.floor(F.col("variant_id") / (route.MOST_VARIANTS + 1)))
+        merged, queries = fusion.reciprocal_rank(pools), said.select("query_id", "text")
+        reranker = reranker or rerank.configured()
+        scored, name, status, threshold = rerank.scored_pool(merged, self.corpus, queries, "concept", reranker)
+        if status != "ok":  # weights are those of each question's own mode
+            scored = fusion.weighted_by_mode(merged, said.select("query_id", "mode"))
+        rows = fusion.split(scored, limit, threshold)
+        how = {"reranker": name, "reranker_status": status, "reranker_active": status == "ok", "threshold": threshold}
+        told = said.select("query_id", F.col("mode").alias("mode_hint"), F.when(F.col("fallback").isNull(), F.col("variants")).otherwise(F.array().cast("array<string>")).alias("variants"), "fallback")
+        return Response(fusion.hydrate(rows, self.corpus, queries, self.titles), ranked_summary(queries, rows, "concept", limit, how, collections).drop("mode_hint").join(told, "query_id"))

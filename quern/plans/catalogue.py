@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import asyncio
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from quern.operators.sizes import settled
 from quern.plans.binding import CORPUS_SQL, SOURCE_SQL, arabic_word, dimension, embeddings, source, source_dimension, table
 from quern.plans.binding import corpus as bound
 from quern.sources import tables
-from quern.sources.kept import scratch
+from quern.sources.dump_source import DumpSource
+from quern.sources.kept import local_scratch, scratch
 from quern.streaming.refresh import chained
 from quern.streaming.segments import Store
 
@@ -83,6 +86,16 @@ def _refreshed(spark, d):
     return store, said
 
 
+def _dumped(spark, d):
+    """Customers written as a dump, in small splits and with every escape in a text, and some of their columns read back."""
+    spark.dataSource.register(DumpSource)
+    path, rows = local_scratch(spark, "dump"), table(spark, d, "customer")
+    odd = F.concat("c_name", F.lit(" 'q' \"d\" \\ \n\t\r, ) (;"))
+    rows.select("c_custkey", odd.alias("note"), "c_acctbal", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("segment"), "c_nationkey").write.format("sqldump").option("table", "customer").mode("append").save(path)
+    read = spark.read.format("sqldump").option("table", "customer").option("columns", "c_custkey,note,c_acctbal,segment,c_nationkey").option("splitBytes", 20_000)
+    return read.schema("note string, c_custkey long, segment string, c_acctbal double").load(path)
+
+
 def _bm(spark, d, queries=None):
     return bm25.scores(_bm_index(spark, d), queries if queries is not None else _keyword(spark))
 
@@ -189,6 +202,42 @@ def _reranked(spark, d):
     return fusion.split(scored.withColumn("score", F.round("score", 6)), 10, threshold).select("query_id", "corpus_idx", "rank", "score", "bucket")
 
 
+def _listwise(spark, d):
+    """Pools of keyword rows ranked by a scorer that judges a text by the whole list: the share of its texts that hold fewer of the query's words."""
+    queries = _keyword(spark)
+
+    def share():
+        def scores(query, docs):
+            held = [len({*query.lower().split()} & {*x.lower().split()}) for x in docs]
+            return [sum(o < h for o in held) / len(docs) for h in held]
+
+        return scores
+
+    pool = fusion.union(bm25.top(_bm(spark, d), 50), None, None)
+    scored, _, _, threshold = rerank.scored_pool(pool, bound(spark, d), queries, "keyword", rerank.Reranker("share", share, 0.5, window=50))
+    return fusion.split(scored.withColumn("score", F.round("score", 6)), 10, threshold).select("query_id", "corpus_idx", "rank", "score", "bucket")
+
+
+QUESTIONS = [(0, "what is licensed"), (1, "password token secret"), (2, "was with that the the")]
+
+
+def _natural_many(spark, d):
+    """Three questions at once: one that a router turns into two variants, one that it fails on, one that it is too slow for."""
+
+    def router():
+        async def answer(question):
+            if "password" in question:
+                raise RuntimeError("no answer")
+            if "with" in question:
+                await asyncio.sleep(60)
+            return "reference", [VARIANTS[0], " ", VARIANTS[1]]
+
+        return answer
+
+    engine = search.Engine(bound(spark, d), _bm_index(spark, d), _term_index(spark, d))
+    return engine.respond_natural(_values(spark, QUESTIONS, "query_id long, text string"), router, limit=5, deadline=0.5)
+
+
 def _natural(spark, d):
     c = bound(spark, d)
     engine = search.Engine(c, _bm_index(spark, d), _term_index(spark, d))
@@ -257,6 +306,7 @@ QUERIES = {
     "dense_exact_topk": lambda s, d: nearest.top(_nearest(s, d), _vectors(s, d), 20).select("query_id", "rank", "corpus_idx", "score"),
     "refreshed_topk": lambda s, d: bm25.top(bm25.scores(_refreshed(s, d)[0].index(), _keyword(s)), 10).select("query_id", "rank", "corpus_idx", "score"),
     "refresh_report": lambda s, d: _values(s, [(i, r["added"], r["replaced"], r["removed"], r["unchanged"]) for i, r in enumerate(_refreshed(s, d)[1])], "batch long, added long, replaced long, removed long, unchanged long"),
+    "dump_round_trip": _dumped,
     "bm25_collections": lambda s, d: bm25.top(_bm(s, d), 10, bound(s, d), PICKED).select("query_id", "rank", "corpus_idx", "score"),
     "bm25_term_statistics": lambda s, d: _bm_index(s, d).terms.select("term", "df", F.round("idf", 6).alias("idf")),
     "bm25_lengths": lambda s, d: _bm_index(s, d).lengths,
@@ -301,6 +351,9 @@ QUERIES = {
     "rrf_merge": lambda s, d: _variants(s, d).select("corpus_idx", "rrf", F.round("bm25", 6).alias("bm25"), F.round("term", 6).alias("term"), _joined("sources")),
     "reranked": _reranked,
     "natural_search": _natural,
+    "natural_many_rows": lambda s, d: _natural_many(s, d).rows.select("query_id", "bucket", "rank", "corpus_idx", "score"),
+    "natural_many_summary": lambda s, d: _natural_many(s, d).summary.select("query_id", "query", "mode_hint", F.array_join("variants", "|").alias("variants"), "fallback", "pool_size", "limit", "reranker"),
+    "listwise_rank": _listwise,
     "eval_per_query": lambda s, d: _evaluated(s, d)[0],
     "eval_macro": lambda s, d: evaluate.macro(_evaluated(s, d)[0]),
     "threshold_sweep": _sweep,
@@ -442,6 +495,16 @@ merged AS (SELECT corpus_idx, round(sum(1.0::DOUBLE / (60 + place)), 9) AS rrf,
 scored AS (SELECT corpus_idx, round(b * 0.2::DOUBLE + 0 * 1.0::DOUBLE + t * 0.4::DOUBLE, 6) AS score, row_number() OVER (ORDER BY rrf DESC, first) AS place FROM merged),
 ranked AS (SELECT corpus_idx, score, CAST(row_number() OVER (ORDER BY score DESC, place) AS INTEGER) AS rank FROM scored)
 SELECT CASE WHEN rank <= 5 THEN 'strong' ELSE 'weak' END AS bucket, rank, corpus_idx, score FROM ranked"""
+_MANY = f"SELECT * FROM (VALUES {_sql_values([(0, VARIANTS[0]), (1, VARIANTS[1]), (4, QUESTIONS[1][1]), (8, QUESTIONS[2][1])])}) v(query_id, text)"
+_MANY_RANKED = f"""WITH {_bm_sql(_MANY)}, {_term_sql(_MANY)},
+l0 AS ({_top("bm", 100)}), l2 AS ({_top("tm", 100)}),
+legs AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm
+  FROM (SELECT 0 AS leg, * FROM l0 UNION ALL SELECT 2, * FROM l2) WINDOW w AS (PARTITION BY leg, query_id)),
+pools AS (SELECT query_id, corpus_idx, max(norm) FILTER (leg = 0) AS b, max(norm) FILTER (leg = 2) AS t, min(leg * 1000000 + rank) AS first FROM legs GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, corpus_idx) AS place FROM pools),
+merged AS (SELECT query_id // 4 AS q, corpus_idx, round(sum(1.0::DOUBLE / (60 + place)), 9) AS rrf, max(coalesce(b, 0.0::DOUBLE)) AS b, max(coalesce(t, 0.0::DOUBLE)) AS t, min(query_id * 1000000 + place) AS first FROM placed GROUP BY ALL),
+scored AS (SELECT q, corpus_idx, round(b * 0.2::DOUBLE + 0 * 1.0::DOUBLE + t * 0.4::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY rrf DESC, first) AS place FROM merged),
+many AS (SELECT q AS query_id, corpus_idx, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, place) AS INTEGER) AS rank FROM scored)"""
 _WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda x: x <> ''))"
 _RERANKED = f"""WITH {_BM}, l0 AS ({_top("bm", 50)}),
 sc AS (SELECT l0.query_id, l0.corpus_idx, l0.rank AS place, round(len(list_intersect({_WORDS.format("kq.text")}, {_WORDS.format("d.source || ' ' || d.text")})) / CAST(1 + len(string_split(kq.text, ' ')) AS DOUBLE), 6) AS score
@@ -528,6 +591,15 @@ SELECT 0::BIGINT AS query_id, CASE WHEN rank <= 10 THEN 'strong' ELSE 'weak' END
     + " SELECT threshold, round(macro_precision, 4) AS macro_precision, round(macro_recall, 4) AS macro_recall, round(macro_f1, 4) AS macro_f1 FROM curve ORDER BY round(macro_f1, 12) DESC, threshold LIMIT 1",
     "grade_classes": _GRADES,
     "natural_search": _NATURAL,
+    "natural_many_rows": f"{_MANY_RANKED} SELECT query_id, CASE WHEN rank <= 5 THEN 'strong' ELSE 'weak' END AS bucket, rank, corpus_idx, score FROM many",
+    "natural_many_summary": f"""{_MANY_RANKED} SELECT v.query_id, v.text AS query, 'concept' AS mode_hint, CASE WHEN v.query_id = 0 THEN '{"|".join(VARIANTS)}' ELSE '' END AS variants, CASE WHEN v.query_id > 0 THEN 'router_failed' END AS fallback,
+      count(m.corpus_idx) AS pool_size, CASE WHEN count(m.corpus_idx) > 0 THEN least(5, count(m.corpus_idx)) ELSE 5 END AS "limit", 'none' AS reranker
+      FROM (VALUES {_sql_values(QUESTIONS)}) v(query_id, text) LEFT JOIN many m USING (query_id) GROUP BY ALL""",
+    "listwise_rank": f"""WITH {_BM}, l0 AS ({_top("bm", 50)}),
+      held AS (SELECT l0.query_id, l0.corpus_idx, l0.rank AS place, len(list_intersect({_WORDS.format("kq.text")}, {_WORDS.format("d.source || ' ' || d.text")})) AS n FROM l0 JOIN kq USING (query_id) JOIN documents d ON d.doc_id = l0.corpus_idx),
+      sc AS (SELECT *, round((rank() OVER (PARTITION BY query_id ORDER BY n) - 1) / CAST(count(*) OVER (PARTITION BY query_id) AS DOUBLE), 6) AS score FROM held),
+      ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS INTEGER) AS rank FROM sc)
+      SELECT query_id, corpus_idx, rank, score, CASE WHEN score >= 0.5::DOUBLE AND rank <= 10 THEN 'strong' ELSE 'weak' END AS bucket FROM ranked""",
     "reranked": _RERANKED,
     "bm25_topk": f"WITH {_BM} {_top('bm', 10)}",
     "blockmax_topk": f"WITH {_bm_sql('SELECT item_id AS query_id, text FROM benchmark')} {_top('bm', 10)}",
@@ -536,6 +608,8 @@ SELECT 0::BIGINT AS query_id, CASE WHEN rank <= 10 THEN 'strong' ELSE 'weak' END
     "refresh_report": """WITH d AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 3 <> 0) AS early, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 5 = 0) AS changed FROM documents)
       SELECT 0::BIGINT AS batch, early AS added, 0::BIGINT AS replaced, 0::BIGINT AS removed, 0::BIGINT AS unchanged FROM d
       UNION ALL SELECT 1, n - early, changed, 0, early - changed FROM d UNION ALL SELECT 2, 0, 0, 0, n FROM d""",
+    "dump_round_trip": """SELECT c_custkey, c_name || ' ''q'' "d" \\ ' || chr(10) || chr(9) || chr(13) || ', ) (;' AS note, CAST(c_acctbal AS DOUBLE) AS c_acctbal,
+      CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS segment FROM customer""",
     "bm25_collections": f"WITH {_BM}, {CORPUS_SQL} {_top('bm', 10, '', _PICK)}",
     "bm25_term_statistics": f"WITH {_BM} SELECT term, df, round(CASE WHEN i < 0 THEN 0.25::DOUBLE * mean_idf ELSE i END, 6) AS idf FROM (SELECT term, df, mean_idf, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS i FROM terms, stats)",
     "bm25_lengths": f"WITH {_BM} SELECT * FROM lengths",
