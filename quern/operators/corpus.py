@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.fixed import COLLECTIONS, NICKNAMES, TITLE_PREFIXES
+from quern.operators.ordinal import numbered
+from quern.operators.patterns import any_of
 from quern.operators.sizes import settled
 
 
@@ -31,15 +35,11 @@ def leading_int(c):
 def ordinals(keys: DataFrame) -> DataFrame:
     """Rows (collection, bookNumber, babID, arabicURN) with id_in_book: their place in the collection.
 
-    Places are counted inside each book and shifted by the books before, so no task has a
-    whole collection, and only keys are shuffled.
+    Places come from ranges of the whole order, so neither a collection nor a book is ever one task's, and only keys are
+    shuffled.
     """
-    place = F.row_number().over(Window.partitionBy("collection", "bookNumber").orderBy("babID", "arabicURN"))
-    books = keys.groupBy("collection", "bookNumber").count()
-    before = F.sum("count").over(Window.partitionBy("collection").orderBy(leading_int("bookNumber"), "bookNumber").rowsBetween(Window.unboundedPreceding, -1))
-    shift = books.select(F.col("collection").alias("of"), F.col("bookNumber").alias("book"), F.coalesce(before, F.lit(0)).alias("before"))
-    found = keys.withColumn("place", place).join(shift, (F.col("collection") == F.col("of")) & F.col("bookNumber").eqNullSafe(F.col("book")))
-    return found.select(*keys.columns, (F.col("place") + F.col("before")).cast("int").alias("id_in_book"))
+    by = [leading_int("bookNumber").asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in ("bookNumber", "babID", "arabicURN"))]
+    return numbered(keys, "collection", by, "id_in_book")
 
 
 def build(source: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def chapters(source: DataFrame) -> DataFrame:
 def list_collections(corpus: DataFrame, dimension: DataFrame) -> DataFrame:
     """Collections with rows: slug, title (the slug where none is known), count, by slug."""
     counted = corpus.groupBy(F.col("collection").alias("slug")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(F.broadcast(dimension), "slug", "left").select("slug", F.coalesce("english_title", "slug").alias("english_title"), "n").orderBy("slug")
+    return counted.join(settled(dimension), "slug", "left").select("slug", F.coalesce("english_title", "slug").alias("english_title"), "n").orderBy("slug")
 
 
 def books(chapters: DataFrame, collection: str) -> DataFrame:
@@ -122,15 +122,29 @@ def lookup(corpus: DataFrame, keys: DataFrame) -> DataFrame:
     return corpus.join(settled(named), "corpus_idx").select("key_id", "rule", *corpus.columns)
 
 
+def drawn(corpus: DataFrame, k: int, seed: int, by: str | None = None, key: str = "corpus_idx") -> DataFrame:
+    """k rows (of each value of `by`), each as likely as any other: those of the least keyed hash of their key.
+
+    The draw depends on the seed and on which rows there are, not on how they are laid out, and draws of parts merge: the
+    k least of a whole are among the k least of its parts. So each task keeps k rows, and no table is sorted.
+    """
+    lot = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+    lots = corpus.withColumn("__lot", lot)
+    if by is None:
+        return lots.orderBy("__lot").limit(k).drop("__lot")
+    place = F.row_number().over(Window.partitionBy(by).orderBy("__lot"))
+    return lots.withColumn("__place", place).where(F.col("__place") <= k).drop("__lot", "__place")
+
+
 def random_row(corpus: DataFrame, collection: str | None = None, seed: int | None = None) -> DataFrame:
-    """One row drawn evenly over rows."""
+    """One row drawn evenly over rows, the same for the same seed."""
     rows = corpus if collection is None else corpus.where(F.col("collection") == collection)
-    return rows.orderBy(F.rand() if seed is None else F.rand(seed)).limit(1)
+    return drawn(rows, 1, secrets.randbits(63) if seed is None else seed)
 
 
 def record(corpus: DataFrame, dimension: DataFrame, site: str = "") -> DataFrame:
     """Rows as they are shown: title, chain, and a reference of site, collection and citation."""
-    named = corpus.join(F.broadcast(dimension.select(F.col("slug").alias("collection"), "english_title")), "collection", "left")
+    named = corpus.join(settled(dimension.select(F.col("slug").alias("collection"), "english_title")), "collection", "left")
     reference = F.concat(F.lit(f"{site}/" if site else ""), F.col("collection"), F.lit(":"), T.citation(F.col("number"), F.col("id_in_book")))
     return named.select("corpus_idx", "collection", "id_in_book", "number", F.coalesce("english_title", "collection").alias("english_title"), "narrator", "text", "arabic", "grade", T.narrators(F.col("arabic")).alias("chain"), reference.alias("reference"))
 
@@ -155,11 +169,12 @@ def parse_references(references: DataFrame, aliases: DataFrame) -> DataFrame:
     """reference, slug and number of citations such as `Title #12a`; unknown titles are left out."""
     pattern = r"(?s)^(.+?)\s*#?\s*([0-9][0-9a-zA-Z,\s]*?)\s*$"
     parts = references.withColumns({"alias": T.title_key(F.regexp_extract(T.stripped(F.col("reference")), pattern, 1)), "number": F.regexp_extract(T.stripped(F.col("reference")), pattern, 2)})
-    return parts.join(F.broadcast(aliases), "alias").select("reference", "slug", "number")
+    return parts.join(settled(aliases), "alias").select("reference", "slug", "number")
 
 
 def seed_relevance(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """query, collection, number of rows in chapters whose titles match a pattern of the query; Latin case is ignored in English titles."""
-    titles = chapters(rows)
-    matched = titles.join(F.broadcast(patterns), F.expr("english_title ILIKE pattern OR arabic_title LIKE pattern")).select("query", "collection", "bookNumber", "babID").distinct()
-    return rows.join(F.broadcast(matched), ["collection", "bookNumber", "babID"]).where("coalesce(hadithNumber, '') <> ''").select("query", "collection", F.col("hadithNumber").alias("number")).distinct()
+    titles, key = chapters(rows), ["collection", "bookNumber", "babID"]
+    english = any_of(titles, key, "english_title", patterns, fold=True)
+    matched = english.unionByName(any_of(titles, key, "arabic_title", patterns)).select("query", *key).distinct()
+    return rows.join(settled(matched), key).where("coalesce(hadithNumber, '') <> ''").select("query", "collection", F.col("hadithNumber").alias("number")).distinct()

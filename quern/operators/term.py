@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.sizes import join_counted
+from quern.sources.kept import kept
 
 
 @dataclass
@@ -19,8 +21,8 @@ class Index:
     words: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings are laid out by skeleton, so a query's skeletons prune row groups."""
-        self.postings.repartitionByRange("skeleton").sortWithinPartitions("skeleton", "corpus_idx").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings are laid out by skeleton and row, so a query's skeletons prune row groups and a frequent one is many files."""
+        self.postings.repartitionByRange("skeleton", "corpus_idx").sortWithinPartitions("skeleton", "corpus_idx").write.mode("overwrite").parquet(f"{path}/postings")
         self.words.write.mode("overwrite").parquet(f"{path}/words")
 
     @staticmethod
@@ -33,11 +35,15 @@ MOST_LITERALS = 2000
 
 
 def build(corpus: DataFrame, words: Callable[[Column], Column] = T.arabic_words, column: str = "arabic") -> Index:
-    """Postings of each row's distinct words, markup attributes included; skeletons are made once a distinct word."""
+    """Postings of each row's distinct words, markup attributes included; skeletons are made once a distinct word.
+
+    A word that many rows hold goes to them by broadcast, and they stay where they are.
+    """
     held = corpus.select("corpus_idx", F.explode(F.array_distinct(words(F.col(column)))).alias("word"))
-    counted = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    counted = kept(held.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "words")
     folded = counted.select("word", "df", F.explode(T.index_skeletons(F.col("word"))).alias("skeleton"))
-    return Index(held.join(folded, "word").select("skeleton", "corpus_idx", "word", "df"), counted)
+    rows = counted.agg(F.sum("df")).first()[0] or 0
+    return Index(join_counted(held, folded, "word", "df", rows).select("skeleton", "corpus_idx", "word", "df"), counted)
 
 
 def hits(index: Index, queries: DataFrame) -> DataFrame:

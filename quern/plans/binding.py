@@ -6,16 +6,30 @@ name. Numbers are made from the id in the three forms that numbers have.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.ordinal import numbered
+from quern.sources.kept import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PLACES: dict[tuple, DataFrame] = {}
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and id_in_book, numbered once a session and table set, by keys alone."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PLACES:
+        keys = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+        _PLACES[key] = kept(numbered(keys, "source", [F.col("lang").asc_nulls_first(), F.col("doc_id").asc_nulls_first()], "id_in_book").select("doc_id", "id_in_book"), "places")
+    return _PLACES[key]
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
@@ -23,9 +37,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     grade = F.when((q == 1) & (t == 0), "Sahīh (reviewed)").when((q == 1) & (t == 1), "Hasan").when((q == 0) & (t == 0), "Da'if").when((q == 0) & (t == 1), '[{"grade": "Maudu"}]').otherwise("")
     n = F.col("doc_id") % 400
     number = F.when(F.col("doc_id") % 3 == 0, n.cast("string")).when(F.col("doc_id") % 3 == 1, F.concat(n.cast("string"), F.lit(" a"))).otherwise(F.concat(n.cast("string"), F.lit(", "), (n + 1).cast("string")))
-    ordinal = F.row_number().over(Window.partitionBy("source").orderBy("lang", "doc_id"))
+    docs = docs.join(_places(spark, sf_dir), "doc_id")
     return docs.select(
-        F.col("doc_id").alias("corpus_idx"), F.col("source").alias("collection"), F.col("lang").alias("book"), ordinal.alias("id_in_book"), number.alias("number"), "text", grade.alias("grade"),
+        F.col("doc_id").alias("corpus_idx"), F.col("source").alias("collection"), F.col("lang").alias("book"), "id_in_book", number.alias("number"), "text", grade.alias("grade"),
         T.grade_tier(T.grade_class(grade)).alias("grade_tier"), F.coalesce(F.expr("try_cast(substr(source, 4) AS int)"), F.lit(99)).alias("tier"),
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import blockmax, bm25, corpus, dense, evaluate, fusion, nearest, rerank, search, term
+from quern.operators import blockmax, bm25, corpus, dense, evaluate, fusion, nearest, patterns, rerank, search, term
 from quern.operators.sizes import settled
 from quern.plans.binding import CORPUS_SQL, SOURCE_SQL, arabic_word, dimension, embeddings, source, source_dimension, table
 from quern.plans.binding import corpus as bound
@@ -23,7 +23,6 @@ TERMS = [(0, "thesat shedon"), (1, "al thonin"), (2, "ereder onsh thin"), (3, "z
 #: Every vector of an id that this divides is a query by example, of the id divided by it.
 EXAMPLE_STEP = 20
 KEYS = [(1, "src0", "12"), (2, "src1", "7 A"), (3, "src2", "33"), (4, "src3", "2"), (5, "src0", "999999"), (6, "nowhere", "1"), (7, "src5", " 101b "), (8, "src4", "5")]
-CITATIONS = ["SRC2 #12a", "Sahih Src4 33, 34", "src-6 #7", "nothing #1", "src8"]
 PICKED = ["src1", "src2", "src3"]
 
 
@@ -182,7 +181,24 @@ GRADES = ["", "Sahih", "Sahīh", "Hasan Sahih", "Da'if", "Da’if", "Sahih (Daru
 
 
 def _grades(spark, d):
-    return _values(spark, [(r,) for r in GRADES], "raw string").select("raw", T.grade_class(F.col("raw")).alias("cls")).withColumn("tier", T.grade_tier(F.col("cls")))
+    """Every labelled document with a grade in one of the forms that grades have."""
+    forms = F.array(*(F.lit(g) for g in GRADES))
+    raw = F.element_at(forms, ((F.col("doc_id") * 7 + F.coalesce("quality", F.lit(0)) * 3 + F.coalesce("toxic", F.lit(0))) % len(GRADES) + 1).cast("int"))
+    return table(spark, d, "labels").select("doc_id", raw.alias("raw")).select("doc_id", "raw", T.grade_class(F.col("raw")).alias("cls")).withColumn("tier", T.grade_tier(F.col("cls")))
+
+
+def _cited(spark, d):
+    """A citation of every document, in one of four forms."""
+    i, name = F.col("doc_id"), F.col("source")
+    form = F.when(i % 4 == 0, F.concat(F.upper(name), F.lit(" #"), i)).when(i % 4 == 1, F.concat(F.lit(" Sahih "), name, F.lit(" "), i, F.lit(", "), i + 1)).when(i % 4 == 2, F.concat(F.lit("nothing #"), i)).otherwise(F.concat(name, F.lit("#"), i, F.lit("b ")))
+    return table(spark, d, "documents").select(form.alias("reference")).distinct()
+
+
+def _any_of(spark, d):
+    """Every three words of each benchmark passage as a pattern, over all documents."""
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.split("text", " ").alias("w")).where(F.size("w") >= 3)
+    runs = words.select("query", F.explode(F.sequence(F.lit(1), F.size("w") - 2)).alias("i"), "w").select("query", F.concat(F.lit("%"), F.array_join(F.slice("w", F.col("i"), F.lit(3)), "_"), F.lit("%")).alias("pattern"))
+    return patterns.any_of(table(spark, d, "documents"), ["doc_id"], "text", runs, fold=True).groupBy("query", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _variants(spark, d):
@@ -260,9 +276,14 @@ def _arabic_hits(spark, d):
     return term.hits(_arabic_index(spark, d), _values(spark, ARABIC_TERMS, "query_id long, text string"))
 
 
+def _letters(texts):
+    """Texts by how often each letter a-z stands in them, on the first axes of the vectors at hand."""
+    return [[float(t.count(chr(97 + i))) for i in range(26)] + [0.0] * 38 for t in texts]
+
+
 def _engine(spark, d):
-    """The three legs over the bound corpus; every text is encoded as the first axis."""
-    return search.Engine(bound(spark, d), _bm_index(spark, d), _term_index(spark, d), embeddings(spark, d), lambda texts: [[1.0] + [0.0] * 63 for _ in texts], dimension(spark, d))
+    """The three legs over the bound corpus; a text is encoded by its letters."""
+    return search.Engine(bound(spark, d), _bm_index(spark, d), _term_index(spark, d), embeddings(spark, d), _letters, dimension(spark, d))
 
 
 def _counted(summary):
@@ -312,11 +333,13 @@ QUERIES = {
     "bm25_lengths": lambda s, d: _bm_index(s, d).lengths,
     "tiered_keyword": lambda s, d: bm25.tiered(_bm(s, d), bound(s, d), 20).select("query_id", "rank", "corpus_idx", "score", "total"),
     "list_collections": lambda s, d: corpus.list_collections(bound(s, d), dimension(s, d)),
-    "list_books": lambda s, d: bound(s, d).where("collection = 'src0'").groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.trim("number") != "", F.col("number"))).alias("title")),
+    "list_books": lambda s, d: corpus.books(corpus.chapters(source(s, d)), "src0"),
     "lookup_ladder": lambda s, d: corpus.lookup(bound(s, d), _values(s, KEYS, "key_id long, collection string, key string")).select("key_id", "rule", "corpus_idx"),
-    "random_row": lambda s, d: corpus.random_row(bound(s, d)).select("corpus_idx", "collection"),
-    "record": lambda s, d: corpus.record(bound(s, d).withColumns({"narrator": F.lit(""), "arabic": F.lit("")}), dimension(s, d)).select("corpus_idx", "english_title", "id_in_book", "reference"),
-    "parse_references": lambda s, d: corpus.parse_references(_values(s, [(c,) for c in CITATIONS], "reference string"), corpus.citation_aliases(dimension(s, d))),
+    "random_row": lambda s, d: corpus.random_row(bound(s, d), seed=7).select("corpus_idx", "collection"),
+    "random_row_of_collection": lambda s, d: corpus.random_row(bound(s, d), "src3", 11).select("corpus_idx", "collection"),
+    "drawn_rows": lambda s, d: corpus.drawn(bound(s, d), 3, 5, "collection").select("corpus_idx", "collection"),
+    "record": lambda s, d: corpus.record(_built(s, d), source_dimension(s, d)).select("corpus_idx", "english_title", "id_in_book", "narrator", F.size("chain").alias("n_chain"), "reference"),
+    "parse_references": lambda s, d: corpus.parse_references(_cited(s, d), corpus.citation_aliases(dimension(s, d))),
     "tokenise": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens")),
     "snippet": lambda s, d: table(s, d, "documents").select("doc_id", T.snippet(F.col("text"), F.lit("The ")).alias("snippet"), T.head(F.col("text"), 140).alias("head")),
     "grade_classes": _grades,
@@ -358,8 +381,9 @@ QUERIES = {
     "eval_macro": lambda s, d: evaluate.macro(_evaluated(s, d)[0]),
     "threshold_sweep": _sweep,
     "best_threshold": lambda s, d: evaluate.best_threshold(_sweep(s, d)),
-    "load_report": lambda s, d: bound(s, d).groupBy("collection").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "collection"),
-    "seed_labels": lambda s, d: table(s, d, "documents").join(F.broadcast(_values(s, [("a", "%licensed%"), ("a", "%THE THE%"), ("b", "%password%")], "query string, pattern string")), F.expr("text ILIKE pattern")).select("query", "doc_id").distinct(),
+    "load_report": lambda s, d: tables.load_report(bound(s, d)),
+    "patterns_any_of": _any_of,
+    "seed_labels": lambda s, d: patterns.any_of(table(s, d, "documents"), ["doc_id"], "text", _values(s, [("a", "%licensed%"), ("a", "%THE THE%"), ("b", "%password%")], "query string, pattern string"), fold=True).select("query", "doc_id").distinct(),
 }
 
 TOKENS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9'']+'), lambda t: length(t) >= 2)"
@@ -536,7 +560,8 @@ def _clean_sql(x: str) -> str:
 _GRADES = f"""WITH g AS (SELECT raw, lower(regexp_replace(strip_accents(CASE WHEN ltrim(raw) LIKE '[{{%' AND json_valid(raw) THEN coalesce(CAST(raw AS JSON)->0->>'grade', '') ELSE raw END), '[^a-zA-Z \\[\\]()]', '', 'g')) AS f FROM (VALUES {_sql_values([(g,) for g in GRADES])}) v(raw)),
 c AS (SELECT raw, CASE WHEN f LIKE '%maudu%' OR f LIKE '%fabricated%' THEN 'maudu' WHEN f LIKE '%hasan sahih%' OR f LIKE '%sahih hasan%' THEN 'hasan_sahih' WHEN f LIKE '%muttafaqun%' OR f LIKE '%sahih%' THEN 'sahih'
   WHEN f LIKE '%hasan%' THEN 'hasan' WHEN f LIKE '%daif%' OR f LIKE '%weak%' THEN 'daif' ELSE 'ungraded' END AS cls FROM g)
-SELECT raw, cls, CAST(CASE cls WHEN 'sahih' THEN 0 WHEN 'hasan_sahih' THEN 1 WHEN 'hasan' THEN 2 WHEN 'daif' THEN 3 WHEN 'maudu' THEN 5 ELSE 4 END AS INTEGER) AS tier FROM c"""
+SELECT doc_id, raw, cls, CAST(CASE cls WHEN 'sahih' THEN 0 WHEN 'hasan_sahih' THEN 1 WHEN 'hasan' THEN 2 WHEN 'daif' THEN 3 WHEN 'maudu' THEN 5 ELSE 4 END AS INTEGER) AS tier
+  FROM (SELECT doc_id, ([{", ".join("'" + g.replace("'", "''") + "'" for g in GRADES)}])[(doc_id * 7 + coalesce(quality, 0) * 3 + coalesce(toxic, 0)) % {len(GRADES)} + 1] AS raw FROM labels) JOIN c USING (raw)"""
 
 _WORK = "regexp_replace(regexp_replace(t, '^\\s+', ''), '^(<p>\\s*)+', '')"
 _FIRST = f"{_strip(f'substr({_WORK}, 1, instr({_WORK}, chr(10)) - 1)')}"
@@ -548,7 +573,16 @@ _ARABIC_HELD = f"aw AS (SELECT DISTINCT corpus_idx, unnest(regexp_extract_all({_
 _ARABIC_FOUND = "(VALUES (0, 0, 'صلاة'), (1, 0, 'قنوت'), (1, 1, 'رمضان'), (2, 0, 'أذان')) v(query_id, token, word)"
 _ONE_BM = _bm_sql(f"SELECT * FROM (VALUES {_sql_values([KEYWORD[0]])}) v(query_id, text)")
 _ONE_TERM = _term_sql(f"SELECT * FROM (VALUES {_sql_values([KEYWORD[0]])}) v(query_id, text)")
-_AXIS = "axis AS (SELECT 0::BIGINT AS query_id, vec_id AS corpus_idx, round(CAST(embedding[1] AS DOUBLE), 6) AS score FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id WHERE trim(coalesce(d.text, '')) <> '')"
+
+
+def _near_sql(text: str) -> str:
+    """The dense leg of one text, encoded by its letters, as a table `axis`."""
+    counts = _letters([text])[0]
+    norm = sum(x * x for x in counts) ** 0.5
+    unit = ", ".join(f"{x / norm!r}::DOUBLE" for x in counts)
+    return f"axis AS (SELECT 0::BIGINT AS query_id, vec_id AS corpus_idx, round(list_dot_product(CAST(embedding AS DOUBLE[]), [{unit}]), 6) AS score FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id WHERE trim(coalesce(d.text, '')) <> '')"
+
+
 _HEAD = "CASE WHEN length(text) > {0} THEN substring(text, 1, {0}) || '…' ELSE text END"
 
 ORACLE_SQL = {
@@ -580,9 +614,9 @@ SELECT query_id, rank, corpus_idx, coalesce(english_title, collection) AS title,
 FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, grade_tier, id_in_book, corpus_idx) AS INTEGER) AS rank, corpus_idx, collection, id_in_book, number, grade, matched_words, corpus.text FROM tm JOIN corpus USING (corpus_idx)) LEFT JOIN dim ON slug = collection WHERE rank <= 20""",
     "plain_term_summary": f"""WITH {_TERM}, counted AS (SELECT query_id, word, count(*) AS n FROM matched GROUP BY ALL), said AS (SELECT query_id, string_agg(word || ':' || n, '|' ORDER BY n DESC, word) AS words FROM counted GROUP BY query_id), sizes AS (SELECT query_id, count(*) AS total FROM tm GROUP BY query_id)
 SELECT v.query_id, coalesce(total, 0) AS total, coalesce(words, '') AS matched_words, CASE WHEN p.query_id IS NULL THEN NULL WHEN most = tokens THEN 'and' ELSE 'and_fallback_to_or' END AS match_logic FROM (VALUES {_sql_values(TERMS)}) v(query_id, text) LEFT JOIN sizes z USING (query_id) LEFT JOIN said s USING (query_id) LEFT JOIN per_query p USING (query_id)""",
-    "plain_semantic_rows": f"""WITH {_AXIS}, {CORPUS_SQL}, {_DIM}, pooled AS ({_top("axis", 200)}), best AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, grade_tier, score DESC, corpus_idx) AS INTEGER) AS rank, corpus_idx, collection, id_in_book, number, grade, score AS similarity, text FROM pooled JOIN corpus USING (corpus_idx))
+    "plain_semantic_rows": f"""WITH {_near_sql("any")}, {CORPUS_SQL}, {_DIM}, pooled AS ({_top("axis", 200)}), best AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, grade_tier, score DESC, corpus_idx) AS INTEGER) AS rank, corpus_idx, collection, id_in_book, number, grade, score AS similarity, text FROM pooled JOIN corpus USING (corpus_idx))
 SELECT query_id, rank, corpus_idx, coalesce(english_title, collection) AS title, id_in_book, number, grade, similarity, {_HEAD.format(200)} AS snippet FROM best LEFT JOIN dim ON slug = collection WHERE rank <= 10""",
-    "ranked_response": f"""WITH {_ONE_BM}, {_ONE_TERM}, {_AXIS}, {CORPUS_SQL}, {_DIM}, l0 AS ({_top("bm", 50)}), l1 AS ({_top("axis", 50)}), l2 AS ({_top("tm", 50)}),
+    "ranked_response": f"""WITH {_ONE_BM}, {_ONE_TERM}, {_near_sql(KEYWORD[0][1])}, {CORPUS_SQL}, {_DIM}, l0 AS ({_top("bm", 50)}), l1 AS ({_top("axis", 50)}), l2 AS ({_top("tm", 50)}),
 legs AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm FROM (SELECT 0 AS leg, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2) WINDOW w AS (PARTITION BY leg)),
 pool AS (SELECT corpus_idx, {", ".join(f"coalesce(max(norm) FILTER (leg = {i}), 0.0::DOUBLE) AS {n}_norm" for i, n in enumerate(fusion.LEGS))}, min(leg * 1000000 + rank) AS first FROM legs GROUP BY corpus_idx),
 ranked AS (SELECT corpus_idx, {_weighted("keyword")} AS score, CAST(row_number() OVER (ORDER BY {_weighted("keyword")} DESC, first, corpus_idx) AS INTEGER) AS rank FROM pool)
@@ -615,7 +649,13 @@ SELECT 0::BIGINT AS query_id, CASE WHEN rank <= 10 THEN 'strong' ELSE 'weak' END
     "bm25_lengths": f"WITH {_BM} SELECT * FROM lengths",
     "tiered_keyword": f"""WITH {_BM}, {CORPUS_SQL} SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, grade_tier, score DESC, corpus_idx) AS INTEGER) AS rank, corpus_idx, score, count(*) OVER (PARTITION BY query_id) AS total FROM bm JOIN corpus USING (corpus_idx)) WHERE rank <= 20""",
     "list_collections": f"WITH {_DIM} SELECT source AS slug, coalesce(english_title, source) AS english_title, count(*) AS n FROM documents LEFT JOIN dim ON source = slug GROUP BY ALL",
-    "list_books": f"WITH {CORPUS_SQL} SELECT book, count(*) AS n, max(CASE WHEN trim(number) <> '' THEN number END) AS title FROM corpus WHERE collection = 'src0' GROUP BY book",
+    "list_books": f"WITH {SOURCE_SQL} SELECT collection, CAST(floor(bab) AS INTEGER) AS id, book AS \"bookNumber\", bab AS \"babID\", coalesce(max(CASE WHEN trim(title) <> '' THEN title END), '') AS english_title, coalesce(max(arabic_title), '') AS arabic_title FROM src WHERE collection = 'src0' GROUP BY ALL",
+    "random_row": f"WITH {CORPUS_SQL} SELECT corpus_idx, collection FROM corpus ORDER BY sha256('7:' || corpus_idx) LIMIT 1",
+    "random_row_of_collection": f"WITH {CORPUS_SQL} SELECT corpus_idx, collection FROM corpus WHERE collection = 'src3' ORDER BY sha256('11:' || corpus_idx) LIMIT 1",
+    "drawn_rows": f"WITH {CORPUS_SQL} SELECT corpus_idx, collection FROM corpus QUALIFY row_number() OVER (PARTITION BY collection ORDER BY sha256('5:' || corpus_idx)) <= 3",
+    "patterns_any_of": """WITH w AS (SELECT item_id AS query, string_split(text, ' ') AS w FROM benchmark),
+      p AS (SELECT DISTINCT query, '%' || array_to_string(w[i:i + 2], '_') || '%' AS pattern FROM (SELECT query, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3))
+      SELECT query, doc_id, count(*) AS n FROM documents JOIN p ON text ILIKE pattern GROUP BY ALL""",
     "lookup_ladder": f"""WITH {CORPUS_SQL}, keys AS (SELECT key_id, collection, {_strip("key")} AS key FROM (VALUES {_sql_values(KEYS)}) v(key_id, collection, key)),
 sq AS (SELECT *, lower(replace(number, ' ', '')) AS n FROM corpus), k AS (SELECT *, lower(replace(key, ' ', '')) AS s FROM keys),
 found AS (
@@ -624,8 +664,10 @@ found AS (
   UNION ALL SELECT key_id, 3, n, id_in_book, corpus_idx FROM k JOIN sq USING (collection) WHERE regexp_full_match(s, '[0-9]+') AND starts_with(n, s) AND regexp_full_match(substr(n, length(s) + 1), '[a-z]+')
   UNION ALL SELECT key_id, 4, '', id_in_book, corpus_idx FROM k JOIN sq USING (collection) WHERE TRY_CAST(key AS BIGINT) = id_in_book)
 SELECT key_id, CAST(rule AS INTEGER) AS rule, corpus_idx FROM found QUALIFY row_number() OVER (PARTITION BY key_id ORDER BY rule, tie, id_in_book) = 1""",
-    "record": f"WITH {CORPUS_SQL}, {_DIM} SELECT corpus_idx, coalesce(english_title, collection) AS english_title, id_in_book, collection || ':' || {_CITE} AS reference FROM corpus LEFT JOIN dim ON slug = collection",
-    "parse_references": """SELECT * FROM (VALUES ('SRC2 #12a', 'src2', '12a'), ('src-6 #7', 'src6', '7')) v(reference, slug, number)""",
+    "record": f"""WITH {SOURCE_SQL} SELECT corpus_idx, 'Sahih ' || upper(collection) AS english_title, id_in_book, narrator, CAST(1 AS INTEGER) AS n_chain,
+      collection || ':' || CASE WHEN number = '' THEN CAST(id_in_book AS VARCHAR) ELSE {_CITE} END AS reference FROM (SELECT *, {_BUILT_TEXT} FROM built)""",
+    "parse_references": """SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN upper(source) || ' #' || doc_id WHEN 1 THEN ' Sahih ' || source || ' ' || doc_id || ', ' || (doc_id + 1) ELSE source || '#' || doc_id || 'b ' END AS reference,
+      source AS slug, CASE doc_id % 4 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN doc_id || ', ' || (doc_id + 1) ELSE doc_id || 'b' END AS number FROM documents WHERE doc_id % 4 <> 2 AND TRY_CAST(substr(source, 4) AS INTEGER) % 2 = 0""",
     "tokenise": f"SELECT doc_id, array_to_string({TOKENS.format('text')}, ' ') AS tokens FROM documents",
     "snippet": f"SELECT doc_id, {_snip(chr(39) + 'The ' + chr(39))} AS snippet, CASE WHEN length(text) > 140 THEN substring(text, 1, 140) || '…' ELSE text END AS head FROM documents",
     "split_narrator": f"SELECT conv_id, turn, role || ':' AS narrator, {_clean_sql('substr(t, instr(t, chr(10)) + 1)')} AS body FROM (SELECT *, {_BODY} AS t FROM conversations)",
