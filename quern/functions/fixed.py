@@ -43,6 +43,14 @@ ROMAN_PAIRS = [("ث", "th"), ("خ", "kh"), ("ذ", "dh"), ("ش", "sh"), ("چ", "c
 ROMAN_FROM = "بةتجحدرزسصضطظغفقكلمنهاأإآوؤيئىپژکگیںہھےءع"
 ROMAN_TO = "b@tjHdrzsSDTZGfqklmnhaaaawwyyypjkgyNhhy"
 
+# Latin spellings of the letters U+0671 to U+06D3, in their order; - is none.
+ROMAN_EXTENDED = (
+    "' ' ' - ' 'w 'u 'y tt tth b t T p th bh 'h H ny dy H ch cch dd D D Dt dh ddh d D D rr R R R R R R j R S S S S S T GH F F F v f ph Q Q kh k K K ng K g G N G G G L L L L "
+    "N N N N N h Ch hy h H @ W oe oe u yu yu W v y Y Y W - - y y'"
+).split()
+#: Latin letters that do not decompose, as they are spelt.
+ROMAN_LATIN = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ħ": "h", "Ħ": "H", "ı": "i", "ŋ": "ng", "Ŋ": "NG"}
+
 # Pairs of Latin letters that a skeleton has as one.
 SKELETON_PAIRS = (("kh", "k"), ("gh", "g"), ("dh", "d"), ("th", "t"), ("sh", "s"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.fixed import ARABIC, CONNECTIVES, GRADE_TIERS, LAST_TIER, MARKER, MARKS, NARRATOR, ROMAN_FROM, ROMAN_PAIRS, ROMAN_TO, SKELETON_PAIRS
+from quern.functions.decompose import bound, to_ascii
+from quern.functions.fixed import ARABIC, CONNECTIVES, GRADE_TIERS, LAST_TIER, MARKER, MARKS, NARRATOR, ROMAN_EXTENDED, ROMAN_FROM, ROMAN_LATIN, ROMAN_PAIRS, ROMAN_TO, SKELETON_PAIRS
 
 
 def stripped(c: Column) -> Column:
@@ -87,19 +88,12 @@ def eval_key(number: Column) -> Column:
     return F.lower(stripped(F.split(F.coalesce(number, F.lit("")), ",")[0]))
 
 
-def plain_ascii(c: Column) -> Column:
-    """ASCII letters of Latin ones with marks, other characters dropped: what canonical decomposition leaves of Latin text."""
-    marked = "ÀÁÂÃÄÅĀĂĄÇĆĈĊČĎÈÉÊËĒĔĖĘĚĜĞĠĢĤḤÌÍÎÏĨĪĬĮİĴĶĹĻĽÑŃŅŇÒÓÔÕÖŌŎŐŔŖŘŚŜŞŠṢŢŤṬÙÚÛÜŨŪŬŮŰŲŴÝŶŸŹŻŽẒḌàáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥḥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšṣţťṭùúûüũūŭůűųŵýŷÿźżžẓḍ"
-    bare = "AAAAAAAAACCCCCDEEEEEEEEEGGGGHHIIIIIIIIIJKLLLNNNNOOOOOOOORRRSSSSSTTTUUUUUUUUUUWYYYZZZZDaaaaaaaaacccccdeeeeeeeeegggghhiiiiiiiijklllnnnnoooooooorrrssssstttuuuuuuuuuuwyyyzzzzd"
-    return F.regexp_replace(F.translate(c, marked, bare), r"[^\x00-\x7F]", "")
-
-
 def grade_class(raw: Column) -> Column:
     """A grade's class; of a JSON list the grade of its first entry."""
     text = F.coalesce(raw, F.lit(""))
     parsed = F.from_json(text, "array<struct<grade:string>>")
     is_list = F.regexp_replace(text, r"^\s+", "").startswith("[{") & parsed.isNotNull() & (F.size(parsed) > 0) & F.try_parse_json(text).isNotNull()
-    folded = F.lower(F.regexp_replace(plain_ascii(F.when(is_list, F.coalesce(parsed[0]["grade"], F.lit(""))).otherwise(text)), "['`]", ""))
+    folded = F.lower(F.regexp_replace(to_ascii(F.when(is_list, F.coalesce(parsed[0]["grade"], F.lit(""))).otherwise(text)), "['`]", ""))
     return (
         F.when(folded.contains("maudu") | folded.contains("fabricated"), "maudu")
         .when(folded.contains("hasan sahih") | folded.contains("sahih hasan"), "hasan_sahih")
@@ -128,10 +122,14 @@ def latin_words(c: Column) -> Column:
 
 
 def romanised(c: Column) -> Column:
-    """Arabic letters as Latin ones, and Latin letters without marks."""
-    for a, b in ROMAN_PAIRS:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return plain_ascii(F.translate(c, ROMAN_FROM, ROMAN_TO))
+    """Arabic, Persian and Urdu letters as Latin ones, and Latin letters without marks; all else is dropped."""
+    spelt = dict(ROMAN_PAIRS) | ROMAN_LATIN | {chr(0x671 + i): x.strip("-") for i, x in enumerate(ROMAN_EXTENDED) if chr(0x671 + i) not in ROMAN_FROM}
+    single = {a: b for a, b in zip(ROMAN_FROM, ROMAN_TO, strict=False)} | {a: b for a, b in spelt.items() if len(b) == 1}
+    none = ROMAN_FROM[len(ROMAN_TO) :] + "".join(a for a, b in spelt.items() if not b)
+    for a, b in spelt.items():
+        if len(b) > 1:
+            c = F.replace(c, F.lit(a), F.lit(b))
+    return to_ascii(F.translate(c, "".join(single) + none, "".join(single.values())))
 
 
 def skeletons(roman: Column) -> Column:
@@ -145,12 +143,12 @@ def skeletons(roman: Column) -> Column:
 
 def index_skeletons(word: Column) -> Column:
     """A word's skeletons, and those with D and dh read as z."""
-    roman = romanised(word)
-    return F.array_union(skeletons(roman), skeletons(F.replace(F.replace(roman, F.lit("D"), F.lit("z")), F.lit("dh"), F.lit("z"))))
+    with_z = lambda roman: F.replace(F.replace(roman, F.lit("D"), F.lit("z")), F.lit("dh"), F.lit("z"))
+    return bound(romanised(word), lambda roman: F.array_union(skeletons(roman), skeletons(with_z(roman))))
 
 
 def query_skeletons(word: Column) -> Column:
-    return skeletons(romanised(word))
+    return bound(romanised(word), skeletons)
 
 
 def embedding_text(narrator: Column, text: Column) -> Column:
