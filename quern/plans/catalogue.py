@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import asyncio
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import render
 from quern.functions import text as T
-from quern.operators import blockmax, bm25, corpus, dense, evaluate, fusion, nearest, patterns, rerank, search, term
+from quern.operators import blockmax, bm25, corpus, dense, evaluate, fusion, latency, nearest, patterns, rerank, search, term
 from quern.operators.sizes import settled
 from quern.plans.binding import CORPUS_SQL, SOURCE_SQL, arabic_word, dimension, embeddings, source, source_dimension, table
 from quern.plans.binding import corpus as bound
@@ -95,6 +97,45 @@ def _dumped(spark, d):
     return read.schema("note string, c_custkey long, segment string, c_acctbal double").load(path)
 
 
+def _written_table(spark, d):
+    """The bound corpus written as a checked table and read back."""
+    path = scratch(spark, "table")
+    tables.write_table(bound(spark, d), path, "corpus_idx")
+    return spark.read.parquet(path).select("corpus_idx", "collection", "book", "id_in_book", "number", "grade_tier")
+
+
+def _written_vectors(spark, d):
+    """Texts encoded by their letters, written with the corpus's fingerprint and read back under it."""
+    rows, path = bound(spark, d), scratch(spark, "vectors")
+    mark = tables.fingerprint(rows, F.coalesce("text", F.lit("")))
+
+    def encoder():
+        return lambda texts: np.array(_letters(texts))
+
+    tables.write_embeddings(dense.build(rows, encoder), path, "letters", mark)
+    read = tables.read_embeddings(spark, path, tables.fingerprint(rows.repartition(3), F.coalesce("text", F.lit(""))))
+    return read.select("corpus_idx", *(F.round(F.col("embedding")[i].cast("double"), 4).alias(c) for c, i in (("e", 4), ("n", 13), ("z", 25))))
+
+
+def _query_set(spark, d):
+    """Benchmark passages as a query set's JSON, written as a report is and read back."""
+    path = scratch(spark, "query-set")
+    relevant = F.array(F.struct(F.concat(F.lit("c"), F.col("item_id") % 3).alias("collection"), F.col("item_id").cast("string").alias("hadith_number")))
+    one = F.struct("item_id", F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, "keyword").alias("mode_hint"), relevant.alias("relevant"))
+    tables.write_report(table(spark, d, "benchmark").agg(F.sort_array(F.collect_list(one)).alias("queries")), path)
+    queries, known = tables.read_query_set(spark, path)
+    return queries.join(known, "query_id").select("text", "mode", "collection", "number")
+
+
+def _latency(spark, d):
+    """Keyword search of each benchmark passage by itself, timed; the time itself differs from run to run."""
+    index, asked = _bm_index(spark, d), _passages(spark, d).collect()  # a driver's loop, as a user's single queries are
+    one = lambda r: lambda: bm25.top(bm25.scores(index, _values(spark, [(r["query_id"], r["text"])], "query_id long, text string")), 10)
+    took = latency.measured(spark, [(r["query_id"], one(r)) for r in asked])
+    measured = _evaluated(spark, d)[0].join(took.select("query_id", "latency_ms"), "query_id", "left")
+    return evaluate.macro(measured).crossJoin(took.agg(F.count(F.lit(1)).alias("timed"), F.sum("rows").alias("rows"))).select("n_queries", "precision", "ndcg", "recall", "timed", "rows", (F.col("mean_latency_ms") > 0).alias("took_time"))
+
+
 def _bm(spark, d, queries=None):
     return bm25.scores(_bm_index(spark, d), queries if queries is not None else _keyword(spark))
 
@@ -323,6 +364,14 @@ QUERIES = {
     "ranked_response": lambda s, d: _engine(s, d).respond(_values(s, [KEYWORD[0]], "query_id long, text string"), "keyword", None, 10, 50).rows.select("query_id", "bucket", "rank", "corpus_idx", "score", "title", "snippet"),
     "best_threshold_unrounded": lambda s, d: evaluate.reported(evaluate.best_threshold(_sweep(s, d, None))),
     "bm25_topk": lambda s, d: bm25.top(_bm(s, d), 10).select("query_id", "rank", "corpus_idx", "score"),
+    "table_round_trip": _written_table,
+    "vectors_round_trip": _written_vectors,
+    "query_set_round_trip": _query_set,
+    "eval_latency": _latency,
+    "collection_lines": lambda s, d: render.collection_lines(corpus.list_collections(bound(s, d), dimension(s, d))),
+    "chapter_lines": lambda s, d: render.chapter_lines(corpus.chapters(source(s, d))).select("collection", "bookNumber", "babID", "line"),
+    "keyword_summary_lines": lambda s, d: (lambda r: render.summary_lines(r.summary, r.rows, "keyword"))(_engine(s, d).respond_keyword(_values(s, [*KEYWORD, (3, "zzzqqq")], "query_id long, text string"), PICKED, 10, False)),
+    "record_lines": lambda s, d: render.record_lines(corpus.record(_built(s, d), source_dimension(s, d), "site")).select("corpus_idx", "line"),
     "blockmax_topk": lambda s, d: blockmax.top(_blocks(s, d), _passages(s, d), 10).select("query_id", "rank", "corpus_idx", "score"),
     "dense_exact_topk": lambda s, d: nearest.top(_nearest(s, d), _vectors(s, d), 20).select("query_id", "rank", "corpus_idx", "score"),
     "refreshed_topk": lambda s, d: bm25.top(bm25.scores(_refreshed(s, d)[0].index(), _keyword(s)), 10).select("query_id", "rank", "corpus_idx", "score"),
@@ -636,6 +685,21 @@ SELECT 0::BIGINT AS query_id, CASE WHEN rank <= 10 THEN 'strong' ELSE 'weak' END
       SELECT query_id, corpus_idx, rank, score, CASE WHEN score >= 0.5::DOUBLE AND rank <= 10 THEN 'strong' ELSE 'weak' END AS bucket FROM ranked""",
     "reranked": _RERANKED,
     "bm25_topk": f"WITH {_BM} {_top('bm', 10)}",
+    "table_round_trip": f"WITH {CORPUS_SQL} SELECT corpus_idx, collection, book, id_in_book, number, grade_tier FROM corpus",
+    "vectors_round_trip": """WITH c AS (SELECT doc_id AS corpus_idx, list_transform(range(26), lambda i: CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(97 + CAST(i AS INTEGER)), '')) AS DOUBLE)) AS v FROM documents),
+      u AS (SELECT corpus_idx, v, sqrt(list_dot_product(v, v)) AS norm FROM c)
+      SELECT corpus_idx, round(coalesce(v[5] / nullif(norm, 0), 0), 4) AS e, round(coalesce(v[14] / nullif(norm, 0), 0), 4) AS n, round(coalesce(v[26] / nullif(norm, 0), 0), 4) AS z FROM u""",
+    "query_set_round_trip": "SELECT text, CASE WHEN item_id % 2 = 0 THEN 'keyword' ELSE 'concept' END AS mode, 'c' || (item_id % 3) AS collection, CAST(item_id AS VARCHAR) AS number FROM benchmark",
+    "eval_latency": f"""WITH {_EVAL}, shown AS ({_top("bm", 10)}) SELECT count(*) AS n_queries, round(avg(precision), 4) AS precision, round(avg(ndcg), 4) AS ndcg, round(avg(recall), 4) AS recall,
+      (SELECT count(*) FROM benchmark) AS timed, (SELECT count(*) FROM shown) AS rows, true AS took_time FROM per_query_eval""",
+    "collection_lines": f"WITH {_DIM}, n AS (SELECT source AS slug, count(*) AS n FROM documents GROUP BY source) SELECT slug, '- ' || slug || ': ' || coalesce(english_title, slug) || ' — ' || format('{{:,}}', n) || ' texts' AS line FROM n LEFT JOIN dim USING (slug)",
+    "chapter_lines": f"""WITH {SOURCE_SQL} SELECT collection, book AS "bookNumber", bab AS "babID", lpad(coalesce(CAST(CAST(floor(bab) AS INTEGER) AS VARCHAR), '—'), 6, ' ') || '  ' || coalesce(max(CASE WHEN trim(title) <> '' THEN title END), '') AS line FROM src GROUP BY collection, book, bab""",
+    "keyword_summary_lines": f"""WITH {_bm_sql(f"SELECT * FROM (VALUES {_sql_values([*KEYWORD, (3, 'zzzqqq')])}) v(query_id, text)")}, {CORPUS_SQL},
+      t AS (SELECT kq.query_id, kq.text, (SELECT count(*) FROM bm JOIN corpus USING (corpus_idx) WHERE bm.query_id = kq.query_id AND collection IN {_IN}) AS total FROM kq)
+      SELECT query_id, CASE WHEN total = 0 THEN 'No matches for ''' || text || ''' in {", ".join(PICKED)}.' ELSE 'Found ' || total || ' text(s) in {", ".join(PICKED)} matching ''' || text || '''.' || CASE WHEN total > 10 THEN chr(10) || 'Showing first 10:' ELSE '' END END AS line FROM t""",
+    "record_lines": f"""WITH {SOURCE_SQL} SELECT corpus_idx, concat_ws(chr(10), 'Sahih ' || upper(collection) || ' #' || (CASE WHEN number <> '' THEN number ELSE CAST(id_in_book AS VARCHAR) END) || (CASE WHEN grade <> '' THEN ' — ' || grade ELSE '' END),
+      nullif(narrator, ''), nullif(body, ''), chr(10) || 'Arabic:' || chr(10) || {arabic_word("doc_id")} || '  ' || {arabic_word("doc_id + 2")} || '  ' || {arabic_word("doc_id // 3")},
+      'Chain of narration:' || chr(10) || '  1. ' || {arabic_word("doc_id + 2")} || '  (first)', 'Reference: site/' || collection || ':' || (CASE WHEN number <> '' THEN {_CITE} ELSE CAST(id_in_book AS VARCHAR) END)) AS line FROM (SELECT *, {_BUILT_TEXT} FROM built)""",
     "blockmax_topk": f"WITH {_bm_sql('SELECT item_id AS query_id, text FROM benchmark')} {_top('bm', 10)}",
     "dense_exact_topk": f"WITH {_DENSE} {_top('near_all', 20)}",
     "refreshed_topk": f"WITH {_BM} {_top('bm', 10)}",
