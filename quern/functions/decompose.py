@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -34,7 +35,7 @@ def to_ascii(c: Column) -> Column:
     Characters that become one character are one translate step; the few that become several are looked up, in texts that have any.
     """
     single, bare, several = tables()
-    known = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    known = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # one literal, and not as many as there are characters
 
     def spelt(one: Column) -> Column:
         whole = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.element_at(known, x), x)), "")

@@ -94,6 +94,10 @@ def grade_class(raw: Column) -> Column:
     parsed = F.from_json(text, "array<struct<grade:string>>")
     is_list = F.regexp_replace(text, r"^\s+", "").startswith("[{") & parsed.isNotNull() & (F.size(parsed) > 0) & F.try_parse_json(text).isNotNull()
     folded = F.lower(F.regexp_replace(to_ascii(F.when(is_list, F.coalesce(parsed[0]["grade"], F.lit(""))).otherwise(text)), "['`]", ""))
+    return bound(folded, _class_of)
+
+
+def _class_of(folded: Column) -> Column:
     return (
         F.when(folded.contains("maudu") | folded.contains("fabricated"), "maudu")
         .when(folded.contains("hasan sahih") | folded.contains("sahih hasan"), "hasan_sahih")
@@ -105,7 +109,7 @@ def grade_class(raw: Column) -> Column:
 
 
 def grade_tier(cls: Column) -> Column:
-    return F.coalesce(*(F.when(cls == k, v) for k, v in GRADE_TIERS.items()), F.lit(LAST_TIER))
+    return bound(cls, lambda c: F.coalesce(*(F.when(c == k, v) for k, v in GRADE_TIERS.items()), F.lit(LAST_TIER)))
 
 
 def grade_tag(grade: Column) -> Column:

@@ -87,8 +87,13 @@ def statistics(postings: DataFrame, lengths: DataFrame) -> Index:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, times: repeated terms count each time."""
-    return queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    """query_id, term, times: repeated terms count each time. Terms are counted inside a query's row, so nothing is shuffled."""
+    words = queries.select("query_id", F.array_sort(T.tokens(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    fresh = lambda i: (i == 1) | (F.col("w")[i - 1] != F.col("w")[F.greatest(i - 2, F.lit(0))])
+    starts = words.withColumn("at", F.filter(F.sequence(F.lit(1), F.size("w")), fresh))
+    ends = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("w") + 1))
+    each = F.zip_with("at", ends, lambda a, b: F.struct(F.col("w")[a - 1].alias("term"), (b - a).cast("long").alias("times")))
+    return starts.select("query_id", F.explode(each).alias("t")).select("query_id", "t.term", "t.times")
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:
