@@ -130,10 +130,12 @@ def romanised(c: Column) -> Column:
     spelt = dict(ROMAN_PAIRS) | ROMAN_LATIN | {chr(0x671 + i): x.strip("-") for i, x in enumerate(ROMAN_EXTENDED) if chr(0x671 + i) not in ROMAN_FROM}
     single = {a: b for a, b in zip(ROMAN_FROM, ROMAN_TO, strict=False)} | {a: b for a, b in spelt.items() if len(b) == 1}
     none = ROMAN_FROM[len(ROMAN_TO) :] + "".join(a for a, b in spelt.items() if not b)
+    out = c
     for a, b in spelt.items():
         if len(b) > 1:
-            c = F.replace(c, F.lit(a), F.lit(b))
-    return to_ascii(F.translate(c, "".join(single) + none, "".join(single.values())))
+            out = F.replace(out, F.lit(a), F.lit(b))
+    whole = to_ascii(F.translate(out, "".join(single) + none, "".join(single.values())))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), whole).otherwise(c)  # plain words are as they are
 
 
 def skeletons(roman: Column) -> Column:
