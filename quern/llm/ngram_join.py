@@ -8,9 +8,12 @@ come last (counted over the whole corpus, a set once for each part of PART bytes
 it; any count serves that is the same for all), the others stand in hash order.
 
  1. Equal sets are one class, known by a 128-bit digest; only classes are compared.
- 2. Token frequencies: packed token arrays, counted in hash buckets.
- 3. Prefixes under the orders, packed likewise; each bucket emits the pairs of classes
-    that share a token, once; the orders' pairs are intersected, then thinned by bitmaps.
+ 2. Token frequencies: packed token arrays, counted in hash buckets. Where many rows are copies, only
+    the row that stands for its class is counted and compared.
+ 3. Prefixes under the orders, packed likewise, without the tokens that only one set holds: a filter
+    of FILTER bytes at most knows those that are counted twice, and lets others pass where it is full. Each
+    bucket emits the pairs of classes that share a token, once; the orders' pairs are intersected, then
+    thinned by bitmaps.
  4. A prefix token that too many classes hold emits no pairs: its classes are tied to a node
     that stands for the token. Classes that nodes connect are a dense group.
  5. Cells. A dense group becomes one cell, or if it is large blocks of bounded number and
@@ -54,6 +57,10 @@ MOST_PAIRED = 64
 #: Classes and tokens of a block at most, but for a class that is larger by itself.
 CELL, TOKENS_A_CELL = 1000, 1_000_000
 TOKENS_A_BUCKET = 4_000_000
+#: Bytes of the filter of repeated tokens at most, and bits a token where that allows them.
+FILTER, FILTER_BITS = 64 << 20, 10
+#: Classes whose rows are known by a broadcast of 8 bytes each at most, if one of COPIES rows is a copy.
+MOST_OWN, COPIES = 8_000_000, 8
 #: Entries of a cell's matrix that are worked on at once.
 STRIPE = 1 << 18
 _NO_ID = np.iinfo(np.int64).max
@@ -68,10 +75,13 @@ def _sets(column: pa.Array, size: int):
         yield from B.shingles(data, offsets, size)
 
 
-def _parts(batches, size: int):
-    """Lists of the distinct sets, by digest, of about PART bytes of text at a time."""
+def _parts(batches, size: int, own=None):
+    """Lists of the distinct sets, by digest, of about PART bytes of text at a time; of the rows (text, key) whose key is in own, if it is given."""
     for batch in batches:
-        for data, offsets in B.slices(batch.column(0), PART):
+        column = batch.column(0)
+        if own is not None:
+            column = column.take(pa.array(np.flatnonzero(_found(batch.column(1).to_numpy(), own.value)[0])))
+        for data, offsets in B.slices(column, PART):
             sets = (s for i, j in B.blocks(offsets) for s in B.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size))
             yield {_digest(s): s for s in sets if len(s)}
 
@@ -146,11 +156,23 @@ def _cuts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1], True]) if len(sorted_keys) else np.zeros(1, np.int64)
 
 
-def common_tokens(texts: DataFrame, size: int, buckets: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (bucket << 32 | token) of tokens that at least so many sets hold, and their counts; a set counts once a part."""
+def _filter_at(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a bucket's filter that stands for a token (its low half)."""
+    return (B.mix(tokens.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+def _repeated(ids: np.ndarray, filters: np.ndarray) -> np.ndarray:
+    """Which ids more than one set may hold; filters has a row of bytes a bucket."""
+    at = _filter_at(ids & 0xFFFFFFFF, filters.shape[1] * 8)
+    return filters[ids >> 32, at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
+def common_tokens(texts: DataFrame, size: int, buckets: int, least: int, own=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted (bucket << 32 | token) of tokens that at least so many sets hold, their counts, and the filter of tokens counted twice; a set counts once a part."""
+    width = max(64, min(FILTER // buckets, TOKENS_A_BUCKET * FILTER_BITS // 8 // 4))
 
     def count(batches):
-        for seen in _parts(batches, size):
+        for seen in _parts(batches, size, own):
             tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *seen.values()]), return_counts=True)
             where = _bucket(tokens, buckets)
             order = np.argsort(where.astype(np.uint16) if buckets <= 65536 else where, kind="stable")
@@ -163,13 +185,21 @@ def common_tokens(texts: DataFrame, size: int, buckets: int, least: int) -> tupl
         counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
         found, at = np.unique(tokens, return_inverse=True)
         sums = np.bincount(at, counts).astype(np.int64)
-        kept = sums >= least
-        return pa.table({"token": (np.int64(table["bucket"][0].as_py()) << 32) | found[kept].astype(np.int64), "n": sums[kept]})
-
-    found = texts.mapInArrow(lean(count), "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(lean(total), "token long, n long").toArrow()
-    token, n = found["token"].to_numpy(), found["n"].to_numpy()
+        bucket, kept = table["bucket"][0].as_py(), sums >= least
+        bits = np.zeros(width * 8, bool)
+        bits[_filter_at(found[sums > 1], width * 8)] = True
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return pa.table({"bucket": [bucket], "token": pa.array([((np.int64(bucket) << 32) | found[kept].astype(np.int64)).tobytes()], pa.binary()), "n": pa.array([sums[kept].tobytes()], pa.binary()), "filter": pa.array([packed], pa.binary())})
+
+    found = texts.mapInArrow(lean(count), "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(lean(total), "bucket long, token binary, n binary, filter binary").toArrow()
+    tokens, counts, filters = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros((buckets, width), np.uint8)
+    for bucket, token, n, bits in zip(*(found[c] for c in ("bucket", "token", "n", "filter")), strict=True):
+        tokens.append(np.frombuffer(token.as_buffer(), np.int64))
+        counts.append(np.frombuffer(n.as_buffer(), np.int64))
+        filters[bucket.as_py()] = np.frombuffer(bits.as_buffer(), np.uint8)
+    token, n = np.concatenate(tokens), np.concatenate(counts)
     order = np.argsort(token)
-    return token[order], n[order]
+    return token[order], n[order], filters
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -197,16 +227,17 @@ def _prefixes(tokens: np.ndarray, is_common: np.ndarray, sizes: np.ndarray, perc
         yield np.concatenate([first[i] + (np.argpartition(key[first[i] : first[i + 1]], p - 1)[:p] if p < n else np.arange(n)) for i, (n, p) in enumerate(zip(sizes, lengths, strict=True))]), lengths
 
 
-def candidates(texts: DataFrame, size: int, percent: int, buckets: int, shared, seeds=SEEDS) -> DataFrame:
+def candidates(texts: DataFrame, size: int, percent: int, buckets: int, shared, seeds=SEEDS, own=None, filters=None) -> DataFrame:
     """Pairs (a, b) of class numbers that every order lets pass, and of classes with the nodes of tokens in any order.
 
-    shared: a broadcast of the sorted ids of common tokens, and which of them always are nodes.
+    shared: a broadcast of the sorted ids of common tokens, and which of them always are nodes. own and filters: broadcasts of
+    the keys of rows that stand for their class, and of the filter of repeated tokens.
     """
     every = (1 << len(seeds)) - 1
 
     def prefixes(batches):
         common, dense = shared.value
-        for seen in _parts(batches, size):
+        for seen in _parts(batches, size, own):
             sets, digests = list(seen.values()), list(seen)
             if not sets:
                 continue
@@ -215,8 +246,11 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, shared,
             is_common, at = _found(ids, common)
             is_dense = is_common & dense[at] if len(common) else is_common
             refs_, sizes_ = np.array([_ref(d) for d in digests], "<i8"), np.array([len(s) for s in sets], "<u4")
+            alone = ~_repeated(ids, filters.value) if filters is not None else np.zeros(len(ids), bool)
             for o, (chosen, lengths) in enumerate(_prefixes(tokens, is_common, sizes_, percent, seeds)):
                 owner = np.repeat(np.arange(len(sets)), lengths)
+                met = ~alone[chosen]  # a token of one set makes no pair
+                chosen, owner = chosen[met], owner[met]
                 refs, sizes, chosen_ids, heavy = refs_, sizes_, ids[chosen], is_dense[chosen]
                 # tokens with a node of their own need no company: they go to any bucket, below zero
                 where = np.where(heavy, -1 - refs_[0] % buckets, chosen_ids >> 32)
@@ -427,6 +461,8 @@ def row_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     equal in both all are marked. A row of an empty set stands for itself.
     """
     texts = docs.select(as_long(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
+    key = lambda i, h: F.xxhash64(F.coalesce(i, F.lit(_NO_ID)), h).alias("key")
+    compared = texts.select("text", key(F.col("doc_id"), F.xxhash64("text")))
     signed = keep(signatures(texts, size=size), "join-signatures")
     own = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "hash")
     found = signed.where("n_shingles > 0").groupBy("digest", "ref").agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"))
@@ -434,10 +470,14 @@ def row_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(total // tokens_a_bucket) + 8
     least = max(common, total // MOST_COMMON)
-    tokens, counts = common_tokens(texts.select("text"), size, buckets, least)
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, counts > 4 * least))
-    raw = keep(candidates(texts.select("text"), size, percent, buckets, shared), "join-pairs")
+    context, n_classes, own = docs.sparkSession.sparkContext, classes.count(), None
+    if n_classes <= MOST_OWN and signed.where("n_shingles > 0").count() * (COPIES - 1) > n_classes * COPIES:
+        own = context.broadcast(np.sort(classes.select(key(F.col("own.id"), F.col("own.hash"))).toArrow()["key"].to_numpy()))
+    tokens, counts, filters = common_tokens(compared, size, buckets, least, own)
+    shared, filters = context.broadcast((tokens, counts > 4 * least)), context.broadcast(filters)
+    raw = keep(candidates(compared, size, percent, buckets, shared, own=own, filters=filters), "join-pairs")
     pairs = keep(_thinned(raw, classes, percent), "join-pairs")
+    filters.unpersist()
     drop(raw)
     member = classes.drop("parity", "n").join(_places(pairs, classes, cell, TOKENS_A_CELL), "ref").select(F.col("own.id").alias("id"), F.col("own.hash").alias("hash"), "digest", "num", "copies", "dense", "places")
     member = keep(member, "join-members")
