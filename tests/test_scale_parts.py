@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,15 @@ def test_any_of_without_patterns(spark):
     assert patterns.any_of(rows, ["id"], "text", spark.createDataFrame([], "query string, pattern string")).collect() == []
 
 
+def test_texts_are_sent_once_however_many_patterns_they_hold():
+    texts = ["alpha beta gamma " + "x" * 2000] * 100
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], names=["id", "__text"])
+    asked = [(i, "%alpha" + ("_beta" if i % 2 else "__beta") + "%" + "x" * (1 + i % 4)) for i in range(2000)]
+    sent = list(patterns._candidates([batch], asked))
+    assert sum(b.num_rows for b in sent) == 100 and sum(len(r) for b in sent for r in b.column("__patterns").to_pylist()) == 100 * 1000
+    assert sum(b.nbytes for b in sent) < 2 * batch.nbytes + 4 * 100 * 1000
+
+
 def test_literal_parts():
     assert [patterns.literal(p) for p in ("%abc%de_f%", "%", "a\\%b%cc", "", "\\")] == ["abc", "", "a%b", "", ""]
 
