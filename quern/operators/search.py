@@ -70,11 +70,14 @@ def shown(rows: DataFrame, corpus: DataFrame, queries: DataFrame, titles: DataFr
 
 @dataclass
 class Engine:
-    """The corpus with its indexes. embeddings may be None; encoder turns query texts into vectors."""
+    """The corpus with its indexes. embeddings may be None; encoder turns query texts into vectors.
+
+    A plain search of one leg (respond_keyword, _term, _semantic without ranking) needs that leg's index only.
+    """
 
     corpus: DataFrame
-    keyword: bm25.Index
-    terms: term.Index
+    keyword: bm25.Index | None
+    terms: term.Index | None
     embeddings: DataFrame | None = None
     encoder: Callable[[list[str]], list[list[float]]] | None = None
     titles: DataFrame | None = None

@@ -15,35 +15,47 @@ from quern.sources.kept import kept
 
 @dataclass
 class Index:
-    """postings(skeleton, corpus_idx, word, df) and words(word, df)."""
+    """held(word, corpus_idx), words(word, df) and folded(skeleton, word, df): skeletons are a word's, not a posting's."""
 
-    postings: DataFrame
+    held: DataFrame
     words: DataFrame
+    folded: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """skeleton, corpus_idx, word, df; a word that many rows hold is dealt into parts."""
+        rows = self.words.agg(F.sum("df")).first()[0] or 0
+        return join_counted(self.held, self.folded, "word", "df", rows).select("skeleton", "corpus_idx", "word", "df")
 
     def write(self, path: str) -> None:
-        """Postings are laid out by skeleton and row, so a query's skeletons prune row groups and a frequent one is many files."""
-        self.postings.repartitionByRange("skeleton", "corpus_idx").sortWithinPartitions("skeleton", "corpus_idx").write.mode("overwrite").parquet(f"{path}/postings")
-        self.words.write.mode("overwrite").parquet(f"{path}/words")
+        """held is laid out by word and row, so a query's words prune row groups and a frequent one is many files; words are counted from it."""
+        read = self.held.sparkSession.read
+        self.held.repartitionByRange("word", "corpus_idx").sortWithinPartitions("word", "corpus_idx").write.mode("overwrite").parquet(f"{path}/held")
+        _counted(read.parquet(f"{path}/held")).write.mode("overwrite").parquet(f"{path}/words")
+        _folded(read.parquet(f"{path}/words")).repartitionByRange("skeleton").sortWithinPartitions("skeleton").write.mode("overwrite").parquet(f"{path}/folded")
 
     @staticmethod
     def read(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "words")))
+        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("held", "words", "folded")))
 
 
-#: Query skeletons that are looked up as literals; more are joined.
+#: Query skeletons, and the words that they find, that are looked up as literals; more are joined.
 MOST_LITERALS = 2000
 
 
-def build(corpus: DataFrame, words: Callable[[Column], Column] = T.arabic_words, column: str = "arabic") -> Index:
-    """Postings of each row's distinct words, markup attributes included; skeletons are made once a distinct word.
+def _counted(held: DataFrame) -> DataFrame:
+    return held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
-    A word that many rows hold goes to them by broadcast, and they stay where they are.
-    """
-    held = corpus.select("corpus_idx", F.explode(F.array_distinct(words(F.col(column)))).alias("word"))
-    counted = kept(held.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "words")
-    folded = counted.select("word", "df", F.explode(T.index_skeletons(F.col("word"))).alias("skeleton"))
-    rows = counted.agg(F.sum("df")).first()[0] or 0
-    return Index(join_counted(held, folded, "word", "df", rows).select("skeleton", "corpus_idx", "word", "df"), counted)
+
+def _folded(words: DataFrame) -> DataFrame:
+    return words.select(F.explode(T.index_skeletons(F.col("word"))).alias("skeleton"), "word", "df")
+
+
+def build(corpus: DataFrame, words: Callable[[Column], Column] = T.arabic_words, column: str = "arabic") -> Index:
+    """Each row's distinct words, markup attributes included, read once; skeletons are made once a distinct word."""
+    each = kept(corpus.select("corpus_idx", F.array_distinct(words(F.col(column))).alias("words")), "words")
+    held = each.select(F.explode("words").alias("word"), "corpus_idx")
+    return Index(held, _counted(held), _folded(_counted(held)))
 
 
 def hits(index: Index, queries: DataFrame) -> DataFrame:
@@ -52,12 +64,19 @@ def hits(index: Index, queries: DataFrame) -> DataFrame:
     A word that two of a token's skeletons find stands twice; what counts hits counts distinct ones.
     """
     asked = queries.select("query_id", F.posexplode(T.query_words(F.col("text"))).alias("token", "w")).select("query_id", "token", F.explode(T.query_skeletons(F.col("w"))).alias("skeleton"))
-    postings = index.postings
+    folded = index.folded
     few = asked.limit(MOST_LITERALS + 1).collect()
     if len(few) <= MOST_LITERALS:
         asked = F.broadcast(asked.sparkSession.createDataFrame(few, asked.schema))
-        postings = postings.where(F.col("skeleton").isin(sorted({r["skeleton"] for r in few})))
-    return postings.join(asked, "skeleton").select("query_id", "token", "corpus_idx", "word", "df")
+        folded = folded.where(F.col("skeleton").isin(sorted({r["skeleton"] for r in few})))
+    found = folded.join(asked, "skeleton").select("query_id", "token", "word", "df")
+    few = found.limit(MOST_LITERALS + 1).collect()
+    if len(few) <= MOST_LITERALS:
+        near = F.broadcast(found.sparkSession.createDataFrame(few, found.schema))
+        out = index.held.where(F.col("word").isin(sorted({r["word"] for r in few}))).join(near, "word")
+    else:
+        out = join_counted(index.held, found, "word", "df", index.words.agg(F.sum("df")).first()[0] or 0)
+    return out.select("query_id", "token", "corpus_idx", "word", "df")
 
 
 def rows(found: DataFrame) -> DataFrame:
