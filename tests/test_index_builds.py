@@ -44,3 +44,22 @@ def test_a_search_of_one_leg_builds_no_other_index(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "dimension", lambda s, d: s.createDataFrame([("src1", "One")], "slug string, english_title string"))
     monkeypatch.setattr(catalogue, "_BUILT", {})
     assert catalogue.QUERIES["plain_keyword_summary"](spark, "none").agg(F.sum("total")).first()[0] == 1
+
+
+def test_many_queries_keep_k_rows_a_task(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = ["the", "and", "with", *(f"w{i}" for i in range(60))]
+    rows = [(i, " ".join(rng.choices(words, [40, 30, 20] + [1] * 60, k=rng.randrange(1, 30)))) for i in range(3000)]
+    bm25.build(spark.createDataFrame(rows, "corpus_idx long, text string").repartition(3)).write(str(tmp_path))
+    index = bm25.Index.read(spark, str(tmp_path))
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=12))) for q in range(40)] + [(99, "nothing"), (98, "")], "query_id long, text string")
+    want = sorted(map(tuple, bm25.top(bm25.scores(index, asked), 7).select("query_id", "rank", "corpus_idx", "score").collect()))
+    monkeypatch.setattr(bm25, "HELD", 50)
+    found = bm25.best(index, asked, 7)
+    assert sorted(map(tuple, found.select("query_id", "rank", "corpus_idx", "score").collect())) == want
+    assert "HashAggregate" not in _plan(found)
+    blocks = catalogue.blockmax.build(index)
+    monkeypatch.setattr(bm25, "MOST_LITERALS", 5)
+    assert sorted(map(tuple, catalogue.blockmax.top(blocks, asked, 7).select("query_id", "rank", "corpus_idx", "score").collect())) == want
