@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quern.operators import bm25, term
+from quern.operators import bm25, dense, term
 from quern.plans import catalogue
 
 
@@ -63,3 +63,15 @@ def test_many_queries_keep_k_rows_a_task(spark, tmp_path, monkeypatch):
     blocks = catalogue.blockmax.build(index)
     monkeypatch.setattr(bm25, "MOST_LITERALS", 5)
     assert sorted(map(tuple, catalogue.blockmax.top(blocks, asked, 7).select("query_id", "rank", "corpus_idx", "score").collect())) == want
+
+
+def test_scores_of_every_pair_by_products(spark, monkeypatch):
+    monkeypatch.setattr(dense, "PAIRS", 10)
+    monkeypatch.setattr(dense, "MOST_QUERIES", 3)
+    rows = spark.createDataFrame([(i, [float(i % 5), 1.0, -0.25]) for i in range(23)] + [(50, None), (51, [1.0, None, 2.0]), (52, [1.0])], "corpus_idx long, embedding array<float>")
+    asked = spark.createDataFrame([(q, [0.5 * q, 1.0, 2.0]) for q in range(7)] + [(9, None), (8, [1.0])], "query_id long, query array<double>")
+    found = dense.scores(rows, asked)
+    assert "MapInArrow" in _plan(found)
+    want = {(q, i): round(0.5 * q * (i % 5) + 0.5, 6) for q in range(7) for i in range(23)} | {(8, 52): 1.0}
+    got = {(r["query_id"], r["corpus_idx"]): r["score"] for r in found.collect()}
+    assert len(got) == 26 * 9 == found.count() and {k: v for k, v in got.items() if v is not None} == want
