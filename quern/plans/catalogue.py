@@ -153,12 +153,14 @@ def _term_scores(spark, d):
 
 
 def _dense(spark, d, k=100):
-    return dense.top(dense.with_content(embeddings(spark, d), bound(spark, d)), _vectors(spark, d), k)
+    """The queries grow with the rows: they meet an index of the rows with content, and what is found is kept."""
+    index = _once(spark, d, "nearest-filled", lambda: nearest.build(dense.with_content(embeddings(spark, d), bound(spark, d))))
+    return kept(nearest.top(index, _vectors(spark, d), k), "dense")
 
 
 def _pool(spark, d, k=50):
     """Three legs of unlike queries under the same ids: a union with texts that one, two or three legs find."""
-    return fusion.union(bm25.top(_bm(spark, d), k), _dense(spark, d, k), bm25.top(_term_scores(spark, d), k))
+    return kept(fusion.union(bm25.top(_bm(spark, d), k), _dense(spark, d, k), bm25.top(_term_scores(spark, d), k)), "pool")
 
 
 def _joined(c: str):

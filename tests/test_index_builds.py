@@ -75,3 +75,16 @@ def test_scores_of_every_pair_by_products(spark, monkeypatch):
     want = {(q, i): round(0.5 * q * (i % 5) + 0.5, 6) for q in range(7) for i in range(23)} | {(8, 52): 1.0}
     got = {(r["query_id"], r["corpus_idx"]): r["score"] for r in found.collect()}
     assert len(got) == 26 * 9 == found.count() and {k: v for k, v in got.items() if v is not None} == want
+
+
+def test_the_pool_is_computed_once(spark):
+    import os
+
+    import pytest
+
+    import __spark_entry__ as entry
+
+    if not os.path.isdir(entry.SMOKE_DIR):
+        pytest.skip("no tables")
+    plan = _plan(catalogue._pool(spark, entry.SMOKE_DIR))
+    assert "quern-pool" in plan and "Exchange" not in plan and "Join" not in plan
