@@ -113,7 +113,7 @@ def _written_vectors(spark, d):
         return lambda texts: np.array(_letters(texts))
 
     tables.write_embeddings(dense.build(rows, encoder), path, "letters", mark)
-    read = tables.read_embeddings(spark, path, tables.fingerprint(rows.repartition(3), F.coalesce("text", F.lit(""))))
+    read = tables.read_embeddings(spark, path, tables.fingerprint(rows.repartition("corpus_idx"), F.coalesce("text", F.lit(""))))
     return read.select("corpus_idx", *(F.round(F.col("embedding")[i].cast("double"), 4).alias(c) for c, i in (("e", 4), ("n", 13), ("z", 25))))
 
 

@@ -88,3 +88,14 @@ def test_the_pool_is_computed_once(spark):
         pytest.skip("no tables")
     plan = _plan(catalogue._pool(spark, entry.SMOKE_DIR))
     assert "quern-pool" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_no_fixed_number_of_tasks_reads_the_corpus_again(spark, monkeypatch):
+    from quern.sources import tables
+
+    rows = spark.createDataFrame([(i, "abc z") for i in range(50)], "corpus_idx long, text string")
+    plans, plain = [], tables.fingerprint
+    monkeypatch.setattr(catalogue, "bound", lambda s, d: rows)
+    monkeypatch.setattr(tables, "fingerprint", lambda r, t: plans.append(_plan(r)) or plain(r, t))
+    assert catalogue.QUERIES["vectors_round_trip"](spark, "none").count() == 50
+    assert "REPARTITION_BY_NUM" not in plans[1] and "REPARTITION_BY_COL" in plans[1]
