@@ -11,6 +11,10 @@ merged state as one segment.
 Rows are known by corpus_idx and compared by a digest of all their columns. A row that comes unchanged
 is left alone: it is not written, counted or encoded again, so a repeated change is none. Of rows
 of one id in a change the greatest digest counts. Null ids are left out.
+
+What changed is found by ids and digests alone. A change is read twice, for its digests and for the rows that
+changed, so it must give the same rows both times; these rows go straight from there into the segment, with their terms
+counted, and only rows of an id that comes more than once, or those of very large changes, are shuffled with their texts.
 """
 
 from __future__ import annotations
@@ -31,6 +35,15 @@ from quern.sources.kept import kept
 TABLES = ("rows", "postings", "gone", "df", "size", "vectors")
 
 
+#: Ids that are broadcast at most, so that texts and postings meet them without a shuffle.
+MOST_IDS = 2_000_000
+
+
+def near(ids: DataFrame, n: int) -> DataFrame:
+    """Ids, n of them, to be broadcast if they are few enough; Spark decides about more."""
+    return F.broadcast(ids) if n <= MOST_IDS else ids
+
+
 def _files(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path as it knows it."""
     jvm = spark.sparkContext._jvm
@@ -80,7 +93,7 @@ class Store:
     def rows(self) -> DataFrame | None:
         """The corpus as it stands; None before the first change."""
         found = self._merged(self.manifest(), "rows")
-        return None if found is None else found.drop("digest")
+        return None if found is None else found.drop("digest", bm25.BAG)
 
     def vectors(self) -> DataFrame | None:
         manifest = self.manifest()
@@ -113,47 +126,63 @@ class Store:
             raise ValueError("a store has vectors of all its rows or of none: give every change an encoder, or no change")
         if batch in manifest["batches"]:
             return {"batch": batch, "added": 0, "replaced": 0, "removed": 0, "unchanged": 0}
-        names = [c for c in rows.columns if c not in ("digest", "dl")]
+        names = [c for c in rows.columns if c not in ("digest", "dl", bm25.BAG)]
         digest = F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)
-        one = F.max_by(F.struct(*names), "digest")
-        new = rows.where("corpus_idx is not null").select(*names).withColumn("digest", digest).groupBy("corpus_idx").agg(one.alias("r"), F.max("digest").alias("digest")).select("r.*", "digest")
-        new = kept(new, "segment-new")
+        given = rows.where("corpus_idx is not null").select(*names).withColumn("digest", digest)
+        told = given.groupBy("corpus_idx").agg(F.max("digest").alias("digest"), (F.count(F.lit(1)) > 1).alias("again"))
         held = self._merged(manifest, "rows")
         if held is None:
-            held = new.limit(0)
-        old = held.select("corpus_idx", F.col("digest").alias("old"))
-        told = new.select("corpus_idx", "digest").join(old, "corpus_idx", "full" if snapshot else "left")
+            told = told.withColumn("old", F.lit(None).cast("string"))
+        else:
+            told = told.join(held.select("corpus_idx", F.col("digest").alias("old")), "corpus_idx", "full" if snapshot else "left")
         kind = F.when(F.col("digest").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("old") == F.col("digest"), "unchanged").otherwise("replaced")
-        told = kept(told.select("corpus_idx", kind.alias("kind")), "segment-told")
-        counts = dict(told.groupBy("kind").count().collect())
-        said = {"batch": batch, **{k: counts.get(k, 0) for k in ("added", "replaced", "removed", "unchanged")}}
+        told = kept(told.select("corpus_idx", kind.alias("kind"), F.coalesce("again", F.lit(False)).alias("again")), "segment-told")
+        counts = {(r["kind"], r["again"]): r["count"] for r in told.groupBy("kind", "again").count().collect()}
+        said = {"batch": batch, **{k: counts.get((k, False), 0) + counts.get((k, True), 0) for k in ("added", "replaced", "removed", "unchanged")}}
         if not said["added"] + said["replaced"] + said["removed"]:
             return said
         segment = f"{manifest['version'] + 1:06d}-{uuid.uuid4().hex}"
         path = f"{self.path}/segments/{segment}"
-        changed = new.join(told.where("kind in ('added', 'replaced')").select("corpus_idx"), "corpus_idx", "left_semi")
         gone = told.where("kind in ('replaced', 'removed')").select("corpus_idx")
         gone.write.parquet(f"{path}/gone")
-        gone = self.spark.read.parquet(f"{path}/gone")
-        self._write(path, changed, manifest, gone, encoder)
+        gone = near(self.spark.read.parquet(f"{path}/gone"), said["replaced"] + said["removed"])
+        self._write(path, self._changed(given, told, counts), manifest, gone, encoder)
         manifest["batches"].append(batch)
         self._publish(manifest | {"version": manifest["version"] + 1, "segments": [*manifest["segments"], segment], "encoder": bool(encoder), "report": [*manifest["report"], said]})
         return said
 
+    @staticmethod
+    def _changed(given: DataFrame, told: DataFrame, counts: dict) -> DataFrame:
+        """The rows that are new or differ, one an id: those of ids that come once meet the shorter list, of ids to take or of ids to leave."""
+        take = "kind in ('added', 'replaced')"
+        taken = sum(n for (kind, again), n in counts.items() if kind in ("added", "replaced") and not again)
+        more = sum(n for (kind, again), n in counts.items() if kind in ("added", "replaced") and again)
+        left = sum(n for (kind, again), n in counts.items() if kind != "removed") - taken
+        if not left:
+            return given
+        listed = told.where(f"{take} and not again") if taken <= left else told.where(f"kind <> 'removed' and (again or not {take})")
+        once = given.join(near(listed.select("corpus_idx"), min(taken, left)), "corpus_idx", "left_semi" if taken <= left else "left_anti")
+        if not more:
+            return once
+        many = given.join(near(told.where(f"{take} and again").select("corpus_idx"), more), "corpus_idx", "left_semi")
+        names = [c for c in given.columns if c != "digest"]
+        best = many.groupBy("corpus_idx").agg(F.max_by(F.struct(*names), "digest").alias("r"), F.max("digest").alias("digest"))
+        return once.select(*names, "digest").unionByName(best.select("r.*", "digest"))
+
     def _write(self, path: str, changed: DataFrame, manifest: dict, gone: DataFrame, encoder: Callable[[], dense.Encoder] | None) -> None:
-        counted = bm25.counted(changed)
-        counted.postings.repartitionByRange("term", "corpus_idx").sortWithinPartitions("term", "corpus_idx").write.parquet(f"{path}/postings")
-        changed.join(counted.lengths, "corpus_idx").write.parquet(f"{path}/rows")
-        postings, rows = (self.spark.read.parquet(f"{path}/{n}") for n in ("postings", "rows"))
+        bm25.bagged(changed, changed.columns).write.parquet(f"{path}/rows")
+        rows = self.spark.read.parquet(f"{path}/rows")
+        bm25.unpacked(rows).repartitionByRange("term", "corpus_idx").sortWithinPartitions("term", "corpus_idx").write.parquet(f"{path}/postings")
+        postings = self.spark.read.parquet(f"{path}/postings")
         df, size = postings.select("term", F.lit(1).alias("df")), rows.select(F.lit(1).alias("n"), F.col("dl").alias("tokens"))
         if manifest["segments"]:  # what the replaced rows had counts less
-            before = lambda name: self._merged(manifest, name).join(settled(gone), "corpus_idx", "left_semi")
+            before = lambda name: self._merged(manifest, name).join(gone, "corpus_idx", "left_semi")
             df = df.unionByName(before("postings").select("term", F.lit(-1).alias("df")))
             size = size.unionByName(before("rows").select(F.lit(-1).alias("n"), (-F.col("dl")).alias("tokens")))
         df.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").write.parquet(f"{path}/df")
         size.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).write.parquet(f"{path}/size")
         if encoder is not None:
-            dense.build(rows, encoder).write.parquet(f"{path}/vectors")
+            dense.build(rows.drop(bm25.BAG), encoder).write.parquet(f"{path}/vectors")
 
     def compact(self) -> None:
         """The state as it stands as one segment; readers of the earlier ones go on until they are deleted by vacuum()."""
