@@ -33,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Tables that keep() has written and nothing has deleted yet, with what opens their file system.
 _KEPT: dict[str, object] = {}
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
@@ -41,6 +44,7 @@ _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends here, and lost executors cost nothing.
 
+    What its plan shuffled goes from the executors' disks once it is written, not when the driver next collects garbage.
     The table goes when drop() or drop_kept() is called for it, or with the driver.
     """
     spark = df.sparkSession
@@ -49,7 +53,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         atexit.unregister(_delete_all)
         atexit.register(_delete_all)
     _KEPT[path] = spark.sparkContext
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

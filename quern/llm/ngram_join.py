@@ -5,15 +5,17 @@ share a token among the first n - ceil(t * n) + 1 of each, whatever total order
 tokens are put in. Three independent orders give three such filters, and a pair is a
 candidate only if it passes all of them. In each order tokens that many sets hold
 come last (counted over the whole corpus, a set once for each part of PART bytes that has
-it; any count serves that is the same for all), the others stand in hash order.
+it, tokens that agree in all but SHIFT bits as one; any count serves that is the same for all),
+the others stand in hash order. What counts as many does not grow with the corpus.
 
  1. Equal sets are one class, known by a 128-bit digest; only classes are compared.
  2. Token frequencies: packed token arrays, counted in hash buckets. Where many rows are copies, only
     the row that stands for its class is counted and compared.
  3. Prefixes under the orders, packed likewise, without the tokens that only one set holds: a filter
-    of FILTER bytes at most knows those that are counted twice, and lets others pass where it is full. Each
+    of FILTER bytes at most knows those that are counted twice, and lets others pass where it is full. A token
+    is shipped with the class's number and the eighth of an octave that its set's size is in. Each
     bucket emits the pairs of classes that share a token, once; the orders' pairs are intersected, then
-    thinned by bitmaps.
+    thinned by sizes and bitmaps.
  4. A prefix token that too many classes hold emits no pairs: its classes are tied to a node
     that stands for the token. Classes that nodes connect are a dense group.
  5. Cells. A dense group becomes one cell, or if it is large blocks of bounded number and
@@ -36,6 +38,7 @@ least that is not null, or null if all are.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +51,9 @@ from quern.llm.graph import components
 
 SIZE, PERCENT = 5, 75
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
-#: Tokens of at least this many documents stand last in every order ...
+#: Tokens of at least this many documents stand last in every order, those of four times as many always are nodes.
 COMMON = 32
-#: ... or of this share of all tokens where that is more, which bounds the table that is broadcast.
+#: Tokens that stand last at most, which bounds the table that is broadcast: where more would, the number is doubled until so many do.
 MOST_COMMON = 4_000_000
 #: Classes that share a token beyond which it is a node of its own instead of pairs.
 MOST_PAIRED = 64
@@ -58,7 +61,11 @@ MOST_PAIRED = 64
 CELL, TOKENS_A_CELL = 1000, 1_000_000
 TOKENS_A_BUCKET = 4_000_000
 #: Bytes of the filter of repeated tokens at most, and bits a token where that allows them.
-FILTER, FILTER_BITS = 64 << 20, 10
+FILTER, FILTER_BITS = 128 << 20, 10
+#: Low bits of a token's 32 in a bucket that do not count when tokens are counted.
+SHIFT = 5
+#: Bytes of a class's number among candidates.
+REF_BYTES = 5
 #: Classes whose rows are known by a broadcast of 8 bytes each at most, if one of COPIES rows is a copy.
 MOST_OWN, COPIES = 8_000_000, 8
 #: Entries of a cell's matrix that are worked on at once.
@@ -92,7 +99,7 @@ def _digest(tokens: np.ndarray) -> bytes:
 
 def _ref(digest: bytes) -> int:
     """A class's number among candidates, not negative; classes that ever share one are candidates together."""
-    return int.from_bytes(digest[:8], "little") >> 1
+    return int.from_bytes(digest[:REF_BYTES], "little")
 
 
 def _parity(tokens: np.ndarray) -> bytes:
@@ -117,12 +124,12 @@ _ONES = np.array([bin(i).count("1") for i in range(256)])
 
 
 def _thinned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that the bitmaps leave; pairs with a token's node stay."""
+    """Pairs of classes that sizes and bitmaps leave; pairs with a token's node stay."""
 
     def thin(batches):
         for batch in batches:
             a, b, m, n, x, y = (c.to_pylist() for c in batch.columns)
-            kept = [i for i in range(len(a)) if _may_link(x[i], y[i], m[i] + n[i], percent)]
+            kept = [i for i in range(len(a)) if 100 * min(m[i], n[i]) >= percent * max(m[i], n[i]) and _may_link(x[i], y[i], m[i] + n[i], percent)]
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     def side(name: str, n: str, bits: str) -> DataFrame:
@@ -156,48 +163,83 @@ def _cuts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1], True]) if len(sorted_keys) else np.zeros(1, np.int64)
 
 
-def _filter_at(tokens: np.ndarray, bits: int) -> np.ndarray:
-    """The bit of a bucket's filter that stands for a token (its low half)."""
-    return (B.mix(tokens.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
+def _filter_at(counted: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a bucket's filter that stands for a token (its bits that count)."""
+    return (B.mix(counted.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
 def _repeated(ids: np.ndarray, filters: np.ndarray) -> np.ndarray:
     """Which ids more than one set may hold; filters has a row of bytes a bucket."""
-    at = _filter_at(ids & 0xFFFFFFFF, filters.shape[1] * 8)
+    at = _filter_at((ids & 0xFFFFFFFF) >> SHIFT, filters.shape[1] * 8)
     return filters[ids >> 32, at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
 
 
+def _gaps(numbers: np.ndarray) -> bytes:
+    """Sorted distinct numbers as two bytes for what lies between each and the one before; 65535 is that much more and no number."""
+    gaps = np.diff(numbers, prepend=-1) - 1
+    more = gaps // 65535
+    out = np.full(len(gaps) + int(more.sum()), 65535, "<u2")
+    out[np.arange(len(gaps)) + np.cumsum(more)] = gaps % 65535
+    return out.tobytes()
+
+
+def _numbers(gaps: bytes) -> np.ndarray:
+    """The numbers that _gaps() was given."""
+    steps = np.frombuffer(gaps, "<u2").astype(np.int64)
+    more = steps == 65535
+    return (np.cumsum(steps + ~more) - 1)[~more]
+
+
 def common_tokens(texts: DataFrame, size: int, buckets: int, least: int, own=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted (bucket << 32 | token) of tokens that at least so many sets hold, their counts, and the filter of tokens counted twice; a set counts once a part."""
+    """Sorted _counted() ids of tokens that at least so many sets hold, their counts, and the filter of tokens counted twice; a set counts once a part.
+
+    Where more than MOST_COMMON tokens are held by so many, least is doubled until no more are.
+    """
     width = max(64, min(FILTER // buckets, TOKENS_A_BUCKET * FILTER_BITS // 8 // 4))
+    bits, doubled = 32 - SHIFT, 32
 
     def count(batches):
         for seen in _parts(batches, size, own):
-            tokens, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *seen.values()]), return_counts=True)
-            where = _bucket(tokens, buckets)
-            order = np.argsort(where.astype(np.uint16) if buckets <= 65536 else where, kind="stable")
-            cuts = _cuts(where[order])
-            rows = [(where[o[0]], tokens[o].astype("<u4").tobytes(), counts[o].astype("<u4").tobytes()) for o in (order[a:b] for a, b in zip(cuts, cuts[1:], strict=False))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "counts"])
+            tokens, counts = np.unique(_counted(_ids(np.concatenate([np.empty(0, np.uint64), *seen.values()]), buckets)), return_counts=True)
+            cuts = _cuts(tokens >> bits)
+            rows = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                many = np.flatnonzero(counts[a:b] > 1)
+                rows.append((tokens[a] >> bits, _gaps(tokens[a:b] & ((1 << bits) - 1)), many.astype("<u4").tobytes(), counts[a:b][many].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "many", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
-        tokens = np.concatenate([np.frombuffer(x, "<u4") for x in table["tokens"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
-        found, at = np.unique(tokens, return_inverse=True)
-        sums = np.bincount(at, counts).astype(np.int64)
+        tokens, counts = [], []
+        for gaps, many, more in zip(*(table[c].to_pylist() for c in ("tokens", "many", "counts")), strict=True):
+            tokens.append(_numbers(gaps).astype(np.uint32))
+            counts.append(np.ones(len(tokens[-1]), np.uint32))
+            counts[-1][np.frombuffer(many, "<u4")] = np.frombuffer(more, "<u4")
+        found, at = np.unique(np.concatenate(tokens), return_inverse=True)
+        sums = np.bincount(at, np.concatenate(counts)).astype(np.int64)
         bucket, kept = table["bucket"][0].as_py(), sums >= least
-        bits = np.zeros(width * 8, bool)
-        bits[_filter_at(found[sums > 1], width * 8)] = True
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"bucket": [bucket], "token": pa.array([((np.int64(bucket) << 32) | found[kept].astype(np.int64)).tobytes()], pa.binary()), "n": pa.array([sums[kept].tobytes()], pa.binary()), "filter": pa.array([packed], pa.binary())})
-
-    found = texts.mapInArrow(lean(count), "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(lean(total), "bucket long, token binary, n binary, filter binary").toArrow()
-    tokens, counts, filters = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.zeros((buckets, width), np.uint8)
-    for bucket, token, n, bits in zip(*(found[c] for c in ("bucket", "token", "n", "filter")), strict=True):
-        tokens.append(np.frombuffer(token.as_buffer(), np.int64))
-        counts.append(np.frombuffer(n.as_buffer(), np.int64))
-        filters[bucket.as_py()] = np.frombuffer(bits.as_buffer(), np.uint8)
-    token, n = np.concatenate(tokens), np.concatenate(counts)
+        filled = np.zeros(width * 8, bool)
+        filled[_filter_at(found[sums > 1], width * 8)] = True
+        packed = np.packbits(filled, bitorder="little").tobytes()
+        held = [int((sums >= least << k).sum()) for k in range(doubled)]
+        return pa.table({"bucket": [bucket], "token": pa.array([((np.int64(bucket) << bits) | found[kept].astype(np.int64)).tobytes()], pa.binary()), "n": pa.array([sums[kept].tobytes()], pa.binary()), "filter": pa.array([packed], pa.binary()), "held": pa.array([held], pa.list_(pa.int64()))})
+
+    found = texts.mapInArrow(lean(count), "bucket long, tokens binary, many binary, counts binary").groupBy("bucket").applyInArrow(lean(total), "bucket long, token binary, n binary, filter binary, held array<long>")
+    found = keep(found, "join-counts")
+    held = np.array([r["held"] for r in found.select("held").collect()], np.int64).reshape(-1, doubled).sum(0)
+    least = least << int(np.argmax(held <= MOST_COMMON))
+
+    def cut(batches):
+        for batch in batches:
+            for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                token, n = np.frombuffer(token, np.int64), np.frombuffer(n, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(token[n >= least]), pa.array(n[n >= least])], names=["token", "n"])
+
+    common = found.select("token", "n").mapInArrow(cut, "token long, n long").toArrow()
+    token, n = common["token"].to_numpy(), common["n"].to_numpy()
+    filters = np.zeros((buckets, width), np.uint8)
+    for row in found.select("bucket", "filter").toLocalIterator():
+        filters[row["bucket"]] = np.frombuffer(row["filter"], np.uint8)
+    drop(found)
     order = np.argsort(token)
     return token[order], n[order], filters
 
@@ -211,8 +253,18 @@ def _ids(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return _bucket(tokens, buckets) << 32 | (tokens & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def _counted(ids: np.ndarray) -> np.ndarray:
+    """What counts of the ids when tokens are counted: tokens that agree in it are one."""
+    return ids >> SHIFT
+
+
+def _octave(sizes: np.ndarray) -> np.ndarray:
+    """The eighth of an octave that a size is in."""
+    return (8 * np.log2(sizes)).astype(np.uint8)
+
+
 def _found(ids: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which ids are common tokens, and their places among these."""
+    """Which ids are among the sorted ones, and their places there."""
     at = np.minimum(np.searchsorted(common, ids), max(0, len(common) - 1))
     return (common[at] == ids if len(common) else np.zeros(len(ids), bool)), at
 
@@ -234,6 +286,8 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, shared,
     the keys of rows that stand for their class, and of the filter of repeated tokens.
     """
     every = (1 << len(seeds)) - 1
+    dealt = 4 + buckets // 4  # few tokens of a bucket are left, and one that holds more of a set names it less often
+    apart = math.ceil(8 * math.log2(100 / percent) + 0.01)  # eighths of an octave between similar sets at most
 
     def prefixes(batches):
         common, dense = shared.value
@@ -243,33 +297,38 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, shared,
                 continue
             tokens = np.concatenate(sets)
             ids = _ids(tokens, buckets)
-            is_common, at = _found(ids, common)
+            is_common, at = _found(_counted(ids), common)
             is_dense = is_common & dense[at] if len(common) else is_common
-            refs_, sizes_ = np.array([_ref(d) for d in digests], "<i8"), np.array([len(s) for s in sets], "<u4")
+            refs, sizes = np.array([_ref(d) for d in digests], "<i8"), np.array([len(s) for s in sets], np.int64)
+            short, octaves = refs.view(np.uint8).reshape(-1, 8)[:, :REF_BYTES], _octave(sizes)
             alone = ~_repeated(ids, filters.value) if filters is not None else np.zeros(len(ids), bool)
-            for o, (chosen, lengths) in enumerate(_prefixes(tokens, is_common, sizes_, percent, seeds)):
+            for o, (chosen, lengths) in enumerate(_prefixes(tokens, is_common, sizes, percent, seeds)):
                 owner = np.repeat(np.arange(len(sets)), lengths)
                 met = ~alone[chosen]  # a token of one set makes no pair
                 chosen, owner = chosen[met], owner[met]
-                refs, sizes, chosen_ids, heavy = refs_, sizes_, ids[chosen], is_dense[chosen]
+                chosen_ids, heavy = ids[chosen], is_dense[chosen]
                 # tokens with a node of their own need no company: they go to any bucket, below zero
-                where = np.where(heavy, -1 - refs_[0] % buckets, chosen_ids >> 32)
+                where = np.where(heavy, -1 - refs[0] % buckets, (chosen_ids >> 32) % dealt)
                 order = np.lexsort((owner, where))
                 cuts = _cuts(where[order])
                 rows = []
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     o_ = order[a:b]
-                    mine, runs = np.unique(owner[o_], return_counts=True)
-                    rows.append((int(where[o_[0]]), o, (chosen_ids[o_].astype("<i8") if where[o_[0]] < 0 else (chosen_ids[o_] & 0xFFFFFFFF).astype("<u4")).tobytes(), refs[mine].tobytes(), sizes[mine].tobytes(), runs.astype("<u4").tobytes()))
+                    new = np.diff(owner[o_], prepend=-1) > 0  # the first token of each set
+                    mine = owner[o_][new]
+                    rows.append((int(where[o_[0]]), o, (chosen_ids[o_].astype("<i8") if where[o_[0]] < 0 else (chosen_ids[o_] & 0xFFFFFFFF).astype("<u4")).tobytes(), short[mine].tobytes(), octaves[mine].tobytes(), np.packbits(new).tobytes()))
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "nth", "tokens", "refs", "sizes", "runs"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "nth", "tokens", "refs", "octaves", "new"])
 
     def unpack(table: pa.Table, kind: str):
-        tokens = np.concatenate([np.frombuffer(x, kind) for x in table["tokens"].to_pylist()])
-        runs = np.concatenate([np.frombuffer(x, "<u4") for x in table["runs"].to_pylist()])
-        refs = np.repeat(np.concatenate([np.frombuffer(x, "<i8") for x in table["refs"].to_pylist()]), runs)
-        sizes = np.repeat(np.concatenate([np.frombuffer(x, "<u4") for x in table["sizes"].to_pylist()]), runs).astype(np.int64)
-        return tokens, refs, sizes
+        tokens = [np.frombuffer(x, kind) for x in table["tokens"].to_pylist()]
+        new = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(t)) for x, t in zip(table["new"].to_pylist(), tokens, strict=True)])
+        short = np.frombuffer(b"".join(table["refs"].to_pylist()), np.uint8).reshape(-1, REF_BYTES)
+        refs = np.zeros((len(short), 8), np.uint8)
+        refs[:, :REF_BYTES] = short
+        owner = np.cumsum(new, dtype=np.int32) - 1
+        octaves = np.frombuffer(b"".join(table["octaves"].to_pylist()), np.uint8)
+        return np.concatenate(tokens), refs.view("<i8").ravel()[owner], octaves[owner]
 
     def nodes(ids: np.ndarray) -> np.ndarray:
         return -1 - ids
@@ -279,11 +338,11 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, shared,
         if bucket < 0:
             ids, refs, _ = unpack(table, "<i8")
             return pa.table({"a": nodes(ids), "b": refs, "mask": pa.array(np.full(len(refs), every, np.int32))})
-        tokens, refs, sizes = unpack(table, "<u4")
+        tokens, refs, octaves = unpack(table, "<u4")
         order = np.lexsort((refs, tokens))
-        tokens, refs, sizes = tokens[order], refs[order], sizes[order]
+        tokens, refs, octaves = tokens[order], refs[order], octaves[order]
         new = np.r_[True, (tokens[1:] != tokens[:-1]) | (refs[1:] != refs[:-1])]
-        tokens, refs, sizes = tokens[new], refs[new], sizes[new]
+        tokens, refs, octaves = tokens[new], refs[new], octaves[new].astype(np.int16)
         cuts = _cuts(tokens)
         length, first = np.diff(cuts), cuts[:-1]
         a, b, tied = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
@@ -291,7 +350,7 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, shared,
             rows = first[length == k][:, None] + np.arange(k)
             i, j = np.triu_indices(k, 1)
             x, y = rows[:, i].ravel(), rows[:, j].ravel()
-            near = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+            near = np.abs(octaves[x] - octaves[y]) <= apart
             a.append(refs[x[near]])
             b.append(refs[y[near]])
         for s, k in zip(first[length > MOST_PAIRED], length[length > MOST_PAIRED], strict=True):
@@ -307,7 +366,7 @@ def candidates(texts: DataFrame, size: int, percent: int, buckets: int, shared,
             a, b, mask = np.r_[a, x], np.r_[b, y], np.r_[mask, np.full(len(x), every, np.int32)]
         return pa.table({"a": a, "b": b, "mask": pa.array(mask, pa.int32())})
 
-    packed = texts.mapInArrow(lean(prefixes), "bucket long, nth int, tokens binary, refs binary, sizes binary, runs binary")
+    packed = texts.mapInArrow(lean(prefixes), "bucket long, nth int, tokens binary, refs binary, octaves binary, new binary")
     found = packed.groupBy("bucket", "nth").applyInArrow(lean(pairs_of), "a long, b long, mask int")
     return found.groupBy("a", "b").agg(F.bit_or("mask").alias("mask")).where(F.col("mask") == every).select("a", "b")
 
@@ -342,7 +401,7 @@ def _stripes(n: int):
 def _candidate_pairs(sets: list[np.ndarray], sizes: np.ndarray, percent: int, buckets: int, common: np.ndarray, seeds) -> np.ndarray:
     """Which pairs of sets pass the filters of all orders and that of sizes."""
     tokens = np.concatenate(sets)
-    is_common, _ = _found(_ids(tokens, buckets), common)
+    is_common, _ = _found(_counted(_ids(tokens, buckets)), common)
     out = np.empty((len(sets),) * 2, bool)
     for k in _stripes(len(sets)):
         out[k] = 100 * np.minimum(sizes[k, None], sizes) >= percent * np.maximum(sizes[k, None], sizes)
@@ -467,19 +526,21 @@ def row_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     own = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "hash")
     found = signed.where("n_shingles > 0").groupBy("digest", "ref").agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"))
     classes = keep(found.withColumn("num", F.monotonically_increasing_id()), "join-classes")
+    whole, signed = signed, keep(signed.drop("ref", "parity"), "join-signatures")
+    drop(whole)
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(total // tokens_a_bucket) + 8
-    least = max(common, total // MOST_COMMON)
     context, n_classes, own = docs.sparkSession.sparkContext, classes.count(), None
     if n_classes <= MOST_OWN and signed.where("n_shingles > 0").count() * (COPIES - 1) > n_classes * COPIES:
         own = context.broadcast(np.sort(classes.select(key(F.col("own.id"), F.col("own.hash"))).toArrow()["key"].to_numpy()))
-    tokens, counts, filters = common_tokens(compared, size, buckets, least, own)
-    shared, filters = context.broadcast((tokens, counts > 4 * least)), context.broadcast(filters)
+    tokens, counts, filters = common_tokens(compared, size, buckets, common, own)
+    shared, filters = context.broadcast((tokens, counts > 4 * common)), context.broadcast(filters)
     raw = keep(candidates(compared, size, percent, buckets, shared, own=own, filters=filters), "join-pairs")
     pairs = keep(_thinned(raw, classes, percent), "join-pairs")
     filters.unpersist()
-    drop(raw)
-    member = classes.drop("parity", "n").join(_places(pairs, classes, cell, TOKENS_A_CELL), "ref").select(F.col("own.id").alias("id"), F.col("own.hash").alias("hash"), "digest", "num", "copies", "dense", "places")
+    whole, classes = classes, keep(classes.drop("parity"), "join-classes")
+    drop(raw, whole)
+    member = classes.drop("n").join(_places(pairs, classes, cell, TOKENS_A_CELL), "ref").select(F.col("own.id").alias("id"), F.col("own.hash").alias("hash"), "digest", "num", "copies", "dense", "places")
     member = keep(member, "join-members")
 
     def ship(batches):
