@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, mixing, ngram_join, packing, quality
-from quern.llm.common import as_long, drop, keep, small, text_column
+from quern.llm.common import as_long, drop_but, keep, kept_paths, small, text_column
 from quern.session import ship
 
 
@@ -84,10 +84,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
+    others = kept_paths()
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-        if before is not None:
-            drop(before)
-        before = docs
+        drop_but(others, docs)  # what the stage kept for itself, and the documents it read
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ import functools
 import inspect
 import shutil
 import tempfile
+import threading
 import uuid
 import weakref
 
@@ -38,6 +39,8 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Tables that keep() has written and nothing has deleted yet, with what opens their file system.
 _KEPT: dict[str, object] = {}
+#: The thread that wrote each of them.
+_WRITERS: dict[str, int] = {}
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
@@ -60,12 +63,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
+    _PATHS[out], _WRITERS[path] = path, threading.get_ident()
     return out
 
 
 def _delete(path: str) -> None:
     context = _KEPT.pop(path)
+    _WRITERS.pop(path, None)
     where = context._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration() if context._jsc is None else context._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -85,6 +89,18 @@ def drop(*tables: DataFrame) -> None:
         _delete(_PATHS.pop(table))
 
 
+def kept_paths() -> set[str]:
+    """Where the tables are that keep() has written and nothing has deleted."""
+    return set(_KEPT)
+
+
+def drop_but(paths: set[str], *tables: DataFrame) -> None:
+    """Delete what this thread has written by keep(), but for what is at these paths and for these tables."""
+    for path in set(_KEPT) - paths - {_PATHS[t] for t in tables}:
+        if _WRITERS.get(path) == threading.get_ident():
+            _delete(path)
+
+
 def drop_kept(spark: SparkSession) -> None:
     """Delete every table that keep() has written in this application; results that still read them become unusable."""
     for path in [p for p, context in _KEPT.items() if context is spark.sparkContext]:
